@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
-from .shared import fold, table
+from . import pieces, quality, toxicity
+from .shared import fold, public_model, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_sentencepiece": op5_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_model(name: str) -> str:
+    """The path of a public tokenizer's file, where that package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k).cast("int")

@@ -106,13 +106,13 @@ class NoisyOr:
         return -np.expm1(-survive), _sigmoid(z)
 
 
-def _evidence(groups: list[tuple[Sentences, np.ndarray]], bits: int, least: float = 3.0, most: float = 12.0) -> np.ndarray:
+def _evidence(batches, bits: int, least: float = 3.0, most: float = 12.0) -> np.ndarray:
     """How strongly a feature's presence goes with the label over the training documents, from 0 to 1.
 
     The excess of positive documents over those expected, in standard deviations: below `least` a feature stays out, so that
     the words of single positive documents are not learnt by heart."""
     every, positive, rows, hits = np.zeros(1 << bits), np.zeros(1 << bits), 0, 0.0
-    for s, y in groups:
+    for s, y in batches:
         pairs = np.unique(np.repeat(s.doc, np.diff(s.offsets)).astype(np.int64) << bits | s.features)
         f, d = pairs & ((1 << bits) - 1), pairs >> bits
         every += np.bincount(f, minlength=1 << bits)
@@ -123,6 +123,13 @@ def _evidence(groups: list[tuple[Sentences, np.ndarray]], bits: int, least: floa
     return np.where(z >= least, np.minimum(z, most) / most, 0)
 
 
+def _only(s: Sentences, keep: np.ndarray) -> Sentences:
+    """The same sentences with the features in `keep` alone."""
+    hit = keep[s.features]
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return Sentences(s.doc, s.start, s.stop, s.features[hit], total[s.offsets])
+
+
 def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 16, rate: float = 1.0, l2: float = 1e-6, batch: int = 32) -> NoisyOr:
     """Adagrad on the noisy-or likelihood; the order of the rows is fixed by a seed."""
     weights, bias = np.zeros(1 << bits), -6.0
@@ -132,11 +139,14 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 16,
     seen, seen_b = np.full(1 << bits, 1e-2), 1e-2
     rng = np.random.default_rng(7)
     order = rng.permutation(len(texts))
-    groups = []
-    for i in range(0, len(order), batch):
-        rows = order[i : i + batch]
-        groups.append((sentences(pa.array([texts[r] for r in rows], pa.string()), bits), y_all[rows]))
-    scale = _evidence(groups, bits)
+
+    def batches():
+        for i in range(0, len(order), batch):
+            rows = order[i : i + batch]
+            yield sentences(pa.array([texts[r] for r in rows], pa.string()), bits), y_all[rows]
+
+    scale = _evidence(batches(), bits)
+    groups = [(_only(s, scale > 0), y) for s, y in batches()]  # read twice, so that only the features in use stay in memory
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
             s, y = groups[g]
