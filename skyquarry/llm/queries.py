@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, toxicity
-from .shared import fold, public_model, table
+from . import decontam, pieces, quality, tokencount, toxicity
+from .shared import fit_on_sample, fold, public_model, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.train(documents, labels, "toxic", fold(F.col("doc_id"), 5) != 0))
+    model = fit_on_sample(documents, labels, "toxic", fold(F.col("doc_id"), 5) != 0, toxicity.fit, max_docs=6000)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_start", "worst_end")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(*toxicity.train(documents, labels, "quality", fold(F.col("doc_id"), 3) != 1, max_docs=4000))
+    model = fit_on_sample(documents, labels, "quality", fold(F.col("doc_id"), 3) != 1, quality.fit, max_docs=4000)
     scored = quality.score(documents, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
@@ -27,8 +27,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return pieces.digest(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_sentencepiece": op5_sentencepiece}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_sentencepiece": op5_sentencepiece, "op8_token_counts": op8_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

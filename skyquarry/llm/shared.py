@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,3 +87,20 @@ def _parsed(spark, schema: str):
 def bounded_sample(labelled: DataFrame, key: Column, rows: int) -> DataFrame:
     """The rows with the smallest hashes: a sample of at most `rows` rows that does not depend on partitioning."""
     return labelled.withColumn("_order", F.xxhash64(key)).orderBy("_order", key).limit(rows).drop("_order")
+
+
+def fit_on_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, fit: Callable[[list[str], list[int]], Any], max_docs: int, max_bytes: int = 60_000) -> Any:
+    """Fits a model of document labels in one executor task on a bounded sample, and returns it.
+
+    The sample: of the ids that `allowed` admits and that carry a label, the `max_docs` with the smallest hashes, as far as their
+    texts have at most `max_bytes` bytes. Rows are sorted first, so the model doesn't depend on partitioning."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")).where(allowed)
+    picked = bounded_sample(known, F.col("doc_id"), max_docs)
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+
+    def run(batches):
+        rows = sorted((str(i), t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_y"))))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())})
+
+    sample = texts.join(F.broadcast(picked), "doc_id")  # picked has at most max_docs rows of two numbers
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0].model)
