@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, quality, tokencount, toxicity
+from . import decontam, pieces, pii, quality, simhash, tokencount, toxicity
 from .shared import fit_on_sample, fold, public_model, table
 
 
@@ -23,10 +23,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str, key: str = "skyquarry") -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(documents, key)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
 
@@ -36,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_sentencepiece": op5_sentencepiece, "op8_token_counts": op8_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
