@@ -30,9 +30,14 @@ from .shared import map_slices
 
 MARK = "▁"
 LONG = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_NONE = np.int64(1) << 40
+_NONE = np.int64(1) << 20  # above any rank
+
+
+def _split(text: str) -> list[str]:
+    """The words of a text: the dummy prefix and spaces become marks, and each run of marks begins a word."""
+    return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def _fields(data: bytes):
@@ -110,6 +115,7 @@ class Merger:
     end: int
     hidden: set[int]
     names: dict[int, str]
+    of_char: np.ndarray
     _cache: dict = field(default_factory=dict)
 
     @classmethod
@@ -129,7 +135,11 @@ class Merger:
             if k == 6:
                 byte_ids[int(s[3:5], 16)] = i
         hidden = {i for i, k in enumerate(v.kinds) if k == 3}
-        return cls(v.strings, symbols, keys, ranks, merged, byte_ids, {i: b for b, i in enumerate(byte_ids) if i}, v.strings.index("</s>"), hidden, {i: s for s, i in symbols.items() if i >= len(v.strings)})
+        of_char = np.full(0x110000, -1, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                of_char[ord(c)] = i
+        return cls(v.strings, symbols, keys, ranks, merged, byte_ids, {i: b for b, i in enumerate(byte_ids) if i}, v.strings.index("</s>"), hidden, {i: s for s, i in symbols.items() if i >= len(v.strings)}, of_char)
 
     @property
     def width(self) -> int:
@@ -151,43 +161,49 @@ class Merger:
                 out[i] = self._agenda(w)
         if not short:
             return out
-        get = self.symbols.get
-        sym = np.array([get(c, -1 - ord(c)) for i in short for c in words[i]], np.int64)  # below 0: a character without symbol
+        code = np.frombuffer("".join([words[i] for i in short]).encode("utf-32-le"), np.uint32)
+        sym = self.of_char[code].astype(np.int64)
+        sym[sym < 0] = -1 - code[sym < 0].astype(np.int64)  # below 0: a character without symbol
         size = np.array([len(words[i]) for i in short])
         word = np.repeat(np.arange(len(short)), size)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        last = np.append(word[1:] != word[:-1], True)  # the last symbols of words pair with nothing
+        rank, gain = self._pairs(sym, np.append(sym[1:], -1))
+        rank[last] = _NONE
         while len(sym):
             n = len(sym)
-            rank = np.full(n, _NONE)
-            gain = np.zeros(n, np.int64)
-            rank[:-1], gain[:-1] = self._pairs(sym[:-1], sym[1:])
-            rank[:-1][word[:-1] != word[1:]] = _NONE
-            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.minimum.reduceat((np.minimum(rank, _NONE >> 20) << 31) | np.arange(n), begins)
-            at = best & ((1 << 31) - 1)
-            live = rank[at] < _NONE
-            lengths = np.diff(np.append(begins, n))
-            stay = np.repeat(live, lengths)
-            if not live.all():
+            begins = np.flatnonzero(np.append(True, last[:-1]))
+            best = np.minimum.reduceat((rank << 31) | np.arange(n), begins)
+            live = best < _NONE << 31
+            at = best[live] & ((1 << 31) - 1)
+            if live.all():
+                stay = np.ones(n, bool)
+            else:
+                stay = np.repeat(live, np.diff(np.append(begins, n)))
                 done.append((word[~stay], sym[~stay]))
-            at = at[live]
             sym[at] = gain[at]
+            last[at] = last[at + 1]
             stay[at + 1] = False
-            sym, word = sym[stay], word[stay]
+            sym, word, last, rank, gain = sym[stay], word[stay], last[stay], rank[stay], gain[stay]
+            at = np.cumsum(stay)[at] - 1  # where the merged symbols are now; only they and those before them have new pairs
+            before = at[at > 0] - 1
+            at = np.concatenate([at, before[~last[before]]])
+            new, got = self._pairs(sym[at], sym[np.minimum(at + 1, len(sym) - 1)])
+            rank[at], gain[at] = np.where(last[at], _NONE, new), got
         w = np.concatenate([d[0] for d in done])
         s = np.concatenate([d[1] for d in done])
         order = np.argsort(w, kind="stable")
-        s, ends = s[order].tolist(), np.cumsum(np.bincount(w, minlength=len(short))).tolist()
-        begin = 0
-        for i, end in zip(short, ends):
-            out[i] = self._ids(s[begin:end])
+        s = s[order]
+        ends = np.cumsum(np.bincount(w, minlength=len(short)))
+        plain = np.logical_and.reduceat((s >= 0) & (s < len(self.strings)), np.append(0, ends[:-1])).tolist()
+        s, begin = s.tolist(), 0
+        for i, end, fine in zip(short, ends.tolist(), plain):
+            out[i] = s[begin:end] if fine else self._ids(s[begin:end])
             begin = end
         return out
 
     def _ids(self, symbols: list[int]) -> list[int]:
         top = len(self.strings)
-        if min(symbols) >= 0 and max(symbols) < top:
-            return symbols
         ids = []
         for x in symbols:
             ids += [x] if 0 <= x < top else [self.byte_ids[b] for b in (self.names[x] if x >= 0 else chr(-1 - x)).encode()]
@@ -222,16 +238,31 @@ class Merger:
             offer(i, after[i])
         return self._ids([x for x, g in zip(sym, gone) if not g])
 
+    def _lookup(self, split: list[list[str]]) -> dict[str, tuple[list[int], str, str]]:
+        """Ids, their decimal form and their decoded form of all words, kept for the next slices.
+
+        The cache has two generations of bounded size: words not seen during a whole generation go."""
+        cache, old = self._cache.setdefault("new", {}), self._cache.setdefault("old", {})
+        if len(cache) > CACHE_WORDS:
+            cache, old = self._cache["new"], self._cache["old"] = {}, cache
+        fresh = []
+        for w in {w for ws in split for w in ws}.difference(cache):
+            if (hit := old.get(w)) is None:
+                fresh.append(w)
+            else:
+                cache[w] = hit
+        names, mark = self.strings, self.byte_of
+        for w, ids in zip(fresh, self.encode_words(fresh)):
+            # the dummy prefix is the text's affair, so a word's own decoded form keeps its mark
+            shown = "".join(map(names.__getitem__, ids)) if mark.keys().isdisjoint(ids) else self.decode([self.byte_ids[0], *ids])[1:]
+            cache[w] = (ids, " ".join(map(str, ids)), shown.replace(MARK, " "))
+        return cache
+
     def encode_texts(self, texts: list[str]) -> list[list[list[int]]]:
         """For each text the ids of its words, in order, without end id."""
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-        cache = self._cache
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in cache))
-        for w, ids in zip(new, self.encode_words(new)):
-            cache[w] = ids
-        return [[cache[w] for w in ws] for ws in split]
+        split = [_split(t) for t in texts]
+        cache = self._lookup(split)
+        return [[cache[w][0] for w in ws] for ws in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces are gathered into UTF-8, invalid bytes become U+FFFD, control ids are silent, the dummy prefix goes."""
@@ -313,21 +344,14 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
 
     def work(part):
         m = shared.value
-        forms: dict[int, tuple[str, str]] = {}
+        split = [_split(t or "") for t in part.column("text").to_pylist()]
+        cache = m._lookup(split)
         n_tokens, ids_hash, text_hash = [], [], []
-        for words in m.encode_texts([t or "" for t in part.column("text").to_pylist()]):
-            numbers, shown, n = [], [], 1
-            for ids in words:
-                form = forms.get(id(ids))  # the cache keeps the lists alive during this slice
-                if form is None:
-                    form = forms[id(ids)] = (" ".join(map(str, ids)), m.decode([m.end, m.byte_ids[0], *ids])[1:])
-                numbers.append(form[0])
-                shown.append(form[1])
-                n += len(ids)
-            numbers.append(str(m.end))
-            n_tokens.append(n)
-            ids_hash.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
-            text_hash.append(hashlib.sha256("".join(shown)[1:].encode()).hexdigest())
+        for words in split:
+            known = [cache[w] for w in words]
+            n_tokens.append(1 + sum([len(k[0]) for k in known]))
+            ids_hash.append(hashlib.sha256(" ".join([*[k[1] for k in known], str(m.end)]).encode()).hexdigest())
+            text_hash.append(hashlib.sha256("".join([k[2] for k in known])[1:].encode()).hexdigest())
         yield {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
 
     kind = dict(documents.dtypes)["doc_id"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytesops import FNV_PRIME, mix
-from .pieces import _WORDS, CACHE_WORDS, MARK, Vocabulary
+from .pieces import CACHE_WORDS, Vocabulary, _split
 from .shared import map_slices
 
 FALLBACK = 10.0
@@ -84,7 +84,7 @@ class Unigram:
         char, up = [np.zeros(1, np.uint32)], [np.zeros(1, np.int64)]
         best, n_tokens = [np.zeros(1)], [np.zeros(1, np.int64)]
         chars, ups, bests, counts = char[0], up[0], best[0], n_tokens[0]
-        total = depth = 0
+        depth = 0
         room = 1
         while len(live):
             key = node[live].astype(np.uint64) << np.uint64(21) | flat[begin[live] + depth].astype(np.uint64)
@@ -118,17 +118,21 @@ class Unigram:
             ended = sizes[live] == depth
             out[live[ended]] = counts[node[live[ended]]]
             live = live[~ended]
-            total += len(new)
         return out
 
     def texts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Tokens and pre-tokens of each text."""
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-        cache = self._cache
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in cache))
-        cache.update(zip(new, self.counts(new).tolist()))
+        split = [_split(t) for t in texts]
+        cache, old = self._cache.setdefault("new", {}), self._cache.setdefault("old", {})
+        if len(cache) > CACHE_WORDS:  # two generations of bounded size: words not seen during a whole one go
+            cache, old = self._cache["new"], self._cache["old"] = {}, cache
+        fresh = []
+        for w in {w for ws in split for w in ws}.difference(cache):
+            if (hit := old.get(w)) is None:
+                fresh.append(w)
+            else:
+                cache[w] = hit
+        cache.update(zip(fresh, self.counts(fresh).tolist()))
         return [sum(map(cache.__getitem__, ws)) for ws in split], [len(ws) for ws in split]
 
 
