@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, pii, quality, simhash, tokencount, toxicity
+from . import decontam, jaccard, pieces, pii, quality, simhash, tokencount, toxicity
 from .shared import fit_on_sample, fold, public_model, table
 
 
@@ -40,12 +40,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     return tokencount.count(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
