@@ -30,7 +30,7 @@ from .shared import map_slices
 
 MARK = "▁"
 LONG = 64
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(1) << 20  # above any rank
 
@@ -116,6 +116,8 @@ class Merger:
     hidden: set[int]
     names: dict[int, str]
     of_char: np.ndarray
+    numbers: list[str]
+    surfaces: list[str]
     _cache: dict = field(default_factory=dict)
 
     @classmethod
@@ -139,7 +141,7 @@ class Merger:
         for c, i in symbols.items():
             if len(c) == 1:
                 of_char[ord(c)] = i
-        return cls(v.strings, symbols, keys, ranks, merged, byte_ids, {i: b for b, i in enumerate(byte_ids) if i}, v.strings.index("</s>"), hidden, {i: s for s, i in symbols.items() if i >= len(v.strings)}, of_char)
+        return cls(v.strings, symbols, keys, ranks, merged, byte_ids, {i: b for b, i in enumerate(byte_ids) if i}, v.strings.index("</s>"), hidden, {i: s for s, i in symbols.items() if i >= len(v.strings)}, of_char, [str(i) for i in range(len(v.strings))], [s.replace(MARK, " ") for s in v.strings])
 
     @property
     def width(self) -> int:
@@ -246,16 +248,16 @@ class Merger:
         if len(cache) > CACHE_WORDS:
             cache, old = self._cache["new"], self._cache["old"] = {}, cache
         fresh = []
-        for w in {w for ws in split for w in ws}.difference(cache):
+        for w in set().union(*split).difference(cache):
             if (hit := old.get(w)) is None:
                 fresh.append(w)
             else:
                 cache[w] = hit
-        names, mark = self.strings, self.byte_of
+        number, surface, bytes_end = self.numbers.__getitem__, self.surfaces.__getitem__, max(self.byte_of, default=-1)
         for w, ids in zip(fresh, self.encode_words(fresh)):
             # the dummy prefix is the text's affair, so a word's own decoded form keeps its mark
-            shown = "".join(map(names.__getitem__, ids)) if mark.keys().isdisjoint(ids) else self.decode([self.byte_ids[0], *ids])[1:]
-            cache[w] = (ids, " ".join(map(str, ids)), shown.replace(MARK, " "))
+            shown = "".join(map(surface, ids)) if min(ids) > bytes_end else self.decode([self.byte_ids[0], *ids])[1:]
+            cache[w] = (ids, " ".join(map(number, ids)), shown)
         return cache
 
     def encode_texts(self, texts: list[str]) -> list[list[list[int]]]:
@@ -349,8 +351,9 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
         n_tokens, ids_hash, text_hash = [], [], []
         for words in split:
             known = [cache[w] for w in words]
-            n_tokens.append(1 + sum([len(k[0]) for k in known]))
-            ids_hash.append(hashlib.sha256(" ".join([*[k[1] for k in known], str(m.end)]).encode()).hexdigest())
+            numbers = " ".join([*[k[1] for k in known], m.numbers[m.end]])
+            n_tokens.append(numbers.count(" ") + 1)
+            ids_hash.append(hashlib.sha256(numbers.encode()).hexdigest())
             text_hash.append(hashlib.sha256("".join([k[2] for k in known])[1:].encode()).hexdigest())
         yield {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
 

@@ -127,7 +127,7 @@ class Unigram:
         if len(cache) > CACHE_WORDS:  # two generations of bounded size: words not seen during a whole one go
             cache, old = self._cache["new"], self._cache["old"] = {}, cache
         fresh = []
-        for w in {w for ws in split for w in ws}.difference(cache):
+        for w in set().union(*split).difference(cache):
             if (hit := old.get(w)) is None:
                 fresh.append(w)
             else:
