@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, pieces, pii, quality, simhash, tokencount, toxicity
+from . import decontam, jaccard, lm, pieces, pii, quality, simhash, tokencount, toxicity
 from .shared import fit_on_sample, fold, public_model, table
 
 
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_start", "worst_end")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_on_sample(documents, labels, "quality", fold(F.col("doc_id"), 3) != 1, quality.fit, max_docs=4000)
@@ -49,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
