@@ -57,9 +57,9 @@ def row(part: int, key: int, kind: int, blob: bytes) -> tuple[int, int, int, byt
     return part, key, kind, blob
 
 
-def number_of_blocks(documents: DataFrame) -> int:
+def number_of_blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // BLOCK_BYTES))
+    return max(1, -(-total // block_bytes))
 
 
 def packed(documents: DataFrame, n: int) -> DataFrame:

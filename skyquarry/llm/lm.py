@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .blocks import answers, ask, by_part, documents_of, number_of_blocks, packed, row, squeeze, unpack_sorted
+from .blocks import BLOCK_BYTES, answers, ask, by_part, documents_of, number_of_blocks, packed, row, squeeze, unpack_sorted
 from .shared import materialise
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -123,11 +123,11 @@ def _sums(replies: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def score(documents: DataFrame, train: Column) -> DataFrame:
+def score(documents: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; `train` picks the rows whose texts are counted."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("_train"))
     kind = dict(docs.dtypes)["doc_id"]
-    n = number_of_blocks(docs)
+    n = number_of_blocks(docs, block_bytes)
     blocks = packed(docs, n)
 
     def ask_words(block, held):

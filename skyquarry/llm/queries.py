@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lm, pieces, pii, quality, simhash, tokencount, toxicity
+from . import decontam, jaccard, lm, pieces, pii, quality, repeats, simhash, tokencount, toxicity
 from .shared import fit_on_sample, fold, public_model, table
 
 
@@ -36,6 +36,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return pieces.digest(table(spark, sf_dir, "documents"), model or public_model("piece_bpe_32k.model"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str, key: str = "skyquarry") -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(documents, key)
@@ -54,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_repeats": op6_repeats, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
