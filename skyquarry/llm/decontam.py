@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import map_slices
+from .shared import filter_slices, map_slices
 
 SPAN = 8
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
@@ -111,11 +111,9 @@ class Index:
         return [(d, i, share, at) for (d, i), (share, at) in best.items()]
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, hits: for each document row the items found, as array<struct<item_id, overlap, word>> with the largest overlap first."""
+def blocks_of(benchmark: DataFrame, block_bytes: int = 32 << 20) -> list[Index]:
+    """The benchmark's distinct texts in blocks of bounded size, at least one."""
     items = benchmark.select("item_id", "text").where("length(text) > 0").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    item_kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(documents.dtypes)["doc_id"]
-    found = documents.select("doc_id", "text")
     blocks, ids, texts, size = [], [], [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         if ids and size + len(row.text) > block_bytes:
@@ -124,7 +122,27 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block_bytes: int = 32 <
         ids.append(row.item_id)
         texts.append(row.text)
         size += len(row.text)
-    blocks.append(Index.of(ids, texts))
+    return [*blocks, Index.of(ids, texts)]
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows, with all their columns, in which no item is found."""
+    for block in blocks_of(benchmark, block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+
+        def keep(part, shared=shared):
+            out = np.ones(part.num_rows, bool)
+            out[[hit[0] for hit in shared.value.find(part.column("text"))]] = False
+            return out
+
+        documents = filter_slices(documents, keep)
+    return documents
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, hits: for each document row the items found, as array<struct<item_id, overlap, word>> with the largest overlap first."""
+    item_kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(documents.dtypes)["doc_id"]
+    found, blocks = documents.select("doc_id", "text"), blocks_of(benchmark, block_bytes)
     spark = documents.sparkSession
     struct = f"array<struct<item_id:{item_kind},overlap:double,word:long>>"
     empty = F.expr(f"cast(array() as {struct})")

@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -229,3 +229,15 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     named = classes.select("c", "first").join(ids.join(best, "root").select("c", "component"), "c", "left").select("c", F.coalesce("component", "first").alias("component"))
     rows = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: that with the smallest doc_id (then by a hash of the text).
+
+    Documents without words are no group and stay; of rows with equal doc_id and text one stays."""
+    marked = documents.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    rows = marked.select(F.struct("doc_id", "_row_key").alias("doc_id"), "text")
+    kept = join(rows, k, num, den).where("component_id = doc_id").select(F.col("doc_id._row_key").alias("_row_key")).distinct()
+    order = Window.partitionBy("_row_key").orderBy("_row_key")
+    once = marked.join(kept, "_row_key", "left_semi").withColumn("_row_rank", F.row_number().over(order))
+    return once.where("_row_rank = 1").select(*(F.col(f"`{c}`") for c in documents.columns))

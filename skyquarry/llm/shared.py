@@ -78,6 +78,16 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iter
     return df.mapInArrow(run, schema)
 
 
+def filter_slices(df: DataFrame, keep: Callable[[pa.RecordBatch], Any], column: str = "text") -> DataFrame:
+    """The rows of df, all columns unchanged, for which `keep` gives True; keep: a slice -> booleans."""
+
+    def run(batches):
+        for part in slices(batches, column):
+            yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _parsed(spark, schema: str):
     from pyspark.sql.types import StructType
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytesops as B
-from .shared import map_slices
+from .shared import filter_slices, map_slices
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -182,6 +182,12 @@ def score(documents: DataFrame, model: NoisyOr) -> DataFrame:
     return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, score double, n_sentences long, worst_start long, worst_end long, worst_score double", work)
 
 
+def clean(documents: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below `threshold`."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return filter_slices(documents, lambda part: shared.value.documents(sentences(part.column("text")), part.num_rows)[0] < threshold)
+
+
 def locate(documents: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
     """One row for each sentence with a probability of `threshold` or more: doc_id, byte span, probability, the sentence."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
