@@ -1,8 +1,8 @@
 """Document fingerprints by SimHash, in DataFrame operations alone.
 
-Terms are runs of three words (lower-cased, divided by white space; the whole sequence where there are fewer), weighted by how often
-they occur. A term has 128 hash bits; each bit position sums the weights of the terms whose bit is set, and the fingerprint has a
-bit where more than half of the weight votes for it. Two positions are counted in one sum, in lanes of 32 bits. Likeness of two
+Terms are runs of three words (lower-cased, divided by white space; the whole sequence where there are fewer). A term that occurs n
+times has the weight 1 + floor(log2(n)), so that no term of a repetitive text outvotes all others. A term has 128 hash bits; each
+bit position sums the weights of the terms whose bit is set, and the fingerprint has a bit where more than half of the weight votes for it. Two positions are counted in one sum, in lanes of 32 bits. Likeness of two
 fingerprints is the share of equal bits.
 
 `within` finds all fingerprints within a Hamming radius r of given ones: the 128 bits are cut into blocks, and for every choice of
@@ -31,22 +31,43 @@ _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def terms(text: Column) -> Column:
-    """The term hashes of a text, as array<long>; empty without words."""
-    bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_BLANK))
-    words = F.split(bare, r"[\x20\x09-\x0D]+")
+def words_of(text: Column) -> Column:
+    """The words of a text, as array<string>; a single empty one without words."""
+    return F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_BLANK)), r"[\x20\x09-\x0D]+")
+
+
+def terms(words: Column) -> Column:
+    """The term hashes, as array<long>; empty without words. `words` must be a column of the input, or the lambda computes it for each term."""
     n = F.size(words)
     whole = F.array(F.xxhash64(F.array_join(words, " ")))
-    at = lambda i, k: F.element_at(words, i + k)
-    many = F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: F.xxhash64(*(at(i, k) for k in range(WORDS))))
-    return F.when(bare == "", F.expr("cast(array() as array<bigint>)")).when(n < WORDS, whole).otherwise(many)
+    at = lambda i, k: F.get(words, i + k)
+    many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*(at(i, k) for k in range(WORDS))))
+    return F.when((n == 1) & (F.get(words, F.lit(0)) == ""), F.expr("cast(array() as array<bigint>)")).when(n < WORDS, whole).otherwise(many)
+
+
+def weighted(ordered: Column) -> Column:
+    """The distinct terms of a sorted array with their weights, as array<struct<t, w>>. `ordered` must be a column of the input."""
+    n = F.size(ordered)
+    at = lambda i: F.get(ordered, i)
+
+    def weight(i: Column, h: Column) -> Column:
+        w = F.lit(31)
+        for m in range(30, 0, -1):  # the m-th power of two is reached where the element 2^m - 1 places on is the same
+            w = F.when(F.coalesce(at(i + ((1 << m) - 1)) == h, F.lit(False)), w).otherwise(F.lit(m))
+        return w
+
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i - 1) != at(i)))
+    return F.when(n > 0, F.transform(starts, lambda i: F.struct(at(i).alias("t"), weight(i, at(i)).cast("long").alias("w")))).otherwise(F.expr("cast(array() as array<struct<t:bigint,w:bigint>>)"))
 
 
-def _vote(df: DataFrame, keys: list[str], term: str) -> DataFrame:
-    """Fingerprints (columns f0, f1, 64 bits each) of the groups of exploded terms."""
-    first, second = F.col(term), F.xxhash64(F.col(term), F.lit(_SECOND))
-    sums = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(f"s{k}_{i}") for k, h in enumerate((first, second)) for i in range(32)]
-    voted = df.groupBy(*keys).agg(F.count(term).alias("_n"), *sums)
+def _vote(df: DataFrame, keys: list[str], words: str) -> DataFrame:
+    """Fingerprints (columns f0, f1, 64 bits each) of rows with `keys` and the words of a text."""
+    # each array is a column before a lambda refers to it, or it would be computed for every element
+    ordered = df.select(*keys, F.sort_array(terms(F.col(words))).alias("_a"))
+    exploded = ordered.select(*keys, F.explode_outer(weighted(F.col("_a"))).alias("_e")).select(*keys, F.col("_e.t").alias("_t"), F.col("_e.w").alias("_w"))
+    first, second = F.col("_t"), F.xxhash64(F.col("_t"), F.lit(_SECOND))
+    sums = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES)) * F.col("_w")).alias(f"s{k}_{i}") for k, h in enumerate((first, second)) for i in range(32)]
+    voted = exploded.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("_n"), *sums)
 
     def half(k: int) -> Column:
         word = F.lit(0).cast("long")
@@ -70,8 +91,8 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, text_sha256, fingerprint (hex), f0, f1: one row for each distinct pair of doc_id and text."""
-    base = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.explode_outer(terms(F.col("text"))).alias("_t"))
-    return _vote(base, ["doc_id", "text_sha256"], "_t").withColumn("fingerprint", _shown(F.col("f0"), F.col("f1")))
+    base = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), words_of(F.col("text")).alias("_words"))
+    return _vote(base, ["doc_id", "text_sha256"], "_words").withColumn("fingerprint", _shown(F.col("f0"), F.col("f1")))
 
 
 def successors(documents: DataFrame) -> DataFrame:
@@ -109,7 +130,8 @@ def compare_edits(documents: DataFrame) -> DataFrame:
     sides = F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), F.col("edited").alias("t")))
     keys = ["doc_id", "_row", "n_chars", "next_id", "edited_sha256", "edit"]
     both = rows.select("doc_id", "_row", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), F.explode(sides).alias("s"))
-    voted = _vote(both.select(*keys[:-1], "s.edit", F.explode_outer(terms(F.col("s.t"))).alias("_t")), keys, "_t")
+    worded = both.select(*keys[:-1], "s.edit", words_of(F.col("s.t")).alias("_words"))
+    voted = _vote(worded, keys, "_words")
     pick = lambda edit, c: F.max(F.when(F.col("edit") == edit, F.col(c)))
     wide = materialise(voted.groupBy(*keys[:-1]).agg(*(pick(e, f"f{k}").alias(f"{n}{k}") for e, n in ((False, "f"), (True, "e")) for k in (0, 1))), "simhash")
     last = wide.where("_row = 1").select(F.col("doc_id").alias("next_id"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
