@@ -7,13 +7,15 @@ Candidates. Sizes are cut into bands. A pair belongs to the band of its smaller
 elements. The universe of hashes is cut into m equal ranges, the segments, and each segment of a set gets a key of its contents. A
 band's allocation is chosen by cost (keys, and a penalty for segments too short to be selective):
 
-- exact segments: m = H + 1 + e, so that linked sets agree in at least 1 + e segments. Empty segments give no keys; as a set with at
-  most e empty segments agrees in a segment with contents, only sets with more of them (counted, not assumed) also key their empty ones;
+- exact segments: m = H + 1 + e, so that linked sets agree in at least 1 + e segments. Each set leaves out its e weakest segments
+  (fewest elements first, empty ones before all, then by contents). The order looks at contents alone, so the strongest of the
+  segments that a pair agrees in is left out by neither: were it among a set's e weakest, so would be the other agreeing ones;
 - one-deletion neighbourhoods: m = ceil((H + 1) / 2); in some segment linked sets differ in at most one element, so each segment
   gives a key of its contents and one for each of its elements left out.
 
-A set indexes its own band and those lower ones that hold possible smaller partners. Keys are only ever reduced to minima, joined
-and made distinct: sets that share a key form stars, the stars candidate components (distributed, see components.py).
+A set indexes its own band and those lower ones that hold possible smaller partners. Tasks reduce the sets that share a key to a star
+around the smallest class before and after the keys are dealt out, so a common key is one entry for each batch of documents. The stars
+make candidate components (distributed, see components.py).
 
 Verification. The texts of a candidate component meet in one task if it is small; a larger one is cut into blocks, and all pairs
 of blocks are verified in separate tasks. Inside, pairs that are known to be connected are skipped, which changes no component;
@@ -35,12 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .blocks import ROWS, ask, by_part, number_of_blocks, squeeze, unpack_sorted, unsqueeze
 from .components import components
 from .shared import map_slices, materialise, slices
 
-GROWTH = 1.6
-SELECTIVE = 4
+GROWTH = 1.35
+SPARE = 0.3
+SELECTIVE = 3
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
+_KEYS, _LINKS = 1, 2
 
 
 @dataclass(frozen=True)
@@ -62,12 +67,12 @@ def bands(num: int, den: int, most: int = 1 << 34) -> tuple[Band, ...]:
     while low <= most:
         high = int(low * GROWTH)
         errors = high * (den - num) // num
-        spare = -(-6 * (errors + 1) // 100) + 1
+        spare = int(SPARE * (errors + 1)) + 1
         exact, halves = errors + 1 + spare, (errors + 2) // 2
-        # cost of a set of the band's smallest size: its keys, each counted double if its segment is likely too short to be selective
-        cost_exact = exact * (2 if low < SELECTIVE * exact else 1)
-        cost_deletions = (halves + low) * (2 if low < SELECTIVE * halves else 1)
-        deletions = errors == 1 or cost_deletions < cost_exact
+        # cost of a set of the band's smallest size: its keys, each counted eightfold if segments are likely too short to be selective
+        cost_exact = (errors + 1) * (8 if low < SELECTIVE * exact else 1)
+        cost_deletions = (halves + low) * (8 if low < SELECTIVE * halves else 1)
+        deletions = cost_deletions < cost_exact
         out.append(Band(low, high, errors, halves if deletions else exact, 0 if deletions else spare, deletions))
         low = high + 1
     return tuple(out)
@@ -118,17 +123,17 @@ def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         total = np.add.reduceat(part, begins)
         salt = np.uint64((number * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
         place = segment.astype(np.uint64) + salt
-        out.append(B.mix(total ^ B.mix(place[begins])))
+        whole = B.mix(total ^ B.mix(place[begins]))
+        missing = B.mix(B.mix(np.setdiff1d(np.arange(band.segments), segment[begins]).astype(np.uint64) + salt))
+        sizes = np.diff(np.append(begins, n))
         if band.deletions:
-            sizes = np.diff(np.append(begins, n))
             rest = np.repeat(total, sizes) - part
-            out.append(B.mix(rest ^ B.mix(place)))
-            # a linked pair may leave a segment empty on one side: the empty key meets the deletion of a single element
-            missing = np.setdiff1d(np.arange(band.segments), segment[begins]).astype(np.uint64)
-            out.append(B.mix(B.mix(missing + salt)))
-        elif band.segments - len(begins) > band.spare:
-            missing = np.setdiff1d(np.arange(band.segments), segment[begins]).astype(np.uint64)
-            out.append(B.mix(B.mix(missing + salt)))
+            # an empty segment meets the deletion of a single element
+            out += [whole, B.mix(rest ^ B.mix(place)), missing]
+        else:
+            every = np.concatenate([missing, whole])
+            weakest = np.lexsort((every, np.concatenate([np.zeros(len(missing), np.int64), sizes])))
+            out.append(every[weakest[band.spare :]])
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -168,6 +173,47 @@ def forest(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list
     return out
 
 
+def _star(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with their smallest class, and the distinct links (2 x n) of the other classes to it."""
+    order = np.lexsort((c, key))
+    key, c = key[order], c[order]
+    first = np.append(True, key[1:] != key[:-1])
+    least = np.repeat(c[first], np.diff(np.append(np.flatnonzero(first), len(c))))
+    far = c != least
+    links = np.unique(np.stack([least[far], c[far]]), axis=1)
+    return key[first], c[first], links
+
+
+def _stars(sets: DataFrame, n: int) -> DataFrame:
+    """a, b: links between classes that share a key, as stars."""
+
+    def bundle(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(key):
+                continue
+            c = np.repeat(batch.column("c").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            key, c, links = _star(key, c)
+            rows = list(ask(0, _KEYS, n, key, c.view(np.uint64)))
+            if links.size:
+                rows.append((int(links[0, 0] % n), 0, _LINKS, squeeze(links.ravel().view(np.uint64))))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in cols[:3]), pa.array(cols[3], pa.binary())], names=["part", "key", "kind", "blob"])
+
+    def meet(bucket, held):
+        links = [unsqueeze(blob, np.uint64).view(np.int64).reshape(2, -1) for _, kind, blob in held if kind == _LINKS]
+        asked = [unpack_sorted(blob, np.uint64) for _, kind, blob in held if kind == _KEYS]
+        if asked:
+            links.append(_star(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]).view(np.int64))[2])
+        yield np.unique(np.concatenate(links, axis=1), axis=1)
+
+    def make(rows):
+        return pa.RecordBatch.from_pydict({"a": pa.array(rows[0][0]), "b": pa.array(rows[0][1])})
+
+    return by_part(sets.select("c", "keys").mapInArrow(bundle, ROWS), n, meet, "a long, b long", make)
+
+
 def _verify(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links a, b of the groups in `texts` (root, i, j, c, block, text), each group in one task."""
 
@@ -213,10 +259,8 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     base = materialise(map_slices(docs, f"doc_id {kind}, n long, c long, bytes long, keys array<long>", describe), "sets")
     full = base.where("n > 0")
     classes = full.groupBy("c").agg(F.min("doc_id").alias("first"), F.max("bytes").alias("bytes"))
-    keyed = full.select("c", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key", "a")
-    stars = keyed.join(shared, "key").where("a <> c").select("a", F.col("c").alias("b"))
-    near = components(stars.distinct(), "near")
+    stars = _stars(full, number_of_blocks(docs))
+    near = components(stars, "near")
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_b") / BLOCK_BYTES)).cast("int").alias("_blocks"))
     block = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c"), "_blocks").cast("int"))
