@@ -111,17 +111,20 @@ def with_edits(documents: DataFrame) -> DataFrame:
     """The rows of documents with n_chars, and the edited text: the last floor(n_chars / 4) code points replaced by the first as many of the next document.
 
     Columns: doc_id, _row (1 for most; counts the rows of a repeated doc_id), text, n_chars, next_id, edited."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = every.where("doc_id is not null").repartition(n, "doc_id")  # the texts are dealt out once, for the join and for the window below
     after = successors(documents)
     # What a row needs of its next document is a quarter of its own length, so only such prefixes travel.
-    needs = docs.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("_most")).join(after, "doc_id").select("doc_id", "next_id", F.floor(F.col("_most") / 4).cast("int").alias("_take"))
-    heads = docs.withColumnRenamed("doc_id", "next_id").join(needs, "next_id").select("doc_id", "next_id", F.expr("substring(text, 1, _take)").alias("_s"), F.struct(F.char_length("text").alias("n"), F.expr("substring(text, 1, _take)").alias("head")).alias("_h"))
-    heads = heads.groupBy("doc_id", "next_id").agg(F.min("_s").alias("_head"))
+    needs = every.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("_most")).join(after, "doc_id").select(F.col("doc_id").alias("_for"), "next_id", F.floor(F.col("_most") / 4).cast("int").alias("_take"))
+    heads = docs.join(needs, F.col("doc_id") == F.col("next_id")).groupBy("_for", "next_id").agg(F.min(F.expr("substring(text, 1, _take)")).alias("_head"))
+    heads = heads.withColumnRenamed("_for", "doc_id")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.char_length("text"))
-    rows = docs.withColumn("_row", F.row_number().over(order))
-    joined = rows.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    joined = docs.withColumn("_row", F.row_number().over(order)).join(heads, "doc_id")
+    nameless = every.where("doc_id is null").withColumns({"_row": F.lit(1), "next_id": F.col("doc_id"), "_head": F.col("text")})
+    joined = joined.unionByName(nameless).withColumn("n_chars", F.char_length("text").cast("long"))
     take = F.floor(F.col("n_chars") / 4).cast("int")
-    return joined.withColumn("_k", take).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - _k), substring(coalesce(_head, text), 1, _k))")).select("doc_id", "_row", "text", "n_chars", "next_id", "edited")
+    return joined.withColumn("_k", take).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - _k), substring(_head, 1, _k))")).select("doc_id", "_row", "text", "n_chars", "next_id", "edited")
 
 
 def compare_edits(documents: DataFrame) -> DataFrame:
