@@ -10,6 +10,8 @@ band's allocation is chosen by cost (keys, and a penalty for segments too short
 - exact segments: m = H + 1 + e, so that linked sets agree in at least 1 + e segments. Each set leaves out its e weakest segments
   (fewest elements first, empty ones before all, then by contents). The order looks at contents alone, so the strongest of the
   segments that a pair agrees in is left out by neither: were it among a set's e weakest, so would be the other agreeing ones;
+  Shingles that many unlike documents share (fixed lines, licences) would make segments costly: they are one segment of their own, which
+  is always left out first. Which shingles these are comes from a bounded sample; the choice changes costs, never results;
 - one-deletion neighbourhoods: m = ceil((H + 1) / 2); in some segment linked sets differ in at most one element, so each segment
   gives a key of its contents and one for each of its elements left out.
 
@@ -39,12 +41,14 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .blocks import ROWS, ask, by_part, number_of_blocks, squeeze, unpack_sorted, unsqueeze
 from .components import components
-from .shared import map_slices, materialise, slices
+from .shared import fit_on_texts, map_slices, materialise, slices
 
 GROWTH = 1.35
 SPARE = 0.3
 SELECTIVE = 3
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
+BROADCAST_ROWS = 400_000
+SAMPLE_DOCS, SAMPLE_BYTES, COMMON_LEAST, COMMON_MOST = 6000, 20_000, 4, 200_000
 _KEYS, _LINKS = 1, 2
 
 
@@ -108,24 +112,53 @@ def class_of(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+_NO_COMMON = np.zeros(0, np.uint64)
+
+
+def common_of(texts: list[str], k: int, least: int = COMMON_LEAST, most: int = COMMON_MOST) -> np.ndarray:
+    """The shingles of at least `least` unlike texts, sorted; at most `most`, the commonest. Texts with the same smallest hash count once."""
+    parts, marks = [], []
+    for i in range(0, len(texts), 256):
+        for s in word_sets(pa.array(texts[i : i + 256], pa.string()), k):
+            if len(s):
+                parts.append(s)
+                marks.append(np.full(len(s), s[0]))
+    if not parts:
+        return _NO_COMMON
+    s, mark = np.concatenate(parts), np.concatenate(marks)
+    order = np.lexsort((mark, s))
+    s, mark = s[order], mark[order]
+    first = np.append(True, s[1:] != s[:-1])
+    unlike = first | np.append(True, mark[1:] != mark[:-1])
+    counts = np.add.reduceat(unlike.astype(np.int64), np.flatnonzero(first))
+    found = s[first]
+    keep = np.lexsort((found, -counts))[:most]
+    return np.sort(found[keep[counts[keep] >= least]])
+
+
+def keys(s: np.ndarray, num: int, den: int, common: np.ndarray = _NO_COMMON) -> np.ndarray:
     """The keys of a set, in all bands where it can meet a partner."""
-    n, out = len(s), []
+    n, out, whole_set = len(s), [], s
+    rare = s
+    if len(common) and n:
+        rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
     least = -(-n * num // den)
-    part = B.mix(s * B.FNV_PRIME + np.uint64(0x1D8E4E27C47D124F))
     for number, band in enumerate(bands(num, den)):
         if band.low > n:
             break
         if band.high < least or not band.errors:
             continue  # without errors linked sets are equal, that is one class
-        segment = ((s >> np.uint64(32)) * np.uint64(band.segments) >> np.uint64(32)).astype(np.int64)
-        begins = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-        total = np.add.reduceat(part, begins)
+        # the common shingles are one of the exact segments, and the first of those left out
+        s, segments, spare = (whole_set, band.segments, 0) if band.deletions else (rare, band.segments - 1, band.spare - 1)
+        part = B.mix(s * B.FNV_PRIME + np.uint64(0x1D8E4E27C47D124F))
+        segment = ((s >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+        begins = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(s) else np.zeros(0, np.int64)
+        total = np.add.reduceat(part, begins) if len(s) else part
         salt = np.uint64((number * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
         place = segment.astype(np.uint64) + salt
         whole = B.mix(total ^ B.mix(place[begins]))
-        missing = B.mix(B.mix(np.setdiff1d(np.arange(band.segments), segment[begins]).astype(np.uint64) + salt))
-        sizes = np.diff(np.append(begins, n))
+        missing = B.mix(B.mix(np.setdiff1d(np.arange(segments), segment[begins]).astype(np.uint64) + salt))
+        sizes = np.diff(np.append(begins, len(s)))
         if band.deletions:
             rest = np.repeat(total, sizes) - part
             # an empty segment meets the deletion of a single element
@@ -133,7 +166,7 @@ def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         else:
             every = np.concatenate([missing, whole])
             weakest = np.lexsort((every, np.concatenate([np.zeros(len(missing), np.int64), sizes])))
-            out.append(every[weakest[band.spare :]])
+            out.append(every[weakest[spare:]])
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -249,11 +282,13 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
+    common = docs.sparkSession.sparkContext.broadcast(fit_on_texts(docs, lambda texts: common_of(texts, k), SAMPLE_DOCS, SAMPLE_BYTES))  # at most COMMON_MOST numbers
+
     def describe(part):
         sets = word_sets(part.column("text"), k)
         yield {
             "doc_id": part.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64), "c": np.array([class_of(s) for s in sets], np.int64),
-            "bytes": np.diff(B.flat(part.column("text"))[1]), "keys": pa.array([keys(s, num, den) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            "bytes": np.diff(B.flat(part.column("text"))[1]), "keys": pa.array([keys(s, num, den, common.value) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         }
 
     base = materialise(map_slices(docs, f"doc_id {kind}, n long, c long, bytes long, keys array<long>", describe), "sets")
@@ -264,7 +299,9 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_b") / BLOCK_BYTES)).cast("int").alias("_blocks"))
     block = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c"), "_blocks").cast("int"))
-    texts = docs.withColumnRenamed("doc_id", "first").join(block, "first").select("root", "c", "block", "_blocks", "text")
+    # Few candidates are sent to the texts; beyond the bound both sides are dealt out.
+    asked = F.broadcast(block) if members.count() <= BROADCAST_ROWS else block
+    texts = docs.withColumnRenamed("doc_id", "first").join(asked, "first").select("root", "c", "block", "_blocks", "text")
     pairs = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "c", "block", "text")
     links = materialise(_verify(pairs, k, num, den), "links")
     whole = components(links, "linked")
