@@ -45,7 +45,7 @@ from .shared import fit_on_texts, map_slices, materialise, slices
 
 GROWTH = 1.35
 SPARE = 0.3
-SELECTIVE = 3
+SELECTIVE = 2
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
 BROADCAST_ROWS = 400_000
 SAMPLE_DOCS, SAMPLE_BYTES, COMMON_LEAST, COMMON_MOST = 6000, 20_000, 4, 200_000
