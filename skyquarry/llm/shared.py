@@ -113,7 +113,8 @@ def fit_on_sample(documents: DataFrame, labels: DataFrame, label: str, allowed:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())})
 
     sample = texts.join(F.broadcast(picked), "doc_id")  # picked has at most max_docs rows of two numbers
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0].model)
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([], [])  # an empty table may have no task at all
 
 
 def fit_on_texts(documents: DataFrame, fit: Callable[[list[str]], Any], max_docs: int, max_bytes: int) -> Any:
@@ -126,4 +127,5 @@ def fit_on_texts(documents: DataFrame, fit: Callable[[list[str]], Any], max_docs
         rows = sorted(t for b in batches for t in b.column("text").to_pylist())
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
 
-    return pickle.loads(texts.repartition(1).mapInArrow(run, "model binary").collect()[0].model)
+    made = texts.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([])  # an empty table may have no task at all
