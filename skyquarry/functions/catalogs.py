@@ -47,6 +47,9 @@ _MESSIER_IC = {24: 4715, 25: 4725}
 ALTERNATE = {f"M {m}": f"NGC {n}" for m, n in _MESSIER.items()} | {f"M {m}": f"IC {n}" for m, n in _MESSIER_IC.items()}
 MESSIER = {other: m for m, other in ALTERNATE.items()}
 _NUMBER = r"[ _-]*([0-9]+)([A-Za-z]?)$"
+_PREFIX = {alias: acronym + sep for acronym, sep, aliases in CATALOGS for alias in aliases}
+#: alias, number and letter; backtracking tries the aliases in their order.
+_PATTERN = f"(?i)^({'|'.join(_PREFIX)}){_NUMBER}"
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -61,18 +64,12 @@ def tidy(name: Column) -> Column:
 def canonical(name: Column) -> Column:
     """struct<canonical, catalog, placeholder, changed> of a raw name; null for null. Built-in expressions only."""
     plain = tidy(name)
-    hits = []
-    for acronym, sep, aliases in CATALOGS:
-        for alias in aliases:
-            pattern = f"(?i)^{alias}{_NUMBER}"
-            number = F.regexp_extract(plain, pattern, 1)
-            full = F.concat(F.lit(acronym + sep), number, F.upper(F.regexp_extract(plain, pattern, 2)))
-            hits.append(F.when(number != "", F.struct(full.alias("n"), F.lit(acronym).alias("c"))))
-    hit = F.coalesce(*hits)
-    messier = F.when(hit["c"].isin("NGC", "IC"), F.element_at(_map(MESSIER), hit["n"]))
+    prefix = F.element_at(_map(_PREFIX), F.lower(F.regexp_extract(plain, _PATTERN, 1)))  # null without a match
+    full = F.concat(prefix, F.regexp_extract(plain, _PATTERN, 2), F.upper(F.regexp_extract(plain, _PATTERN, 3)))
+    messier = F.element_at(_map(MESSIER), full)
     placeholder = F.lower(plain).isin(*PLACEHOLDERS)
-    best = F.when(placeholder, plain).otherwise(F.coalesce(messier, hit["n"], plain))
-    catalog = F.when(~placeholder, F.when(messier.isNotNull(), F.lit("M")).otherwise(hit["c"]))
+    best = F.when(placeholder, plain).otherwise(F.coalesce(messier, full, plain))
+    catalog = F.when(~placeholder, F.when(messier.isNotNull(), F.lit("M")).otherwise(F.regexp_replace(prefix, "[ -]$", "")))
     return F.when(name.isNotNull(), F.struct(best.alias("canonical"), catalog.alias("catalog"), placeholder.alias("placeholder"), (best != plain).alias("changed")))
 
 
@@ -92,11 +89,9 @@ def canonical_value(name: str) -> str:
     plain = re.sub(r"\s+", " ", name).strip()
     if plain.lower() in PLACEHOLDERS:
         return plain
-    for acronym, sep, aliases in CATALOGS:
-        for alias in aliases:
-            if m := re.match(f"(?i){alias}{_NUMBER}", plain):
-                found = f"{acronym}{sep}{m[1]}{m[2].upper()}"
-                return MESSIER.get(found, found)
+    if m := re.match(_PATTERN, plain):
+        found = f"{_PREFIX[m[1].lower()]}{m[2]}{m[3].upper()}"
+        return MESSIER.get(found, found)
     return plain
 
 
