@@ -51,7 +51,7 @@ _BEST = {"op": "tagged", "value": "best"}
 
 filtered("filter_all", {}, "TRUE")
 filtered("filter_eq", cmp("image_type", "eq", "flat"), "image_type = 'flat'")
-filtered("filter_eq_ci", cmp("rig", "eq", "france"), "LOWER(rig) = 'france'")
+filtered("filter_eq_ci", cmp("rig", "eq", "nation_12"), "LOWER(rig) = 'nation_12'")
 filtered("filter_ne_null", cmp("pier_side", "ne", "east"), "pier_side <> 'east'")
 filtered("filter_lt", cmp("gain", "lt", 200), "gain < 200")
 filtered("filter_lte", cmp("gain", "lte", 200), "gain <= 200")
@@ -80,10 +80,10 @@ filtered("cone_exact", {"op": "cone", "ra": 120, "dec": -20, "radius_deg": 15},
 filtered("cone_wrap", {"op": "cone", "ra": 0.5, "dec": 30, "radius_deg": 10}, _DIST.format(r=0.5, d=30) + " <= 10")
 filtered("cone_pole", {"op": "cone", "ra": 200, "dec": 85, "radius_deg": 12}, _DIST.format(r=200, d=85) + " <= 12")
 
-_LIGHTS = {"op": "and", "clauses": [cmp("image_type", "eq", "light"), cmp("rig", "eq", "JAPAN"), cmp("exposure_s", "between", [10, 80])]}
+_LIGHTS = {"op": "and", "clauses": [cmp("image_type", "eq", "light"), cmp("rig", "eq", "NATION_7"), cmp("exposure_s", "between", [10, 80])]}
 
 
-@query("SELECT frame_id, date_obs_utc, exposure_s, filter, abs_path FROM v_frames WHERE image_type = 'light' AND LOWER(rig) = 'japan' AND exposure_s BETWEEN 10 AND 80 AND file_status <> 'missing'")
+@query("SELECT frame_id, date_obs_utc, exposure_s, filter, abs_path FROM v_frames WHERE image_type = 'light' AND LOWER(rig) = 'nation_7' AND exposure_s BETWEEN 10 AND 80 AND file_status <> 'missing'")
 def entry_lights(a):
     return visible(a.v_frames, _LIGHTS).orderBy(F.desc("date_obs_utc"), ID).select(ID, "date_obs_utc", "exposure_s", "filter", "abs_path")
 
@@ -284,7 +284,7 @@ def rig_range_join(a):
 
 @query("SELECT a.rig_id, b.rig_id AS other_id FROM rigs a JOIN rigs b ON a.camera_id = b.camera_id AND a.rig_id < b.rig_id AND a.focal_min <= b.focal_max AND a.focal_max >= b.focal_min WHERE a.active AND b.active")
 def rig_overlap(a):
-    return cluster.rig_overlaps(a.rigs.withColumn("focal_max", F.col("focal_max")))
+    return cluster.rig_overlaps(a.rigs)
 
 
 # -- calibration
