@@ -61,5 +61,14 @@ def queries() -> dict:
     return {"op1_toxicity": op1_toxicity, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_repeats": op6_repeats, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_jaccard_join": op9_jaccard_join, "op10_decontamination": op10_decontamination}
 
 
+_JACCARD_SQL = """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 4) UNION ALL SELECT doc_id, concat('short ', array_to_string(w, ' ')) FROM words WHERE len(w) BETWEEN 1 AND 3)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 85 * (na.n + nb.n - p.c)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.root, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS root FROM reach GROUP BY 1) r ON r.a = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others depend on hashes, learnt weights, merges or ciphers and are tested by brute force."""
+    return {"op9_jaccard_join": _JACCARD_SQL}
