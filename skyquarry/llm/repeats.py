@@ -119,27 +119,25 @@ def maximal_repeats(texts: list[bytes], starts: list[tuple[int, int]] | None = N
     starts: for each text the range of places that may begin an occurrence (default: all). The suffixes there are sorted, and one scan over
     the common prefixes of neighbours keeps a stack of open intervals; a closed interval is reported if its occurrences can't all
     be extended to the left by the same byte (the edge of the range counts as a byte of its own)."""
-    ranges = starts or [(0, len(t)) for t in texts]
-    spots = [(t, s) for t, (a, b) in enumerate(ranges) for s in range(a, min(b, len(texts[t]) - length + 1))]
-    if len(spots) < 2:
+    lengths = np.array([len(t) for t in texts], np.int64)
+    low, high = np.array(starts or [(0, len(t)) for t in texts], np.int64).reshape(-1, 2).T
+    n = np.maximum(np.minimum(high, lengths - length + 1) - low, 0)
+    if n.sum() < 2:
         return []
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    of, at = np.array(spots).T
-    size = base[of + 1] - base[of] - at
+    base = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(texts)), n)
+    at = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    size, flat = lengths[of] - at, base[of] + at
     widest = int(size.max())
-    rows = np.zeros((len(spots), widest), np.uint8)
-    flat = base[of] + at
-    for j in range(0, widest, 64):
-        cols = np.arange(j, min(j + 64, widest))
-        inside = cols < size[:, None]
-        rows[:, cols] = np.where(inside, data[np.minimum(flat[:, None] + cols, len(data) - 1)], 0)
+    data = np.frombuffer(b"".join(texts) + bytes(widest), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(data, widest)[flat]
+    rows[np.arange(widest) >= size[:, None]] = 0  # a suffix ends with its text
     order = np.argsort(rows.view(f"S{widest}").ravel(), kind="stable")
     rows, size, flat, of, at = rows[order], size[order], flat[order], of[order], at[order]
     differ = rows[1:] != rows[:-1]
     same = np.where(differ.any(1), differ.argmax(1), widest)
     lcp = np.minimum(same, np.minimum(size[1:], size[:-1]))
-    edge = at == np.array([r[0] for r in ranges])[of]
+    edge = at == low[of]
     left = np.where(edge, -1 - np.arange(len(of)), data[np.maximum(flat - 1, 0)].astype(np.int64))
     # runs of neighbours with long common prefixes; the scan stays inside them
     long = lcp >= length
