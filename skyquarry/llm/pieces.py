@@ -30,7 +30,7 @@ from .shared import map_slices
 
 MARK = "▁"
 LONG = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(1) << 20  # above any rank
 
@@ -321,7 +321,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         yield {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     kind = dict(documents.dtypes)["doc_id"]
-    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, ids array<int>", work)
+    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, ids array<int>", work, finish=lambda: shared.value._cache.clear())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -358,4 +358,4 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
         yield {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
 
     kind = dict(documents.dtypes)["doc_id"]
-    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work, finish=lambda: shared.value._cache.clear())

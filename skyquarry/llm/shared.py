@@ -66,14 +66,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(begin)
 
 
-def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], column: str = "text") -> DataFrame:
-    """mapInArrow over slices; `work` yields dicts of columns for one slice."""
+def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], column: str = "text", finish: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over slices; `work` yields dicts of columns for one slice, `finish` runs at the end of a task (workers outlive their tasks)."""
     names = [f.name for f in _parsed(df.sparkSession, schema)]
 
     def run(batches):
-        for part in slices(batches, column):
-            for out in work(part):
-                yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names)
+        try:
+            for part in slices(batches, column):
+                for out in work(part):
+                    yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names)
+        finally:
+            if finish:
+                finish()
 
     return df.mapInArrow(run, schema)
 

@@ -145,4 +145,4 @@ def count(documents: DataFrame, path: str) -> DataFrame:
         yield {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "n_pretokens": pa.array(words, pa.int64())}
 
     kind = dict(documents.dtypes)["doc_id"]
-    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, n_pretokens long", work)
+    return map_slices(documents.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, n_pretokens long", work, finish=lambda: shared.value._cache.clear())
