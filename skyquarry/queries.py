@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyquarry.functions import catalogs, headers
 from skyquarry.model import Archive, oracle
 from skyquarry.operators import actions, archive, cluster, match, views
-from skyquarry.plans.filter_ast import compile_filter, page, totals, visible
+from skyquarry.plans.filter_ast import browse, compile_filter, page, totals, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -553,6 +553,75 @@ def frame_detail_nested(a):
     return d.select(ID, F.array_join(F.transform("header", lambda c: F.concat_ws("=", c["keyword"], c["value"])), ";").alias("header"), F.array_join("tags", ";").alias("tags"))
 
 
+@query("SELECT frame_id, image_type FROM v_frames WHERE image_type = 'flat' AND LOWER(filter) = 'ha' AND LOWER(object_canonical) IN ('m 31', 'ngc 224')")
+def browse_bar(a):
+    node = browse(image_type="flat", filter="Ha", object="M31")
+    return a.v_frames.where(compile_filter(node)).select(ID, "image_type")
+
+
+_BEST_OF = " UNION ALL ".join(f"SELECT {k} AS rule_order, light_id, frame_id, total FROM (SELECT l.frame_id AS light_id, c.frame_id, ROW_NUMBER() OVER (PARTITION BY l.frame_id ORDER BY {_MATCH[t][2]}) AS r, COUNT(*) OVER (PARTITION BY l.frame_id) AS total FROM frames l JOIN frames c ON {_MATCH[t][0]} AND {_DAYS} <= {_MATCH[t][1]} WHERE l.image_type = 'light') WHERE r = 1" for k, t in enumerate(("dark", "bias", "flat")))
+
+
+@query(_BEST_OF)
+def calib_all_rules(a):
+    return match.match_all(a.frames, limit=1).select("rule_order", "light_id", "frame_id", "total")
+
+
+_ROOT_SQL = "SELECT CAST(n_nationkey AS INT) AS root_id, n_nationkey % 4 <> 0 AS enabled, CAST(n_nationkey % 5 * 30 AS INT) AS interval_minutes, CASE WHEN n_nationkey % 3 <> 0 THEN TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 10 MINUTE * n_nationkey END AS last_scan_utc FROM nation"
+
+
+@query(f"SELECT root_id FROM ({_ROOT_SQL}) WHERE enabled AND interval_minutes > 0 AND (last_scan_utc IS NULL OR last_scan_utc + INTERVAL 1 MINUTE * interval_minutes <= TIMESTAMP '2024-01-01 12:00:00')")
+def due_roots(a):
+    key = F.col("rig_id")
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    last = F.when(key % 3 != 0, now - F.make_interval(mins=key * 10))
+    roots = a.rigs.select(key.alias("root_id"), (key % 4 != 0).alias("enabled"), (key % 5 * 30).alias("interval_minutes"), last.alias("last_scan_utc"))
+    return archive.due_roots(roots, now).select("root_id")
+
+
+@query("SELECT frame_id, collection_id FROM collection_frames c WHERE NOT EXISTS (SELECT 1 FROM frames f WHERE f.frame_id = c.frame_id AND f.image_type = 'light' AND c.collection_id = 1)")
+def membership_remove(a):
+    gone = a.frames.where("image_type = 'light'").select(ID, F.lit(1).alias("collection_id"))
+    return a.collection_frames.join(gone, [ID, "collection_id"], "left_anti")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS n FROM {t}" for t in ("frames", "files", "cards", "rigs", "flat_sets", "frame_tags")))
+def table_counts(a):
+    out = None
+    for t in ("frames", "files", "cards", "rigs", "flat_sets", "frame_tags"):
+        one = getattr(a, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")).select("name", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SAVED = {"bright": (cmp("exposure_s", "lt", 30), "exposure_s < 30"), "best": (_BEST, has("frame_tags", "k.tag_id = 1")), "galaxy": (cmp("object", "eq", "M 31"), "LOWER(object_canonical) IN ('m 31', 'ngc 224')")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, COUNT(*) AS last_count FROM v_frames v WHERE {w}" for n, (_, w) in _SAVED.items()))
+def saved_query_counts(a):
+    out = None
+    for name, (node, _) in _SAVED.items():
+        one = a.v_frames.where(compile_filter(node, a.context)).agg(F.lit(name).alias("name"), F.count("*").alias("last_count")).select("name", "last_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'job-1' AS job, frame_id, abs_path AS src, CONCAT('/data/north/trash/', filename) AS dst, 'trash' AS action, 'planned' AS state FROM v_frames WHERE file_status = 'error'")
+def job_ledger(a):
+    return actions.ledger("job-1", actions.move_plan(a.v_frames.where("file_status = 'error'"), "/data/north", "trash", "trash"))
+
+
+@query("SELECT filter_id, name FROM filters UNION ALL SELECT CAST(5 + ROW_NUMBER() OVER (ORDER BY LOWER(name)) AS INT), name FROM (SELECT DISTINCT event_type AS name FROM events WHERE event_type <> 'view')")
+def register_names(a):
+    names = a.cards.where("keyword = 'TYPE'").select(F.col("value").alias("name")).where("name <> 'view'").unionByName(a.filters.select(F.lower("name").alias("name")))
+    return archive.register(names, a.filters, "name", "filter_id")
+
+
+@query("SELECT COALESCE(MAX(flat_set_id), 0) AS version FROM flat_sets WHERE rig_id > 1000")
+def max_version(a):
+    return a.flat_sets.where("rig_id > 1000").agg(F.coalesce(F.max("flat_set_id"), F.lit(0)).alias("version"))
+
+
 @query(_RUNS.replace("28800", "43200").replace("WHERE image_type = 'flat'", "").replace("rig_id, filter_id", "rig_id").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2").replace("SELECT rig_id, run, COUNT(*) AS n, MIN(date_obs_utc) AS first_utc, MAX(date_obs_utc) AS last_utc, MIN(session_night) AS night", "SELECT rig_id, run, COUNT(*) AS n, MIN(date_obs_utc) AS first_utc, MAX(date_obs_utc) AS last_utc").replace("SELECT rig_id, run,", "SELECT rig_id,").replace("GROUP BY 1, 2", "GROUP BY rig_id, run"))
 def streaming_runs(a):
     from skyquarry.streaming.runs import run_to_end
