@@ -308,6 +308,8 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     ids = whole.withColumnRenamed("node", "c").join(classes.select("c", "first"), "c")
     best = ids.groupBy("root").agg(F.min("first").alias("component"))
     named = classes.select("c", "first").join(ids.join(best, "root").select("c", "component"), "c", "left").select("c", F.coalesce("component", "first").alias("component"))
+    # Written first: the join of a class with its documents then has no aggregation in its stage, and a hot class can be split.
+    named = materialise(named, "named")
     rows = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
