@@ -84,10 +84,16 @@ def scan_stats(classified: DataFrame) -> DataFrame:
     return classified.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def content_key(frames: DataFrame) -> DataFrame:
-    """file_id and its fingerprints in the order of HDUs, as one key."""
-    pairs = F.array_sort(F.collect_list(F.struct("hdu", "fingerprint")))
-    return frames.groupBy("file_id").agg(F.array_join(F.transform(pairs, lambda p: p["fingerprint"]), ";").alias("content_key"))
+def content_key(frames: DataFrame, block: int = 4096) -> DataFrame:
+    """file_id and its fingerprints in the order of HDUs, as one key. Blocks of HDUs are joined first, so that no task gathers all rows of a file."""
+
+    def joined(df: DataFrame, keys: list[str], order: str, text: str, name: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct(order, text)))
+        return df.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p[text]), ";").alias(name), F.count(text).alias("_n"))
+
+    parts = joined(frames.withColumn("_block", F.floor(F.col("hdu") / block)), ["file_id", "_block"], "hdu", "fingerprint", "_part")
+    parts = parts.withColumn("_part", F.when(F.col("_n") > 0, F.col("_part")))  # a block of nulls alone adds no separator
+    return joined(parts, ["file_id"], "_block", "_part", "content_key").drop("_n")
 
 
 def moves(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
