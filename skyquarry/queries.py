@@ -251,9 +251,27 @@ def canonical_name(a):
     return a.frames.where("object is not null").select(ID, F.when(~c["placeholder"], c["canonical"]).alias("canonical"), c["catalog"].alias("catalog"), c["placeholder"].alias("placeholder"))
 
 
-@query("SELECT frame_id, CASE WHEN object_canonical = 'M 31' THEN 'M 31,NGC 224' ELSE object_canonical END AS names FROM frames WHERE event_mod IN (0, 1, 2, 6)".replace("event_mod", "frame_id % 8"))
+# The cross-list of the reference's src/names/canon.cpp, apart from the one in functions/catalogs.py.
+_CROSS_LIST = """(VALUES
+    ('M 1', 'NGC 1952'), ('M 2', 'NGC 7089'), ('M 3', 'NGC 5272'), ('M 4', 'NGC 6121'), ('M 5', 'NGC 5904'), ('M 6', 'NGC 6405'), ('M 7', 'NGC 6475'), ('M 8', 'NGC 6523'),
+    ('M 9', 'NGC 6333'), ('M 10', 'NGC 6254'), ('M 11', 'NGC 6705'), ('M 12', 'NGC 6218'), ('M 13', 'NGC 6205'), ('M 14', 'NGC 6402'), ('M 15', 'NGC 7078'), ('M 16', 'NGC 6611'),
+    ('M 17', 'NGC 6618'), ('M 18', 'NGC 6613'), ('M 19', 'NGC 6273'), ('M 20', 'NGC 6514'), ('M 21', 'NGC 6531'), ('M 22', 'NGC 6656'), ('M 23', 'NGC 6494'), ('M 24', 'IC 4715'),
+    ('M 25', 'IC 4725'), ('M 26', 'NGC 6694'), ('M 27', 'NGC 6853'), ('M 28', 'NGC 6626'), ('M 29', 'NGC 6913'), ('M 30', 'NGC 7099'), ('M 31', 'NGC 224'), ('M 32', 'NGC 221'),
+    ('M 33', 'NGC 598'), ('M 34', 'NGC 1039'), ('M 35', 'NGC 2168'), ('M 36', 'NGC 1960'), ('M 37', 'NGC 2099'), ('M 38', 'NGC 1912'), ('M 39', 'NGC 7092'), ('M 41', 'NGC 2287'),
+    ('M 42', 'NGC 1976'), ('M 43', 'NGC 1982'), ('M 44', 'NGC 2632'), ('M 46', 'NGC 2437'), ('M 47', 'NGC 2422'), ('M 48', 'NGC 2548'), ('M 49', 'NGC 4472'), ('M 50', 'NGC 2323'),
+    ('M 51', 'NGC 5194'), ('M 52', 'NGC 7654'), ('M 53', 'NGC 5024'), ('M 54', 'NGC 6715'), ('M 55', 'NGC 6809'), ('M 56', 'NGC 6779'), ('M 57', 'NGC 6720'), ('M 58', 'NGC 4579'),
+    ('M 59', 'NGC 4621'), ('M 60', 'NGC 4649'), ('M 61', 'NGC 4303'), ('M 62', 'NGC 6266'), ('M 63', 'NGC 5055'), ('M 64', 'NGC 4826'), ('M 65', 'NGC 3623'), ('M 66', 'NGC 3627'),
+    ('M 67', 'NGC 2682'), ('M 68', 'NGC 4590'), ('M 69', 'NGC 6637'), ('M 70', 'NGC 6681'), ('M 71', 'NGC 6838'), ('M 72', 'NGC 6981'), ('M 73', 'NGC 6994'), ('M 74', 'NGC 628'),
+    ('M 75', 'NGC 6864'), ('M 76', 'NGC 650'), ('M 77', 'NGC 1068'), ('M 78', 'NGC 2068'), ('M 79', 'NGC 1904'), ('M 80', 'NGC 6093'), ('M 81', 'NGC 3031'), ('M 82', 'NGC 3034'),
+    ('M 83', 'NGC 5236'), ('M 84', 'NGC 4374'), ('M 85', 'NGC 4382'), ('M 86', 'NGC 4406'), ('M 87', 'NGC 4486'), ('M 88', 'NGC 4501'), ('M 89', 'NGC 4552'), ('M 90', 'NGC 4569'),
+    ('M 91', 'NGC 4548'), ('M 92', 'NGC 6341'), ('M 93', 'NGC 2447'), ('M 94', 'NGC 4736'), ('M 95', 'NGC 3351'), ('M 96', 'NGC 3368'), ('M 97', 'NGC 3587'), ('M 98', 'NGC 4192'),
+    ('M 99', 'NGC 4254'), ('M 100', 'NGC 4321'), ('M 101', 'NGC 5457'), ('M 102', 'NGC 5866'), ('M 103', 'NGC 581'), ('M 104', 'NGC 4594'), ('M 105', 'NGC 3379'), ('M 106', 'NGC 4258'),
+    ('M 107', 'NGC 6171'), ('M 108', 'NGC 3556'), ('M 109', 'NGC 3992'), ('M 110', 'NGC 205'))"""
+
+
+@query(f"SELECT frame_id, CONCAT_WS(',', object_canonical, x.other) AS names FROM frames LEFT JOIN {_CROSS_LIST} AS x(name, other) ON x.name = object_canonical")
 def designations(a):
-    return a.frames.where("frame_id % 8 in (0, 1, 2, 6)").select(ID, F.array_join(catalogs.designations(F.col("object_canonical")), ",").alias("names"))
+    return a.frames.select(ID, F.array_join(catalogs.designations(F.col("object_canonical")), ",").alias("names"))
 
 
 def _camera_alias(spark, sf_dir):

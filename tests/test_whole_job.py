@@ -22,3 +22,11 @@ def test_content_key_by_blocks(spark):
     want = {1: ";".join([f"f{i}" for i in range(21) if i % 3] + [""]), 2: "", 3: "n;m;a;b", 4: ""}
     for block in (1, 3, 4096):
         assert {r.file_id: r.content_key for r in archive.content_key(df, block).collect()} == want
+
+
+def test_designations_of_every_frame(spark):
+    got = {r.frame_id: r.names for r in QUERIES["designations"](spark, SF).collect()}
+    ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
+    assert sorted(got) == sorted(ids)
+    by_name = {n.split(",")[0]: n for n in got.values()}
+    assert by_name["M 13"] == "M 13,NGC 6205" and by_name["M 45"] == "M 45" and by_name["M 25"] == "M 25,IC 4725" and by_name[""] == ""
