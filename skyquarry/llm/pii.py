@@ -8,7 +8,8 @@ equal values get equal pseudonyms in all documents, and a holder of the key can
 - ip: an IPv4 address whose four numbers are at most 255, on its 32 bits;
 - date: a valid yyyy-mm-dd or yyyy/mm/dd of 1900-01-01 to 2100-01-02, on the number of its day (73,051 = 319 * 229 of them);
 - ssn: ddd-dd-dddd with a valid area, group and serial number, on its digits;
-- card: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted and it is computed anew;
+- card: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted and it is computed anew. In a run of numbers
+  parted by single blanks or hyphens, any whole numbers in a row can be one: those in an issuer's form come first, then from left to right, the longest first;
 - secret: 32 or more hexadecimal digits in one case, within that alphabet.
 
 Candidates that fail validation stay as they are. Round values come from SHA-256 of key, kind, round and the other half.
@@ -30,9 +31,13 @@ _PHONE = r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[
 _IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 _DATE = r"(?<![\d/-])(?:19|20|21)\d\d([-/])\d\d\1\d\d(?![\d/-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _PHONE, _IP, _DATE.replace(r"([-/])\d\d\1", r"(?:-\d\d-|/\d\d/)"), _SSN, _CARD, _SECRET))
+_OTHERS = "|".join(f"(?:{p})" for p in (_EMAIL, _PHONE, _IP, _DATE.replace(r"([-/])\d\d\1", r"(?:-\d\d-|/\d\d/)"), _SSN, _SECRET))
+#: Numbers in a row with 13 digits or more, as far as no value of another kind begins. Possessive, so that a long run takes no stack.
+_RUN = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHERS})\d++)*+"
+PATTERN = f"{_OTHERS}|(?:{_RUN})"
+#: Forms of issuers: first digits and lengths.
+_ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|2[2-7]|35)\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|6\d{15,18})$"
 #: Without one of these no kind can occur.
 _HINT = r"[0-9@]|[a-fA-F]{32}"
 
@@ -118,11 +123,53 @@ def kind_of(m: Column) -> Column:
         .when(whole(_DATE), F.when(day.between("1900-01-01", "2100-01-02"), F.lit("date")))
         .when(whole(_SSN), F.when(ssn_ok, F.lit("ssn")))
         .when(whole(_PHONE), F.lit("phone"))
-        .when(whole(_CARD), F.when(_luhn(_digits(m), 0) % 10 == 0, F.lit("card")))
         .when(whole(_SECRET), F.lit("secret"))
+        .when(m.rlike(r"^[0-9][0-9 -]*$"), F.lit("run"))
     )
 
 
+def _cards(numbers: Column) -> Column:
+    """The cards in a run of numbers, as an array of (s, e): the first and last number of each. No two overlap."""
+
+    def pick(taken: Column, issued: bool) -> Column:
+        def card(i: Column, j: Column) -> Column:
+            digits = _digits(F.array_join(F.slice(numbers, i, j - i + 1), ""))
+            fits = lambda d: F.char_length(d).between(13, 19) & (d.rlike(_ISSUED) if issued else F.lit(True)) & (_luhn(d, 0) % 10 == 0)
+            return ~F.exists(taken, lambda t: (t["s"] <= j) & (t["e"] >= i)) & F.exists(F.array(digits), fits)
+
+        def one(state: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(numbers))), lambda j: card(i, j))
+            add = lambda e: F.when(e.isNull(), state).otherwise(F.struct(e.alias("done"), F.concat(state["got"], F.array(F.struct(i.alias("s"), e.alias("e")))).alias("got")))
+            return F.when(i <= state["done"], state).otherwise(F.transform(F.array(F.array_max(ends)), add)[0])
+
+        first = F.struct(F.lit(0).alias("done"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("got"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(numbers)), first, one, lambda s: s["got"])
+
+    none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
+    return F.transform(F.array(pick(none, True)), lambda a: F.concat(a, pick(a, False)))[0]
+
+
+def _card_pseudonym(m: Column, key: str) -> Column:
+    digits = _digits(m)
+    # an array of one, so that the permuted digits are computed once
+    return F.transform(F.array(feistel_text(digits.substr(F.lit(1), F.char_length(digits) - 1), key, "card")), lambda d: _refill(m, F.concat(d, ((10 - _luhn(d, 1) % 10) % 10).cast("string")), F.lit(0)))[0]
+
+
+def _run(m: Column, key: str) -> Column:
+    """struct<n, new>: the cards of a run of numbers and the run with them replaced."""
+
+    def filled(numbers: Column, cards: Column) -> Column:
+        def one(number: Column, k: Column) -> Column:
+            i = k + 1
+            at = F.get(F.filter(cards, lambda t: (t["s"] <= i) & (t["e"] >= i)), F.lit(0))
+            return F.transform(F.array(at), lambda t: F.when(t.isNull(), number).when(t["s"] == i, _card_pseudonym(F.array_join(F.slice(numbers, i, t["e"] - i + 1), ""), key)).otherwise(F.lit("")))[0]
+
+        return F.struct(F.size(cards).alias("n"), F.when(F.size(cards) > 0, F.array_join(F.transform(numbers, one), "")).otherwise(m).alias("new"))
+
+    numbers = F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))
+    return F.transform(F.array(numbers), lambda a: F.transform(F.array(_cards(a)), lambda c: filled(a, c))[0])[0]
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a validated value."""
     digits = _digits(m)
@@ -136,10 +183,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     date = F.transform(F.array(feistel_pair(F.floor(day / 229), day % 229, (319, 229), key, "date")), lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * 229 + s["r"]).cast("int")), "yyyy-MM-dd"))[0]
     date = F.when(m.contains("/"), F.regexp_replace(date, "-", "/")).otherwise(date)
     ssn = _refill(m, feistel_text(digits, key, "ssn"), F.lit(0))
-    # an array of one, so that the permuted digits are computed once
-    card = F.transform(F.array(feistel_text(digits.substr(F.lit(1), n - 1), key, "card")), lambda d: _refill(m, F.concat(d, ((10 - _luhn(d, 1) % 10) % 10).cast("string")), F.lit(0)))[0]
     secret = feistel_text(m, key, "secret", letters=6)
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "secret", secret).otherwise(m)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(m)
 
 
 def _is(kind: str):
@@ -151,11 +196,13 @@ def pseudonymise(documents: DataFrame, key: str, counts: bool = True) -> DataFra
     text = F.col("text")
     none = F.expr("cast(array() as array<string>)")
     found = F.when(text.rlike(_HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(none)
-    known = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new")))[0]
+    plain = lambda m, k: F.struct(k.alias("kind"), F.lit(1).alias("n"), pseudonym(m, k, key).alias("new"))
+    cards = lambda m: F.transform(F.array(_run(m, key)), lambda r: F.struct(F.lit("card").alias("kind"), r["n"].alias("n"), r["new"].alias("new")))[0]
+    known = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.when(k == "run", cards(m)).otherwise(plain(m, k)))[0]
     df = documents.withColumn("_m", F.transform(F.coalesce(found, none), known))
     parts = F.split("text", PATTERN, -1)
     rebuilt = F.array_join(F.zip_with(parts, F.col("_m.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     df = df.withColumn("text", F.when(F.size("_m") > 0, rebuilt).otherwise(text))
     if counts:
-        df = df.withColumns({f"n_{k}": F.size(F.filter("_m", _is(k))).cast("long") for k in KINDS})
+        df = df.withColumns({f"n_{k}": F.aggregate(F.filter("_m", _is(k)), F.lit(0), lambda n, s: n + s["n"]).cast("long") for k in KINDS})
     return df.drop("_m")
