@@ -3,14 +3,15 @@
 One pattern finds candidates; each is validated for its kind and then permuted by a keyed Feistel network within its format, so
 equal values get equal pseudonyms in all documents, and a holder of the key can undo it:
 
-- email: letters and digits of the local part, each within its class (digit, lower case, upper case); the domain stays;
+- email: letters and digits of the local part, each within its class (digit, lower case, upper case; others: the letters and numbers of its 64 code points of
+  Unicode); the domain stays;
 - phone: the ten digits after the country code; separators stay;
 - ip: an IPv4 address whose four numbers are at most 255, on its 32 bits;
 - date: a valid yyyy-mm-dd or yyyy/mm/dd of 1900-01-01 to 2100-01-02, on the number of its day (73,051 = 319 * 229 of them);
 - ssn: ddd-dd-dddd with a valid area, group and serial number, on its digits;
 - card: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted and it is computed anew. In a run of numbers
   parted by single blanks or hyphens, any whole numbers in a row can be one: those in an issuer's form come first, then from left to right, the longest first;
-- secret: 32 or more hexadecimal digits in one case, within that alphabet.
+- secret: 32 or more hexadecimal digits in one case, within that alphabet; those of 192 or more in pieces of 128, each with its place in the key.
 
 Candidates that fail validation stay as they are. Round values come from SHA-256 of key, kind, round and the other half.
 
@@ -31,7 +32,7 @@ _PHONE = r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[
 _IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 _DATE = r"(?<![\d/-])(?:19|20|21)\d\d([-/])\d\d\1\d\d(?![\d/-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+_SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 _OTHERS = "|".join(f"(?:{p})" for p in (_EMAIL, _PHONE, _IP, _DATE.replace(r"([-/])\d\d\1", r"(?:-\d\d-|/\d\d/)"), _SSN, _SECRET))
 #: Numbers in a row with 13 digits or more, as far as no value of another kind begins. Possessive, so that a long run takes no stack.
 _RUN = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHERS})\d++)*+"
@@ -42,14 +43,23 @@ _ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|2[2-7]|35)\d{14}|3[47]\d{13}|3(?
 _HINT = r"[0-9@]|[a-fA-F]{32}"
 
 
-def _noise(key: str, kind: str, turn: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half), 256)
+def _noise(key: str, kind: str | Column, turn: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), turn.cast("string"), half), 256)
 
 
 def _number(noise: Column) -> Column:
     return F.conv(F.substring(noise, 1, 12), 16, 10).cast("long")
 
 
+def _other(c: Column, by: Column) -> Column:
+    """A letter or number outside ASCII moved among those of its 64 code points; any other character as it is."""
+    code = F.ascii(c)
+    at = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")
+    block = F.filter(F.transform(F.sequence(code - code % 64, code - code % 64 + 63), at), lambda x: x.rlike(r"^[\p{L}\p{N}]$"))
+    moved = F.transform(F.array(block), lambda b: F.element_at(b, ((F.array_position(b, c) - 1 + by) % F.size(b) + 1).cast("int")))[0]
+    return F.when(c.rlike(r"^[\p{L}\p{N}&&[^\x00-\x7F]]$"), moved).otherwise(c)
+
+
 def _shift(c: Column, by: Column, letters: int) -> Column:
     """A character moved within its class."""
     code = F.ascii(c)
@@ -58,10 +68,10 @@ def _shift(c: Column, by: Column, letters: int) -> Column:
         return F.char(F.lit(ord(low)) + (code - ord(low) + by) % size)
 
     last = chr(ord("a") + letters - 1)
-    return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", last), moved("a", letters)).when(c.between("A", last.upper()), moved("A", letters)).otherwise(c)
+    return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", last), moved("a", letters)).when(c.between("A", last.upper()), moved("A", letters)).otherwise(_other(c, by) if letters == 26 else c)
 
 
-def feistel_text(value: Column, key: str, kind: str, letters: int = 26) -> Column:
+def feistel_text(value: Column, key: str, kind: str | Column, letters: int = 26) -> Column:
     """A permutation of the texts with the same classes of characters at the same places."""
     n = F.char_length(value)
     half = F.floor(n / 2).cast("int")
@@ -183,7 +193,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     date = F.transform(F.array(feistel_pair(F.floor(day / 229), day % 229, (319, 229), key, "date")), lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * 229 + s["r"]).cast("int")), "yyyy-MM-dd"))[0]
     date = F.when(m.contains("/"), F.regexp_replace(date, "-", "/")).otherwise(date)
     ssn = _refill(m, feistel_text(digits, key, "ssn"), F.lit(0))
-    secret = feistel_text(m, key, "secret", letters=6)
+    # in pieces, as the work for one text grows with the square of its length
+    pieces = F.when(F.char_length(m) < 192, F.array(m)).otherwise(F.regexp_extract_all(m, F.lit(".{128}(?=.{64})|.+"), F.lit(0)))
+    tweak = lambda i: F.when(i == 0, "secret").otherwise(F.concat(F.lit("secret."), i.cast("string")))
+    secret = F.array_join(F.transform(pieces, lambda p, i: feistel_text(p, key, tweak(i), letters=6)), "")
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(m)
 
 

@@ -30,3 +30,30 @@ def test_cards_beside_numbers(spark):
     assert (mixed.n_card, mixed.n_ssn) == (1, 1) and mixed.text.startswith(alone) and "123-45-6789" not in mixed.text
     assert bare.n_card == 0 and bare.text == "1234567890123 12 99"
     assert secret.n_secret == 1 and secret.text[:13] != "1234567890123"
+
+
+def test_long_secrets(spark):
+    docs = ["0123456789abcdef" * 3, *(("0123456789abcdef" * 20)[:n] for n in (129, 191, 192, 256)), "AB12" * 25000, "ab" * 70 + "g"]
+    got = run(spark, [f"key {d} end" for d in docs])
+    for d, r in zip(docs[:-1], got, strict=False):
+        new = r.text[4:-4]
+        assert r.n_secret == 1 and len(new) == len(d) and new[:64] != d[:64] and new[-64:] != d[-64:]
+        assert all(a.isdigit() == b.isdigit() and a.isupper() == b.isupper() and b in "0123456789abcdefABCDEF" for a, b in zip(d, new, strict=True))
+    assert got[-1].n_secret == 0 and got[-1].text == f"key {docs[-1]} end"
+
+
+def test_letters_outside_ascii(spark):
+    names = ["éèàùç", "иванов", "山田太郎", "jose.é1", "𝒜𝒷𝒸", "٣٤٥"]
+    got = run(spark, [f"to {n}@example.com and {n}@example.com" for n in names])
+    for n, r in zip(names, got, strict=True):
+        a, b = re.fullmatch(r"to (.+)@example\.com and (.+)@example\.com", r.text).groups()
+        assert r.n_email == 2 and a == b != n and len(a) == len(n)
+        assert all(x.isalnum() == y.isalnum() and (x.isascii() == y.isascii()) for x, y in zip(n, a, strict=True))
+
+
+def test_letters_are_permuted(spark):
+    from pyspark.sql import functions as F
+
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+    pairs = spark.createDataFrame([(a + b,) for a in letters for b in letters], "v string")
+    assert pairs.select(pii.feistel_text(F.col("v"), "k", "t").alias("w")).distinct().count() == len(letters) ** 2
