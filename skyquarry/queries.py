@@ -548,10 +548,10 @@ def export_csv(a):
     return actions.export_lines(a.frames.withColumn("o", F.concat(F.lit("a,"), F.coalesce("object", F.lit("")))), "csv", (ID, "image_type", "o"))
 
 
-@query("SELECT frame_id, abs_path AS line FROM v_frames WHERE image_type = 'flat' AND gain = 200 ORDER BY date_obs_utc DESC, frame_id LIMIT 25")
+@query("SELECT frame_id, abs_path AS line FROM v_frames WHERE image_type = 'flat' AND gain = 200 ORDER BY date_obs_utc DESC, frame_id LIMIT 100000")
 def export_paths(a):
     node = {"op": "and", "clauses": [cmp("image_type", "eq", "flat"), cmp("gain", "eq", 200)]}
-    return actions.export_lines(actions.by_filter(a.v_frames, node, limit=25), "paths")
+    return actions.export_lines(actions.by_filter(a.v_frames, node), "paths")
 
 
 @query("SELECT frame_id, abs_path AS src, CONCAT('/data/north/archive/', filename) AS dst, CONCAT('archive/', filename) AS rel_path, 'move' AS action FROM v_frames WHERE image_type = 'bias'")

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from skyquarry.model import Archive
 from skyquarry.operators import archive
 from skyquarry.queries import QUERIES
 
@@ -30,3 +31,8 @@ def test_designations_of_every_frame(spark):
     assert sorted(got) == sorted(ids)
     by_name = {n.split(",")[0]: n for n in got.values()}
     assert by_name["M 13"] == "M 13,NGC 6205" and by_name["M 45"] == "M 45" and by_name["M 25"] == "M 25,IC 4725" and by_name[""] == ""
+
+
+def test_export_paths_of_every_match(spark):
+    frames = Archive(spark, SF).v_frames.where("image_type = 'flat' and gain = 200")
+    assert QUERIES["export_paths"](spark, SF).count() == frames.count() > 25
