@@ -635,9 +635,9 @@ def register_names(a):
     return archive.register(names, a.filters, "name", "filter_id")
 
 
-@query("SELECT COALESCE(MAX(flat_set_id), 0) AS version FROM flat_sets WHERE rig_id > 1000")
+@query("SELECT COALESCE(MAX(flat_set_id), 0) AS version FROM flat_sets")
 def max_version(a):
-    return a.flat_sets.where("rig_id > 1000").agg(F.coalesce(F.max("flat_set_id"), F.lit(0)).alias("version"))
+    return a.flat_sets.agg(F.coalesce(F.max("flat_set_id"), F.lit(0)).alias("version"))
 
 
 @query(_RUNS.replace("28800", "43200").replace("WHERE image_type = 'flat'", "").replace("rig_id, filter_id", "rig_id").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2").replace("SELECT rig_id, run, COUNT(*) AS n, MIN(date_obs_utc) AS first_utc, MAX(date_obs_utc) AS last_utc, MIN(session_night) AS night", "SELECT rig_id, run, COUNT(*) AS n, MIN(date_obs_utc) AS first_utc, MAX(date_obs_utc) AS last_utc").replace("SELECT rig_id, run,", "SELECT rig_id,").replace("GROUP BY 1, 2", "GROUP BY rig_id, run"))

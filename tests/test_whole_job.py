@@ -1,12 +1,13 @@
 """Queries meet all rows of their inputs, not a part of them."""
 
 import os
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from skyquarry.model import Archive
 from skyquarry.operators import archive
-from skyquarry.queries import QUERIES
+from skyquarry.queries import QUERIES, max_version
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,3 +37,9 @@ def test_designations_of_every_frame(spark):
 def test_export_paths_of_every_match(spark):
     frames = Archive(spark, SF).v_frames.where("image_type = 'flat' and gain = 200")
     assert QUERIES["export_paths"](spark, SF).count() == frames.count() > 25
+
+
+def test_max_version_with_and_without_sets(spark):
+    sets = Archive(spark, SF).flat_sets
+    assert QUERIES["max_version"](spark, SF).first().version == max(r.flat_set_id for r in sets.collect()) > 0
+    assert max_version(SimpleNamespace(flat_sets=sets.where("false"))).first().version == 0
