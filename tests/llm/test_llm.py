@@ -153,33 +153,63 @@ def test_maximal_repeats():
         assert {(n, tuple(sorted(o))) for n, o in repeats.maximal_repeats(ts, length=3)} == want
 
 
-@pytest.mark.parametrize("block", [8 << 20, 3000])
-def test_language_model(documents, texts, empty, block):
-    train = [i % 4 != 0 for i in range(len(texts))]
-    got = rows(lm.score(documents, F.col("doc_id") % 4 != 0, block_bytes=block))
-    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for t in texts]
-    c, pairs = Counter(), Counter()
+def brute_language_model(texts, train, dense):
+    """base and score of every text by walking dictionaries of n-grams."""
+    tokens = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for t in texts]
+    c, c2, c3 = Counter(), Counter(), Counter()
     for ws, use in zip(tokens, train):
         if use:
             c.update(ws)
-            pairs.update(zip([0, *ws], ws))
+            c2.update(zip(ws, ws[1:]))
+            c3.update(zip(ws, ws[1:], ws[2:]))
+    starts = c.pop("<s>", 0)
     n, v = sum(c.values()), len(c)
-    c_of = lambda u: c[None] if u == 0 else c[u]
-    size = lambda x: int(np.floor(np.log2(x)))
-    single, every = Counter(), Counter()
-    for (u, _), m in pairs.items():
-        every[size(c_of(u))] += m
-        single[size(c_of(u))] += m == 1
-    for i, ws in enumerate(tokens):
-        base = score = 0.0
-        for u, w in zip([0, *ws], ws):
-            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
-            g = min(max(single[size(c_of(u))] / every[size(c_of(u))], 1e-4), 0.9999) if c_of(u) else 1
-            base += np.log10(p)
-            score += np.log10(g * p + ((1 - g) * pairs[u, w] / c_of(u) if c_of(u) else 0))
+    of = lambda u: starts if u == "<s>" else c[u]
+    size = lambda x: int(x).bit_length()
+    single, every, follows, stays, mass = Counter(), Counter(), Counter(), Counter(), Counter()
+    for (u, w), m in c2.items():
+        every[size(of(u))] += m
+        single[size(of(u))] += m == 1
+        follows[size(m)] += m * (w is not None)
+    for (u, x, w), m in c3.items():
+        thick = c2[u, x] >= dense
+        if c2[u, x] >= 2:
+            mass[u, x] += m if thick or m >= 2 else 0
+            stays[size(c2[u, x])] += m if m >= (2 if thick else 3) else 0
+    clip = lambda x: min(max(x, 1e-4), 0.9999)
+    unigram = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def bigram(u, w):
+        if not of(u):
+            return unigram(w)
+        g = clip(single[size(of(u))] / max(every[size(of(u))], 1))
+        return (1 - g) * c2[u, w] / of(u) + g * unigram(w)
+
+    def trigram(u, x, w):
+        if not mass[u, x]:
+            return bigram(x, w)
+        g = clip(1 - stays[size(c2[u, x])] / max(follows[size(c2[u, x])], 1))
+        m = c3[u, x, w]
+        return (1 - g) * (m if m >= 2 or c2[u, x] >= dense else 0) / mass[u, x] + g * bigram(x, w)
+
+    out = []
+    for ws in tokens:
+        base = sum(np.log10(unigram(w)) for w in ws[1:])
+        out.append((len(ws) - 1, sum(c[w] > 0 for w in ws[1:]), n, base, np.log10(bigram(ws[0], ws[1])) + sum(np.log10(trigram(*x)) for x in zip(ws, ws[1:], ws[2:]))))
+    vocabulary = [*c, "unseen word"]
+    return out, [sum(trigram(u, x, w) for w in vocabulary) for u, x in list(mass)[:50]]
+
+
+@pytest.mark.parametrize("block,dense,piece", [(8 << 20, 1 << 16, 256), (3000, 4, 3), (3000, 1 << 16, 1)])
+def test_language_model(documents, texts, empty, block, dense, piece):
+    train = [i % 4 != 0 for i in range(len(texts))]
+    got = rows(lm.score(documents, F.col("doc_id") % 4 != 0, block_bytes=block, dense=dense, piece=piece))
+    want, sums = brute_language_model(texts, train, dense)
+    assert np.allclose(sums, 1)  # the probabilities after a state, over all words and an unknown one
+    for i, w in enumerate(want):
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert np.isclose(r.base_score, base) and np.isclose(r.score, score)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert np.isclose(r.base_score, w[3]) and np.isclose(r.score, w[4])
     assert lm.score(empty, F.lit(True)).count() == 0
 
 
