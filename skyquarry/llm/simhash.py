@@ -10,8 +10,8 @@ blocks - r there is a table keyed by the permuted leading blocks; two fingerprin
 on at least one choice. Candidates are verified by counting bits.
 
 Defined results: null and empty texts have no terms and the fingerprint zero; equal texts have equal fingerprints; rows with a
-repeated doc_id keep a row each, and as a "next" document such an id stands for its smallest text; a null doc_id has no next
-document and counts as its own; other columns are ignored.
+repeated or null doc_id keep a row each, and as a "next" document a repeated id stands for one of its texts, that with the smallest (hash,
+length), for the edit as for the likeness; a null doc_id has no next document and counts as its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,13 +61,15 @@ def weighted(ordered: Column) -> Column:
 
 
 def _vote(df: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """Fingerprints (columns f0, f1, 64 bits each) of rows with `keys` and the words of a text."""
+    """Fingerprints (columns f0, f1, 64 bits each) of the distinct `keys`, and how many rows have them (_rows).
+
+    Rows with equal keys have equal words: their votes are multiplied, which leaves the majority as it is."""
     # each array is a column before a lambda refers to it, or it would be computed for every element
     ordered = df.select(*keys, F.sort_array(terms(F.col(words))).alias("_a"))
-    exploded = ordered.select(*keys, F.explode_outer(weighted(F.col("_a"))).alias("_e")).select(*keys, F.col("_e.t").alias("_t"), F.col("_e.w").alias("_w"))
+    exploded = ordered.select(*keys, F.posexplode_outer(weighted(F.col("_a"))).alias("_i", "_e")).select(*keys, F.when(F.coalesce("_i", F.lit(0)) == 0, 1).alias("_one"), F.col("_e.t").alias("_t"), F.col("_e.w").alias("_w"))
     first, second = F.col("_t"), F.xxhash64(F.col("_t"), F.lit(_SECOND))
     sums = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES)) * F.col("_w")).alias(f"s{k}_{i}") for k, h in enumerate((first, second)) for i in range(32)]
-    voted = exploded.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("_n"), *sums)
+    voted = exploded.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("_n"), F.sum("_one").alias("_rows"), *sums)
 
     def half(k: int) -> Column:
         word = F.lit(0).cast("long")
@@ -78,7 +80,7 @@ def _vote(df: DataFrame, keys: list[str], words: str) -> DataFrame:
                 word = word.bitwiseOR(F.when(lane * 2 > F.col("_n"), F.lit(bit)).otherwise(F.lit(0).cast("long")))
         return word
 
-    return voted.select(*keys, half(0).alias("f0"), half(1).alias("f1"))
+    return voted.select(*keys, "_rows", half(0).alias("f0"), half(1).alias("f1"))
 
 
 def _shown(f0: Column, f1: Column) -> Column:
@@ -92,7 +94,7 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, text_sha256, fingerprint (hex), f0, f1: one row for each distinct pair of doc_id and text."""
     base = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), words_of(F.col("text")).alias("_words"))
-    return _vote(base, ["doc_id", "text_sha256"], "_words").withColumn("fingerprint", _shown(F.col("f0"), F.col("f1")))
+    return _vote(base, ["doc_id", "text_sha256"], "_words").drop("_rows").withColumn("fingerprint", _shown(F.col("f0"), F.col("f1")))
 
 
 def successors(documents: DataFrame) -> DataFrame:
@@ -110,61 +112,94 @@ def successors(documents: DataFrame) -> DataFrame:
 def with_edits(documents: DataFrame) -> DataFrame:
     """The rows of documents with n_chars, and the edited text: the last floor(n_chars / 4) code points replaced by the first as many of the next document.
 
-    Columns: doc_id, _row (1 for most; counts the rows of a repeated doc_id), text, n_chars, next_id, edited."""
+    Columns: doc_id, _text (a hash of the text), text, n_chars, next_id, edited."""
     every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = every.where("doc_id is not null").repartition(n, "doc_id")  # the texts are dealt out once, for the join and for the window below
+    docs = every.where("doc_id is not null").repartition(n, "doc_id")  # the texts are dealt out once, for both joins
     after = successors(documents)
     # What a row needs of its next document is a quarter of its own length, so only such prefixes travel.
     needs = every.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("_most")).join(after, "doc_id").select(F.col("doc_id").alias("_for"), "next_id", F.floor(F.col("_most") / 4).cast("int").alias("_take"))
-    heads = docs.join(needs, F.col("doc_id") == F.col("next_id")).groupBy("_for", "next_id").agg(F.min(F.expr("substring(text, 1, _take)")).alias("_head"))
-    heads = heads.withColumnRenamed("_for", "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.char_length("text"))
-    joined = docs.withColumn("_row", F.row_number().over(order)).join(heads, "doc_id")
-    nameless = every.where("doc_id is null").withColumns({"_row": F.lit(1), "next_id": F.col("doc_id"), "_head": F.col("text")})
+    stands = F.struct(F.xxhash64("text"), F.char_length("text"))
+    heads = docs.join(needs, F.col("doc_id") == F.col("next_id")).groupBy("_for", "next_id").agg(F.min_by(F.expr("substring(text, 1, _take)"), stands).alias("_head"))
+    joined = docs.join(heads.withColumnRenamed("_for", "doc_id"), "doc_id")
+    nameless = every.where("doc_id is null").withColumns({"next_id": F.col("doc_id"), "_head": F.col("text")})
     joined = joined.unionByName(nameless).withColumn("n_chars", F.char_length("text").cast("long"))
     take = F.floor(F.col("n_chars") / 4).cast("int")
-    return joined.withColumn("_k", take).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - _k), substring(_head, 1, _k))")).select("doc_id", "_row", "text", "n_chars", "next_id", "edited")
+    return joined.withColumn("_k", take).withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - _k), substring(_head, 1, _k))")).select("doc_id", F.xxhash64("text").alias("_text"), "text", "n_chars", "next_id", "edited")
+
 
+def compare_edits(documents: DataFrame, asks: Column | None = None, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each document row.
 
-def compare_edits(documents: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each document row."""
+    asks: a condition on doc_id; the rows that meet it also get n_within, how many rows (they included) have a fingerprint within
+    `radius` bits of theirs (null for the other rows)."""
     rows = with_edits(documents)
     sides = F.array(F.struct(F.lit(False).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edit"), F.col("edited").alias("t")))
-    keys = ["doc_id", "_row", "n_chars", "next_id", "edited_sha256", "edit"]
-    both = rows.select("doc_id", "_row", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), F.explode(sides).alias("s"))
+    keys = ["doc_id", "_text", "n_chars", "next_id", "edited_sha256", "edit"]
+    both = rows.select("doc_id", "_text", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), F.explode(sides).alias("s"))
     worded = both.select(*keys[:-1], "s.edit", words_of(F.col("s.t")).alias("_words"))
     voted = _vote(worded, keys, "_words")
     pick = lambda edit, c: F.max(F.when(F.col("edit") == edit, F.col(c)))
-    wide = materialise(voted.groupBy(*keys[:-1]).agg(*(pick(e, f"f{k}").alias(f"{n}{k}") for e, n in ((False, "f"), (True, "e")) for k in (0, 1))), "simhash")
-    last = wide.where("_row = 1").select(F.col("doc_id").alias("next_id"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    joined = wide.join(last, "next_id", "left")
+    wide = materialise(voted.groupBy(*keys[:-1]).agg(F.max("_rows").alias("_rows"), *(pick(e, f"f{k}").alias(f"{n}{k}") for e, n in ((False, "f"), (True, "e")) for k in (0, 1))), "simhash")
+    last = wide.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by(F.struct("f0", "f1"), F.struct("_text", "n_chars")).alias("_last"))
+    joined = wide.join(last.select("next_id", F.col("_last.f0").alias("n0"), F.col("_last.f1").alias("n1")), "next_id", "left")
+    extra = []
+    if asks is not None:
+        found = near_counts(wide.where(asks).select("f0", "f1"), wide.select("f0", "f1", "_rows"), radius)
+        joined = joined.join(found, ["f0", "f1"], "left")
+        extra = [F.when(asks, F.col("n_within")).alias("n_within")]
+    # repeated rows again, in two steps so that no array grows long
+    step = 1 << 12
+    joined = joined.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / step)))).withColumn("_m", F.explode(F.sequence(F.lit(1), F.least(F.lit(step), F.col("_rows") - F.col("_m") * step).cast("int"))))
     f, e, n = (tuple(F.coalesce(F.col(f"{x}{k}"), F.col(f"f{k}")) for k in (0, 1)) for x in "fen")
-    return joined.select("doc_id", "n_chars", "edited_sha256", _shown(*f).alias("fingerprint"), _shown(*e).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"))
+    return joined.select("doc_id", "n_chars", "edited_sha256", _shown(*f).alias("fingerprint"), _shown(*e).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"), *extra)
 
 
-def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
-    """query_id, doc_id, distance: all fingerprints of `prints` (doc_id, f0, f1) within `radius` bits of those of `queries` (the same columns).
+def _block(j: int, width: int, names: tuple[str, str] = ("f0", "f1")) -> Column:
+    word, shift = divmod(j * width, 64)
+    return F.shiftrightunsigned(F.col(names[word]), shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
-    `blocks` divides 128 and exceeds `radius`. Rows of `prints` with equal fingerprints travel as one class and are joined back at the end, so a
-    large group of copies meets a query once."""
+
+def _close(asked: DataFrame, classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """q0, q1, the columns of `classes` (f0, f1 and others) and the distance of all pairs within the radius, each once.
+
+    A table for each choice of blocks - radius blocks; a pair is taken from the first table whose blocks agree."""
     width = BITS // blocks
     if blocks <= radius or BITS % blocks or width > 64:
         raise ValueError("blocks must divide 128, exceed the radius, and have 64 bits at most")
-    mask = (1 << width) - 1 if width < 64 else -1
-
-    def block(j: int) -> Column:
-        word, shift = divmod(j * width, 64)
-        return F.shiftrightunsigned(F.col(f"f{word}"), shift).bitwiseAND(F.lit(mask))
+    choices = list(combinations(range(blocks), blocks - radius))
 
-    def keyed(df: DataFrame) -> DataFrame:
-        tables = [F.struct(F.lit(t).alias("table"), F.xxhash64(*(block(j) for j in chosen)).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+    def keyed(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+        tables = [F.struct(F.lit(t).alias("table"), F.xxhash64(*(_block(j, width, names) for j in chosen)).alias("key")) for t, chosen in enumerate(choices)]
         return df.withColumn("_k", F.explode(F.array(*tables))).select("*", "_k.table", "_k.key").drop("_k")
 
+    differ = [F.col("f0").bitwiseXOR(F.col("q0")), F.col("f1").bitwiseXOR(F.col("q1"))]
+    same = lambda j: F.shiftrightunsigned(differ[j * width // 64], j * width % 64).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) == 0
+    first = None
+    for t, chosen in enumerate(choices):
+        agree = F.lit(True)
+        for j in chosen:
+            agree = agree & same(j)
+        first = F.when(agree, t) if first is None else first.when(agree, t)
+    distance = F.bit_count(differ[0]) + F.bit_count(differ[1])
+    met = keyed(asked, ("q0", "q1")).join(keyed(classes, ("f0", "f1")), ["table", "key"])
+    return met.where((distance <= radius) & (first == F.col("table"))).withColumn("distance", distance).drop("table", "key")
+
+
+def near_counts(asked: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """f0, f1, n_within: for each distinct fingerprint asked for (f0, f1), the rows of `prints` (f0, f1, _rows: how many rows it stands for) within the radius."""
+    classes = prints.groupBy("f0", "f1").agg(F.sum("_rows").alias("_rows"))
+    questions = asked.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
+    return _close(questions, classes, radius, blocks).groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("_rows").alias("n_within"))
+
+
+def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """query_id, doc_id, distance: all fingerprints of `prints` (doc_id, f0, f1) within `radius` bits of those of `queries` (the same columns).
+
+    `blocks` divides 128 and exceeds `radius`. Rows of `prints` with equal fingerprints travel as one class and are joined back at the end, so a
+    large group of copies meets a query once."""
     classes = prints.select("f0", "f1").distinct()
     asked = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
-    left = keyed(asked.select(F.col("q0").alias("f0"), F.col("q1").alias("f1"))).withColumnsRenamed({"f0": "q0", "f1": "q1"})
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("q1")))
-    close = left.join(keyed(classes), ["table", "key"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("q0", "q1", "f0", "f1", "distance").distinct()
+    close = _close(asked, classes, radius, blocks)
     named = queries.select(F.col("doc_id").alias("query_id"), F.col("f0").alias("q0"), F.col("f1").alias("q1")).join(close, ["q0", "q1"])
     return named.join(prints.select("doc_id", "f0", "f1"), ["f0", "f1"]).select("query_id", "doc_id", "distance")

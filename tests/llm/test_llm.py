@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skyquarry.llm import components, decontam, jaccard, lm, pieces, pii, quality, repeats, simhash, tokencount, toxicity
@@ -342,8 +343,41 @@ def test_simhash(spark, documents, texts, empty):
         assert same.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
     assert got[15].near_edited > got[15].near_next  # 400 words
     assert simhash.compare_edits(empty).count() == 0
-    odd = spark.createDataFrame([(None, "alone here"), (1, "one two three four"), (1, "one two three four"), (1, "other text"), (2, None)], "doc_id long, text string")
-    assert simhash.compare_edits(odd).count() == 5
+    odd = spark.createDataFrame([(None, "alone here"), (None, "alone here"), (None, "zz"), (1, "one two three four"), (1, "one two three four"), (1, "other text"), (2, None)] + [(3, "again and again and again")] * 5000, "doc_id long, text string")
+    out = simhash.compare_edits(odd).collect()
+    assert Counter(r.doc_id for r in out) == {None: 3, 1: 3, 2: 1, 3: 5000}
+    # the next document of a repeated id is one of its texts, for the edit and for the likeness
+    repeated = spark.createDataFrame([(0, "p q r s t u v w"), (1, "aa bb"), (1, "zz yy")], "doc_id long, text string")
+    r = rows(simhash.compare_edits(repeated.where("doc_id = 0").union(repeated.where("doc_id = 1"))).where("doc_id = 0"))[0]
+    chosen = next(t for t in ("aa bb", "zz yy") if hashlib.sha256(("p q r s t u " + t[:3]).encode()).hexdigest() == r.edited_sha256)
+    assert r.near_next == 1 - (int(r.fingerprint, 16) ^ int(brute_simhash(chosen), 16)).bit_count() / 128
+
+
+def brute_simhash(text):
+    """The fingerprint from its definition, with a library's hash."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    runs = [words[i : i + 3] for i in range(len(words) - 2)] if len(words) >= 3 else [[" ".join(words)]] if words else []
+
+    def hashed(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64(p, seed=seed).intdigest()
+        return seed
+
+    weights = Counter(hashed([w.encode() for w in run]) for run in runs)
+    weights = {t: n.bit_length() for t, n in weights.items()}
+    out = ""
+    for bits in (lambda t: t, lambda t: hashed([t.to_bytes(8, "little"), (0x5DEECE66D).to_bytes(8, "little")])):
+        out += f"{sum(1 << i for i in range(64) if 2 * sum(w for t, w in weights.items() if bits(t) >> i & 1) > sum(weights.values())):016x}"
+    return out
+
+
+def test_simhash_by_definition(documents, texts):
+    got = rows(simhash.compare_edits(documents, asks=F.col("doc_id") % 5 == 0, radius=3))
+    prints = [brute_simhash(t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == prints
+    near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count() <= 3
+    assert [got[i].n_within for i in range(len(texts))] == [sum(near(p, q) for q in prints) if i % 5 == 0 else None for i, p in enumerate(prints)]
 
 
 def test_simhash_search(spark):
