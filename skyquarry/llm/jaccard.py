@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .blocks import ROWS, ask, by_part, number_of_blocks, squeeze, unpack_sorted, unsqueeze
 from .components import components
-from .shared import fit_on_texts, map_slices, materialise, slices
+from .shared import discard, fit_on_texts, fresh, map_slices, materialise, slices
 
 GROWTH = 1.35
 SPARE = 0.3
 SELECTIVE = 2
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
-BROADCAST_ROWS = 400_000
+SALTS = 64
 SAMPLE_DOCS, SAMPLE_BYTES, COMMON_LEAST, COMMON_MOST = 6000, 20_000, 4, 200_000
 _KEYS, _LINKS = 1, 2
 
@@ -292,25 +292,28 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
         }
 
     base = materialise(map_slices(docs, f"doc_id {kind}, n long, c long, bytes long, keys array<long>", describe), "sets")
-    full = base.where("n > 0")
-    classes = full.groupBy("c").agg(F.min("doc_id").alias("first"), F.max("bytes").alias("bytes"))
+    full = base.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # a class has at most SALTS rows here, so that its documents can be dealt out wherever they meet something of the class
+    dealt = full.groupBy("c", "salt").agg(F.min("doc_id").alias("first"), F.max("bytes").alias("bytes"))
+    classes = dealt.groupBy("c").agg(F.min("first").alias("first"), F.max("bytes").alias("bytes"))
     stars = _stars(full, number_of_blocks(docs))
     near = components(stars, "near")
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_b") / BLOCK_BYTES)).cast("int").alias("_blocks"))
-    block = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c"), "_blocks").cast("int"))
-    # Few candidates are sent to the texts; beyond the bound both sides are dealt out.
-    asked = F.broadcast(block) if members.count() <= BROADCAST_ROWS else block
+    # written, so that Spark knows its size when it chooses the join with the texts
+    asked = materialise(members.join(sizes, "root").select("root", "c", "first", "_blocks", F.pmod(F.xxhash64("c"), "_blocks").cast("int").alias("block")), "asked")
     texts = docs.withColumnRenamed("doc_id", "first").join(asked, "first").select("root", "c", "block", "_blocks", "text")
     pairs = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "c", "block", "text")
     links = materialise(_verify(pairs, k, num, den), "links")
+    for done in (members, asked):
+        discard(done)
     whole = components(links, "linked")
     ids = whole.withColumnRenamed("node", "c").join(classes.select("c", "first"), "c")
     best = ids.groupBy("root").agg(F.min("first").alias("component"))
     named = classes.select("c", "first").join(ids.join(best, "root").select("c", "component"), "c", "left").select("c", F.coalesce("component", "first").alias("component"))
-    # Written first: the join of a class with its documents then has no aggregation in its stage, and a hot class can be split.
-    named = materialise(named, "named")
-    rows = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
+    # Written first: the join with the documents then has no aggregation in its stage.
+    named = materialise(dealt.select("c", "salt").join(named, "c"), "named")
+    rows = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(named, ["c", "salt"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -318,9 +321,10 @@ def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """The rows, with all their columns, of one document of each group: that with the smallest doc_id (then by a hash of the text).
 
     Documents without words are no group and stay; of rows with equal doc_id and text one stays."""
-    marked = documents.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    rows = marked.select(F.struct("doc_id", "_row_key").alias("doc_id"), "text")
-    kept = join(rows, k, num, den).where("component_id = doc_id").select(F.col("doc_id._row_key").alias("_row_key")).distinct()
-    order = Window.partitionBy("_row_key").orderBy("_row_key")
-    once = marked.join(kept, "_row_key", "left_semi").withColumn("_row_rank", F.row_number().over(order))
-    return once.where("_row_rank = 1").select(*(F.col(f"`{c}`") for c in documents.columns))
+    key, rank = fresh(documents, "_row_key", "_row_rank")
+    marked = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = marked.select(F.struct("doc_id", F.col(key).alias("key")).alias("doc_id"), "text")
+    kept = join(rows, k, num, den).where("component_id = doc_id").select(F.col("doc_id.key").alias(key)).distinct()
+    order = Window.partitionBy(key).orderBy(key)
+    once = marked.join(kept, key, "left_semi").withColumn(rank, F.row_number().over(order))
+    return once.where(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -71,7 +71,7 @@ def _shifted(a: np.ndarray, first: np.ndarray, start) -> np.ndarray:
 
 def _distinct(h: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, inverse = np.unique(h, return_inverse=True)
-    return keys, inverse, np.bincount(inverse, weights=train, minlength=len(keys)).astype(np.uint32)
+    return keys, inverse.astype(np.int32), np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
 
 
 def _chain(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -94,7 +94,8 @@ class _Block:
         self.ids = table["doc_id"]
         self.h, self.first = _tokens(table)
         lengths = np.diff(np.append(self.first, len(self.h)))
-        self.train = np.repeat(table["_train"].to_numpy().astype(np.float64), lengths)
+        self.train = np.repeat(table["_train"].to_numpy().astype(bool), lengths)
+        del table
         self.words, self.of, self.own = _distinct(self.h, self.train)
         self.pair = _chain(_shifted(self.h, self.first, START), self.h) & _PAIR_BITS
         self.pairs, self.pair_of, self.pair_own = _distinct(self.pair, self.train)
@@ -104,7 +105,7 @@ class _Block:
         got = answers(held, _PAIRS, np.uint64)
         self.c2, self.here = got >> np.uint64(1), (got & np.uint64(1)) > 0  # of distinct pairs; whether this block accounts for it
         self.ends = self.c[np.searchsorted(self.words, END)] if len(self.words) else np.uint64(0)
-        one = np.zeros(len(self.pairs), np.int64)  # a place of each distinct pair
+        one = np.zeros(len(self.pairs), np.int32)  # a place of each distinct pair
         one[self.pair_of] = np.arange(len(self.h))
         self.second = self.of[one]
         self.first_word = _shifted(self.of, self.first, -1)[one]  # -1: the start
@@ -112,7 +113,7 @@ class _Block:
         # triples: places whose history is a pair seen twice or more
         inner = np.ones(len(self.h), bool)
         inner[self.first] = False
-        at = np.flatnonzero(inner)
+        at = np.flatnonzero(inner).astype(np.int32)
         at = at[self.c2[self.pair_of[at - 1]] >= 2]
         history, last = self.pair_of[at - 1], self.c2[self.pair_of[at]]
         thick = self.c2[history] >= dense
@@ -124,9 +125,9 @@ class _Block:
         whole = _chain(self.pair[self.at - 1], self.h[self.at])
         key = np.where(thick[kept], whole, (self.pairs[self.history] & _HIGH) | (whole & _LOW))
         every = np.concatenate([key, self.pairs[lone] & _HIGH])
-        self.triples, of, self.triple_own = _distinct(every, np.concatenate([self.train[self.at], np.zeros(len(lone))]))
+        self.triples, of, self.triple_own = _distinct(every, np.concatenate([self.train[self.at], np.zeros(len(lone), bool)]))
         self.triple_of = of[: len(key)]
-        self.triple_history = np.zeros(len(self.triples), np.int64)
+        self.triple_history = np.zeros(len(self.triples), np.int32)
         self.triple_history[of] = np.concatenate([self.history, lone])
 
     def stats(self) -> np.ndarray:
@@ -155,13 +156,13 @@ class Automaton:
         c, c2, u = (x.astype(np.float64) for x in (b.c, b.c2, b.u))
         n_words, n_pairs = len(b.words), len(b.pairs)
         start = 1 + n_words
-        word_state = np.append(np.where(c > 0, 1 + np.arange(n_words), 0), start)  # the last: of the start, index -1
+        word_state = np.append(np.where(c > 0, 1 + np.arange(n_words), 0), start).astype(np.int32)  # the last: of the start, index -1
         kept = np.zeros(n_pairs)
         kept[b.triple_history] = mass
         thick = b.c2 >= dense
         kept[thick] = c2[thick]
         real = (c2 >= 2) & (kept > 0) & (b.words[b.second] != END)
-        pair_state = np.where(real, start + 1 + np.cumsum(real) - 1, 0)
+        pair_state = np.where(real, start + np.cumsum(real), 0).astype(np.int32)
         g1 = np.where(u > 0, novel[0][_bin(b.u)], 1.0)
         g2 = novel[1][_bin(b.c2)]
         root = (c + ALPHA) / rest
@@ -169,10 +170,10 @@ class Automaton:
         second = np.where(seen, (1 - g1) * c2 / np.maximum(u, 1) + g1 * root[b.second], 1.0)
         arc_target = np.where(real, pair_state, word_state[b.second])
         mine = b.triple_history
-        last = np.zeros(len(b.triples), np.int64)  # the pair of a triple's last two words
+        last = np.zeros(len(b.triples), np.int32)  # the pair of a triple's last two words
         last[b.triple_of] = b.pair_of[b.at]
         third = np.where(c3 > 0, (1 - g2[mine]) * c3 / np.maximum(kept[mine], 1) + g2[mine] * second[last], 1.0)
-        failure = np.zeros(start + 1 + int(real.sum()), np.int64)
+        failure = np.zeros(start + 1 + int(real.sum()), np.int32)
         weight = np.zeros(len(failure))
         known = np.flatnonzero(c > 0)
         weight[1 + known] = np.log10(novel[0][_bin(b.c[known])])
@@ -180,12 +181,12 @@ class Automaton:
             weight[start] = np.log10(novel[0][_bin(np.array([b.ends]))[0]])
         failure[pair_state[real]] = word_state[b.second[real]]
         weight[pair_state[real]] = np.log10(g2[real])
-        arc3 = np.full(len(b.h), -1, np.int64)
+        arc3 = np.full(len(b.h), -1, np.int32)
         arc3[b.at] = np.where(c3[b.triple_of] > 0, b.triple_of, -1)
-        arc2 = np.where(seen[b.pair_of], len(b.triples) + b.pair_of, -1)
-        arc1 = len(b.triples) + n_pairs + b.of
+        arc2 = np.where(seen[b.pair_of], np.int32(len(b.triples)) + b.pair_of, np.int32(-1))
+        arc1 = np.int32(len(b.triples) + n_pairs) + b.of
         return cls(
-            start, np.concatenate([pair_state[mine], word_state[b.first_word], np.zeros(n_words, np.int64)]), np.concatenate([arc_target[last], arc_target, word_state[:-1]]),
+            start, np.concatenate([pair_state[mine], word_state[b.first_word], np.zeros(n_words, np.int32)]), np.concatenate([arc_target[last], arc_target, word_state[:-1]]),
             np.log10(np.concatenate([third, second, root])), failure, weight, (arc3, arc2, arc1),
         )
 
@@ -197,7 +198,7 @@ class Automaton:
         within = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * piece
         warm = np.minimum(within, 2)  # tokens read ahead to be in the right state
         begin, size = first[doc] + within - warm, np.minimum(sizes[doc] - within, piece) + warm
-        state = np.where(within == warm, self.start, 0)
+        state = np.where(within == warm, self.start, 0).astype(np.int32)
         order = np.argsort(-size, kind="stable")
         begin, size, warm, doc, state = begin[order], size[order], warm[order], doc[order], state[order]
         total = np.zeros(len(doc))

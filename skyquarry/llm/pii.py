@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 KINDS = ("email", "phone", "ip", "date", "ssn", "card", "secret")
 ROUNDS = 8
 #: Fixed patterns, one for each kind.
@@ -212,10 +214,11 @@ def pseudonymise(documents: DataFrame, key: str, counts: bool = True) -> DataFra
     plain = lambda m, k: F.struct(k.alias("kind"), F.lit(1).alias("n"), pseudonym(m, k, key).alias("new"))
     cards = lambda m: F.transform(F.array(_run(m, key)), lambda r: F.struct(F.lit("card").alias("kind"), r["n"].alias("n"), r["new"].alias("new")))[0]
     known = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.when(k == "run", cards(m)).otherwise(plain(m, k)))[0]
-    df = documents.withColumn("_m", F.transform(F.coalesce(found, none), known))
+    (hits,) = fresh(documents, "_m")
+    df = documents.withColumn(hits, F.transform(F.coalesce(found, none), known))
     parts = F.split("text", PATTERN, -1)
-    rebuilt = F.array_join(F.zip_with(parts, F.col("_m.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    df = df.withColumn("text", F.when(F.size("_m") > 0, rebuilt).otherwise(text))
+    rebuilt = F.array_join(F.zip_with(parts, F.col(f"{hits}.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    df = df.withColumn("text", F.when(F.size(hits) > 0, rebuilt).otherwise(text))
     if counts:
-        df = df.withColumns({f"n_{k}": F.aggregate(F.filter("_m", _is(k)), F.lit(0), lambda n, s: n + s["n"]).cast("long") for k in KINDS})
-    return df.drop("_m")
+        df = df.withColumns({f"n_{k}": F.aggregate(F.filter(hits, _is(k)), F.lit(0), lambda n, s: n + s["n"]).cast("long") for k in KINDS})
+    return df.drop(hits)

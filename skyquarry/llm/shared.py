@@ -34,20 +34,45 @@ def fold(doc_id: Column, k: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and there is but one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='skyquarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_WRITTEN = "_skyquarry_path"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _WRITTEN, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `materialise` wrote for df, once nothing that is still to run reads it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(df, _WRITTEN))
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
