@@ -266,30 +266,72 @@ def test_token_counts(documents, texts, empty):
     assert tokencount.count(empty, MODEL).count() == 0
 
 
-def test_decontamination(spark, empty):
+def brute_contamination(docs, items):
+    """For each document {item: overlap}, by laying every item at every place."""
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for d in map(split, docs):
+        found = {}
+        for k, item in enumerate(map(split, items)):
+            n, best = len(item), 0
+            width = min(n, 13)
+            for diagonal in range(-n + 1, len(d)) if n else ():
+                same = {i: d[diagonal + i] == item[i] for i in range(n) if 0 <= diagonal + i < len(d)}
+                cover = set()
+                for a in range(n - width + 1):
+                    places = range(a, a + width)
+                    if all(i in same for i in places) and sum(same[i] for i in places) >= width - 2 * width // 13:
+                        cover.update(i for i in places if same[i])
+                best = max(best, len(cover))
+            if best:
+                found[k] = best / n
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("bits", [28, 6])
+def test_decontamination(spark, empty, bits):
     rnd = random.Random(4)
-    items = [prose(rnd, n) for n in (3, 6, 13, 20, 40)] + [None, ""]
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
-    around = lambda t: f"{prose(rnd, 30)} {t} {prose(rnd, 30)}"
+    unique = lambda n, k: " ".join(f"q{k}w{i}" for i in range(n))
+    items = [unique(n, n) for n in (*range(1, 16), 20, 40)] + [prose(rnd, 30), "word word " * 9]
+    around = lambda t: f"{prose(rnd, 25)} {t} {prose(rnd, 25)}"
     swap = lambda t, places: " ".join("zzz" if i in places else w for i, w in enumerate(t.split(" ")))
-    docs = [around(items[2]), around(items[4]).upper(), around(swap(items[3], {4, 15})), around(items[1]), around(swap(items[1], {2})), around(items[0]), prose(rnd, 90), None, "", around(swap(items[4], set(range(0, 40, 3)))), around(items[3]) + items[4]]
-    want = [{2}, {4}, {3}, {1}, set(), set(), set(), set(), set(), set(), {3, 4}]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
-    for size in (32 << 20, 60):  # in one block, and in several
-        got = rows(decontam.overlaps(df, bench, block_bytes=size))
-        assert [{h.item_id for h in got[i].hits} for i in range(len(docs))] == want
-        assert sorted(r.doc_id for r in decontam.clean(df, bench, block_bytes=size).collect()) == [i for i, w in enumerate(want) if not w]
-    flags = rows(decontam.flags(df, bench))
-    assert flags[0].overlap == 1.0 and flags[0].word == 30 and flags[2].overlap == 0.9 and not flags[6].contaminated
+    docs = []
+    for t in items:
+        n = len(t.split())
+        docs += [around(t), t.upper(), *(around(swap(t, set(rnd.sample(range(n), min(n, e))))) for e in (1, 1, 1, 2, 2, 3)), around(t[: len(t) // 2])]
+    docs += [None, "", "...", prose(rnd, 60), around(items[15] + " and " + items[12])]
+    want = brute_contamination(docs, items)
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(77, items[3]), (78, None), (79, ""), (None, "?!")], "item_id short, text string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], "doc_id long, text string, _mark string, item_id int")
+    got = rows(decontam.overlaps(df, bench, most_bits=bits))
+    for i, w in enumerate(want):
+        assert {h.item_id: h.overlap for h in got[i].hits} == pytest.approx(w), docs[i]
+    kept = decontam.clean(df, bench, most_bits=bits)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if not w]
+    flags = rows(decontam.flags(df, bench, most_bits=bits))
+    assert all((flags[i].contaminated, flags[i].n_items) == (bool(w), len(w)) and flags[i].overlap == pytest.approx(max(w.values(), default=0)) for i, w in enumerate(want))
+    assert flags[0].word == 25
+
+
+def test_decontamination_rows(spark, empty):
+    bench = spark.createDataFrame([("a", "one two three four")], "item_id string, text string")
+    df = spark.createDataFrame([(None, "x one two three four"), (None, "x one two three four"), (1, "one two"), (1, "one two three four"), (2, None)], "doc_id int, text string")
+    got = sorted(((r.doc_id or 0, r.contaminated, r.item_id, r.word) for r in decontam.flags(df, bench).collect()), key=str)
+    assert got == sorted([(0, True, "a", 1), (0, True, "a", 1), (1, False, None, None), (1, True, "a", 0), (2, False, None, None)], key=str)
+    assert decontam.clean(df, bench).count() == 2
     assert decontam.flags(empty, bench).count() == 0
     assert decontam.flags(df, bench.where("false")).where("contaminated").count() == 0
+    assert decontam.clean(df, bench.where("false")).count() == 5
 
 
 def test_masks_are_sensitive():
     from itertools import combinations
 
-    for bad in combinations(range(decontam.WINDOW), decontam.ERRORS):
-        assert any(not set(bad) & {o + i for i in mask} for mask in decontam.MASKS for o in range(decontam.WINDOW - decontam.SPAN + 1))
+    for n in range(1, 16):
+        width = min(n, decontam.WINDOW)
+        for bad in combinations(range(width), decontam.tolerance(n)):
+            assert any(not set(bad) & {o + i for i in mask} for mask, only in decontam.shapes(n) for o in (range(width - mask[-1]) if only is None else [only])), (n, bad)
 
 
 def luhn(s):
