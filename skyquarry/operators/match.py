@@ -1,4 +1,12 @@
-"""Calibration matching: all lights against all candidates of a rule in one join and one window."""
+"""Calibration matching without pairs of frames.
+
+Frames with equal values in a rule's fields have one profile. Which profiles of lights and of candidates fit, and how many candidates that makes, is a
+join of distinct profiles with their counts. The lights of a profile with at most `MANY` candidates rank all of these. Of a larger one's candidates a light needs only the nearest few in time and their number: they are gathered by hour; each
+hour's list is carried on as the few nearest before and after it, and as a running count, over a table of hours. A light meets its
+own hour's list, the two carried ones and its night's, and the counts at both ends of the age limit. So the rows that
+are ranked are a bounded number for each light, and the work grows with the frames. A list holds what one profile takes in an hour (for the
+same-session preference, in a night): of candidates with one moment and kind the `limit` smallest ids, the others are only counted.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The fields that a rule can match on.
 MATCH_FIELDS = ("camera_id", "rig_id", "filter_id", "gain", "offset_adu", "binx", "biny", "readout_mode", "set_temp_c", "exposure_s", "rotator_deg")
 
 
@@ -42,11 +51,6 @@ DEFAULT_RULES = (
 )
 
 
-def _days(a: Column, b: Column) -> Column:
-    """Completed days between two moments, without sign."""
-    return F.abs(F.timestamp_diff("DAY", a, b))
-
-
 def _number(c: Column) -> Column:
     """Whole numbers plainly, others with six significant digits."""
     d = c.cast("double")
@@ -67,82 +71,283 @@ def _condition(rule: Rule) -> tuple[list[Column], list[Column]]:
     return equal, rest
 
 
-def candidates(frames: DataFrame, rule: Rule, lights: DataFrame | None = None) -> DataFrame:
-    """All matches of a rule: the light's columns with l_ and the candidate's, one row for each pair."""
-    lights = frames.where("image_type = 'light'") if lights is None else lights
-    left = lights.select(*(F.col(c).alias(f"l_{c}") for c in ("frame_id", "date_obs_utc", "session_night", *rule.spec)))
-    kind = (F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target))
-    right = frames.where(kind).select("frame_id", "image_type", "session_night", "date_obs_utc", *rule.spec)
+MANY = 256
+_SECOND, _HOUR, _DAY = 1_000_000, 3_600_000_000, 86_400_000_000
+_COLUMNS = ("us", "frame_id", "image_type", "session_night", "m", "w")
+
+
+def _micros(c: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
+def _profile(rule: Rule) -> Column:
+    """One text for equal values of the rule's fields."""
+    return F.to_json(F.struct(*rule.spec)) if rule.spec else F.lit("")
+
+
+def _keyed(df: DataFrame, rule: Rule, asks: bool) -> DataFrame:
+    """df with an equality column _k<field> for each field with a tolerance, a cell of its width: a light asks for three cells, or, without a
+    value, for the key that all candidates offer."""
+    for name, how in _tolerant(rule):
+        value = F.col(f"l_{name}") if asks else F.col(name)
+        cell, every = F.floor(value.cast("double") / (how or 1.0)), F.lit(None).cast("long")
+        keys = F.when(value.isNull(), F.array(every)).otherwise(F.sequence(cell - 1, cell + 1)) if asks else F.array_distinct(F.array(cell, every))
+        df = df.withColumn(f"_k{name}", F.explode(keys))
+    return df
+
+
+def _tolerant(rule: Rule) -> list[tuple[str, float]]:
+    return [(n, how) for n, how in rule.spec.items() if not isinstance(how, str)]
+
+
+def _fitting(lights: DataFrame, others: DataFrame, rule: Rule) -> DataFrame:
+    """p, q, nq: the profiles of lights and of candidates that fit, and the candidates of q."""
+    left = _keyed(lights.select("p", *(F.col(c).alias(f"l_{c}") for c in rule.spec)).distinct(), rule, True)
+    right = _keyed(others.groupBy("q", *rule.spec).agg(F.count("*").alias("nq")), rule, False)
     equal, rest = _condition(rule)
-    if rule.max_age_days is not None:
-        rest.append(F.col("date_obs_utc").isNull() | F.col("l_date_obs_utc").isNull() | (_days(F.col("date_obs_utc"), F.col("l_date_obs_utc")) <= rule.max_age_days))
-        # Cells of the age limit as one more equality: a light asks its own cell and both beside it. Undated rows share the cell of none.
-        cell = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / (rule.max_age_days + 1))
-        dated = left.where("l_date_obs_utc is not null").withColumn("_cell", F.explode(F.array(*(cell("l_date_obs_utc") + i for i in (-1, 0, 1)))))
-        near = dated.join(right.where("date_obs_utc is not null").withColumn("_c", cell("date_obs_utc")), [F.col("_cell") == F.col("_c"), *equal, *rest]).drop("_cell", "_c")
-        undated = left.where("l_date_obs_utc is not null").join(right.where("date_obs_utc is null"), [*equal, *rest] or [F.lit(True)])
-        free = left.where("l_date_obs_utc is null").join(right, [*equal, *rest] or [F.lit(True)])
-        return near.unionByName(undated).unionByName(free)
-    return left.join(right, [*equal, *rest] or [F.lit(True)])
-
-
-def ranking(rule: Rule, undated_first: bool = False) -> list[Column]:
-    """Masters, then the same session, then the nearest in time, then the id; undated candidates are last unless asked for."""
-    near = F.abs(F.timestamp_diff("SECOND", "date_obs_utc", "l_date_obs_utc"))
+    keys = [left[f"_k{n}"].eqNullSafe(right[f"_k{n}"]) for n, _ in _tolerant(rule)]
+    return left.join(right, [*equal, *keys, *rest] or [F.lit(True)]).select("p", "q", "nq")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _nearest(entries: Column, limit: int, latest: bool) -> Column:
+    """The `limit` latest (or earliest) entries of each kind, and those whose whole seconds could tie with the last of them."""
+
+    def of(kind: bool) -> Column:
+        ordered = F.sort_array(F.filter(entries, lambda e: e["m"] == kind), asc=not latest)
+        second = lambda e: F.floor(e["us"] / _SECOND)
+
+        def cut(every: Column) -> Column:
+            return F.when(F.size(every) <= limit, every).otherwise(F.filter(every, lambda e: (second(e) >= second(every[limit - 1]) - 1) if latest else (second(e) <= second(every[limit - 1]) + 1)))
+
+        return _once(ordered, cut)
+
+    return F.concat(of(True), of(False))
+
+
+@dataclass(frozen=True)
+class _Gathered:
+    """lights: with their profile p, l_us, hour and n (candidates that fit); few: p and its candidates; many: the candidates of larger
+    profiles; least, most: the smallest and the largest n, so that a plan leaves out what it has no profiles for."""
+
+    lights: DataFrame
+    few: DataFrame
+    many: DataFrame
+    least: int
+    most: int
+
+
+def _gathered(frames: DataFrame, rule: Rule, lights: DataFrame, limit: int, few: int) -> _Gathered:
+    left = lights.withColumns({"p": _profile(rule), "l_us": _micros(F.col("date_obs_utc"))}).withColumn("hour", F.floor(F.col("l_us") / _HOUR))
+    kind = (F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target))
+    right = frames.where(kind).withColumns({"q": _profile(rule), "us": _micros(F.col("date_obs_utc"))})
+    fit = _fitting(left, right, rule)
+    sizes = fit.groupBy("p").agg(F.sum("nq").alias("n"))
+    fit = fit.join(sizes, "p").select("p", "q", "n")
+    entries = right.select("q", F.floor(F.col("us") / _HOUR).alias("hour"), "us", "frame_id", "image_type", "session_night", (F.col("image_type") == "master").alias("m"))
+    small = entries.join(fit.where(F.col("n") <= few), "q").select("p", *(c for c in _COLUMNS if c != "w"))
+    alike = Window.partitionBy("p", "hour", "us", "m", "session_night")
+    large = entries.join(fit.where(F.col("n") > few), "q").withColumns({"_r": F.row_number().over(alike.orderBy("frame_id")), "w": F.count("*").over(alike)})
+    large = large.where(F.col("_r") <= limit).withColumn("w", F.when(F.col("_r") == 1, F.col("w")).otherwise(0))
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    return _Gathered(left.join(sizes, "p", "left"), small, large.select("p", "hour", *_COLUMNS), least or 0, most or 0)
+
+
+def _totals(lights: DataFrame, hours: DataFrame, rule: Rule) -> DataFrame:
+    """p, hour, before: how many dated candidates of a profile are in earlier hours, for the hours that hold some or are asked for."""
+    asked = lights.select("p", "hour")
+    running = Window.partitionBy("p").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    both = hours.select("p", "hour", "n").unionByName(asked.distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("p", "hour").agg(F.sum("n").alias("n"))
+    return both.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+
+
+def _in_time(rule: Rule) -> Column:
+    """Whether a candidate is within the rule's age limit of the light, in whole days; without one of the dates it is."""
+    return F.lit(True) if rule.max_age_days is None else F.coalesce(F.abs(F.col("us") - F.col("l_us")) < (rule.max_age_days + 1) * _DAY, F.lit(True))
+
+
+def _counted(left: DataFrame, entries: DataFrame, rule: Rule) -> DataFrame:
+    """frame_id, total of the lights of large profiles."""
+    if rule.max_age_days is None:
+        return left.select("frame_id", F.col("n").alias("total"))
+    reach = (rule.max_age_days + 1) * _DAY  # whole days count, so the limit ends a day later
+    dated = entries.where("us is not null")
+    moments = dated.groupBy("p", "hour").agg(F.sum("w").alias("n"), F.collect_list(F.struct("us", "w")).alias("_at"))
+    ends = left.where("l_us is not null").select("p", "frame_id", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("l_us") - reach + 1).alias("us")), F.struct(F.lit(1).alias("sign"), (F.col("l_us") + reach).alias("us")))).alias("e")).select("p", "frame_id", "e.sign", "e.us", F.floor(F.col("e.us") / _HOUR).alias("hour"))
+    sums = _totals(ends, moments, rule)
+    at = sums.join(moments.select("p", "hour", "_at"), ["p", "hour"], "left")
+    inside = F.aggregate(F.filter(F.coalesce("_at", F.expr("cast(array() as array<struct<us: bigint, w: bigint>>)")), lambda e: e["us"] < F.col("us")), F.lit(0).cast("long"), lambda n, e: n + e["w"])
+    near = ends.join(at, ["p", "hour"]).withColumn("_n", F.col("sign") * (F.col("before") + inside)).groupBy("frame_id").agg(F.sum("_n").alias("_dated"))
+    undated = entries.where("us is null").groupBy("p").agg(F.sum("w").alias("_undated"))
+    joined = left.join(near, "frame_id", "left").join(undated, "p", "left")
+    return joined.select("frame_id", F.when(F.col("l_us").isNull(), F.col("n")).otherwise(F.coalesce("_dated", F.lit(0)) + F.coalesce("_undated", F.lit(0))).alias("total"))
+
+
+def _listed(left: DataFrame, entries: DataFrame, rule: Rule, limit: int) -> DataFrame:
+    """The lights of large profiles with `near`: entries among which are their best `limit` candidates, each once."""
+    entry = F.struct(*_COLUMNS)
+    none = F.array().cast(entries.select(F.array(entry).alias("a")).schema["a"].dataType)
+    hours = entries.where("us is not null").groupBy("p", "hour").agg(F.collect_list(entry).alias("own"))
+    asked = left.where("l_us is not null").select("p", "hour").distinct()
+    # the few nearest of each kind of each hour, carried over the hours of a profile
+    parts = hours.select("p", F.explode(F.array(F.lit(True), F.lit(False))).alias("m"), "hour", F.col("own")).select("p", "m", "hour", *(_nearest(F.filter("own", lambda e: e["m"] == F.col("m")), limit, late).alias(name) for name, late in (("late", True), ("early", False)))).where(F.size("late") > 0)
+    steps = parts
+    for name, late in (("late", True), ("early", False)):
+        some = Window.partitionBy("p", "m").orderBy(F.col("hour") if late else F.desc("hour")).rowsBetween(1 - limit, 0)
+        steps = steps.withColumn(f"_{name}", F.collect_list(name).over(some))
+    steps = steps.select("p", "m", "hour", *(_nearest(F.flatten(f"_{name}"), limit, late).alias(name) for name, late in (("late", True), ("early", False))))
+    wanted = asked.select("p", F.explode(F.array(F.lit(True), F.lit(False))).alias("m"), "hour", F.lit(True).alias("_asked"))
+    both = steps.unionByName(wanted, allowMissingColumns=True)
+    for name, back in (("late", False), ("early", True)):
+        order = Window.partitionBy("p", "m").orderBy(F.desc("hour") if back else F.col("hour"), F.col("_asked").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn(f"_{name}", F.last(name, ignorenulls=True).over(order))
+    around = both.where("_asked").groupBy("p", "hour").agg(F.flatten(F.collect_list(F.concat(F.coalesce("_late", none), F.coalesce("_early", none)))).alias("around"))
+    lists = around.join(hours, ["p", "hour"], "left").select("p", "hour", F.concat("around", F.coalesce("own", none)).alias("near"))
+    dated = left.where("l_us is not null").join(lists, ["p", "hour"], "left")
+    # undated lights take the smallest ids, all lights the undated candidates
+    first = Window.partitionBy("p", "m").orderBy("frame_id")
+    small = lambda df, name: df.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).groupBy("p").agg(F.collect_list(entry).alias(name))
+    free = left.where("l_us is null").join(small(entries, "near"), "p", "left")
+    out = dated.join(small(entries.where("us is null"), "undated"), "p", "left").withColumn("near", F.concat(F.coalesce("near", none), F.coalesce("undated", none))).drop("undated").unionByName(free)
+    if rule.prefer_same_session:
+        nights = entries.where("session_night is not null").groupBy("p", F.col("session_night")).agg(F.collect_list(entry).alias("night"))
+        others = F.filter(F.coalesce("near", none), lambda e: ~e["session_night"].eqNullSafe(F.col("session_night")) | F.col("session_night").isNull())
+        out = out.join(nights, ["p", "session_night"], "left").withColumn("near", F.concat(others, F.coalesce("night", none))).drop("night")
+    return out
+
+
+def _order(rule: Rule, undated_first: bool) -> list[Column]:
+    """Masters, then the same session, then the nearest in time by whole seconds, then the id; undated candidates are last unless asked for."""
+    seconds = F.floor(F.abs(F.col("us") - F.col("l_us")) / _SECOND)
     keys = []
     if rule.prefer_masters:
-        keys.append(F.desc_nulls_last(F.col("image_type") == "master"))
+        keys.append(F.desc("m"))
     if rule.prefer_same_session:
-        keys.append(F.desc_nulls_last(F.col("session_night") == F.col("l_session_night")))
-    return [*keys, near.asc_nulls_first() if undated_first else near.asc_nulls_last(), F.col("frame_id").asc()]
+        keys.append(F.coalesce(F.col("session_night") == F.col("l_session_night"), F.lit(False)).desc())
+    return [*keys, seconds.asc_nulls_first() if undated_first else seconds.asc_nulls_last(), F.col("frame_id").asc()]
 
 
 def reason(rule: Rule) -> Column:
-    """Why a candidate matched."""
+    """Why a candidate (frame_id, image_type, date_obs_utc, session_night) matched the light, whose columns have the prefix l_; fields in the order of their names."""
     bits = []
-    for name, how in rule.spec.items():
+    for name, how in sorted(rule.spec.items()):
         light = F.col(f"l_{name}")
         text = light if name == "readout_mode" else _number(light)
         shown = F.concat(F.lit(f"{name} "), text) if isinstance(how, str) else F.concat(F.lit(f"{name} "), text, F.lit(f"±{how:g}"))
         bits.append(F.when(light.isNotNull(), shown))
     head = F.when(F.col("image_type") == "master", F.lit(f"master {rule.target}")).otherwise(F.lit(rule.target))
-    when = F.when(F.col("date_obs_utc").isNotNull() & F.col("l_date_obs_utc").isNotNull(), F.concat(_days(F.col("date_obs_utc"), F.col("l_date_obs_utc")).cast("string"), F.lit(" day(s) from light")))
+    days = F.floor(F.abs(F.col("us") - F.col("l_us")) / _DAY)
+    when = F.when(days.isNotNull(), F.concat(days.cast("string"), F.lit(" day(s) from light")))
     if rule.prefer_same_session:
         when = F.when(F.col("session_night") == F.col("l_session_night"), F.concat(F.lit("same night ("), F.col("session_night").cast("string"), F.lit(")"))).otherwise(when)
     return F.concat_ws(" · ", head, F.nullif(F.concat_ws(", ", *bits), F.lit("")), when)
 
 
-def match(frames: DataFrame, rule: Rule, limit: int = 10, lights: DataFrame | None = None, undated_first: bool = False) -> DataFrame:
+MATCHED = ("light_id", "rule", "rank", "frame_id", "image_type", "score", "reason", "total")
+
+
+def _needed(rule: Rule) -> list[str]:
+    return list(dict.fromkeys(["frame_id", "date_obs_utc", "session_night", *rule.spec]))
+
+
+def match(frames: DataFrame, rule: Rule, limit: int = 10, lights: DataFrame | None = None, undated_first: bool = False, few: int = MANY) -> DataFrame:
     """light_id, rule, rank (from 0), frame_id, image_type, score, reason, total: the best `limit` candidates of each light."""
     limit = min(100, max(1, limit))
-    pairs = candidates(frames, rule, lights)
+    lights = frames.where("image_type = 'light'") if lights is None else lights
+    g = _gathered(frames, rule, lights.select(_needed(rule)), limit, few)
     per_light = Window.partitionBy("l_frame_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(per_light.orderBy(*ranking(rule, undated_first))) - 1).withColumn("total", F.count("*").over(per_light))
-    best = ranked.where(F.col("rank") < limit)
+    rank = (F.row_number().over(per_light.orderBy(*_order(rule, undated_first))) - 1).alias("rank")
+    light = [*(F.col(c).alias(f"l_{c}") for c in _needed(rule)), "l_us"]
+    small = g.lights.where(F.col("n") <= few).select("p", *light).join(g.few, "p").where(_in_time(rule))
+    best = small.select("*", rank, F.count("*").over(per_light).alias("total")).drop("p").where(F.col("rank") < limit)
+    if g.most > few:
+        large = g.lights.where(F.col("n") > few)
+        near = _listed(large, g.many, rule, limit).select(*light, F.inline("near")).select(*(c for c in best.columns if c not in ("rank", "total"))).where(_in_time(rule))
+        first = near.select("*", rank).where(F.col("rank") < limit)
+        first = first.join(_counted(large, g.many, rule).withColumnRenamed("frame_id", "l_frame_id"), "l_frame_id").select(best.columns)
+        best = first if g.least > few else best.unionByName(first)
     return best.select(F.col("l_frame_id").alias("light_id"), F.lit(rule.name).alias("rule"), "rank", "frame_id", "image_type", (1 - F.col("rank") / (limit + 1)).alias("score"), reason(rule).alias("reason"), "total")
 
 
-def match_all(frames: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, limit: int = 10) -> DataFrame:
-    """The enabled rules in their order, with a column rule_order."""
+def _of_sets(frames: DataFrame, picks: DataFrame) -> DataFrame:
+    """The frames of each set and filter asked for (_set, _filter): those of the filter or without one, or all where the light has none."""
+    asked = picks.select(F.col("flat_set_id").alias("_set"), F.col("l_filter").alias("_filter")).distinct()
+    own = frames.select("flat_set_id", "frame_id", "image_type", "filter_id", "date_obs_utc")
+    return own.join(asked, F.col("flat_set_id") == F.col("_set")).where("_filter is null or filter_id is null or filter_id = _filter")
+
+
+def _same_set() -> list[Column]:
+    return [F.col("flat_set_id") == F.col("_set"), F.col("l_filter").eqNullSafe(F.col("_filter"))]
+
+
+def match_set(frames: DataFrame, rule: Rule, picks: DataFrame, limit: int = 10) -> DataFrame:
+    """Like `match`, for lights with a flat set (`flat_sets`): the set's frames for the light's filter, masters first, then from the oldest on.
+
+    They are ranked once for each set and filter."""
+    limit = min(100, max(1, limit))
+    own = _of_sets(frames, picks)
+    totals = own.groupBy("_set", "_filter").agg(F.count("*").alias("total"))
+    order = Window.partitionBy("_set", "_filter").orderBy((F.col("image_type") == "master").desc(), F.col("date_obs_utc").asc_nulls_first(), "frame_id")
+    best = own.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit).join(totals.select(F.col("_set").alias("_s"), F.col("_filter").alias("_f"), "total"), [F.col("_set") == F.col("_s"), F.col("_filter").eqNullSafe(F.col("_f"))])
+    rows = picks.select("light_id", "flat_set_id", "how", "label", "l_filter", "l_night").join(best.select("_set", "_filter", "rank", "frame_id", "image_type", "total"), _same_set())
+    night, label = F.col("l_night").cast("string"), F.concat(F.lit("flat set '"), F.coalesce("label", F.lit("")), F.lit("'"))
+    why = (
+        F.when(F.col("how") == "pin", F.concat(F.lit("pinned "), label, F.lit(" for "), night)).when(F.col("how") == "window", F.concat(label, F.lit(" (window covers "), night, F.lit(")")))
+        .when(F.col("how") == "on or before", F.concat(label, F.lit(" (newest on/before "), night, F.lit(", fixed rig)"))).when(F.col("how") == "active", F.concat(F.lit("active "), label, F.lit(" (fixed rig)")))
+        .otherwise(F.concat(label, F.lit(" from the same session ("), night, F.lit(")")))
+    )
+    head = F.when(F.col("image_type") == "master", F.lit("master flat · ")).otherwise(F.lit("flat · "))
+    return rows.select("light_id", F.lit(f"{rule.name} (flat set)").alias("rule"), "rank", "frame_id", "image_type", (1 - F.col("rank") / (limit + 1)).alias("score"), F.concat(head, why).alias("reason"), "total")
+
+
+def match_all(frames: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, limit: int = 10, sets: DataFrame | None = None) -> DataFrame:
+    """The enabled rules in their order (priority, then their place), with a column rule_order. sets: what `flat_sets` gives; the set of a light
+    overrides the rules for flats."""
     ordered = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
+    lights = frames.where("image_type = 'light'")
     out = None
     for k, rule in enumerate(ordered):
-        rows = match(frames, rule, limit).withColumn("rule_order", F.lit(k))
+        if rule.target == "flat" and sets is not None:
+            free = lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
+            rows = match(frames, rule, limit, free).unionByName(match_set(frames, rule, sets, limit))
+        else:
+            rows = match(frames, rule, limit, lights)
+        rows = rows.withColumn("rule_order", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def warnings(frames: DataFrame, rule: Rule) -> DataFrame:
-    """light_id, total, warning of every light: null where there are candidates enough."""
-    n = candidates(frames, rule).groupBy("l_frame_id").agg(F.count("*").alias("total"))
-    lights = frames.where("image_type = 'light'").select(F.col("frame_id").alias("light_id"))
-    total = F.coalesce("total", F.lit(0))
+def with_paths(matches: DataFrame, v_frames: DataFrame) -> DataFrame:
+    """Matches with filename, abs_path, session_night and date_obs_utc of their frames."""
+    return matches.join(v_frames.select("frame_id", "filename", "abs_path", "session_night", "date_obs_utc"), "frame_id")
+
+
+def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None, few: int = MANY) -> DataFrame:
+    """light_id, total, warning of every light: null where there are candidates enough. sets: as for `match_all`, for a rule of flats."""
+    lights = frames.where("image_type = 'light'")
+    free = lights if sets is None else lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
+    total = F.col("total")
     text = F.when(total == 0, F.lit(f"no matching {rule.target} frames found")).when(total < rule.min_frames, F.concat(F.lit("only "), total.cast("string"), F.lit(f" {rule.target} frames (rule suggests at least {rule.min_frames})")))
-    return lights.join(n, lights.light_id == n.l_frame_id, "left").select("light_id", total.alias("total"), text.alias("warning"))
+    g = _gathered(frames, rule, free.select(_needed(rule)), 1, few)
+    left = g.lights.where(F.coalesce("n", F.lit(0)) <= few)
+    met = left.select("p", "l_us", F.col("frame_id").alias("light_id")).join(g.few, "p").where(_in_time(rule)).groupBy("light_id").agg(F.count("*").alias("total"))
+    small = left.join(met, F.col("frame_id") == F.col("light_id"), "left").select(left["frame_id"], F.coalesce("total", F.lit(0)).alias("total"))
+    if g.most > few:
+        small = small.unionByName(_counted(g.lights.where(F.col("n") > few), g.many, rule))
+    out = small.select(F.col("frame_id").alias("light_id"), "total", text.alias("warning"))
+    if sets is None:
+        return out
+    own = _of_sets(frames, sets).groupBy("_set", "_filter").agg(F.count("*").alias("total"))
+    rows = sets.join(own, _same_set(), "left").select("light_id", F.coalesce("total", F.lit(0)).alias("total"))
+    return out.unionByName(rows.withColumn("warning", F.when(total == 0, F.lit("flat set resolved, but it has no flats for this filter"))))
 
 
 def flat_sets(lights: DataFrame, rigs: DataFrame, sets: DataFrame, pins: DataFrame) -> DataFrame:
-    """light_id, flat_set_id, how of each light with a set: its pin, else for a rig with a site the newest valid window, the newest on or before the night, or the active set; for one without, the same night."""
+    """light_id, flat_set_id, how, label, l_filter, l_night (the light's) of each light with a set: its pin, else for a rig with a site the newest valid window, the newest on or before the night, or the active set; for one without, the same night."""
     l = lights.select(F.col("frame_id").alias("light_id"), "rig_id", "session_night", F.col("filter_id").alias("l_filter")).join(rigs.select("rig_id", "site_id", "active_flat_set_id"), "rig_id")
     fits = F.col("filter_id").isNull() | (F.col("filter_id") == F.col("l_filter"))
     pinned = l.join(pins, ["rig_id", "session_night"]).join(sets.drop("rig_id"), "flat_set_id").where(fits).withColumn("_step", F.lit(1)).withColumn("how", F.lit("pin"))
@@ -157,7 +362,7 @@ def flat_sets(lights: DataFrame, rigs: DataFrame, sets: DataFrame, pins: DataFra
     how = F.element_at(F.create_map(F.lit(2), F.lit("window"), F.lit(3), F.lit("on or before"), F.lit(5), F.lit("same night")), F.col("_step"))
     ranked = own.withColumn("_step", step).where("_step is not null").withColumn("how", how)
     active = l.where(fixed).join(sets.drop("rig_id"), F.col("active_flat_set_id") == F.col("flat_set_id")).where(fits).withColumn("_step", F.lit(4)).withColumn("how", F.lit("active"))
-    columns = ["light_id", "flat_set_id", "filter_id", "captured_night", "_step", "how"]
+    columns = ["light_id", "flat_set_id", "filter_id", "captured_night", "_step", "how", "label", "l_filter", F.col("session_night").alias("l_night")]
     every = pinned.select(columns).unionByName(ranked.select(columns)).unionByName(active.select(columns))
     order = Window.partitionBy("light_id").orderBy("_step", F.col("filter_id").isNotNull().desc(), F.col("captured_night").desc_nulls_last(), F.desc("flat_set_id"))
-    return every.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("light_id", "flat_set_id", "how")
+    return every.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("light_id", "flat_set_id", "how", "label", "l_filter", "l_night")

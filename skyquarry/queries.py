@@ -331,7 +331,7 @@ calibration("calib_bias_ranked", "bias")
 calibration("calib_flat_session", "flat")
 
 
-@query(f"SELECT light_id, frame_id, CONCAT_WS(' · ', CASE WHEN image_type = 'master' THEN 'master bias' ELSE 'bias' END, CONCAT('camera_id ', camera_id, ', gain ', gain, ', offset_adu 50, binx ', binx, ', biny ', binx), CONCAT(days, ' day(s) from light')) AS reason FROM (SELECT l.frame_id AS light_id, c.frame_id, c.image_type, l.camera_id, l.gain, l.binx, {_DAYS} AS days, ROW_NUMBER() OVER (PARTITION BY l.frame_id ORDER BY {_MATCH['bias'][2]}) AS r FROM frames l JOIN frames c ON {_MATCH['bias'][0]} AND {_DAYS} <= 365 WHERE l.image_type = 'light') WHERE r <= 3")
+@query(f"SELECT light_id, frame_id, CONCAT_WS(' · ', CASE WHEN image_type = 'master' THEN 'master bias' ELSE 'bias' END, CONCAT('binx ', binx, ', biny ', binx, ', camera_id ', camera_id, ', gain ', gain, ', offset_adu 50'), CONCAT(days, ' day(s) from light')) AS reason FROM (SELECT l.frame_id AS light_id, c.frame_id, c.image_type, l.camera_id, l.gain, l.binx, {_DAYS} AS days, ROW_NUMBER() OVER (PARTITION BY l.frame_id ORDER BY {_MATCH['bias'][2]}) AS r FROM frames l JOIN frames c ON {_MATCH['bias'][0]} AND {_DAYS} <= 365 WHERE l.image_type = 'light') WHERE r <= 3")
 def calib_reasons(a):
     return match.match(a.frames, _rule("bias"), 3).select("light_id", "frame_id", "reason")
 
@@ -354,13 +354,40 @@ def _flat_sets(a) -> DataFrame:
     return match.flat_sets(a.frames.where("image_type = 'light'"), a.rigs, a.flat_sets, a.pins)
 
 
+_FLAT_HOW = "CASE how WHEN 'pin' THEN CONCAT('pinned flat set ''', label, ''' for ', session_night) WHEN 'window' THEN CONCAT('flat set ''', label, ''' (window covers ', session_night, ')') WHEN 'on or before' THEN CONCAT('flat set ''', label, ''' (newest on/before ', session_night, ', fixed rig)') WHEN 'active' THEN CONCAT('active flat set ''', label, ''' (fixed rig)') ELSE CONCAT('flat set ''', label, ''' from the same session (', session_night, ')') END"
+
+
+@query(f"""SELECT light_id, 'default-flat (flat set)' AS rule, CAST(r - 1 AS INT) AS rank, frame_id, CONCAT(CASE WHEN image_type = 'master' THEN 'master flat · ' ELSE 'flat · ' END, {_FLAT_HOW}) AS reason, total FROM (
+    SELECT p.light_id, p.how, s.label, l.session_night, c.frame_id, c.image_type, ROW_NUMBER() OVER (PARTITION BY p.light_id ORDER BY c.image_type = 'master' DESC, c.date_obs_utc, c.frame_id) AS r, COUNT(*) OVER (PARTITION BY p.light_id) AS total
+    FROM ({_FLAT_SETS}) p JOIN frames l ON l.frame_id = p.light_id JOIN flat_sets s ON s.flat_set_id = p.flat_set_id JOIN frames c ON c.flat_set_id = p.flat_set_id AND (l.filter_id IS NULL OR c.filter_id IS NULL OR c.filter_id = l.filter_id)) WHERE r <= 3
+    UNION ALL SELECT light_id, 'default-flat', CAST(r - 1 AS INT), frame_id, CONCAT_WS(' · ', CASE WHEN image_type = 'master' THEN 'master flat' ELSE 'flat' END, CONCAT_WS(', ', CONCAT('binx ', binx), CONCAT('biny ', binx), CASE WHEN filter_id IS NOT NULL THEN CONCAT('filter_id ', filter_id) END, CONCAT('rig_id ', rig_id), CASE WHEN rotator_deg IS NOT NULL THEN CONCAT('rotator_deg ', rotator_deg, '±5') END),
+        CASE WHEN night = session_night THEN CONCAT('same night (', session_night, ')') ELSE CONCAT(days, ' day(s) from light') END), total FROM (
+    SELECT l.frame_id AS light_id, l.binx, l.filter_id, l.rig_id, l.rotator_deg, l.session_night, c.session_night AS night, c.frame_id, c.image_type, {_DAYS} AS days, ROW_NUMBER() OVER (PARTITION BY l.frame_id ORDER BY {_MATCH['flat'][2]}) AS r, COUNT(*) OVER (PARTITION BY l.frame_id) AS total
+    FROM frames l JOIN frames c ON {_MATCH['flat'][0]} AND {_DAYS} <= 30 WHERE l.image_type = 'light' AND l.frame_id NOT IN (SELECT light_id FROM ({_FLAT_SETS}))) WHERE r <= 3""")
+def calib_flat_override(a):
+    return match.match_all(a.frames, (_rule("flat"),), 3, _flat_sets(a)).select("light_id", "rule", "rank", "frame_id", "reason", "total")
+
+
+@query(f"""SELECT p.light_id, COUNT(c.frame_id) AS total, CASE WHEN COUNT(c.frame_id) = 0 THEN 'flat set resolved, but it has no flats for this filter' END AS warning FROM ({_FLAT_SETS}) p JOIN frames l ON l.frame_id = p.light_id
+    LEFT JOIN frames c ON c.flat_set_id = p.flat_set_id AND (l.filter_id IS NULL OR c.filter_id IS NULL OR c.filter_id = l.filter_id) GROUP BY 1
+    UNION ALL SELECT l.frame_id, COUNT(c.frame_id), CASE WHEN COUNT(c.frame_id) = 0 THEN 'no matching flat frames found' WHEN COUNT(c.frame_id) < 10 THEN CONCAT('only ', COUNT(c.frame_id), ' flat frames (rule suggests at least 10)') END FROM frames l LEFT JOIN frames c ON {_MATCH['flat'][0]} AND {_DAYS} <= 30
+    WHERE l.image_type = 'light' AND l.frame_id NOT IN (SELECT light_id FROM ({_FLAT_SETS})) GROUP BY 1""")
+def calib_flat_warnings(a):
+    return match.warnings(a.frames, _rule("flat"), _flat_sets(a))
+
+
+@query(f"SELECT light_id, frame_id, filename, abs_path FROM (SELECT l.frame_id AS light_id, c.frame_id, c.filename, c.abs_path, ROW_NUMBER() OVER (PARTITION BY l.frame_id ORDER BY {_MATCH['dark'][2]}) AS r FROM frames l JOIN v_frames c ON {_MATCH['dark'][0]} AND {_DAYS} <= 365 WHERE l.image_type = 'light') WHERE r <= 5")
+def calib_paths(a):
+    return match.with_paths(match.match(a.frames, _rule("dark"), 5), a.v_frames).select("light_id", "frame_id", "filename", "abs_path")
+
+
 @query(_FLAT_SETS)
 def flatset_resolution(a):
-    return _flat_sets(a)
+    return _flat_sets(a).select("light_id", "flat_set_id", "how")
 
 
 for _name, _how in (("flatset_pin", "pin"), ("flatset_window", "window"), ("flatset_asof", "on or before"), ("flatset_active", "active"), ("flatset_mobile", "same night")):
-    QUERIES[_name] = lambda spark, sf_dir, how=_how: _flat_sets(Archive(spark, sf_dir)).where(F.col("how") == how)
+    QUERIES[_name] = lambda spark, sf_dir, how=_how: _flat_sets(Archive(spark, sf_dir)).where(F.col("how") == how).select("light_id", "flat_set_id", "how")
     ORACLES[_name] = oracle(f"SELECT * FROM ({_FLAT_SETS}) WHERE how = '{_how}'")
 
 # -- runs and clusters

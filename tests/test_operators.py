@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import random
 import struct
 
 import pytest
@@ -110,6 +111,49 @@ def test_rejected(node):
         compile_sort([{"field": "nope"}])
 
 
+def brute_match(rows, names, rule, limit):
+    """(light, rank, frame, total) by comparing every light with every candidate."""
+    frames = [dict(zip(names, r)) for r in rows]
+    out, totals = [], {}
+    for l in (f for f in frames if f["image_type"] == "light"):
+        found = []
+        for c in frames:
+            if not (c["image_type"] == rule.target or c["image_type"] == "master" and c["master_of"] == rule.target):
+                continue
+            fits = {"exact": lambda x, y: x == y, "null_ok": lambda x, y: x is None or y is None or x == y}
+            if not all((fits[how](l[n], c[n]) if isinstance(how, str) else l[n] is None or c[n] is not None and abs(c[n] - l[n]) <= how) for n, how in rule.spec.items()):
+                continue
+            micros = abs((c["date_obs_utc"] - l["date_obs_utc"]) // dt.timedelta(microseconds=1)) if c["date_obs_utc"] and l["date_obs_utc"] else None
+            if rule.max_age_days is not None and micros is not None and micros // 86_400_000_000 > rule.max_age_days:
+                continue
+            same = c["session_night"] is not None and c["session_night"] == l["session_night"]
+            found.append((rule.prefer_masters and c["image_type"] != "master", rule.prefer_same_session and not same, micros is None, (micros or 0) // 1_000_000, c["frame_id"]))
+        totals[l["frame_id"]] = len(found)
+        out += [(l["frame_id"], k, f[-1], len(found)) for k, f in enumerate(sorted(found)[:limit])]
+    return sorted(out), totals
+
+
+@pytest.mark.parametrize("age,masters,session,limit,few", [(2, True, True, 3, 0), (None, False, False, 2, 30), (0, True, False, 1, 0), (1, False, True, 4, 256)])
+def test_matching_by_brute_force(spark, age, masters, session, limit, few):
+    """Ties within a second and at one moment, hours and age limits met exactly, undated frames, missing values."""
+    rnd = random.Random(age or 7)
+    start = dt.datetime(2025, 3, 1, 12)
+    rows = []
+    for i in range(400):
+        at = start + dt.timedelta(days=rnd.choice((0, 0, 1, 2, 3, 4)), seconds=rnd.choice((0, 1, 1800, 3599, 3600, 3601, 20000)), microseconds=rnd.choice((0, 0, 1, 400_000, 999_999)))
+        at = None if rnd.random() < 0.08 else at
+        night = None if at is None or rnd.random() < 0.1 else (at - dt.timedelta(hours=rnd.choice((12, 14)))).date()
+        kind = rnd.choice(("light", "dark", "dark", "master", "bias"))
+        rows.append((i, kind, rnd.choice(("dark", "bias")) if kind == "master" else None, at, night, rnd.choice((1, 1, 1, 2, None)), rnd.choice((100, None)), rnd.choice((60.0, 61.0, 65.5, None))))
+    schema = "frame_id long, image_type string, master_of string, date_obs_utc timestamp_ntz, session_night date, camera_id int, gain int, exposure_s double"
+    rule = match.Rule("r", "dark", {"camera_id": "exact", "gain": "null_ok", "exposure_s": 2.0}, age, masters, session)
+    df = spark.createDataFrame(rows, schema)
+    want, totals = brute_match(rows, [c.split()[0] for c in schema.split(", ")], rule, limit)
+    assert sorted((r.light_id, r["rank"], r.frame_id, r.total) for r in match.match(df, rule, limit, few=few).collect()) == want
+    assert {r.light_id: r.total for r in match.warnings(df, rule, few=few).collect()} == totals
+    assert match.match(df.where("image_type = 'light'"), rule, limit).count() == 0 and match.match(df.where("false"), rule, limit).count() == 0
+
+
 def test_matching(spark):
     night = lambda d: (dt.datetime(2025, 11, d, 22), dt.date(2025, 11, d))
     def row(i, kind, of, gain, offset, temp, at):
@@ -124,7 +168,7 @@ def test_matching(spark):
     dark = match.DEFAULT_RULES[0]
     got = match.match(df, dark, 10).orderBy("rank").collect()
     assert [r.frame_id for r in got] == [6, 2, 3, 8] and got[0].total == 4
-    assert got[1].reason == "dark · camera_id 1, gain 100, offset_adu 50, binx 1, biny 1, set_temp_c -10±1, exposure_s 300±5 · 1 day(s) from light"
+    assert got[1].reason == "dark · binx 1, biny 1, camera_id 1, exposure_s 300±5, gain 100, offset_adu 50, set_temp_c -10±1 · 1 day(s) from light"  # fields in the order of their names
     assert [r.frame_id for r in match.match(df, dark, 10, undated_first=True).orderBy("rank").collect()] == [6, 8, 2, 3]
     assert match.warnings(df, match.DEFAULT_RULES[3]).first().warning == "no matching darkflat frames found"
     assert match.Rule.from_json("r", "dark", {"gain": {"exact": True, "null_ok": True}, "set_temp_c": {"tol": 2}, "zzz": "exact", "binx": "exact"}).spec == {"gain": "null_ok", "set_temp_c": 2.0, "binx": "exact"}
