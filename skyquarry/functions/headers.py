@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogs import object_canonical
@@ -31,9 +33,37 @@ IMAGE_TYPES = ("light", "dark", "flat", "bias", "darkflat", "master")
 FINGERPRINT = ("DATE-OBS", "INSTRUME", "EXPTIME", "NAXIS1", "NAXIS2", "IMAGETYP", "XBINNING")
 
 
+@dataclass(frozen=True)
+class Mapping:
+    """A dialect: field -> its keywords, field -> its value rules (mode, pattern, result), both in order of priority."""
+
+    keywords: dict[str, tuple[str, ...]]
+    values: dict[str, tuple[tuple[str, str, str], ...]]
+
+
+DEFAULT_MAPPING = Mapping(KEYWORDS, VALUES)
+MODES = ("exact", "contains", "regex")
+
+
+def load_mapping(header_map: DataFrame, value_map: DataFrame) -> Mapping:
+    """The dialect that an operator's tables give: header_map (field, keyword, priority, id, enabled) and value_map (field, raw_value, normalized,
+    match_mode, priority, id). Unknown modes are exact. Without any enabled keyword the default dialect.
+
+    Both are configuration, a few rows for each of two dozen fields, and are read by the driver."""
+    keywords: dict[str, list] = {}
+    for r in header_map.where("enabled and field is not null and keyword is not null").orderBy("field", "priority", "id").collect():
+        keywords.setdefault(r.field, []).append(r.keyword)
+    if not keywords:
+        return DEFAULT_MAPPING
+    values: dict[str, list] = {}
+    for r in value_map.where("field is not null and raw_value is not null and normalized is not null").orderBy("field", "priority", "id").collect():
+        values.setdefault(r.field, []).append((r.match_mode if r.match_mode in MODES else "exact", r.raw_value, r.normalized))
+    return Mapping({k: tuple(v) for k, v in keywords.items()}, {k: tuple(v) for k, v in values.items()})
+
+
 def first_value(cards: Column, *keywords: str) -> Column:
     """The first of the keywords whose value is there and not blank."""
-    return F.coalesce(*(F.nullif(F.trim(F.element_at(cards, k)), F.lit("")) for k in keywords))
+    return F.coalesce(*(F.nullif(F.trim(F.element_at(cards, k)), F.lit("")) for k in keywords)) if keywords else F.lit(None).cast("string")
 
 
 def normalise(value: Column, rules: tuple) -> Column:
@@ -45,8 +75,8 @@ def normalise(value: Column, rules: tuple) -> Column:
     return value if out is None else out.otherwise(value)
 
 
-def image_type(value: Column) -> Column:
-    kind = normalise(value, VALUES["image_type"])
+def image_type(value: Column, mapping: Mapping = DEFAULT_MAPPING) -> Column:
+    kind = normalise(value, mapping.values.get("image_type", ()))
     return F.when(kind.isin(*IMAGE_TYPES), kind).otherwise(F.lit("unknown"))
 
 
@@ -90,21 +120,22 @@ def quarantine_reason(date: Column, kind: Column) -> Column:
     return F.when(date.isNull(), F.lit("no-dateobs")).when(kind == "unknown", F.lit("unknown-type"))
 
 
-def resolve(cards: Column, offset_hours: float = 0.0) -> dict[str, Column]:
-    """All fields of a frame from its cards, with the default dialect."""
-    raw = {k: first_value(cards, *words) for k, words in KEYWORDS.items()}
-    kind = image_type(raw["image_type"])
+def resolve(cards: Column, offset_hours: float | Column = 0.0, mapping: Mapping = DEFAULT_MAPPING) -> dict[str, Column]:
+    """All fields of a frame from its cards, by a dialect; fields that it doesn't map are null."""
+    raw = {k: first_value(cards, *mapping.keywords.get(k, ())) for k in KEYWORDS}
+    rules = {k: mapping.values.get(k, ()) for k in VALUES}
+    kind = image_type(raw["image_type"], mapping)
     at = timestamp(raw["date_obs"])
-    name = F.nullif(normalise(raw["object"], VALUES["object"]), F.lit(""))
-    used = F.nullif(normalise(raw["filter"], VALUES["filter"]), F.lit(""))
+    name = F.nullif(normalise(raw["object"], rules["object"]), F.lit(""))
+    used = F.nullif(normalise(raw["filter"], rules["filter"]), F.lit(""))
     missing = kind.isin("light", "flat") & used.isNull()
     return {
         "image_type": kind, "object": name, "object_canonical": object_canonical(name), "ra_deg": coordinate(raw["ra"], False), "dec_deg": coordinate(raw["dec"], False), "date_obs_utc": at,
         "session_night": observing_night(at, offset_hours), "exposure_s": number(raw["exposure_s"]).cast("decimal(10,3)"), "gain": integer(raw["gain"]), "offset_adu": integer(raw["offset_adu"]),
         "binx": integer(raw["binx"]), "biny": integer(raw["biny"]), "set_temp_c": number(raw["set_temp_c"]).cast("decimal(5,2)"), "ccd_temp_c": number(raw["ccd_temp_c"]).cast("decimal(5,2)"),
         "focal_len_mm": number(raw["focal_len_mm"]).cast("decimal(7,1)"), "filter_raw": F.when(missing, F.lit("CLEAR")).otherwise(used), "filter_defaulted": missing,
-        "airmass": number(raw["airmass"]).cast("decimal(6,3)"), "sqm_mag_arcsec2": number(raw["sqm"]).cast("decimal(6,3)"), "sqm_sensor": raw["sqm_sensor"], "sqm_dt_s": number(raw["sqm_dt_s"]),
-        "pier_side": normalise(raw["pier_side"], VALUES["pier_side"]), "row_order": normalise(raw["row_order"], VALUES["row_order"]), "instrument": raw["instrument"], "telescope": raw["telescope"],
+        "airmass": number(raw["airmass"]).cast("decimal(6,3)"), "sqm_mag_arcsec2": number(raw["sqm"]).cast("decimal(6,3)"), "sqm_sensor": raw["sqm_sensor"], "sqm_time": raw["sqm_time"], "sqm_dt_s": number(raw["sqm_dt_s"]),
+        "pier_side": normalise(raw["pier_side"], rules["pier_side"]), "row_order": normalise(raw["row_order"], rules["row_order"]), "instrument": raw["instrument"], "telescope": raw["telescope"],
         "fingerprint": fingerprint(cards), "review_reason": quarantine_reason(at, kind),
     } | {"ra_deg": F.when(F.element_at(cards, "RA").isNotNull(), coordinate(raw["ra"], False)).otherwise(coordinate(raw["ra"], True))}
 

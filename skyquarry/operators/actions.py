@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquarry.functions.headers import csv_cell, safe_leaf
@@ -50,3 +50,16 @@ def export_lines(frames: DataFrame, kind: str = "paths", columns: tuple[str, ...
 def ledger(job: str, plan: DataFrame, state: str = "planned") -> DataFrame:
     """Rows for the job ledger."""
     return plan.select(F.lit(job).alias("job"), "frame_id", "src", "dst", "action", F.lit(state).alias("state"))
+
+
+def saved_paths(v_frames: DataFrame, name: str, node: dict, context: Context | None = None) -> DataFrame:
+    """name, abs_path: a saved query's frames as they are now."""
+    return v_frames.where(compile_filter(node, context)).select(F.lit(name).alias("name"), "abs_path")
+
+
+def saved_run(saved: DataFrame, name: str, paths: DataFrame, now: Column) -> DataFrame:
+    """saved (name, last_run_at, last_count, ...) after a run of one query that found `paths`."""
+    n = paths.agg(F.count("*").alias("_n"))
+    mine = F.col("name") == name
+    both = saved.join(F.broadcast(n))  # one row
+    return both.withColumns({"last_run_at": F.when(mine, now).otherwise(F.col("last_run_at")), "last_count": F.when(mine, F.col("_n")).otherwise(F.col("last_count"))}).drop("_n")

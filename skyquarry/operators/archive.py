@@ -105,9 +105,48 @@ def moves(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
     return once(vanished, "old_id").join(once(appeared, "new_id"), "content_key").select("old_id", "new_id")
 
 
-def mount_guard(seen: int, known_ok: int) -> bool:
-    """Whether a sweep saw enough to conclude that files are gone: something, and at least half of what was there."""
-    return seen > 0 and seen >= known_ok // 2
+def mount_guard(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """root_id, seen, known_ok, safe: whether a sweep saw enough of a root to conclude that files are gone: something, and at least half of
+    what was there. A root without known files is safe."""
+    seen = listing.groupBy("root_id").agg(F.count("*").alias("seen"))
+    ok = known.groupBy("root_id").agg(F.count(F.when(F.col("file_status") == "ok", 1)).alias("known_ok"))
+    both = ok.join(seen, "root_id", "full").select("root_id", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("known_ok", F.lit(0)).alias("known_ok"))
+    return both.withColumn("safe", (F.col("known_ok") == 0) | (F.col("seen") > 0) & (F.col("seen") >= F.floor(F.col("known_ok") / 2)))
+
+
+def new_file_id(root_id: Column, rel_path: Column) -> Column:
+    """An id for a new file from its place, 60 bits; no counter has to be shared."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", root_id.cast("string"), rel_path)), 1, 15), 16, 10).cast("long")
+
+
+def sweep(listing: DataFrame, known: DataFrame, read: DataFrame, now: Column, settle_seconds: int = 30) -> DataFrame:
+    """One sweep: the snapshot of files after it, with `outcome` (skip, add, update, error, settling, moved, missing, kept).
+
+    listing: root_id, rel_path, size_bytes, mtime_utc. known: these, file_id, file_status, last_seen_utc and content_key. read: root_id, rel_path,
+    content_key and error of the files that were read. Files that are no longer listed move to where their content key appeared, if it is
+    unambiguous, and keep their id; else they are marked missing. Where the mount guard of their root isn't safe they are kept. Files that still settle
+    keep their row, if they have one, and are not added."""
+    place = ["root_id", "rel_path"]
+    columns = ["file_id", "root_id", "rel_path", "size_bytes", "mtime_utc", "file_status", "last_seen_utc", "content_key", "outcome"]
+    before = known.select("file_id", *place, F.col("content_key").alias("_key"), F.col("last_seen_utc").alias("_seen"), F.col("file_status").alias("_was"), F.col("size_bytes").alias("_size0"), F.col("mtime_utc").alias("_mtime0"))
+    listed = classify(listing, known, now, settle_seconds).join(before, place, "left").join(read.select(*place, "content_key", "error"), place, "left")
+    action, fresh = F.col("action"), F.col("action").isin("add", "update")
+    still = F.col("action") == "settling"
+    touched = listed.where(~still | F.col("file_id").isNotNull()).select(
+        F.coalesce("file_id", new_file_id(F.col("root_id"), F.col("rel_path"))).alias("file_id"), *place,
+        F.when(still, F.col("_size0")).otherwise(F.col("size_bytes")).alias("size_bytes"), F.when(still, F.col("_mtime0")).otherwise(F.col("mtime_utc")).alias("mtime_utc"),
+        F.when(fresh & F.col("error").isNotNull(), "error").when(still, F.col("_was")).otherwise("ok").alias("file_status"), F.when(still, F.col("_seen")).otherwise(now).alias("last_seen_utc"),
+        F.when(fresh, F.coalesce("content_key", F.lit(""))).otherwise(F.col("_key")).alias("content_key"), F.when(fresh & F.col("error").isNotNull(), "error").otherwise(action).alias("outcome"), (action == "add").alias("_new"),
+    )
+    absent = known.select(*columns[:-1]).join(listing.select(place), place, "left_anti")
+    guarded = absent.join(mount_guard(listing, known).select("root_id", "safe"), "root_id")
+    gone = guarded.where(F.col("safe") & (F.col("file_status") != "missing")).drop("safe")
+    kept = guarded.where(~F.col("safe") | (F.col("file_status") == "missing")).drop("safe").withColumn("outcome", F.lit("kept"))
+    by_root = lambda df: df.select("file_id", F.when(F.col("content_key") != "", F.concat_ws("|", F.col("root_id").cast("string"), "content_key")).otherwise(F.lit("")).alias("content_key"))
+    moved = moves(by_root(gone), by_root(touched.where("_new")))
+    files = touched.drop("_new").unionByName(gone.withColumn("outcome", F.lit("missing")).withColumn("file_status", F.lit("missing"))).unionByName(kept)
+    anchored = re_anchor(files.select(columns), moved, outcome="moved")
+    return anchored.select(columns)
 
 
 def missing(known: DataFrame, listing: DataFrame) -> DataFrame:
@@ -168,6 +207,31 @@ def resolve_rig(frames: DataFrame, rigs: DataFrame) -> DataFrame:
     return frames.join(hit, ["camera_id", "focal_len_mm"], "left")
 
 
+def resolve_site(frames: DataFrame, rigs: DataFrame, default_site: int | None = None, column: str = "rig_id") -> DataFrame:
+    """frames with resolved_site: the site of the rig, else the default one."""
+    r = rigs.select(F.col("rig_id").alias("_rig"), F.col("site_id").alias("_site"))
+    return frames.join(r, F.col(column) == F.col("_rig"), "left").withColumn("resolved_site", F.coalesce("_site", F.lit(default_site).cast("int"))).drop("_rig", "_site")
+
+
+def night_offset(sites: DataFrame, default_site: int | None, other: float = 0.0) -> float:
+    """The hours from UTC by which nights are told at the default site (utc_offset_hours), `other` without one."""
+    row = sites.where(F.col("site_id") == default_site).select("utc_offset_hours").first() if default_site is not None else None
+    return float(row[0]) if row and row[0] is not None else other
+
+
+def apply_names(frames: DataFrame, mapping: DataFrame) -> DataFrame:
+    """frames with object_canonical by mapping (raw, canonical; empty ones change nothing), where the raw object is equal."""
+    m = mapping.where("canonical <> ''").groupBy(F.col("raw").alias("_raw")).agg(F.max("canonical").alias("_canonical"))
+    return frames.join(m, F.col("object") == F.col("_raw"), "left").withColumn("object_canonical", F.coalesce("_canonical", "object_canonical")).drop("_raw", "_canonical")
+
+
+def preview_names(frames: DataFrame, mapping: DataFrame) -> DataFrame:
+    """raw, canonical, frames: how many frames `apply_names` would change, for names with some."""
+    m = mapping.where("canonical <> ''").groupBy("raw").agg(F.max("canonical").alias("canonical"))
+    counts = frames.where("object is not null").groupBy(F.col("object").alias("raw"), "object_canonical").agg(F.count("*").alias("_n"))
+    return counts.join(m, "raw").where(~F.col("object_canonical").eqNullSafe(F.col("canonical"))).groupBy("raw", "canonical").agg(F.sum("_n").alias("frames"))
+
+
 def register(names: DataFrame, known: DataFrame, column: str, key: str) -> DataFrame:
     """known (key, column) and the names it lacks (case does not matter), with new keys after the largest, in the order of the names."""
     new = names.where(F.col(column).isNotNull()).select(F.lower(column).alias("_low"), column).groupBy("_low").agg(F.min(column).alias(column)).join(known.select(F.lower(column).alias("_low")), "_low", "left_anti")
@@ -201,9 +265,10 @@ def cascade_delete(parents: DataFrame, gone: DataFrame, key: str, children: dict
     return {"": parents.join(ids, key, "left_anti")} | {n: c.join(ids, key, "left_anti") for n, c in children.items()}
 
 
-def re_anchor(files: DataFrame, moved: DataFrame) -> DataFrame:
-    """Moved files under their old ids: the new row's place, the old row's file_id; the old row goes."""
-    new = files.join(moved, F.col("file_id") == F.col("new_id")).withColumn("file_id", F.col("old_id")).select(*files.columns)
+def re_anchor(files: DataFrame, moved: DataFrame, outcome: str | None = None) -> DataFrame:
+    """Moved files under their old ids: the new row's place, the old row's file_id; the old row goes. outcome: the new value of that column."""
+    new = files.join(moved, F.col("file_id") == F.col("new_id")).withColumn("file_id", F.col("old_id"))
+    new = (new.withColumn("outcome", F.lit(outcome)) if outcome else new).select(*files.columns)
     ids = moved.select(F.explode(F.array("old_id", "new_id")).alias("file_id"))
     return files.join(ids, "file_id", "left_anti").unionByName(new)
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyquarry.functions.headers import haversine_m
+from skyquarry.functions.headers import coordinate, haversine_m
+
+from .views import first_card
 
 
 def runs(frames: DataFrame, keys: tuple[str, ...] = ("rig_id", "filter_id"), minutes: int = 45) -> DataFrame:
@@ -36,34 +39,68 @@ def focal_clusters(frames: DataFrame, rigs: DataFrame | None = None, ratio: floa
 
 
 def site_clusters(places: DataFrame, metres: float = 500.0) -> DataFrame:
-    """site, n, lat, lon: greedy clusters around running centroids, places taken in the order of frame_id.
-
-    The result depends on the order, so it is made in one task; equal positions are counted first, which leaves one row for each distinct position."""
-    distinct = places.where("lat between -90 and 90 and lon between -180 and 180").groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("frame_id").alias("first"))
+    """cluster, n, lat, lon: a place (frame_id, lat, lon) joins the first cluster whose centroid is within `metres`, else it starts one; the
+    centroid is the mean of its places. Places are taken one after another, in the order of frame_id.
+
+    The result depends on that order, so one task folds the sorted places as they come; it holds the clusters only. Places outside the globe are left out."""
+    rows = places.where("lat between -90 and 90 and lon between -180 and 180").select("frame_id", F.col("lat").cast("double"), F.col("lon").cast("double"))
+
+    def fold(batches):
+        lat, lon, n = np.zeros(16), np.zeros(16), np.zeros(16, np.int64)
+        size = 0
+        for batch in batches:
+            for y, x in zip(batch.column("lat").to_pylist(), batch.column("lon").to_pylist()):
+                at, to = np.radians(lat[:size]), math.radians(y)
+                a = np.sin((to - at) / 2) ** 2 + np.cos(at) * math.cos(to) * np.sin(np.radians(x - lon[:size]) / 2) ** 2
+                near = np.flatnonzero(2 * 6371000 * np.arcsin(np.minimum(1.0, np.sqrt(a))) <= metres)
+                if len(near):
+                    k = near[0]
+                    lat[k], lon[k], n[k] = (lat[k] * n[k] + y) / (n[k] + 1), (lon[k] * n[k] + x) / (n[k] + 1), n[k] + 1
+                    continue
+                if size == len(n):
+                    lat, lon, n = (np.concatenate([v, np.zeros_like(v)]) for v in (lat, lon, n))
+                lat[size], lon[size], n[size] = y, x, 1
+                size += 1
+        yield pa.RecordBatch.from_pydict({"cluster": pa.array(np.arange(size), pa.int32()), "n": n[:size], "lat": lat[:size], "lon": lon[:size]})
+
+    return rows.repartition(1).sortWithinPartitions("frame_id").mapInArrow(fold, "cluster int, n long, lat double, lon double")
+
+
+def _cells(df: DataFrame, metres: float, around: bool) -> DataFrame:
+    """df with the square that a place is in (_y, _x, _wide), or all that a circle around it can touch. Squares are `metres` high, and as many
+    degrees wide; near the poles, where those are short, one square holds a whole parallel."""
+    step = max(metres / 111_000.0, 1e-6)
+    y = F.floor((F.col("lat") + 90) / step)
+    # the circle's reach in squares, at its end nearer to a pole; one more as the last square of a parallel may be narrow
+    wide = F.ceil(1 / F.cos(F.radians(F.least(F.abs(F.col("lat")) + 2 * step, F.lit(89.999))))) + 1
+    columns = F.lit(max(1, math.ceil(360 / step)))
+    x = F.floor((F.col("lon") + 180) / step)
+    if not around:
+        return df.withColumns({"_y": y, "_x": F.pmod(x, columns)})
+    df = df.withColumn("_y", F.explode(F.sequence(y - 1, y + 1)))
+    span = F.when(2 * wide + 1 >= columns, F.sequence(F.lit(0).cast("long"), columns.cast("long") - 1)).otherwise(F.sequence(x - wide, x + wide))
+    return df.withColumn("_x", F.explode(F.array_distinct(F.transform(span, lambda v: F.pmod(v, columns)))))
+
+
+def sites_within(places: DataFrame, sites: DataFrame, metres: float, key: str = "frame_id") -> DataFrame:
+    """Each place with the nearest site within `metres`, if any; both meet by squares of the globe, sites in all that their circle touches."""
+    s = _cells(sites.select("site_id", "lat", "lon"), metres, True).select("site_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_y", "_x")
+    d = haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    near = _cells(places, metres, False).join(s, ["_y", "_x"]).withColumn("_d", d).where(F.col("_d") <= metres)
+    best = near.groupBy(key).agg(F.min_by("site_id", F.struct("_d", "site_id")).alias("site_id"))
+    return places.join(best, key, "left")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[float]] = []
-        for lat, lon, n in pdf.sort_values("first")[["lat", "lon", "n"]].itertuples(index=False):
-            for c in found:
-                a = math.sin(math.radians(lat - c[0]) / 2) ** 2 + math.cos(math.radians(c[0])) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - c[1]) / 2) ** 2
-                if 2 * 6371000 * math.asin(min(1.0, math.sqrt(a))) <= metres:
-                    c[0], c[1], c[2] = (c[0] * c[2] + lat * n) / (c[2] + n), (c[1] * c[2] + lon * n) / (c[2] + n), c[2] + n
-                    break
-            else:
-                found.append([lat, lon, n])
-        return pd.DataFrame([(i, int(c[2]), c[0], c[1]) for i, c in enumerate(found)], columns=["cluster", "n", "lat", "lon"])
 
-    return distinct.groupBy(F.lit(1).alias("_one")).applyInPandas(greedy, "cluster int, n long, lat double, lon double")
+def site_coverage(places: DataFrame, sites: DataFrame, metres: float = 500.0) -> DataFrame:
+    """The clusters of `site_clusters`, with the nearest site within `metres` of the centroid (site_id), if any."""
+    return sites_within(site_clusters(places, metres), sites, metres, key="cluster")
 
 
-def sites_within(places: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
-    """Each place with the nearest site within `metres`, if any. Sites are few: a row for each observatory."""
-    s = sites.select("site_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    one_degree = 111_000.0
-    near = places.join(s, F.col("lat").between(F.col("_lat") - metres / one_degree, F.col("_lat") + metres / one_degree) & (d <= metres))
-    best = near.withColumn("_d", d).groupBy("frame_id").agg(F.min_by("site_id", F.struct("_d", "site_id")).alias("site_id"))
-    return places.join(best, "frame_id", "left")
+def frame_places(cards: DataFrame, latitude: list[str], longitude: list[str]) -> DataFrame:
+    """frame_id, lat, lon of the frames with both, from the first of the keywords that each has; sexagesimal or decimal."""
+    lat, lon = (first_card(cards, words, name) for words, name in ((latitude, "_lat"), (longitude, "_lon")))
+    both = lat.join(lon, "frame_id").select("frame_id", coordinate(F.col("_lat"), False).alias("lat"), coordinate(F.col("_lon"), False).alias("lon"))
+    return both.where("lat is not null and lon is not null")
 
 
 def rig_overlaps(rigs: DataFrame) -> DataFrame:

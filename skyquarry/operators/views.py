@@ -65,12 +65,20 @@ def objects(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("object").isNotNull()).groupBy("object").agg(F.max("object_canonical").alias("canonical"), F.count("*").alias("n"))
 
 
-def detail(frames: DataFrame, cards: DataFrame, frame_tags: DataFrame, tags: DataFrame, ids: DataFrame) -> DataFrame:
-    """The asked frames with their header in order and their tags, nested."""
+def detail(frames: DataFrame, cards: DataFrame, frame_tags: DataFrame, tags: DataFrame, ids: DataFrame, collection_frames: DataFrame | None = None, collections: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
+    """The asked frames with their header in order and their tags by name, nested; also the names of their collections, and the artifacts (frame_id,
+    kind, filename, rel_path, size_bytes, mtime_utc) beside them by file name, where these tables are given."""
     rows = frames.join(ids, "frame_id", "left_semi")
     header = cards.join(ids, "frame_id", "left_semi").groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword", "value"))), lambda c: F.struct(c["keyword"].alias("keyword"), c["value"].alias("value"))).alias("header"))
     named = frame_tags.join(ids, "frame_id", "left_semi").join(tags.withColumnRenamed("id", "tag_id"), "tag_id").groupBy("frame_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))
-    return rows.join(header, "frame_id", "left").join(named, "frame_id", "left")
+    out = rows.join(header, "frame_id", "left").join(named, "frame_id", "left")
+    if collection_frames is not None:
+        held = collection_frames.join(ids, "frame_id", "left_semi").join(collections.withColumnRenamed("id", "collection_id"), "collection_id").groupBy("frame_id").agg(F.array_sort(F.collect_list("name")).alias("collections"))
+        out = out.join(held, "frame_id", "left")
+    if artifacts is not None:
+        beside = artifacts.join(ids, "frame_id", "left_semi").groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("filename", "kind", "rel_path", "size_bytes", "mtime_utc"))).alias("artifacts"))
+        out = out.join(beside, "frame_id", "left")
+    return out
 
 
 def first_card(cards: DataFrame, keywords: list[str], alias: str) -> DataFrame:

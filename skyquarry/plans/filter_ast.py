@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from skyquarry.functions.catalogs import designation_values
 from skyquarry.functions.headers import haversine_deg
 
+# The fields of the filter language, by kind.
 TEXT = ("image_type", "object", "object_canonical", "filter", "rig", "camera", "site", "bucket", "file_status", "root_label", "pier_side", "row_order")
 DATE = ("session_night", "date_obs_utc")
 NUMBER = ("exposure_s", "gain", "offset_adu", "binx", "biny", "ccd_temp_c", "set_temp_c", "airmass", "sqm_mag_arcsec2", "ra_deg", "dec_deg", "focus_pos", "rotator_deg", "guide_rms_arcsec", "naxis1", "naxis2")
 FIELDS = {f: "text" for f in TEXT} | {f: "date" for f in DATE} | {f: "number" for f in NUMBER}
-#: Text fields from closed vocabularies are compared as they are, so that equality reaches the Parquet scan.
+#: Text fields from closed vocabularies of lower-case words: only the literal is folded, so that equality reaches the Parquet scan.
 EXACT = ("image_type", "file_status", "bucket")
 COMPARE: dict[str, Callable[[Column, Any], Column]] = {
     "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b,
@@ -65,8 +66,8 @@ def _literal(kind: str, value: Any) -> Any:
 def _typed(field: str, kind: str, value: Any) -> tuple[Column, Column]:
     """The two sides of a comparison."""
     plain = _literal(kind, value)
-    if kind == "text" and field not in EXACT:
-        return F.lower(F.col(field)), F.lit(plain.lower())
+    if kind == "text":
+        return F.col(field) if field in EXACT else F.lower(F.col(field)), F.lit(plain.lower())
     if kind == "date":
         return F.col(field), F.lit(plain).cast("date" if field == "session_night" else "timestamp_ntz")
     return F.col(field), F.lit(plain)
@@ -184,8 +185,8 @@ def compile_filter(node: dict | None, ctx: Context | None = None) -> Column:
     if op == "cone":
         try:
             return cone(float(_need(node, "ra")), float(_need(node, "dec")), float(_need(node, "radius_deg")))
-        except TypeError:
-            raise QueryError("cone needs numbers") from None
+        except (TypeError, ValueError) as e:
+            raise e if isinstance(e, QueryError) else QueryError("cone needs numbers") from None
     if op in ("tagged", "untagged"):
         found = _member(node, ctx.frame_tags, ctx.tags, "tag_id")
         return ~found if op == "untagged" else found
@@ -218,8 +219,10 @@ def compile_sort(spec: list[dict] | None) -> list[Column]:
     for item in spec or [{"field": "date_obs_utc", "dir": "desc"}]:
         if not isinstance(item, dict) or item.get("field") not in FIELDS:
             raise QueryError(f"cannot sort by {item!r}")
-        c = F.col(item["field"])
-        keys.append(c.desc_nulls_last() if str(item.get("dir", "asc")).lower() == "desc" else c.asc_nulls_first())
+        c, way = F.col(item["field"]), item.get("dir", "asc")
+        if way not in ("asc", "desc"):
+            raise QueryError(f"sort dir must be asc or desc, not {way!r}")
+        keys.append(c.desc_nulls_last() if way == "desc" else c.asc_nulls_first())
     return [*keys, F.col("frame_id").asc()]
 
 

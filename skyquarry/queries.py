@@ -51,6 +51,8 @@ _BEST = {"op": "tagged", "value": "best"}
 
 filtered("filter_all", {}, "TRUE")
 filtered("filter_eq", cmp("image_type", "eq", "flat"), "image_type = 'flat'")
+filtered("filter_exact_ci", cmp("image_type", "eq", "Light"), "image_type = 'light'")
+filtered("filter_exact_in_ci", cmp("image_type", "in", ["DARK", "Flat"]), "image_type IN ('dark', 'flat')")
 filtered("filter_eq_ci", cmp("rig", "eq", "nation_12"), "LOWER(rig) = 'nation_12'")
 filtered("filter_ne_null", cmp("pier_side", "ne", "east"), "pier_side <> 'east'")
 filtered("filter_lt", cmp("gain", "lt", 200), "gain < 200")
@@ -225,7 +227,23 @@ normalised("strict_number", ["exposure_s", "gain"], "TRY_CAST(TRY_CAST(COALESCE(
 _F = "CASE WHEN LOWER(\"FILTER\") NOT IN ('!shutter!', 'none', 'dark') THEN \"FILTER\" END"
 normalised("filter_default", ["filter_raw", "filter_defaulted"], f"CASE WHEN ({_TYPE}) IN ('light', 'flat') AND {_F} IS NULL THEN 'CLEAR' ELSE {_F} END AS filter_raw, ({_TYPE}) IN ('light', 'flat') AND {_F} IS NULL AS filter_defaulted")
 normalised("quarantine", ["review_reason"], f"CASE WHEN {_AT} IS NULL THEN 'no-dateobs' WHEN ({_TYPE}) = 'unknown' THEN 'unknown-type' END AS review_reason")
-normalised("fingerprint", ["fingerprint"], "md5(CONCAT(COALESCE(\"DATE-OBS_RAW\", ''), '|'))")
+
+
+# a dialect from tables: keywords in another order, one switched off, rules of all modes
+_HEADER_MAP = "(VALUES (1, 'exposure_s', 'EXPOSURE', 10, true), (2, 'exposure_s', 'EXPTIME', 20, true), (3, 'filter', 'FILTER', 10, true), (4, 'gain', 'GAIN', 10, false), (5, 'image_type', 'IMAGETYP', 10, true)) AS t(id, field, keyword, priority, enabled)"
+_VALUE_MAP = "(VALUES (1, 'filter', '^!', '', 'regex', 10), (2, 'filter', 'none', 'Luminance', 'exact', 10), (3, 'image_type', 'frame', 'light', 'contains', 20), (4, 'image_type', 'dark', 'dark', 'no such mode', 10)) AS t(id, field, raw_value, normalized, match_mode, priority)"
+
+
+def _header_mapping(spark, sf_dir):
+    mapping = headers.load_mapping(spark.sql(f"SELECT * FROM {_HEADER_MAP}"), spark.sql(f"SELECT * FROM {_VALUE_MAP}"))
+    fields = headers.resolve(F.col("cards"), -7.0, mapping)
+    return _cards(spark, sf_dir).select(ID, *(fields[c].alias(c) for c in ("exposure_s", "gain", "image_type", "filter_raw")))
+
+
+QUERIES["header_mapping"] = _header_mapping
+_KIND = "CASE WHEN LOWER(\"IMAGETYP\") = 'dark' THEN 'dark' WHEN LOWER(\"IMAGETYP\") LIKE '%frame%' THEN 'light' WHEN \"IMAGETYP\" IN ('light', 'dark', 'flat', 'bias', 'darkflat', 'master') THEN \"IMAGETYP\" ELSE 'unknown' END"
+_USED = "CASE WHEN regexp_matches(\"FILTER\", '^!') THEN NULL WHEN LOWER(\"FILTER\") = 'none' THEN 'Luminance' ELSE \"FILTER\" END"
+_header_oracle("header_mapping", f"TRY_CAST(TRY_CAST(COALESCE(\"EXPOSURE\", \"EXPTIME\") AS DOUBLE) AS DECIMAL(10,3)) AS exposure_s, CAST(NULL AS INT) AS gain, {_KIND} AS image_type, CASE WHEN {_KIND} IN ('light', 'flat') AND {_USED} IS NULL THEN 'CLEAR' ELSE {_USED} END AS filter_raw")
 
 
 def _fingerprint(spark, sf_dir):
@@ -422,10 +440,19 @@ def site_within_distance(a):
     return cluster.sites_within(a.frames.selectExpr(ID, "dec_deg AS lat", "ra_deg / 2 - 90 AS lon"), a.sites, 800_000).select(ID, "site_id")
 
 
+def _spots(a) -> DataFrame:
+    """Places that grow with the frames: around each rig, none equal."""
+    return a.frames.selectExpr(ID, "rig_id * 2 - 15 + (frame_id * 7919 % 100003) / 25000000 AS lat", "camera_id * 40 - 100 + (frame_id * 104729 % 100003) / 25000000 AS lon")
+
+
 @query()
 def site_clusters(a):
-    places = a.frames.selectExpr(ID, "rig_id * 2 + (frame_id % 10) / 10000 AS lat", "camera_id * 3 + (frame_id % 7) / 10000 AS lon")
-    return cluster.site_clusters(places, 500.0)
+    return cluster.site_clusters(_spots(a), 250.0)
+
+
+@query()
+def site_coverage(a):
+    return cluster.site_coverage(_spots(a), a.sites, 600_000.0)
 
 
 # -- sweeps: the files against a listing in which some are gone, new, moved or changed
@@ -475,11 +502,66 @@ def reconcile_moves(a):
     return archive.moves(gone, a.files.where("file_id % 5 = 1").select("file_id", key.alias("content_key")))
 
 
-@query(f"SELECT seen, known_ok, seen > 0 AND seen >= known_ok // 2 AS safe FROM (SELECT (SELECT COUNT(*) FROM ({_LISTING})) AS seen, (SELECT COUNT(*) FROM ({_KNOWN}) WHERE file_status = 'ok') AS known_ok)")
-def mount_guard(a):
+# a root of which too little was seen, and what was read of new and changed files; two of the moved have one key
+_SWEPT = f"SELECT * FROM ({_LISTING}) WHERE root_id <> 2 OR file_id % 5 = 0"
+_KEY = "CONCAT('k', CAST(file_id - CASE WHEN file_id % 60 = 43 THEN 20 ELSE 0 END AS VARCHAR))"
+_GUARD = f"SELECT k.root_id, COALESCE(s.seen, 0) AS seen, k.known_ok, k.known_ok = 0 OR COALESCE(s.seen, 0) > 0 AND s.seen >= k.known_ok // 2 AS safe FROM (SELECT root_id, COUNT(*) FILTER (WHERE file_status = 'ok') AS known_ok FROM ({_KNOWN}) GROUP BY 1) k LEFT JOIN (SELECT root_id, COUNT(*) AS seen FROM ({_SWEPT}) GROUP BY 1) s USING (root_id)"
+
+
+def _swept(a) -> tuple[DataFrame, DataFrame, DataFrame]:
     listing, known = _listing(a)
-    seen, ok = listing.agg(F.count("*").alias("seen")), known.where("file_status = 'ok'").agg(F.count("*").alias("known_ok"))
-    return seen.join(ok).withColumn("safe", (F.col("seen") > 0) & (F.col("seen") >= F.floor(F.col("known_ok") / 2)))  # one row each
+    listing = listing.where("root_id <> 2 or file_id % 5 = 0")
+    key = F.concat(F.lit("k"), (F.col("file_id") - F.when(F.col("file_id") % 60 == 43, 20).otherwise(0)).cast("string"))
+    read = listing.select("root_id", "rel_path", key.alias("content_key"), F.when(F.col("file_id") % 40 == 5, "no image").alias("error"))
+    return listing.drop("file_id"), known.withColumn("content_key", key), read
+
+
+@query(_GUARD)
+def mount_guard(a):
+    listing, known, _ = _swept(a)
+    return archive.mount_guard(listing, known)
+
+
+_SWEEP = f"""WITH k AS (SELECT *, {_KEY} AS content_key FROM ({_KNOWN})), l AS (SELECT *, {_KEY} AS ck, CASE WHEN file_id % 40 = 5 THEN 'no image' END AS error FROM ({_SWEPT})), guard AS ({_GUARD}),
+    c AS (SELECT l.root_id, l.rel_path, k.file_id AS old, l.size_bytes, l.mtime_utc, l.ck, l.error, k.file_status, k.size_bytes AS size0, k.content_key, CASE WHEN date_sub('second', l.mtime_utc, TIMESTAMP '2024-03-01 12:00:00') < 30 THEN 'settling' WHEN k.file_status IS NULL THEN 'add' WHEN k.file_status = 'ok' AND k.size_bytes = l.size_bytes AND date_trunc('second', k.mtime_utc) = date_trunc('second', l.mtime_utc) THEN 'skip' ELSE 'update' END AS action
+        FROM l LEFT JOIN k ON k.root_id = l.root_id AND k.rel_path = l.rel_path),
+    t AS (SELECT COALESCE(old, CAST(CONCAT('0x', SUBSTR(md5(CONCAT(root_id, '|', rel_path)), 1, 15)) AS BIGINT)) AS file_id, root_id, rel_path, CASE WHEN action = 'settling' THEN size0 ELSE size_bytes END AS size_bytes, CASE WHEN action IN ('add', 'update') AND error IS NOT NULL THEN 'error' WHEN action = 'settling' THEN file_status ELSE 'ok' END AS file_status,
+        CASE WHEN action IN ('add', 'update') THEN ck ELSE content_key END AS content_key, CASE WHEN action IN ('add', 'update') AND error IS NOT NULL THEN 'error' ELSE action END AS outcome, action = 'add' AS new FROM c WHERE action <> 'settling' OR old IS NOT NULL),
+    absent AS (SELECT k.*, g.safe AND k.file_status <> 'missing' AS gone FROM k JOIN guard g USING (root_id) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.root_id = k.root_id AND l.rel_path = k.rel_path)),
+    m AS (SELECT o.id AS old_id, n.id AS new_id FROM (SELECT root_id, content_key, MIN(file_id) AS id FROM absent WHERE gone GROUP BY 1, 2 HAVING COUNT(*) = 1) o JOIN (SELECT root_id, content_key, MIN(file_id) AS id FROM t WHERE new GROUP BY 1, 2 HAVING COUNT(*) = 1) n ON n.root_id = o.root_id AND n.content_key = o.content_key),
+    after AS (SELECT CASE WHEN m.old_id IS NOT NULL THEN m.old_id ELSE t.file_id END AS file_id, root_id, rel_path, size_bytes, file_status, CASE WHEN m.old_id IS NOT NULL THEN 'moved' ELSE outcome END AS outcome FROM t LEFT JOIN m ON m.new_id = t.file_id
+        UNION ALL SELECT file_id, root_id, rel_path, size_bytes, CASE WHEN gone THEN 'missing' ELSE file_status END, CASE WHEN gone THEN 'missing' ELSE 'kept' END FROM absent WHERE file_id NOT IN (SELECT old_id FROM m))"""
+
+
+def _after(a) -> DataFrame:
+    return archive.sweep(*_swept(a), F.lit(_NOW).cast("timestamp_ntz"))
+
+
+def swept(sql: str):
+    """`query` over the tables of a sweep."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Archive(spark, sf_dir))
+        ORACLES[f.__name__] = oracle(f",{_SWEEP.removeprefix('WITH ')}\n{sql}")
+        return f
+
+    return add
+
+
+@swept("SELECT file_id, root_id, rel_path, size_bytes, file_status, outcome FROM after")
+def sweep_snapshot(a):
+    return _after(a).select("file_id", "root_id", "rel_path", "size_bytes", "file_status", "outcome")
+
+
+@swept("SELECT root_id, outcome, COUNT(*) AS n FROM after GROUP BY 1, 2")
+def sweep_statistics(a):
+    return _after(a).groupBy("root_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN file_id % 10 = 1 THEN file_id - 1 ELSE file_id END AS file_id, rel_path, size_bytes FROM files WHERE NOT (file_id % 10 = 0 AND EXISTS (SELECT 1 FROM files g WHERE g.file_id = files.file_id + 1))")
+def re_anchor(a):
+    ids = a.files.where("file_id % 10 = 1").select((F.col("file_id") - 1).alias("old_id"), F.col("file_id").alias("new_id"))
+    return archive.re_anchor(a.files, ids).select("file_id", "rel_path", "size_bytes")
 
 
 @query("SELECT user_id AS file_id, STRING_AGG(event_type, ';' ORDER BY event_id) AS content_key FROM events GROUP BY 1")
@@ -562,6 +644,28 @@ def canonical_would_change(a):
     return a.frames.where(F.col("object").isNotNull() & ~new.eqNullSafe(F.trim("object"))).groupBy("image_type").agg(F.count("*").alias("n"))
 
 
+_NAMES = "(VALUES ('M31', 'M 31'), ('Target', 'Unknown field'), ('ngc_7000', 'NGC 7000'), ('Icarus', ''), ('no such', 'M 1'))"
+
+
+def _names(a) -> DataFrame:
+    return a.spark.sql(f"SELECT a AS raw, b AS canonical FROM {_NAMES} AS t(a, b)")
+
+
+@query(f"SELECT raw, canonical, COUNT(*) AS frames FROM {_NAMES} AS t(raw, canonical) JOIN frames f ON f.object = raw WHERE canonical <> '' AND f.object_canonical IS DISTINCT FROM canonical GROUP BY 1, 2")
+def names_preview(a):
+    return archive.preview_names(a.frames, _names(a))
+
+
+@query(f"SELECT frame_id, COALESCE(NULLIF(canonical, ''), object_canonical) AS object_canonical FROM frames LEFT JOIN {_NAMES} AS t(raw, canonical) ON object = raw")
+def names_applied(a):
+    return archive.apply_names(a.frames, _names(a)).select(ID, "object_canonical")
+
+
+@query("SELECT f.frame_id, COALESCE(r.site_id, 4) AS resolved_site FROM frames f LEFT JOIN rigs r USING (rig_id)")
+def site_resolve(a):
+    return archive.resolve_site(a.frames, a.rigs, default_site=4).select(ID, "resolved_site")
+
+
 # -- actions
 
 @query("SELECT frame_id, abs_path AS src, CONCAT('/stage/', image_type, '/', CASE WHEN n = 0 THEN CONCAT('f', u, '.fits') ELSE CONCAT('f', u, '_', n, '.fits') END) AS dst, 'symlink' AS action FROM (SELECT *, frame_id % 50 AS u, ROW_NUMBER() OVER (PARTITION BY image_type, frame_id % 50 ORDER BY frame_id) - 1 AS n FROM v_frames WHERE image_type <> 'light')")
@@ -591,11 +695,13 @@ def resolve_by_ids(a):
     return actions.by_ids(a.frames, a.collection_frames.where("collection_id = 2")).select(ID, "image_type")
 
 
-@query("SELECT f.frame_id, h.header, t.tags FROM frames f JOIN (SELECT frame_id, STRING_AGG(CONCAT(keyword, '=', value), ';' ORDER BY ord) AS header FROM cards GROUP BY 1) h USING (frame_id) LEFT JOIN (SELECT frame_id, STRING_AGG(name, ';' ORDER BY name) AS tags FROM frame_tags JOIN tags ON tags.id = tag_id GROUP BY 1) t USING (frame_id) WHERE f.image_type = 'master'")
+@query("SELECT f.frame_id, h.header, t.tags, c.collections, a.artifacts FROM frames f JOIN (SELECT frame_id, STRING_AGG(CONCAT(keyword, '=', value), ';' ORDER BY ord) AS header FROM cards GROUP BY 1) h USING (frame_id) LEFT JOIN (SELECT frame_id, STRING_AGG(name, ';' ORDER BY name) AS tags FROM frame_tags JOIN tags ON tags.id = tag_id GROUP BY 1) t USING (frame_id) LEFT JOIN (SELECT frame_id, STRING_AGG(name, ';' ORDER BY name) AS collections FROM collection_frames JOIN collections ON id = collection_id GROUP BY 1) c USING (frame_id) LEFT JOIN (SELECT file_id // 3 AS frame_id, STRING_AGG(CONCAT(filename, '.txt:', size_bytes), ';' ORDER BY filename) AS artifacts FROM files GROUP BY 1) a USING (frame_id) WHERE f.image_type = 'master'")
 def frame_detail_nested(a):
     ids = a.frames.where("image_type = 'master'").select(ID)
-    d = views.detail(a.frames, a.cards, a.frame_tags, a.tags, ids)
-    return d.select(ID, F.array_join(F.transform("header", lambda c: F.concat_ws("=", c["keyword"], c["value"])), ";").alias("header"), F.array_join("tags", ";").alias("tags"))
+    beside = a.files.select(F.floor(F.col("file_id") / 3).alias(ID), F.lit("sidecar").alias("kind"), F.concat("filename", F.lit(".txt")).alias("filename"), "rel_path", "size_bytes", "mtime_utc")
+    d = views.detail(a.frames, a.cards, a.frame_tags, a.tags, ids, a.collection_frames, a.collections, beside)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    return d.select(ID, joined("header", lambda c: F.concat_ws("=", c["keyword"], c["value"])), F.array_join("tags", ";").alias("tags"), F.array_join("collections", ";").alias("collections"), joined("artifacts", lambda x: F.concat_ws(":", x["filename"], x["size_bytes"].cast("string"))))
 
 
 @query("SELECT frame_id, image_type FROM v_frames WHERE image_type = 'flat' AND LOWER(filter) = 'ha' AND LOWER(object_canonical) IN ('m 31', 'ngc 224')")
@@ -651,6 +757,11 @@ def saved_query_counts(a):
     return out
 
 
+@query("SELECT 'best' AS name, abs_path FROM v_frames v WHERE " + _SAVED["best"][1])
+def saved_query_paths(a):
+    return actions.saved_paths(a.v_frames, "best", _SAVED["best"][0], a.context)
+
+
 @query("SELECT 'job-1' AS job, frame_id, abs_path AS src, CONCAT('/data/north/trash/', filename) AS dst, 'trash' AS action, 'planned' AS state FROM v_frames WHERE file_status = 'error'")
 def job_ledger(a):
     return actions.ledger("job-1", actions.move_plan(a.v_frames.where("file_status = 'error'"), "/data/north", "trash", "trash"))

@@ -43,6 +43,8 @@ def clean_value(text: str) -> str:
 def parse_card(card: str) -> tuple[str, str, str]:
     """(keyword, value, comment) of an 80-character card."""
     keyword, rest = card[:8].strip(), card[8:]
+    if keyword == "HIERARCH" and "=" in rest:  # the keyword is all before the equals sign
+        keyword, rest = rest.split("=", 1)[0].strip(), "= " + rest.split("=", 1)[1]
     if not rest.startswith("= "):
         return keyword, rest.strip(), ""
     body = rest[2:]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquarry.functions import catalogs, headers
-from skyquarry.operators import archive, cluster, match
+from skyquarry.operators import actions, archive, cluster, match
 from skyquarry.plans.filter_ast import Context, QueryError, compile_filter, compile_sort, filter_fields
 from skyquarry.sources import headers as source
 
@@ -185,7 +185,74 @@ def test_moves_and_guard(spark):
     gone = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, ""), (5, "e")], "file_id long, content_key string")
     new = spark.createDataFrame([(11, "a"), (12, "b"), (14, ""), (15, "e"), (16, "e")], "file_id long, content_key string")
     assert [tuple(r) for r in archive.moves(gone, new).collect()] == [(1, 11)]
-    assert [archive.mount_guard(*x) for x in ((0, 0), (5, 10), (4, 10), (5, 11))] == [False, True, False, True]
+    files = lambda sizes: spark.createDataFrame([(r, "ok") for r, n in sizes.items() for _ in range(n)] + [(9, "missing")], "root_id int, file_status string")
+    safe = archive.mount_guard(files({1: 5, 2: 4, 3: 5, 5: 1}).where("root_id < 9"), files({1: 10, 2: 10, 3: 11, 4: 2})).collect()
+    assert {r.root_id: r.safe for r in safe} == {1: True, 2: False, 3: True, 4: False, 5: True, 9: True}
+
+
+def test_sweep(spark):
+    """Two sweeps: new, changed, bad, settling, moved, ambiguous, deleted files; a root that came up empty stays as it is."""
+    now, old = dt.datetime(2025, 1, 1, 12), dt.datetime(2024, 12, 1)
+    place = "root_id int, rel_path string, size_bytes long, mtime_utc timestamp_ntz"
+    known = spark.createDataFrame([
+        (1, 1, "same", 5, old, "ok", old, "a"), (2, 1, "changed", 5, old, "ok", old, "b"), (3, 1, "gone", 5, old, "ok", old, "c"), (4, 1, "from", 5, old, "ok", old, "d"), (5, 1, "twin1", 5, old, "ok", old, "e"),
+        (6, 1, "settling", 5, old, "ok", old, "f"), (7, 1, "lost before", 5, old, "missing", old, "g"), (8, 2, "x", 5, old, "ok", old, "h"), (9, 2, "y", 5, old, "ok", old, "i"),
+    ], "file_id long, " + place + ", file_status string, last_seen_utc timestamp_ntz, content_key string")
+    listing = spark.createDataFrame([(1, p, n, t) for p, n, t in (("same", 5, old), ("changed", 6, old), ("to", 5, old), ("twin2", 5, old), ("twin3", 5, old), ("settling", 7, now), ("bad", 1, old), ("fresh", 1, now))], place)
+    read = spark.createDataFrame([(1, "changed", "b2", None), (1, "to", "d", None), (1, "twin2", "e", None), (1, "twin3", "e", None), (1, "bad", None, "no image")], "root_id int, rel_path string, content_key string, error string")
+    after = archive.sweep(listing, known, read, F.lit(now))
+    got = {r.rel_path: r for r in after.collect()}
+    assert {p: (r.outcome, r.file_status) for p, r in got.items()} == {
+        "same": ("skip", "ok"), "changed": ("update", "ok"), "gone": ("missing", "missing"), "to": ("moved", "ok"), "twin1": ("missing", "missing"), "twin2": ("add", "ok"), "twin3": ("add", "ok"),
+        "settling": ("settling", "ok"), "lost before": ("kept", "missing"), "x": ("kept", "ok"), "y": ("kept", "ok"), "bad": ("error", "error"),
+    }
+    assert got["to"].file_id == 4 and got["changed"].file_id == 2 and got["changed"].size_bytes == 6 and got["settling"].size_bytes == 5 and got["same"].last_seen_utc == now
+    again = {r.rel_path: r.outcome for r in archive.sweep(listing, after.drop("outcome"), read, F.lit(now)).collect()}
+    assert all(again[p] == "skip" for p in ("same", "changed", "to", "twin2", "twin3")) and again["bad"] == "error" and again["gone"] == "kept"
+
+
+def test_header_mapping(spark):
+    words = spark.createDataFrame([(1, "gain", "GAIN", 1, False)], "id int, field string, keyword string, priority int, enabled boolean")
+    rules = spark.createDataFrame([], "id int, field string, raw_value string, normalized string, match_mode string, priority int")
+    assert headers.load_mapping(words, rules) == headers.DEFAULT_MAPPING
+    assert source.parse_card("HIERARCH ESO DET CHIP1 = 'CCD-44' / name".ljust(80)) == ("ESO DET CHIP1", "CCD-44", "name")
+
+
+def test_sites(spark):
+    """Clusters one place after another, and the nearest site within a distance, by definition; near a pole and across 180 degrees too."""
+    import math
+
+    def metres(a, b):
+        h = math.sin(math.radians(a[0] - b[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(a[1] - b[1]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
+
+    rnd = random.Random(3)
+    places = [(i, rnd.choice((10, 10, -60, 89.9, -89.95)) + rnd.uniform(-0.01, 0.01), rnd.choice((20, 179.999, -179.999)) + rnd.uniform(-0.001, 0.001)) for i in range(300)] + [(300, 95.0, 0.0), (301, None, 1.0)]
+    df = spark.createDataFrame(places, "frame_id long, lat double, lon double")
+    found = []
+    for _, *p in places[:300]:
+        near = next((c for c in found if metres(c, p) <= 400), None)
+        if near:
+            near[0], near[1], near[2] = (near[0] * near[2] + p[0]) / (near[2] + 1), (near[1] * near[2] + p[1]) / (near[2] + 1), near[2] + 1
+        else:
+            found.append([*p, 1])
+    assert [v for r in cluster.site_clusters(df, 400.0).orderBy("cluster").collect() for v in (r.n, r.lat, r.lon)] == pytest.approx([v for c in found for v in (c[2], c[0], c[1])])
+    sites = [(1, 10.0, 20.0), (2, 10.0, 179.9999), (3, 89.9, -20.0), (4, -60.0, -179.9995), (5, -89.95, 100.0)]
+    for reach in (300.0, 5000.0, 900_000.0):
+        want = {i: min(((metres((y, x), s[1:]), s[0]) for s in sites if metres((y, x), s[1:]) <= reach), default=(0, None))[1] for i, y, x in places[:300]}
+        got = cluster.sites_within(df.where("frame_id < 300"), spark.createDataFrame(sites, "site_id int, lat double, lon double"), reach)
+        assert {r.frame_id: r.site_id for r in got.collect()} == want
+    cards = spark.createDataFrame([(1, 0, "SITELAT", "+10 30 00"), (1, 1, "SITELONG", "-20.5"), (2, 0, "SITELAT", "1")], "frame_id long, ord int, keyword string, value string")
+    assert [tuple(r) for r in cluster.frame_places(cards, ["LAT-OBS", "SITELAT"], ["SITELONG"]).collect()] == [(1, 10.5, -20.5)]
+
+
+def test_saved_run_and_night_offset(spark):
+    saved = spark.createDataFrame([("a", None, None), ("b", None, 3)], "name string, last_run_at timestamp_ntz, last_count long")
+    now = dt.datetime(2025, 1, 1)
+    out = {r.name: (r.last_run_at, r.last_count) for r in actions.saved_run(saved, "a", spark.range(7), F.lit(now)).collect()}
+    assert out == {"a": (now, 7), "b": (None, 3)}
+    sites = spark.createDataFrame([(1, -7.0), (2, None)], "site_id int, utc_offset_hours double")
+    assert [archive.night_offset(sites, s) for s in (1, 2, 3, None)] == [-7.0, 0.0, 0.0, 0.0]
 
 
 def test_due_roots(spark):
