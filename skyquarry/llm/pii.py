@@ -1,13 +1,18 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in DataFrame operations alone.
 
 One pattern finds candidates; each is validated for its kind and then permuted by a keyed Feistel network within its format, so
-equal values get equal pseudonyms in all documents, and a holder of the key can undo it:
+equal values get equal pseudonyms in all documents, and a holder of the key can undo each (`pseudonym` with inverse):
 
 - email: letters and digits of the local part, each within its class (digit, lower case, upper case; others: the letters and numbers of its 64 code points of
   Unicode); the domain stays;
-- phone: the ten digits after the country code; separators stay;
+- phone: the ten digits after the country code of a North American number, all digits after the country code of one that begins with a plus sign and
+  has 8 to 15 digits (without a separator behind it, the code is taken as two digits); separators stay;
 - ip: an IPv4 address whose four numbers are at most 255, on its 32 bits;
-- date: a valid yyyy-mm-dd or yyyy/mm/dd of 1900-01-01 to 2100-01-02, on the number of its day (73,051 = 319 * 229 of them);
+- date: a valid yyyy-mm-dd or yyyy/mm/dd of 1900-01-01 to 2100-01-02, on the number of its day (73,051 = 319 * 229 of them); also with the day first
+  (dd/mm/yyyy, dd.mm.yyyy, dd-mm-yyyy), or, where that is no date, the month. Those with the month first stay recognisable as such: days 13 to 28 on month
+  and day of 1900 to 2099, later days on the year alone;
+- iban: an account number of a country in `IBAN_LENGTHS` with right check digits, in one piece or with single blanks; letters and digits after the check digits are
+  permuted within their class, and these are computed anew;
 - ssn: ddd-dd-dddd with a valid area, group and serial number, on its digits;
 - card: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted and it is computed anew. In a run of numbers
   parted by single blanks or hyphens, any whole numbers in a row can be one: those in an issuer's form come first, then from left to right, the longest first;
@@ -21,21 +26,44 @@ unchanged, except that columns with the names of the added ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh
 
-KINDS = ("email", "phone", "ip", "date", "ssn", "card", "secret")
+KINDS = ("email", "phone", "ip", "date", "ssn", "iban", "card", "secret")
 ROUNDS = 8
 #: Fixed patterns, one for each kind.
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,9}\.[A-Za-z]{2,24}"
 _PHONE = r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
 _IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 _DATE = r"(?<![\d/-])(?:19|20|21)\d\d([-/])\d\d\1\d\d(?![\d/-])"
+_TURNED = r"(?<![\d/.-])\d\d([/.-])\d\d\1(?:19|20)\d\d(?![\d/-]|\.\d)"
+_ABROAD = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\d)"
+# The lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21,
+    "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban() -> str:
+    by_length = defaultdict(list)
+    for country, n in IBAN_LENGTHS.items():
+        by_length[n].append(country)
+    forms = "|".join(f"(?:{'|'.join(c)})\\d\\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return f"(?<![0-9A-Za-z])(?:{forms})(?![0-9A-Za-z])"
+
+
+_IBAN = _iban()
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
-_OTHERS = "|".join(f"(?:{p})" for p in (_EMAIL, _PHONE, _IP, _DATE.replace(r"([-/])\d\d\1", r"(?:-\d\d-|/\d\d/)"), _SSN, _SECRET))
+_OTHERS = "|".join(f"(?:{p})" for p in (_EMAIL, _IBAN, _PHONE, _ABROAD, _IP, _DATE.replace(r"([-/])\d\d\1", r"(?:-\d\d-|/\d\d/)"), _TURNED.replace(r"([/.-])\d\d\1", r"(?:/\d\d/|\.\d\d\.|-\d\d-)"), _SSN, _SECRET))
 #: Numbers in a row with 13 digits or more, as far as no value of another kind begins. Possessive, so that a long run takes no stack.
 _RUN = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHERS})\d++)*+"
 PATTERN = f"{_OTHERS}|(?:{_RUN})"
@@ -45,6 +73,14 @@ _ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]|2[2-7]|35)\d{14}|3[47]\d{13}|3(?
 _HINT = r"[0-9@]|[a-fA-F]{32}"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting spark.skyquarry.pii.key. Without it a known one, which protects nothing: for trials and tests."""
+    found = spark.conf.get("spark.skyquarry.pii.key", None)
+    if not found:
+        warnings.warn("spark.skyquarry.pii.key is not set: the pseudonyms are made with a public key", stacklevel=2)
+    return found or "public trial key"
+
+
 def _noise(key: str, kind: str | Column, turn: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), turn.cast("string"), half), 256)
 
@@ -58,7 +94,7 @@ def _other(c: Column, by: Column) -> Column:
     code = F.ascii(c)
     at = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")
     block = F.filter(F.transform(F.sequence(code - code % 64, code - code % 64 + 63), at), lambda x: x.rlike(r"^[\p{L}\p{N}]$"))
-    moved = F.transform(F.array(block), lambda b: F.element_at(b, ((F.array_position(b, c) - 1 + by) % F.size(b) + 1).cast("int")))[0]
+    moved = F.transform(F.array(block), lambda b: F.element_at(b, (F.pmod(F.array_position(b, c) - 1 + by, F.size(b)) + 1).cast("int")))[0]
     return F.when(c.rlike(r"^[\p{L}\p{N}&&[^\x00-\x7F]]$"), moved).otherwise(c)
 
 
@@ -67,37 +103,46 @@ def _shift(c: Column, by: Column, letters: int) -> Column:
     code = F.ascii(c)
 
     def moved(low: str, size: int) -> Column:
-        return F.char(F.lit(ord(low)) + (code - ord(low) + by) % size)
+        return F.char(F.lit(ord(low)) + F.pmod(code - ord(low) + by, F.lit(size)))
 
     last = chr(ord("a") + letters - 1)
     return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", last), moved("a", letters)).when(c.between("A", last.upper()), moved("A", letters)).otherwise(_other(c, by) if letters == 26 else c)
 
 
-def feistel_text(value: Column, key: str, kind: str | Column, letters: int = 26) -> Column:
-    """A permutation of the texts with the same classes of characters at the same places."""
+def feistel_text(value: Column, key: str, kind: str | Column, letters: int = 26, inverse: bool = False) -> Column:
+    """A permutation of the texts with the same classes of characters at the same places; or its inverse."""
     n = F.char_length(value)
-    half = F.floor(n / 2).cast("int")
+    half = F.floor(n / 2).cast("int")  # the rounds are even, so the halves end as long as they began
+
+    def turned(text: Column, other: Column, turn: Column) -> Column:
+        noise = _noise(key, kind, turn, other)
+        places = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text))).otherwise(F.expr("cast(array() as array<int>)"))
+        by = lambda i: F.conv(noise.substr(((i - 1) % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") * (-1 if inverse else 1)
+        return F.array_join(F.transform(places, lambda i: _shift(text.substr(i, F.lit(1)), by(i), letters)), "")
 
     def one(state: Column, turn: Column) -> Column:
-        noise = _noise(key, kind, turn, state["r"])
-        places = F.when(F.char_length(state["l"]) > 0, F.sequence(F.lit(1), F.char_length(state["l"]))).otherwise(F.expr("cast(array() as array<int>)"))
-        by = lambda i: F.conv(noise.substr(((i - 1) % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        new = F.array_join(F.transform(places, lambda i: _shift(state["l"].substr(i, F.lit(1)), by(i), letters)), "")
-        return F.struct(state["r"].alias("l"), new.alias("r"))
+        if inverse:
+            return F.struct(turned(state["r"], state["l"], turn).alias("l"), state["l"].alias("r"))
+        return F.struct(state["r"].alias("l"), turned(state["l"], state["r"], turn).alias("r"))
 
     first = F.struct(value.substr(F.lit(1), half).alias("l"), value.substr(half + 1, n - half).alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, one, lambda s: F.concat(s["l"], s["r"]))
+    return F.aggregate(_turns(inverse), first, one, lambda s: F.concat(s["l"], s["r"]))
+
 
+def _turns(inverse: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
 
-def feistel_pair(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
-    """A permutation of the pairs (l, r) with 0 <= l < sizes[0] and 0 <= r < sizes[1], as a struct."""
+
+def feistel_pair(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str, inverse: bool = False) -> Column:
+    """A permutation of the pairs (l, r) with 0 <= l < sizes[0] and 0 <= r < sizes[1], as a struct; or its inverse."""
+    sign = -1 if inverse else 1
 
     def one(s: Column, turn: Column) -> Column:
         odd = turn % 2 == 1
-        noise = _number(_noise(key, kind, turn, F.when(odd, s["r"]).otherwise(s["l"]).cast("string")))
-        return F.struct(F.when(odd, (s["l"] + noise) % sizes[0]).otherwise(s["l"]).alias("l"), F.when(odd, s["r"]).otherwise((s["r"] + noise) % sizes[1]).alias("r"))
+        noise = sign * _number(_noise(key, kind, turn, F.when(odd, s["r"]).otherwise(s["l"]).cast("string")))
+        return F.struct(F.when(odd, F.pmod(s["l"] + noise, F.lit(sizes[0]))).otherwise(s["l"]).alias("l"), F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + noise, F.lit(sizes[1]))).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), one)
+    return F.aggregate(_turns(inverse), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), one)
 
 
 def _digits(m: Column) -> Column:
@@ -123,6 +168,24 @@ def _refill(m: Column, digits: Column, skip: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(m)), one), "")
 
 
+def _account_rest(account: Column) -> Column:
+    """The remainder modulo 97 of an account number without blanks, its country and check digits moved to the end and letters counting 10 to 35."""
+    moved = F.concat(account.substr(F.lit(5), F.char_length(account)), account.substr(F.lit(1), F.lit(4)))
+
+    def add(rest: Column, i: Column) -> Column:
+        code = F.ascii(moved.substr(i, F.lit(1)))
+        return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(moved)), F.lit(0), add)
+
+
+def _day_first(m: Column) -> Column:
+    """The date that a text with the year last means: with the day first if there is one, else with the month first."""
+    part = lambda at: m.substr(F.lit(at), F.lit(2))
+    date = lambda day, month: F.try_to_date(F.concat_ws("-", m.substr(F.lit(7), F.lit(4)), part(month), part(day)))
+    return F.struct(date(1, 4).alias("day"), date(4, 1).alias("month"))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a candidate, null if it fails validation."""
     octets = F.split(m, r"\.")
@@ -131,10 +194,13 @@ def kind_of(m: Column) -> Column:
     ssn_ok = ~m.substr(1, 3).isin("000", "666") & (m.substr(1, 1) != "9") & (m.substr(5, 2) != "00") & (m.substr(8, 4) != "0000")
     return (
         F.when(m.contains("@"), F.lit("email"))
+        .when(m.rlike("^[A-Z]"), F.when(whole(_IBAN), F.when(_account_rest(F.regexp_replace(m, " ", "")) == 1, F.lit("iban"))).when(whole(_SECRET), F.lit("secret")))
         .when(whole(_IP), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("ip")))
         .when(whole(_DATE), F.when(day.between("1900-01-01", "2100-01-02"), F.lit("date")))
+        .when(whole(_TURNED), F.when(F.coalesce(_day_first(m)["day"], _day_first(m)["month"]).between("1900-01-01", "2099-12-31"), F.lit("date")))
         .when(whole(_SSN), F.when(ssn_ok, F.lit("ssn")))
         .when(whole(_PHONE), F.lit("phone"))
+        .when(m.startswith("+"), F.when(F.char_length(_digits(m)).between(8, 15), F.lit("phone")))
         .when(whole(_SECRET), F.lit("secret"))
         .when(m.rlike(r"^[0-9][0-9 -]*$"), F.lit("run"))
     )
@@ -161,10 +227,10 @@ def _cards(numbers: Column) -> Column:
     return F.transform(F.array(pick(none, True)), lambda a: F.concat(a, pick(a, False)))[0]
 
 
-def _card_pseudonym(m: Column, key: str) -> Column:
+def _card_pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     digits = _digits(m)
     # an array of one, so that the permuted digits are computed once
-    return F.transform(F.array(feistel_text(digits.substr(F.lit(1), F.char_length(digits) - 1), key, "card")), lambda d: _refill(m, F.concat(d, ((10 - _luhn(d, 1) % 10) % 10).cast("string")), F.lit(0)))[0]
+    return F.transform(F.array(feistel_text(digits.substr(F.lit(1), F.char_length(digits) - 1), key, "card", inverse=inverse)), lambda d: _refill(m, F.concat(d, ((10 - _luhn(d, 1) % 10) % 10).cast("string")), F.lit(0)))[0]
 
 
 def _run(m: Column, key: str) -> Column:
@@ -182,24 +248,57 @@ def _run(m: Column, key: str) -> Column:
     return F.transform(F.array(numbers), lambda a: F.transform(F.array(_cards(a)), lambda c: filled(a, c))[0])[0]
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    """The pseudonym of a validated value."""
+def _date_pseudonym(m: Column, key: str, inverse: bool) -> Column:
+    first = F.lit("1900-01-01").cast("date")
+
+    def moved(date: Column) -> Column:
+        day = F.datediff(date, first)
+        return F.transform(F.array(feistel_pair(F.floor(day / 229), day % 229, (319, 229), key, "date", inverse)), lambda s: F.date_add(first, (s["l"] * 229 + s["r"]).cast("int")))[0]
+
+    def american(date: Column) -> Column:
+        early = F.transform(F.array(feistel_pair((F.year(date) - 1900) * 12 + F.month(date) - 1, F.day(date) - 13, (2400, 16), key, "date.month", inverse)), lambda s: F.make_date((1900 + F.floor(s["l"] / 12)).cast("int"), (s["l"] % 12 + 1).cast("int"), (s["r"] + 13).cast("int")))[0]
+        leap = (F.month(date) == 2) & (F.day(date) == 29)
+        later = F.transform(F.array(feistel_pair(F.floor((F.year(date) - 1900) / 20), F.year(date) % 20, (10, 20), key, "date.year", inverse)), lambda s: F.make_date((1900 + s["l"] * 20 + s["r"]).cast("int"), F.month(date), F.day(date)))[0]
+        quad = F.transform(F.array(feistel_pair(F.floor((F.year(date) - 1904) / 4 / 7), F.floor((F.year(date) - 1904) / 4) % 7, (7, 7), key, "date.leap", inverse)), lambda s: F.make_date((1904 + (s["l"] * 7 + s["r"]) * 4).cast("int"), F.month(date), F.day(date)))[0]
+        return F.when(F.day(date) <= 28, early).when(leap, quad).otherwise(later)
+
+    plain = F.regexp_replace(F.date_format(moved(F.try_to_date(F.regexp_replace(m, "/", "-"))), "yyyy-MM-dd"), "-", m.substr(F.lit(5), F.lit(1)))
+    both = _day_first(m)
+    # a date with the day first must not leave the range of those that are recognised: its last two days, beyond 2099, stay where they are
+    kept = lambda d: F.when(moved(d) <= F.lit("2099-12-31").cast("date"), moved(d)).otherwise(_once_more(moved, d))
+    mark = m.substr(F.lit(3), F.lit(1))
+    turned = F.when(both["day"].isNotNull(), F.date_format(kept(both["day"]), "dd-MM-yyyy")).otherwise(F.date_format(american(both["month"]), "MM-dd-yyyy"))
+    return F.when(m.rlike(r"^\d{4}"), plain).otherwise(F.replace(turned, F.lit("-"), mark))
+
+
+def _once_more(moved, date: Column) -> Column:
+    """The permutation again, twice if need be: there are but two days outside the range, so the walk is back inside after three steps."""
+    inside = lambda d: d <= F.lit("2099-12-31").cast("date")
+    return F.transform(F.array(moved(moved(date))), lambda d: F.when(inside(d), d).otherwise(moved(d)))[0]
+
+
+def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
+    """The pseudonym of a validated value; inverse: the value of a pseudonym of this kind."""
     digits = _digits(m)
     n = F.char_length(digits)
     local = F.substring_index(m, "@", 1)
-    email = F.concat(feistel_text(local, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
-    phone = _refill(m, feistel_text(digits.substr(n - 9, F.lit(10)), key, "phone"), n - 10)
+    email = F.concat(feistel_text(local, key, "email", inverse=inverse), F.lit("@"), F.substring_index(m, "@", -1))
+    code = F.when(m.rlike(f"^(?:{_PHONE})$"), n - 10).when(m.rlike(r"^\+\d{1,3}[^\d]"), F.char_length(F.regexp_extract(m, r"^\+(\d+)", 1))).otherwise(2)
+    phone = _refill(m, feistel_text(digits.substr(code + 1, n - code), key, "phone", inverse=inverse), code)
     octet = lambda i: F.element_at(F.split(m, r"\."), i).cast("int")
-    ip = F.transform(F.array(feistel_pair(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), (65536, 65536), key, "ip")), lambda s: F.concat_ws(".", F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256))[0]
-    day = F.datediff(F.try_to_date(F.regexp_replace(m, "/", "-")), F.lit("1900-01-01").cast("date"))
-    date = F.transform(F.array(feistel_pair(F.floor(day / 229), day % 229, (319, 229), key, "date")), lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * 229 + s["r"]).cast("int")), "yyyy-MM-dd"))[0]
-    date = F.when(m.contains("/"), F.regexp_replace(date, "-", "/")).otherwise(date)
-    ssn = _refill(m, feistel_text(digits, key, "ssn"), F.lit(0))
+    ip = F.transform(F.array(feistel_pair(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), (65536, 65536), key, "ip", inverse)), lambda s: F.concat_ws(".", F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256))[0]
+    ssn = _refill(m, feistel_text(digits, key, "ssn", inverse=inverse), F.lit(0))
+    account = F.regexp_replace(m, " ", "")
+    fresh_account = F.transform(F.array(feistel_text(account.substr(F.lit(5), F.char_length(account)), key, "iban", inverse=inverse)), lambda d: F.concat(account.substr(F.lit(1), F.lit(2)), F.lpad((98 - _account_rest(F.concat(account.substr(F.lit(1), F.lit(2)), F.lit("00"), d))).cast("string"), 2, "0"), d))[0]
+    # single blanks where they were
+    blanks = lambda a: F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(m)), lambda i: F.when(m.substr(i, F.lit(1)) == " ", F.lit(" ")).otherwise(a.substr(F.char_length(F.replace(m.substr(F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+    iban = F.transform(F.array(fresh_account), blanks)[0]
     # in pieces, as the work for one text grows with the square of its length
     pieces = F.when(F.char_length(m) < 192, F.array(m)).otherwise(F.regexp_extract_all(m, F.lit(".{128}(?=.{64})|.+"), F.lit(0)))
     tweak = lambda i: F.when(i == 0, "secret").otherwise(F.concat(F.lit("secret."), i.cast("string")))
-    secret = F.array_join(F.transform(pieces, lambda p, i: feistel_text(p, key, tweak(i), letters=6)), "")
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(m)
+    secret = F.array_join(F.transform(pieces, lambda p, i: feistel_text(p, key, tweak(i), letters=6, inverse=inverse)), "")
+    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "date", _date_pseudonym(m, key, inverse)).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "secret", secret)
+    return (out.when(kind == "card", _card_pseudonym(m, key, True)) if inverse else out).otherwise(m)
 
 
 def _is(kind: str):

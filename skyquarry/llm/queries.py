@@ -40,9 +40,9 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"))
 
 
-def op7_pii(spark: SparkSession, sf_dir: str, key: str = "skyquarry") -> DataFrame:
+def op7_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(documents, key)
+    return pii.pseudonymise(documents, key or pii.session_key(spark))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

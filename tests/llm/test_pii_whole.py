@@ -1,7 +1,10 @@
 """Personal data beside other numbers, long secrets and letters of other alphabets."""
 
+import datetime
 import re
 
+from pyspark.sql import functions as F
+
 from skyquarry.llm import pii
 
 CARD = "4111111111111111"
@@ -57,3 +60,48 @@ def test_letters_are_permuted(spark):
     letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
     pairs = spark.createDataFrame([(a + b,) for a in letters for b in letters], "v string")
     assert pairs.select(pii.feistel_text(F.col("v"), "k", "t").alias("w")).distinct().count() == len(letters) ** 2
+
+
+def test_more_kinds_and_inverse(spark):
+    """Account numbers, other orders of dates, numbers abroad: found, valid again, linked, and undone with the key."""
+    def rest(a):
+        return int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97
+
+    accounts = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606"]
+    assert all(rest(a.replace(" ", "")) == 1 for a in accounts)
+    dates = ["31/12/2024", "12/31/2024", "31.12.2024", "05-03-1999", "02/29/2024", "12/13/1900", "01/01/2100", "31/12/2099"]
+    phones = ["+49 30 901820", "+44 20 7946 0958", "+8613800138000", "(974) 555-3436", "+1 974-555-3436"]
+    others = ["jane.doe42@mail7.example.com", "97.51.17.173", "2024-02-29", "1999/12/31", "123-45-6789", "4111111111111111", "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e", "AB8CA1B325BC4F85AA6A79E73FC4CBFC2098878E"]
+    values = [*accounts, *dates, *phones, *others]
+    left = ["DE88370400440532013000", "ZZ89370400440532013000", "31/13/2024", "13/32/2024", "99.99.2024", "+12 34", "01/01/2100", "v1.2.3.4.5"]
+    df = spark.createDataFrame([(i, f"<{v}> ({v})") for i, v in enumerate(values)] + [(100 + i, f"<{v}>") for i, v in enumerate(left)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k1").collect()}
+    assert all(got[100 + i].text == f"<{v}>" for i, v in enumerate(left))
+    names = ["iban"] * 4 + ["date"] * 8 + ["phone"] * 5 + ["email", "ip", "date", "date", "ssn", "card", "secret", "secret"]
+    new = {}
+    for i, (v, kind) in enumerate(zip(values, names)):
+        m = re.fullmatch(r"<(.*)> \((.*)\)", got[i].text)
+        assert m[1] == m[2]
+        if v != "01/01/2100":
+            assert m[1] != v and got[i][f"n_{kind}"] == 2, v
+            new[i] = (v, kind, m[1])
+        if kind == "iban":
+            assert rest(m[1].replace(" ", "")) == 1 and m[1][:2] == v[:2] and [k for k, c in enumerate(m[1]) if c == " "] == [k for k, c in enumerate(v) if c == " "]
+    for v, form in (("31/12/2024", "%d/%m/%Y"), ("12/31/2024", "%m/%d/%Y"), ("31.12.2024", "%d.%m.%Y"), ("02/29/2024", "%m/%d/%Y")):
+        datetime.datetime.strptime(next(n for w, _, n in new.values() if w == v), form)
+    back = spark.createDataFrame([(v, k, n) for v, k, n in new.values()], "v string, k string, n string").select("v", pii.pseudonym(F.col("n"), F.col("k"), "k1", inverse=True).alias("back")).collect()
+    assert [(r.v, r.back) for r in back] == [(r.v, r.v) for r in back]
+
+
+def test_dates_with_the_day_first_are_permuted(spark):
+    days = spark.sql("select explode(sequence(date'1900-01-01', date'2099-12-31', interval 1 day)) as d")
+    made = days.select(pii.pseudonym(F.date_format("d", "dd.MM.yyyy"), F.lit("date"), "k").alias("n"), F.when(F.day("d") > 12, pii.pseudonym(F.date_format("d", "MM/dd/yyyy"), F.lit("date"), "k")).alias("m"))
+    n, distinct, late, months, distinct_months = made.agg(F.count("n"), F.count_distinct("n"), F.max(F.substring("n", 7, 4)), F.count("m"), F.count_distinct("m")).first()
+    assert n == distinct and late <= "2099" and months == distinct_months
+
+
+def test_session_key(spark):
+    assert pii.session_key(spark)
+    spark.conf.set("spark.skyquarry.pii.key", "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset("spark.skyquarry.pii.key")
