@@ -131,26 +131,26 @@ def bounded_sample(labelled: DataFrame, key: Column, rows: int) -> DataFrame:
 def fit_on_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, fit: Callable[[list[str], list[int]], Any], max_docs: int, max_bytes: int = 60_000) -> Any:
     """Fits a model of document labels in one executor task on a bounded sample, and returns it.
 
-    The sample: of the ids that `allowed` admits and that carry a label, the `max_docs` with the smallest hashes, as far as their
-    texts have at most `max_bytes` bytes. Rows are sorted first, so the model doesn't depend on partitioning."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")).where(allowed)
-    picked = bounded_sample(known, F.col("doc_id"), max_docs)
+    The sample: of the ids that `allowed` admits, that carry a label and have a text of at most `max_bytes` bytes, the `max_docs` with the smallest
+    hashes; of a repeated id the smallest such text. Rows are sorted first, so the model doesn't depend on partitioning."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")).where(allowed)
+    picked = bounded_sample(known.join(texts.select("doc_id"), "doc_id", "left_semi"), F.col("doc_id"), max_docs)
 
     def run(batches):
         rows = sorted((str(i), t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_y"))))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())})
 
-    sample = texts.join(F.broadcast(picked), "doc_id")  # picked has at most max_docs rows of two numbers
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # picked has at most max_docs rows of two numbers
     made = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0].model) if made else fit([], [])  # an empty table may have no task at all
 
 
 def fit_on_texts(documents: DataFrame, fit: Callable[[list[str]], Any], max_docs: int, max_bytes: int) -> Any:
-    """What `fit` makes, in one executor task, of about `max_docs` texts of at most `max_bytes`, chosen by the hash of doc_id."""
+    """What `fit` makes, in one executor task, of about `max_docs` distinct texts of at most `max_bytes`, chosen by the hash of doc_id and text."""
     share = min(1.0, max_docs / max(1, documents.count()))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))
-    texts = documents.where(F.col("doc_id").isNotNull() & chosen & (F.octet_length("text") <= max_bytes)).select("text")
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) <= int(share * (1 << 40))
+    texts = documents.where(F.col("doc_id").isNotNull() & chosen & (F.octet_length("text") <= max_bytes)).select("text").distinct()
 
     def run(batches):
         rows = sorted(t for b in batches for t in b.column("text").to_pylist())
