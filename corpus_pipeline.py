@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from skyquarry.llm import decontam, jaccard, pieces, pii, toxicity
 from skyquarry.llm.shared import fit_on_sample, materialise, public_model, table
 
-PII_KEY = "skyquarry"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go; the model learns from the labelled rows of the unfiltered table."""
@@ -22,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by sets of five-word runs with a similarity of 0.8 or more, one document stays."""
+    """Of each group linked by sets of five-word runs with a similarity of 0.8 or more, the fixed rule for such stages, one document stays."""
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 
@@ -33,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms, and n_chars follows the text."""
-    out = pii.pseudonymise(docs, PII_KEY, counts=False)
+    out = pii.pseudonymise(docs, pii.session_key(spark), counts=False)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
