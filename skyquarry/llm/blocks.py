@@ -1,9 +1,13 @@
 """Blocks of documents that ask a distributed table by key, and get answers, in bulk.
 
-A block is a few megabytes of whole texts, chosen by hash. For a table that grows with the corpus (n-gram counts, fingerprints of
-windows) a block sends its distinct sorted keys, cut into buckets by key range, one blob for each bucket; a bucket's task merges the
-blobs of all blocks and answers each in its own order. So a key that occurs everywhere travels once for each block, no key's
-occurrences are gathered, and no side is broadcast.
+A block is a few megabytes of whole texts, chosen by hash of the row and its place, so that copies of one row spread over all blocks.
+The packed blocks are written to the shared folder once: all later passes see the same rows in the same order, also after an
+executor is lost. For a table that grows with the corpus (n-gram counts, fingerprints of windows) a block sends its distinct sorted
+keys, cut into buckets by key range, one blob for each bucket; a bucket's task merges the blobs of all blocks and answers each in its
+own order. So a key that occurs everywhere travels once for each block, no key's occurrences are gathered, and no side is broadcast.
+
+There are as many buckets as blocks, so a block sends as many rows as there are blocks, and at most one for each of its distinct keys: the
+bytes grow with the corpus, the rows with its square until that bound is reached. `block_bytes` sets how early.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import materialise, slices
 
 BLOCK_BYTES = 8 << 20
 FLUSH_BYTES = 12 << 20
@@ -66,7 +70,7 @@ def packed(documents: DataFrame, n: int) -> DataFrame:
     """ROWS of kind -1: part is the block, blob the compressed rows that a task has for it. documents: any columns, with doc_id and text."""
     schema = documents.schema
     names = schema.names
-    keyed = documents.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    keyed = documents.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -96,7 +100,7 @@ def packed(documents: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return keyed.mapInArrow(run, ROWS)
+    return materialise(keyed.mapInArrow(run, ROWS), "blocks")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -123,9 +127,9 @@ def by_part(rows: DataFrame, n: int, work: Callable[[int, list[tuple[int, int, b
 
 
 def documents_of(held: list[tuple[int, int, bytes]]) -> pa.Table:
-    """A block's documents, in an order that doesn't depend on tasks' timing."""
-    tables = [pa.ipc.open_stream(blob).read_all() for _, kind, blob in held if kind == _KIND_DOCS]
-    return pa.concat_tables(sorted(tables, key=lambda t: (str(t["doc_id"][0]), t.num_rows))).combine_chunks()
+    """A block's documents, in an order that doesn't depend on tasks' timing: that of their packed bytes."""
+    blobs = sorted(blob for _, kind, blob in held if kind == _KIND_DOCS)
+    return pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in blobs]).combine_chunks()
 
 
 def bucket_bounds(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

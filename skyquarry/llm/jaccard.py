@@ -24,7 +24,8 @@ of blocks are verified in separate tasks. Inside, pairs that are known to be con
 everything else is compared exactly. No candidate is capped.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component; rows with a
-repeated doc_id keep a row each; null ids are left out of the smallest id; other columns are ignored. Classes are told apart by 64
+repeated doc_id keep a row each; null ids are left out of the smallest id, and a text that only rows without id have links with equal
+texts alone; other columns are ignored. Classes are told apart by 64
 bits of hash over their elements and size.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .blocks import ROWS, ask, by_part, number_of_blocks, squeeze, unpack_sorted, unsqueeze
 from .components import components
-from .shared import discard, fit_on_texts, fresh, map_slices, materialise, slices
+from .shared import discard, fit_on_texts, fresh, map_slices, materialise, releasing, slices
 
 GROWTH = 1.35
 SPARE = 0.3
