@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices
+from .shared import materialise, releasing, slices
 
 BLOCK_BYTES = 8 << 20
 FLUSH_BYTES = 12 << 20
@@ -100,7 +100,7 @@ def packed(documents: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return materialise(keyed.mapInArrow(run, ROWS), "blocks")
+    return materialise(keyed.mapInArrow(releasing(run), ROWS), "blocks")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -123,7 +123,7 @@ def by_part(rows: DataFrame, n: int, work: Callable[[int, list[tuple[int, int, b
         if held:
             yield make(list(work(name, held)))
 
-    return rows.repartition(n, "part").sortWithinPartitions("part", "kind", "key").mapInArrow(run, schema)
+    return rows.repartition(n, "part").sortWithinPartitions("part", "kind", "key").mapInArrow(releasing(run), schema)
 
 
 def documents_of(held: list[tuple[int, int, bytes]]) -> pa.Table:

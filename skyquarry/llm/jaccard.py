@@ -275,7 +275,7 @@ def _verify(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield flush()
 
     placed = texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(releasing(run), "a long, b long")
 
 
 def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -30,7 +30,7 @@ from .shared import map_slices
 
 MARK = "▁"
 LONG = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(1) << 20  # above any rank
 
@@ -240,8 +240,8 @@ class Merger:
             offer(i, after[i])
         return self._ids([x for x, g in zip(sym, gone) if not g])
 
-    def _lookup(self, split: list[list[str]]) -> dict[str, tuple[list[int], str, str]]:
-        """Ids, their decimal form and their decoded form of all words, kept for the next slices.
+    def _lookup(self, split: list[list[str]], keep: bool) -> dict[str, tuple[list[int] | None, str, str]]:
+        """Ids (if `keep`), their decimal form and their decoded form of all words, kept for the next slices.
 
         The cache has two generations of bounded size: words not seen during a whole generation go."""
         cache, old = self._cache.setdefault("new", {}), self._cache.setdefault("old", {})
@@ -257,13 +257,13 @@ class Merger:
         for w, ids in zip(fresh, self.encode_words(fresh)):
             # the dummy prefix is the text's affair, so a word's own decoded form keeps its mark
             shown = "".join(map(surface, ids)) if min(ids) > bytes_end else self.decode([self.byte_ids[0], *ids])[1:]
-            cache[w] = (ids, " ".join(map(number, ids)), shown)
+            cache[w] = (ids if keep else None, " ".join(map(number, ids)), shown)
         return cache
 
     def encode_texts(self, texts: list[str]) -> list[list[list[int]]]:
         """For each text the ids of its words, in order, without end id."""
         split = [_split(t) for t in texts]
-        cache = self._lookup(split)
+        cache = self._lookup(split, True)
         return [[cache[w][0] for w in ws] for ws in split]
 
     def decode(self, ids: list[int]) -> str:
@@ -347,7 +347,7 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
     def work(part):
         m = shared.value
         split = [_split(t or "") for t in part.column("text").to_pylist()]
-        cache = m._lookup(split)
+        cache = m._lookup(split, False)
         n_tokens, ids_hash, text_hash = [], [], []
         for words in split:
             known = [cache[w] for w in words]

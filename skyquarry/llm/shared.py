@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -91,6 +92,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(begin)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks and share an executor's memory with those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that releases memory when its task has ended."""
+
+    def to_the_end(batches):
+        yield from run(batches)
+        release()
+
+    return to_the_end
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], column: str = "text", finish: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over slices; `work` yields dicts of columns for one slice, `finish` runs at the end of a task (workers outlive their tasks)."""
     names = [f.name for f in _parsed(df.sparkSession, schema)]
@@ -104,7 +123,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iter
             if finish:
                 finish()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def filter_slices(df: DataFrame, keep: Callable[[pa.RecordBatch], Any], column: str = "text") -> DataFrame:
@@ -114,7 +133,7 @@ def filter_slices(df: DataFrame, keep: Callable[[pa.RecordBatch], Any], column:
         for part in slices(batches, column):
             yield part.filter(pa.array(keep(part), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)
 
 
 def _parsed(spark, schema: str):
