@@ -19,9 +19,10 @@ A set indexes its own band and those lower ones that hold possible smaller partn
 around the smallest class before and after the keys are dealt out, so a common key is one entry for each batch of documents. The stars
 make candidate components (distributed, see components.py).
 
-Verification. The texts of a candidate component meet in one task if it is small; a larger one is cut into blocks, and all pairs
-of blocks are verified in separate tasks. Inside, pairs that are known to be connected are skipped, which changes no component;
-everything else is compared exactly. No candidate is capped.
+Verification. The texts of a candidate component meet in one task if it is small. A larger one is either cut into blocks, whose pairs are
+verified in separate tasks, or divided into the groups of classes that share a key, whichever moves fewer bytes: unlike texts that
+weak keys chain together then meet only along those keys. Inside a group, pairs that are known to be connected are skipped, which changes
+no component; everything else is compared exactly. No candidate is capped.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component; rows with a
 repeated doc_id keep a row each; null ids are left out of the smallest id, and a text that only rows without id have links with equal
@@ -48,7 +49,7 @@ GROWTH = 1.35
 SPARE = 0.3
 SELECTIVE = 2
 BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
-SALTS = 64
+SALTS, KEY_SALTS = 64, 8
 SAMPLE_DOCS, SAMPLE_BYTES, COMMON_LEAST, COMMON_MOST = 6000, 20_000, 4, 200_000
 _KEYS, _LINKS = 1, 2
 
@@ -252,13 +253,9 @@ def _verify(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links a, b of the groups in `texts` (root, i, j, c, block, text), each group in one task."""
 
     def run(batches):
-        name, members = None, []
+        name, seen = None, {}
 
         def flush():
-            seen = {}
-            for c, block, s in members:
-                if class_of(s) == c:
-                    seen.setdefault(c, (block, s))
             ids = list(seen)
             found = forest([seen[c][1] for c in ids], [seen[c][0] for c in ids], num, den)
             return pa.RecordBatch.from_pydict({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
@@ -267,17 +264,47 @@ def _verify(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             groups = list(zip(*(part.column(x).to_pylist() for x in ("root", "i", "j"))))
             for g, c, block, s in zip(groups, part.column("c").to_pylist(), part.column("block").to_pylist(), word_sets(part.column("text"), k)):
                 if g != name:
-                    if members:
+                    if seen:
                         yield flush()
-                    name, members = g, []
-                members.append((c, block, s))
-        if members:
+                    name, seen = g, {}
+                if c not in seen and class_of(s) == c:  # a class that comes again, as rows of a repeated doc_id do, is held once
+                    seen[c] = block, s
+        if seen:
             yield flush()
 
     placed = texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return placed.mapInArrow(releasing(run), "a long, b long")
 
 
+def _blocks(n: str, size: str):
+    return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def _groups(full: DataFrame, members: DataFrame) -> DataFrame:
+    """root, c, first, _blocks, block: the groups whose pairs are verified, named by a hash in `root`, and the block of each class in them.
+
+    A component of one block is one group. A larger one is either a group of several blocks or, where that moves fewer bytes, a group for
+    each key that classes of it share; keys shared by the same classes make one group. Both have all pairs that share a key."""
+    salt = F.pmod(F.xxhash64("c"), F.lit(KEY_SALTS)).cast("int")
+    sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", "_b", _blocks("_n", "_b").alias("_blocks"))
+    placed = materialise(members.join(sizes, "root"), "placed")
+    large = placed.where("_blocks > 1").select("root", "c", "first", "bytes")
+    held = full.select(F.col("doc_id").alias("first"), "c", "keys").join(large, ["first", "c"]).select("root", "c", "first", "bytes", F.explode("keys").alias("key")).distinct()
+    held = materialise(held.withColumn("salt", salt), "held")
+    named = held.groupBy("root", "key").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"), F.bit_xor(F.xxhash64("c")).alias("_x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("_y")).where("_n > 1")
+    once = named.groupBy("root", "_n", "_b", "_x", "_y").agg(F.min("key").alias("key")).select("root", "key", "_b", _blocks("_n", "_b").alias("_blocks"))
+    once = materialise(once, "once")
+    moved = once.groupBy("root").agg(F.sum(F.col("_b").cast("double") * F.col("_blocks")).alias("_moved"))
+    by_key = materialise(sizes.where("_blocks > 1").join(moved, "root").where("_moved < CAST(_b AS DOUBLE) * _blocks").select("root"), "by_key")
+    spread = once.join(by_key, "root", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
+    parts = held.join(spread.select("root", "key", "salt", "_blocks"), ["root", "key", "salt"]).withColumn("root", F.xxhash64("root", "key"))
+    columns = ["root", "c", "first", "_blocks", F.pmod(F.xxhash64("c"), "_blocks").cast("int").alias("block")]
+    groups = materialise(placed.join(by_key, "root", "left_anti").select(*columns).unionByName(parts.select(*columns)), "asked")
+    for done in (placed, held, once, by_key):
+        discard(done)
+    return groups
+
+
 def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document row."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -300,9 +327,7 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     stars = _stars(full, number_of_blocks(docs))
     near = components(stars, "near")
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_b") / BLOCK_BYTES)).cast("int").alias("_blocks"))
-    # written, so that Spark knows its size when it chooses the join with the texts
-    asked = materialise(members.join(sizes, "root").select("root", "c", "first", "_blocks", F.pmod(F.xxhash64("c"), "_blocks").cast("int").alias("block")), "asked")
+    asked = _groups(full, members)  # written, so that Spark knows its size when it chooses the join with the texts
     texts = docs.withColumnRenamed("doc_id", "first").join(asked, "first").select("root", "c", "block", "_blocks", "text")
     pairs = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "c", "block", "text")
     links = materialise(_verify(pairs, k, num, den), "links")

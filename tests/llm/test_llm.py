@@ -82,6 +82,31 @@ def test_jaccard(documents, texts, empty, k, num):
     assert jaccard.join(empty, k, num, 100).count() == 0
 
 
+def test_jaccard_large_components(spark, monkeypatch):
+    """Components of several blocks, divided along shared keys (a chain) or into blocks (a dense group), give the links of brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    rnd = random.Random(11)
+    words = [rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(1400)]
+    chain = [" ".join(words[8 * i : 8 * i + 120]) for i in range(150)]  # each is linked to its neighbours only
+    dense = []
+    base = [rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(200)]
+    for i in range(40):
+        w = list(base)
+        w[5 * i] = f"changed{i}"
+        dense.append(" ".join(w))
+    texts = chain + dense + dense[:5]
+    seen = []
+    plain = jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda *a: seen.append(plain(*a)) or seen[-1])
+    made = []
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda texts, *a: made.append(seen[-1].groupBy("root").agg(F.count("*").alias("n"), F.max("_blocks").alias("b")).collect()) or verify(texts, *a))
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(jaccard.join(documents, 4, 85, 100))
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(sets(texts, 4), 85, 100)
+    assert len(made[0]) > 5 and any(g.n == 40 and g.b == 10 for g in made[0])
+
+
 def test_jaccard_keys_find_all_links():
     """Any pair within the threshold shares a key, for sets of all sizes, with and without common elements."""
     rnd = np.random.default_rng(3)
