@@ -32,6 +32,7 @@ bits of hash over their elements and size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -280,7 +281,7 @@ def _blocks(n: str, size: str):
     return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("int")
 
 
-def _groups(full: DataFrame, members: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, members: DataFrame, k: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """root, c, first, _blocks, block: the groups whose pairs are verified, named by a hash in `root`, and the block of each class in them.
 
     A component of one block is one group. A larger one is either a group of several blocks or, where that moves fewer bytes, a group for
@@ -288,9 +289,16 @@ def _groups(full: DataFrame, members: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("c"), F.lit(KEY_SALTS)).cast("int")
     sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b")).select("root", "_b", _blocks("_n", "_b").alias("_blocks"))
     placed = materialise(members.join(sizes, "root"), "placed")
-    large = placed.where("_blocks > 1").select("root", "c", "first", "bytes")
-    held = full.select(F.col("doc_id").alias("first"), "c", "keys").join(large, ["first", "c"]).select("root", "c", "first", "bytes", F.explode("keys").alias("key")).distinct()
-    held = materialise(held.withColumn("salt", salt), "held")
+    large = materialise(placed.where("_blocks > 1").select("root", "c", "first", "bytes"), "large")
+
+    def describe(part):
+        sets = [s if class_of(s) == c else s[:0] for s, c in zip(word_sets(part.column("text"), k), part.column("c").to_pylist())]
+        yield {n: part.column(n) for n in ("root", "c", "first", "bytes")} | {"keys": pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))}
+
+    # made again from the texts, as all documents' keys would weigh more in a shuffle than their texts
+    texts = docs.withColumnRenamed("doc_id", "first").join(large.hint("merge"), "first").select("root", "c", "first", "bytes", "text")  # grows with the corpus: never broadcast
+    listed = map_slices(texts, f"root long, c long, first {dict(docs.dtypes)['doc_id']}, bytes long, keys array<long>", describe)
+    held = materialise(listed.select("root", "c", "first", "bytes", F.explode("keys").alias("key")).distinct().withColumn("salt", salt), "held")
     named = held.groupBy("root", "key").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"), F.bit_xor(F.xxhash64("c")).alias("_x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("_y")).where("_n > 1")
     once = named.groupBy("root", "_n", "_b", "_x", "_y").agg(F.min("key").alias("key")).select("root", "key", "_b", _blocks("_n", "_b").alias("_blocks"))
     once = materialise(once, "once")
@@ -300,7 +308,7 @@ def _groups(full: DataFrame, members: DataFrame) -> DataFrame:
     parts = held.join(spread.select("root", "key", "salt", "_blocks"), ["root", "key", "salt"]).withColumn("root", F.xxhash64("root", "key"))
     columns = ["root", "c", "first", "_blocks", F.pmod(F.xxhash64("c"), "_blocks").cast("int").alias("block")]
     groups = materialise(placed.join(by_key, "root", "left_anti").select(*columns).unionByName(parts.select(*columns)), "asked")
-    for done in (placed, held, once, by_key):
+    for done in (placed, large, held, once, by_key):
         discard(done)
     return groups
 
@@ -327,8 +335,8 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     stars = _stars(full, number_of_blocks(docs))
     near = components(stars, "near")
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
-    asked = _groups(full, members)  # written, so that Spark knows its size when it chooses the join with the texts
-    texts = docs.withColumnRenamed("doc_id", "first").join(asked, "first").select("root", "c", "block", "_blocks", "text")
+    asked = _groups(docs, members, k, lambda s: keys(s, num, den, common.value))  # both joins with the texts are merge joins, at every size
+    texts = docs.withColumnRenamed("doc_id", "first").join(asked.hint("merge"), "first").select("root", "c", "block", "_blocks", "text")
     pairs = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "c", "block", "text")
     links = materialise(_verify(pairs, k, num, den), "links")
     for done in (members, asked):
