@@ -74,10 +74,10 @@ def passages(texts: pa.Array) -> Passages:
     if total:
         x[:, :CLASSES] = np.bincount(of * CLASSES + _CLASS[buf], minlength=n * CLASSES).reshape(n, CLASSES) / length[:, None]
         pair = _COARSE[buf[:-1]] * 8 + _COARSE[buf[1:]]
-        x[:, CLASSES : CLASSES + 64] = np.bincount(of[:-1] * 64 + pair, minlength=n * 64).reshape(n, 64) / length[:, None]
+        within = of[:-1] == of[1:]  # no pair over a passage's end: the next byte may be another document's
+        x[:, CLASSES : CLASSES + 64] = np.bincount((of[:-1] * 64 + pair)[within], minlength=n * 64).reshape(n, 64) / length[:, None]
         cut = np.unique(np.concatenate([off, starts]))
         ws, we, _ = B.runs(~B.SPACE[buf], cut)
-        p = np.searchsorted(starts, ws, "right") - 1
         p = of[ws]
         h, _ = B.word_hashes(B.LOWER[buf], ws, we)
         words = np.maximum(np.bincount(p, minlength=n), 1).astype(float)
@@ -132,25 +132,33 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def row_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, column by column: unlike a blocked product, a row's last bits don't depend on the rows beside it."""
+    out = np.zeros((len(x), w.shape[1]))
+    for k in range(len(w)):
+        out += x[:, k, None] * w[k]
+    return out
+
+
 @dataclass
 class GatedAttention:
     p: dict[str, np.ndarray]
     mean: np.ndarray
     scale: np.ndarray
 
-    def _forward(self, x: np.ndarray, doc: np.ndarray, n: int) -> dict:
+    def _forward(self, x: np.ndarray, doc: np.ndarray, n: int, product=np.matmul) -> dict:
         p = self.p
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = np.clip((t * s) @ p["w"], -30, 30)
+        h = np.tanh(product(x, p["W"]) + p["b"])
+        t, s = np.tanh(product(h, p["V"])), _sigmoid(product(h, p["U"]))
+        e = np.clip(product(t * s, p["w"][:, None])[:, 0], -30, 30)
         a = np.exp(e)
         a /= np.bincount(doc, weights=a, minlength=n)[doc]
         z = np.stack([np.bincount(doc, weights=a * h[:, k], minlength=n) for k in range(h.shape[1])], 1)
-        return {"h": h, "t": t, "s": s, "a": a, "z": z, "score": _sigmoid(z @ p["c"] + p["d"])}
+        return {"h": h, "t": t, "s": s, "a": a, "z": z, "score": _sigmoid(product(z, p["c"][:, None])[:, 0] + p["d"])}
 
     def score(self, bag: Passages, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Document scores and the passages' attention."""
-        out = self._forward((bag.x - self.mean) / self.scale, bag.doc, n)
+        """Document scores and the passages' attention; both are functions of the text alone."""
+        out = self._forward((bag.x - self.mean) / self.scale, bag.doc, n, row_product)
         return out["score"], out["a"]
 
 

@@ -81,9 +81,12 @@ def sentences(texts: pa.Array, bits: int = BITS) -> Sentences:
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of a ragged array's rows, empty rows included."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of a ragged array's rows, empty rows included; each is made of its own values alone."""
+    out = np.zeros(len(offsets) - 1)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(np.float64), offsets[full])
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
