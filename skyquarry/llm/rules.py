@@ -89,9 +89,9 @@ def words_of(codes: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def spans_sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Exact sums of values[a:b] for each span; values are whole numbers."""
+    """Exact sums of values[a:b] for each span, 0 where b is not above a; values are whole numbers."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return np.where(stops > starts, total[np.maximum(stops, starts)] - total[starts], 0)
+    return np.where(stops > starts, total[np.clip(stops, 0, len(values))] - total[np.clip(starts, 0, len(values))], 0)
 
 
 def base_counts(texts: pa.Array, codes: np.ndarray, offsets: np.ndarray, w: Words) -> dict[str, np.ndarray]:
