@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogs import object_canonical
@@ -45,11 +46,21 @@ DEFAULT_MAPPING = Mapping(KEYWORDS, VALUES)
 MODES = ("exact", "contains", "regex")
 
 
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine takes the pattern; asked before the query that would fail by it."""
+    try:
+        spark.range(1).select(F.lit("").rlike(f"(?i){pattern}")).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def load_mapping(header_map: DataFrame, value_map: DataFrame) -> Mapping:
     """The dialect that an operator's tables give: header_map (field, keyword, priority, id, enabled) and value_map (field, raw_value, normalized,
     match_mode, priority, id). Unknown modes are exact. Without any enabled keyword the default dialect.
 
-    Both are configuration, a few rows for each of two dozen fields, and are read by the driver."""
+    A regex that can't be compiled is left out, as if it never matched. Both are configuration, a few rows for each of two dozen fields, and are read
+    by the driver."""
     keywords: dict[str, list] = {}
     for r in header_map.where("enabled and field is not null and keyword is not null").orderBy("field", "priority", "id").collect():
         keywords.setdefault(r.field, []).append(r.keyword)
@@ -57,10 +68,17 @@ def load_mapping(header_map: DataFrame, value_map: DataFrame) -> Mapping:
         return DEFAULT_MAPPING
     values: dict[str, list] = {}
     for r in value_map.where("field is not null and raw_value is not null and normalized is not null").orderBy("field", "priority", "id").collect():
-        values.setdefault(r.field, []).append((r.match_mode if r.match_mode in MODES else "exact", r.raw_value, r.normalized))
+        mode = r.match_mode if r.match_mode in MODES else "exact"
+        if mode != "regex" or _compiles(value_map.sparkSession, r.raw_value):
+            values.setdefault(r.field, []).append((mode, r.raw_value, r.normalized))
     return Mapping({k: tuple(v) for k, v in keywords.items()}, {k: tuple(v) for k, v in values.items()})
 
 
+def same_text(value: Column) -> Column:
+    """The key under which names are equal: case, accents and blanks at the end don't count."""
+    return F.collate(value, "UNICODE_CI_AI_RTRIM")
+
+
 def first_value(cards: Column, *keywords: str) -> Column:
     """The first of the keywords whose value is there and not blank."""
     return F.coalesce(*(F.nullif(F.trim(F.element_at(cards, k)), F.lit("")) for k in keywords)) if keywords else F.lit(None).cast("string")

@@ -31,7 +31,7 @@ def stage_plan(frames: DataFrame, target: str, how: str = "symlink") -> DataFram
 
 
 def move_plan(frames: DataFrame, root_path: str, folder: str, action: str = "move") -> DataFrame:
-    """frame_id, src, dst, rel_path (the new place in the index) of a move, copy or trash."""
+    """frame_id, src, dst, rel_path (the new place in the index) of a move, copy or trash; `archive.write_back` takes those that went well in."""
     rel = F.concat_ws("/", F.lit(folder.strip("/")), safe_leaf(F.col("filename")))
     return frames.select("frame_id", F.col("abs_path").alias("src"), F.concat_ws("/", F.lit(root_path.rstrip("/")), rel).alias("dst"), rel.alias("rel_path"), F.lit(action).alias("action"))
 
@@ -47,6 +47,21 @@ def export_lines(frames: DataFrame, kind: str = "paths", columns: tuple[str, ...
     return frames.select("frame_id", line.alias("line"))
 
 
+def export(frames: DataFrame, folder: str, kind: str = "csv", order: tuple[Column | str, ...] = ("frame_id",)) -> None:
+    """Writes frames (frame_id, image_type, filename, abs_path) to a new folder, in their order over its files by name: paths, json lines or csv.
+
+    Spark's own writers do it: files appear together when all tasks have ended, and a failed export leaves none. A folder that is there is refused."""
+    rows = frames.orderBy(*order).select("frame_id", "image_type", "filename", F.col("abs_path").alias("path"))
+    if kind == "paths":
+        rows.select("path").write.text(folder)
+    elif kind == "json":
+        rows.write.option("ignoreNullFields", False).json(folder)
+    elif kind == "csv":
+        rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+    else:
+        raise ValueError(f"unknown kind of export: {kind}")
+
+
 def ledger(job: str, plan: DataFrame, state: str = "planned") -> DataFrame:
     """Rows for the job ledger."""
     return plan.select(F.lit(job).alias("job"), "frame_id", "src", "dst", "action", F.lit(state).alias("state"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquarry.functions.headers import same_text
+
 FORMATS = {"fits": "fits", "fit": "fits", "fts": "fits", "fz": "fits", "xisf": "xisf"}
 SIDECARS = {"txt": "sidecar", "json": "sidecar", "log": "log", "csv": "csv"}
 BUCKETS = ("lights", "darks", "flats", "bias", "masters", "calibration")
@@ -149,6 +151,18 @@ def sweep(listing: DataFrame, known: DataFrame, read: DataFrame, now: Column, se
     return anchored.select(columns)
 
 
+def write_back(files: DataFrame, done: DataFrame, roots: DataFrame, now: Column) -> DataFrame:
+    """files after operations on them (file_id, dst, action, state) without waiting for a sweep: of a move or trash that went well, a destination below a
+    known root becomes the file's place (status ok, seen now); below none, the file has left the archive and is missing. Copies, links and failed
+    operations change nothing; of several operations on a file the last destination by its text counts."""
+    gone = done.where("action in ('move', 'trash') and state = 'ok'").groupBy("file_id").agg(F.max("dst").alias("_dst"))
+    folder = roots.select(F.col("root_id").alias("root_of_path"), F.rtrim("path", F.lit("/")).alias("_base"))
+    placed = root_of(gone, roots, "_dst").join(folder, "root_of_path", "left")
+    placed = placed.select("file_id", F.col("root_of_path").alias("_root"), F.when(F.col("_base").isNotNull(), F.substring(F.col("_dst"), F.char_length("_base") + 2, F.char_length("_dst"))).alias("_rel"), F.lit(True).alias("_hit"))
+    new = {"root_id": F.coalesce("_root", "root_id"), "rel_path": F.coalesce("_rel", "rel_path"), "file_status": F.when(F.col("_root").isNotNull(), "ok").otherwise("missing"), "last_seen_utc": F.when(F.col("_root").isNotNull(), now).otherwise(F.col("last_seen_utc"))}
+    return files.join(placed, "file_id", "left").withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new.items()}).select(*files.columns)
+
+
 def missing(known: DataFrame, listing: DataFrame) -> DataFrame:
     """Known files with status ok that the listing no longer has."""
     return known.where("file_status = 'ok'").join(listing.select("root_id", "rel_path"), ["root_id", "rel_path"], "left_anti")
@@ -207,6 +221,33 @@ def resolve_rig(frames: DataFrame, rigs: DataFrame) -> DataFrame:
     return frames.join(hit, ["camera_id", "focal_len_mm"], "left")
 
 
+def _steps(low: Column, high: Column, step: int) -> Column:
+    return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
+
+
+def rig_back_fill(frames: DataFrame, rigs: DataFrame, step: int = 50) -> DataFrame:
+    """frames with rig_id, and site_id where the rig has one, of the last rig (by id) of the frame's camera whose focal range holds its focal length: what
+    adding the rigs one after another leaves. Frames without such a rig keep theirs.
+
+    Ranges and focal lengths meet by steps of `step` millimetres, so a camera with many narrow ranges is no join of all with all; only distinct focal
+    lengths are joined."""
+    asked = frames.where("camera_id is not null and focal_len_mm is not null").select("camera_id", "focal_len_mm").distinct().withColumn("_step", F.floor(F.col("focal_len_mm") / step))
+    ranges = rigs.where("focal_min <= focal_max").select("camera_id", "focal_min", "focal_max", F.struct("rig_id", "site_id").alias("_rig"), _steps(F.col("focal_min"), F.col("focal_max"), step).alias("_step"))
+    hit = asked.join(ranges, ["camera_id", "_step"]).where("focal_len_mm between focal_min and focal_max").groupBy("camera_id", "focal_len_mm").agg(
+        F.max_by(F.col("_rig.rig_id"), F.col("_rig.rig_id")).alias("_new"), F.max_by(F.col("_rig.site_id"), F.when(F.col("_rig.site_id").isNotNull(), F.col("_rig.rig_id"))).alias("_site")
+    )
+    out = frames.join(hit, ["camera_id", "focal_len_mm"], "left")
+    return out.withColumns({"rig_id": F.coalesce("_new", "rig_id"), "site_id": F.coalesce("_site", "site_id")}).select(frames.columns)
+
+
+def assign_site(frames: DataFrame, places: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
+    """frames with site_id of the nearest of the sites within `metres` of the frame's place (frame_id, lat, lon); others keep theirs."""
+    from skyquarry.operators.cluster import sites_within
+
+    near = sites_within(places, sites, metres).where("site_id is not null").select("frame_id", F.col("site_id").alias("_site"))
+    return frames.join(near, "frame_id", "left").withColumn("site_id", F.coalesce("_site", "site_id")).select(frames.columns)
+
+
 def resolve_site(frames: DataFrame, rigs: DataFrame, default_site: int | None = None, column: str = "rig_id") -> DataFrame:
     """frames with resolved_site: the site of the rig, else the default one."""
     r = rigs.select(F.col("rig_id").alias("_rig"), F.col("site_id").alias("_site"))
@@ -214,22 +255,35 @@ def resolve_site(frames: DataFrame, rigs: DataFrame, default_site: int | None =
 
 
 def night_offset(sites: DataFrame, default_site: int | None, other: float = 0.0) -> float:
-    """The hours from UTC by which nights are told at the default site (utc_offset_hours), `other` without one."""
-    row = sites.where(F.col("site_id") == default_site).select("utc_offset_hours").first() if default_site is not None else None
+    """The hours from UTC by which nights are told: `other` where it isn't 0, else those of the default site (utc_offset_hours), if there is one."""
+    row = sites.where(F.col("site_id") == default_site).select("utc_offset_hours").first() if default_site is not None and other == 0 else None
     return float(row[0]) if row and row[0] is not None else other
 
 
+def _renames(mapping: DataFrame) -> DataFrame:
+    """_name (folded) and _canonical of a mapping of names; empty names change nothing, of names that are equal the largest result counts."""
+    return mapping.where("canonical <> ''").groupBy(same_text(F.col("raw")).alias("_name")).agg(F.max("canonical").alias("_canonical"))
+
+
 def apply_names(frames: DataFrame, mapping: DataFrame) -> DataFrame:
-    """frames with object_canonical by mapping (raw, canonical; empty ones change nothing), where the raw object is equal."""
-    m = mapping.where("canonical <> ''").groupBy(F.col("raw").alias("_raw")).agg(F.max("canonical").alias("_canonical"))
-    return frames.join(m, F.col("object") == F.col("_raw"), "left").withColumn("object_canonical", F.coalesce("_canonical", "object_canonical")).drop("_raw", "_canonical")
+    """frames with object_canonical by mapping (raw, canonical), where the raw object is the same text (`same_text`)."""
+    hit = frames.withColumn("_name", same_text(F.col("object"))).join(_renames(mapping), "_name", "left")
+    return hit.withColumn("object_canonical", F.coalesce("_canonical", "object_canonical")).drop("_name", "_canonical")
+
+
+def recorded_names(names: DataFrame, frames: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The table of known names (raw, canonical) after `apply_names`: every renamed object of the frames has its new name there, once for each text."""
+    used = frames.where("object is not null").select(same_text(F.col("object")).alias("_name"), F.col("object").alias("raw")).groupBy("_name").agg(F.min("raw").alias("raw"))
+    new = used.join(_renames(mapping), "_name").select("_name", "raw", F.col("_canonical").alias("canonical"))
+    old = names.withColumn("_name", same_text(F.col("raw"))).join(new.select("_name"), "_name", "left_anti")
+    return old.select("raw", "canonical").unionByName(new.select("raw", "canonical"))
 
 
 def preview_names(frames: DataFrame, mapping: DataFrame) -> DataFrame:
-    """raw, canonical, frames: how many frames `apply_names` would change, for names with some."""
-    m = mapping.where("canonical <> ''").groupBy("raw").agg(F.max("canonical").alias("canonical"))
-    counts = frames.where("object is not null").groupBy(F.col("object").alias("raw"), "object_canonical").agg(F.count("*").alias("_n"))
-    return counts.join(m, "raw").where(~F.col("object_canonical").eqNullSafe(F.col("canonical"))).groupBy("raw", "canonical").agg(F.sum("_n").alias("frames"))
+    """raw (the mapping's), canonical, frames: how many frames `apply_names` would change, for names with some."""
+    m = mapping.where("canonical <> ''").groupBy(same_text(F.col("raw")).alias("_name")).agg(F.max("canonical").alias("canonical"), F.min("raw").alias("raw"))
+    counts = frames.where("object is not null").groupBy(same_text(F.col("object")).alias("_name"), "object_canonical").agg(F.count("*").alias("_n"))
+    return counts.join(m, "_name").where(~F.col("object_canonical").eqNullSafe(F.col("canonical"))).groupBy("raw", "canonical").agg(F.sum("_n").alias("frames"))
 
 
 def register(names: DataFrame, known: DataFrame, column: str, key: str) -> DataFrame:

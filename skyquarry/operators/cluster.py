@@ -24,7 +24,8 @@ def runs(frames: DataFrame, keys: tuple[str, ...] = ("rig_id", "filter_id"), min
 
 
 def focal_clusters(frames: DataFrame, rigs: DataFrame | None = None, ratio: float = 1.02) -> DataFrame:
-    """Chains of focal lengths of each camera, each at most `ratio` times the one before, with a suggested range; ranges of existing rigs are left out."""
+    """Chains of focal lengths of each camera, each at most `ratio` times the one before, with a suggested range; chains
+    that overlap the range of any rig of the camera, active or not, are left out."""
     counts = frames.where("camera_id is not null and focal_len_mm > 0").groupBy("camera_id", "focal_len_mm").agg(F.count("*").alias("n"))
     own = Window.partitionBy("camera_id").orderBy("focal_len_mm")  # distinct focal lengths only
     before = F.lag("focal_len_mm").over(own)
@@ -34,8 +35,8 @@ def focal_clusters(frames: DataFrame, rigs: DataFrame | None = None, ratio: floa
     out = out.withColumns({"range_min": F.floor(F.col("lo") - slack("lo")), "range_max": F.ceil(F.col("hi") + slack("hi"))})
     if rigs is None:
         return out
-    taken = rigs.where("active").select(F.col("camera_id").alias("_cam"), "focal_min", "focal_max")
-    return out.join(taken, (F.col("camera_id") == F.col("_cam")) & (F.col("focal_min") <= F.col("range_max")) & (F.col("focal_max") >= F.col("range_min")), "left_anti")
+    taken = rigs.select(F.col("camera_id").alias("_cam"), "focal_min", "focal_max")
+    return out.join(taken, (F.col("camera_id") == F.col("_cam")) & (F.col("focal_min") <= F.col("hi")) & (F.col("focal_max") >= F.col("lo")), "left_anti")
 
 
 def site_clusters(places: DataFrame, metres: float = 500.0) -> DataFrame:

@@ -10,6 +10,7 @@ same-session preference, in a night): of candidates with one moment and kind the
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +33,20 @@ class Rule:
     min_frames: int = 0
     priority: int = 10
     enabled: bool = True
+    #: Whether the rule's JSON could not be read: it matches nothing, and says so in its warning.
+    invalid: bool = False
 
     @classmethod
-    def from_json(cls, name: str, target: str, match: dict, **options) -> Rule:
+    def from_json(cls, name: str, target: str, match: dict | str, **options) -> Rule:
+        """match: an object, or its text; text that isn't an object in JSON makes an invalid rule."""
         spec = {}
+        if isinstance(match, str):
+            try:
+                match = json.loads(match)
+            except ValueError:
+                match = None
+        if not isinstance(match, dict):
+            return cls(name, target, spec, invalid=True, **options)
         for k, v in match.items():
             if k in MATCH_FIELDS:
                 spec[k] = float(v["tol"]) if isinstance(v, dict) and "tol" in v else "null_ok" if isinstance(v, dict) and v.get("null_ok") else "exact"
@@ -311,6 +322,8 @@ def match_all(frames: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, limit:
     lights = frames.where("image_type = 'light'")
     out = None
     for k, rule in enumerate(ordered):
+        if rule.invalid:
+            continue
         if rule.target == "flat" and sets is not None:
             free = lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
             rows = match(frames, rule, limit, free).unionByName(match_set(frames, rule, sets, limit))
@@ -329,6 +342,8 @@ def with_paths(matches: DataFrame, v_frames: DataFrame) -> DataFrame:
 def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None, few: int = MANY) -> DataFrame:
     """light_id, total, warning of every light: null where there are candidates enough. sets: as for `match_all`, for a rule of flats."""
     lights = frames.where("image_type = 'light'")
+    if rule.invalid:
+        return lights.select(F.col("frame_id").alias("light_id"), F.lit(0).cast("long").alias("total"), F.lit("rule has invalid match_json").alias("warning"))
     free = lights if sets is None else lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
     total = F.col("total")
     text = F.when(total == 0, F.lit(f"no matching {rule.target} frames found")).when(total < rule.min_frames, F.concat(F.lit("only "), total.cast("string"), F.lit(f" {rule.target} frames (rule suggests at least {rule.min_frames})")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.functions.headers import same_text
+
 
 def v_frames(a) -> DataFrame:
     """Frames with their files, roots and equipment. Equipment tables have a row for each device; Spark broadcasts them by their size."""
@@ -61,8 +63,34 @@ def counts_with_zero(parents: DataFrame, members: DataFrame, parent_key: str, me
     return parents.join(n, parent_key, "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def builder(frames: DataFrame, cameras: DataFrame, rigs: DataFrame, sites: DataFrame, flat_sets: DataFrame, filters: DataFrame) -> DataFrame:
+    """The lists of the equipment page in one table: kind (camera, rig, site, flat set), id, name, n (its frames, 0 included), and what it refers to:
+    camera, site, active_label, rig, filter, captured_night, active, fixed (null where a kind has none).
+
+    All four counts come from one pass over the frames, by grouping sets; the equipment tables have a row for each device."""
+    sets = [F.col(c) for c in ("camera_id", "rig_id", "site_id", "flat_set_id")]
+    keys = [c for c in ("camera_id", "rig_id", "site_id", "flat_set_id")]
+    grouped = frames.groupingSets([[c] for c in sets], *sets).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    # the bit of a key that is grouped by is 0; the others are 1
+    one = lambda k: grouped.where(F.col("_g") == 15 - (8 >> k)).where(F.col(keys[k]).isNotNull()).select(F.col(keys[k]).alias("_id"), "n")
+    counted = lambda df, k: df.join(one(k), F.col(keys[k]) == F.col("_id"), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("id", F.col(keys[k]).cast("long"))
+    labels = flat_sets.select(F.col("flat_set_id").alias("active_flat_set_id"), F.col("label").alias("active_label"))
+    c = counted(cameras, 0).select(F.lit("camera").alias("kind"), "id", F.col("camera").alias("name"), "n")
+    r = counted(rigs, 1).join(cameras, "camera_id").join(sites.select("site_id", "site"), "site_id", "left").join(labels, "active_flat_set_id", "left").select(F.lit("rig").alias("kind"), "id", F.col("rig").alias("name"), "n", "camera", "site", "active_label")
+    s = counted(sites, 2).select(F.lit("site").alias("kind"), "id", F.col("site").alias("name"), "n")
+    own = rigs.select("rig_id", "rig", F.col("active_flat_set_id").alias("_active"), F.col("site_id").isNotNull().alias("fixed"))
+    named = filters.select("filter_id", F.col("name").alias("filter"))
+    f = counted(flat_sets, 3).join(own, "rig_id").join(named, "filter_id", "left").select(F.lit("flat set").alias("kind"), "id", F.col("label").alias("name"), "n", "rig", "filter", "captured_night", (F.col("_active") == F.col("flat_set_id")).alias("active"), "fixed")
+    out = c
+    for part in (r, s, f):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def objects(frames: DataFrame) -> DataFrame:
-    return frames.where(F.col("object").isNotNull()).groupBy("object").agg(F.max("object_canonical").alias("canonical"), F.count("*").alias("n"))
+    """object (the smallest of the texts that are the same name), its canonical name and number of frames."""
+    rows = frames.where(F.col("object").isNotNull()).groupBy(same_text(F.col("object")).alias("_name"))
+    return rows.agg(F.min("object").alias("object"), F.max("object_canonical").alias("canonical"), F.count("*").alias("n")).drop("_name")
 
 
 def detail(frames: DataFrame, cards: DataFrame, frame_tags: DataFrame, tags: DataFrame, ids: DataFrame, collection_frames: DataFrame | None = None, collections: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:

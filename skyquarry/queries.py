@@ -246,6 +246,21 @@ _USED = "CASE WHEN regexp_matches(\"FILTER\", '^!') THEN NULL WHEN LOWER(\"FILTE
 _header_oracle("header_mapping", f"TRY_CAST(TRY_CAST(COALESCE(\"EXPOSURE\", \"EXPTIME\") AS DOUBLE) AS DECIMAL(10,3)) AS exposure_s, CAST(NULL AS INT) AS gain, {_KIND} AS image_type, CASE WHEN {_KIND} IN ('light', 'flat') AND {_USED} IS NULL THEN 'CLEAR' ELSE {_USED} END AS filter_raw")
 
 
+_BROKEN_MAP = "(VALUES (1, 'filter', '([', 'never', 'regex', 5), (2, 'filter', '^!', '', 'regex', 10), (3, 'filter', 'none', 'Luminance', 'exact', 10), (4, 'image_type', '*dark', 'never', 'regex', 5), (5, 'image_type', 'frame', 'light', 'contains', 20)) AS t(id, field, raw_value, normalized, match_mode, priority)"
+
+
+def _header_mapping_bad_rule(spark, sf_dir):
+    """Value rules whose pattern is no regular expression: left out, the others apply."""
+    mapping = headers.load_mapping(spark.sql(f"SELECT * FROM {_HEADER_MAP}"), spark.sql(f"SELECT * FROM {_BROKEN_MAP}"))
+    fields = headers.resolve(F.col("cards"), -7.0, mapping)
+    return _cards(spark, sf_dir).select(ID, *(fields[c].alias(c) for c in ("image_type", "filter_raw")))
+
+
+QUERIES["header_mapping_bad_rule"] = _header_mapping_bad_rule
+_PLAIN_KIND = _KIND.replace("WHEN LOWER(\"IMAGETYP\") = 'dark' THEN 'dark' ", "")
+_header_oracle("header_mapping_bad_rule", f"{_PLAIN_KIND} AS image_type, CASE WHEN {_PLAIN_KIND} IN ('light', 'flat') AND {_USED} IS NULL THEN 'CLEAR' ELSE {_USED} END AS filter_raw")
+
+
 def _fingerprint(spark, sf_dir):
     return _cards(spark, sf_dir).select(ID, headers.fingerprint(F.col("cards")).alias("fingerprint"))
 
@@ -359,6 +374,11 @@ def calib_warnings(a):
     return match.warnings(a.frames, _rule("flat"))
 
 
+@query("SELECT frame_id AS light_id, CAST(0 AS BIGINT) AS total, 'rule has invalid match_json' AS warning FROM frames WHERE image_type = 'light'")
+def calib_rule_errors(a):
+    return match.warnings(a.frames, match.Rule.from_json("broken", "flat", '{"rig_id": '))
+
+
 _FIT = "(s.filter_id IS NULL OR s.filter_id = l.filter_id)"
 _FLAT_SETS = f"""SELECT light_id, flat_set_id, how FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY light_id ORDER BY step, (filter_id IS NOT NULL) DESC, captured_night DESC NULLS LAST, flat_set_id DESC) AS r FROM (
     SELECT l.frame_id AS light_id, s.flat_set_id, s.filter_id, s.captured_night, 1 AS step, 'pin' AS how FROM frames l JOIN rigs g ON g.rig_id = l.rig_id JOIN pins p ON p.rig_id = l.rig_id AND p.session_night = l.session_night JOIN flat_sets s ON s.flat_set_id = p.flat_set_id WHERE l.image_type = 'light' AND {_FIT}
@@ -426,7 +446,7 @@ def focal_clusters(a):
     return cluster.focal_clusters(a.frames)
 
 
-@query(f"SELECT c.* FROM ({_CHAINS}) c WHERE NOT EXISTS (SELECT 1 FROM rigs r WHERE r.active AND r.camera_id = c.camera_id AND r.focal_min <= c.range_max AND r.focal_max >= c.range_min AND r.rig_id % 2 = 0)")
+@query(f"SELECT c.* FROM ({_CHAINS}) c WHERE NOT EXISTS (SELECT 1 FROM rigs r WHERE r.camera_id = c.camera_id AND r.focal_min <= c.hi AND r.focal_max >= c.lo AND r.rig_id % 2 = 0)")
 def focal_suggestions(a):
     return cluster.focal_clusters(a.frames, a.rigs.where("rig_id % 2 = 0"))
 

@@ -54,10 +54,10 @@ class Snapshot:
         """The rows; those without a key only keep a partition that has lost all others."""
         return stored(spark, self.path, self.schema).where(F.col(self.key).isNotNull())
 
-    def log(self, spark: SparkSession, batch: int | None = None) -> DataFrame:
+    def log(self, spark: SparkSession, batch: int | str | None = None) -> DataFrame:
         """The changes of a batch, or of all: the rows, their action (add or update) and `was`, the partition of the row replaced."""
         fields = StructType(list(self.schema.fields)).add("action", "string").add("was", self.schema[self.partition].dataType)
-        return stored(spark, f"{self.changes}/batch={batch}", fields) if batch is not None else stored(spark, self.changes, fields.add("batch", "long"))
+        return stored(spark, f"{self.changes}/batch={batch}", fields) if batch is not None else stored(spark, self.changes, fields.add("batch", "string"))
 
     def classified(self, rows: DataFrame) -> DataFrame:
         """rows with action (add, update, skip) and was. Rows without a key are left out; of several with one key the largest by `same` counts."""
@@ -67,7 +67,7 @@ class Snapshot:
         action = F.when(F.col("_old").isNull(), "add").when(F.col("_old").eqNullSafe(F.struct(*self.same)), "skip").otherwise("update")
         return rows.join(old, self.key, "left").select(*names, action.alias("action"), "was")
 
-    def apply(self, rows: DataFrame, batch: int) -> tuple[DataFrame, dict[str, int]]:
+    def apply(self, rows: DataFrame, batch: int | str) -> tuple[DataFrame, dict[str, int]]:
         """Takes the rows of a batch in; returns the partitions that were touched, as a table of one column read from the log, and the numbers of
         rows by action (without skip where the batch was given before)."""
         spark, log = rows.sparkSession, self.log(rows.sparkSession, batch)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from skyquarry import scan_queries  # noqa: F401  (adds to QUERIES)
 from skyquarry.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
