@@ -29,7 +29,9 @@ from .shared import materialise, releasing, slices
 
 LEAST_DOCS, SMOOTH, SCALE = 30, 5, 1_000_000_000
 #: Entries of a task's counts that are held before they are handed on.
-HELD = 400_000
+HELD = 800_000
+#: Bytes of text that are cut into terms at once.
+SLICE = 1 << 21
 #: Cells (sources times terms) of a block.
 CELLS = 1 << 19
 _COUNTS = "lang string, source string, term binary, n long, docs long"
@@ -39,20 +41,19 @@ _COUNTS = "lang string, source string, term binary, n long, docs long"
 
 def term_groups(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """For each slice of buf the number of its distinct byte string, and those strings."""
-    view = memoryview(np.ascontiguousarray(buf))
-    digest = xxhash.xxh3_64_intdigest
-    keys = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts))
+    data = buf.tobytes()
+    cut = [data[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(cut))
     _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    texts = [cut[i] for i in first.tolist()]
     unlike = differing(buf, starts, stops, first[of])
-    texts = [bytes(view[a:b]) for a, b in zip(starts[first].tolist(), stops[first].tolist())]
     if len(unlike):  # equal hashes of unequal bytes: these are told apart by their bytes
         known: dict[bytes, int] = {}
         for i in unlike.tolist():
-            text = bytes(view[starts[i] : stops[i]])
-            if text not in known:
-                known[text] = len(texts)
-                texts.append(text)
-            of[i] = known[text]
+            if cut[i] not in known:
+                known[cut[i]] = len(texts)
+                texts.append(cut[i])
+            of[i] = known[cut[i]]
     return of, texts
 
 
@@ -70,8 +71,8 @@ def differing(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.n
     return np.flatnonzero(wrong)
 
 
-def slice_counts(texts: pa.Array, group: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
-    """(group, term, occurrences, documents) of the texts, group: a number for each text."""
+def slice_counts(texts: pa.Array, group: np.ndarray) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """For each group of texts (group: a number for each text) its terms, and for each of these documents + occurrences * 2^32."""
     buf, off = B.flat(texts)
     low = B.LOWER[buf]
     starts, stops, doc = B.runs(B.LETTER[buf], off)
@@ -80,38 +81,43 @@ def slice_counts(texts: pa.Array, group: np.ndarray) -> Iterator[tuple[int, byte
     of, terms = term_groups(low, starts, stops)
     width = len(terms)
     pair, n = np.unique(doc * width + of, return_counts=True)  # by document and term
-    g, t = group[pair // width], pair % width
-    both, at = np.unique(g * width + t, return_inverse=True)
-    occurrences, docs = np.zeros(len(both), np.int64), np.bincount(at, minlength=len(both))
-    np.add.at(occurrences, at, n)
-    for k, a, b in zip(both.tolist(), occurrences.tolist(), docs.tolist()):
-        yield k // width, terms[k % width], a, b
+    key = group[pair // width] * width + pair % width
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], (n[order] << 32) + 1
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sums, key = np.add.reduceat(counts, first), key[first]
+    ends = np.flatnonzero(np.append(key[1:] // width != key[:-1] // width, True)) + 1
+    for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        yield int(key[a]) // width, [terms[k] for k in (key[a:b] % width).tolist()], sums[a:b].tolist()
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: added up within tasks, so that a key has few rows for each task."""
 
-    def emit(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, v >> 32, v & 0xFFFFFFFF) for (lang, source), terms in held.items() for term, v in terms.items()]
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "term", "n", "docs"])
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            both = np.fromiter(terms.values(), np.int64, len(terms))
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(both)), pa.repeat(pa.scalar(source, pa.string()), len(both)), pa.array(list(terms), pa.binary()), pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
         held: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             names = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist()))
             number = {name: i for i, name in enumerate(dict.fromkeys(names))}
             into = [held.setdefault(name, {}) for name in number]
-            before = sum(map(len, into))
-            for g, term, n, docs in slice_counts(part.column("text"), np.array([number[name] for name in names], np.int64)):
-                into[g][term] = into[g].get(term, 0) + (n << 32 | docs)  # a task has fewer than 2^32 documents
-            size += sum(map(len, into)) - before
+            for g, terms, counts in slice_counts(part.column("text"), np.array([number[name] for name in names], np.int64)):
+                mine = into[g]
+                size -= len(mine)
+                had = mine.get
+                for term, both in zip(terms, counts):
+                    mine[term] = had(term, 0) + both  # a task has fewer than 2^32 documents and 2^31 occurrences of a term
+                size += len(mine)
             if size > HELD:
-                yield emit(held)
+                yield from emit(held)
                 held, size = {}, 0
-        yield emit(held)
+        yield from emit(held)
 
     return documents.select("lang", "source", "text").mapInArrow(releasing(run), _COUNTS)
 
