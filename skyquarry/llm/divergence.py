@@ -33,7 +33,7 @@ HELD = 800_000
 #: Bytes of text that are cut into terms at once.
 SLICE = 1 << 21
 #: Cells (sources times terms) of a block.
-CELLS = 1 << 19
+CELLS = 1 << 16
 _COUNTS = "lang string, source string, term binary, n long, docs long"
 
 
