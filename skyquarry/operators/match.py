@@ -1,18 +1,25 @@
 """Calibration matching without pairs of frames.
 
-Frames with equal values in a rule's fields have one profile. Which profiles of lights and of candidates fit, and how many candidates that makes, is a
-join of distinct profiles with their counts. The lights of a profile with at most `MANY` candidates rank all of these. Of a larger one's candidates a light needs only the nearest few in time and their number: they are gathered by hour; each
-hour's list is carried on as the few nearest before and after it, and as a running count, over a table of hours. A light meets its
-own hour's list, the two carried ones and its night's, and the counts at both ends of the age limit. So the rows that
-are ranked are a bounded number for each light, and the work grows with the frames. A list holds what one profile takes in an hour (for the
-same-session preference, in a night): of candidates with one moment and kind the `limit` smallest ids, the others are only counted.
+Frames with equal values in a rule's fields have one profile. Which profiles of lights and of candidates fit is a join of distinct profiles. A profile's time
+is divided into buckets that hold a few thousand of its candidates on average (one where it has few), and a light meets the candidates of its own
+bucket, the nearest few before and after it, which are carried over the buckets of a profile, and those without a date. The same is done within
+nights for rules that prefer the light's session. A light's number of candidates is the difference of two running counts, at both ends of the age limit.
+Lights and candidates meet by buckets dealt out to partitions, where sorted arrays are merged at once for all lights; no plan depends on how many
+there are, nothing is counted while a plan is built, and all rules go through one such merge. Keys of profiles are 64-bit hashes.
+
+What a light is given for each bucket are at most `limit` candidates on either side and those whose whole seconds tie with the last of them; of
+candidates with one moment and kind the `limit` smallest ids.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +89,11 @@ def _condition(rule: Rule) -> tuple[list[Column], list[Column]]:
     return equal, rest
 
 
-MANY = 256
-_SECOND, _HOUR, _DAY = 1_000_000, 3_600_000_000, 86_400_000_000
-_COLUMNS = ("us", "frame_id", "image_type", "session_night", "m", "w")
+_SECOND, _DAY = 1_000_000, 86_400_000_000
+#: Candidates of a profile for each of its buckets, on average.
+BUCKET = 4000
+#: The bucket of frames without a date.
+_UNDATED = -9
 
 
 def _micros(c: Column) -> Column:
@@ -112,176 +121,347 @@ def _tolerant(rule: Rule) -> list[tuple[str, float]]:
 
 
 def _fitting(lights: DataFrame, others: DataFrame, rule: Rule) -> DataFrame:
-    """p, q, nq: the profiles of lights and of candidates that fit, and the candidates of q."""
+    """p, q: the profiles of lights and of candidates that fit; nq, t0, t1: the number of q's candidates, and their first and last moment."""
     left = _keyed(lights.select("p", *(F.col(c).alias(f"l_{c}") for c in rule.spec)).distinct(), rule, True)
-    right = _keyed(others.groupBy("q", *rule.spec).agg(F.count("*").alias("nq")), rule, False)
+    right = _keyed(others.groupBy("q", *rule.spec).agg(F.count("*").alias("nq"), F.min("us").alias("t0"), F.max("us").alias("t1")), rule, False)
     equal, rest = _condition(rule)
     keys = [left[f"_k{n}"].eqNullSafe(right[f"_k{n}"]) for n, _ in _tolerant(rule)]
-    return left.join(right, [*equal, *keys, *rest] or [F.lit(True)]).select("p", "q", "nq")
+    return left.join(right, [*equal, *keys, *rest] or [F.lit(True)]).select("p", "q", "nq", "t0", "t1")
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), computed once."""
-    return F.transform(F.array(value), use)[0]
+def _bucket(us: Column) -> Column:
+    """The bucket of a moment by its profile's t0, width and nb; moments before and after all candidates have one bucket each."""
+    inside = F.least(F.greatest(F.floor((us - F.col("t0")) / F.col("width")), F.lit(-1)), F.col("nb"))
+    return F.when(us.isNull(), F.lit(_UNDATED)).otherwise(F.coalesce(inside, F.lit(0))).cast("long")
 
 
-def _nearest(entries: Column, limit: int, latest: bool) -> Column:
-    """The `limit` latest (or earliest) entries of each kind, and those whose whole seconds could tie with the last of them."""
+def _sides(frames: DataFrame, rule: Rule, r: int, lights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rule's asks (k, b, role, x, r, l_id, l_us, l_night, bits) and entries (k, b, us, id, m, night).
 
-    def of(kind: bool) -> Column:
-        ordered = F.sort_array(F.filter(entries, lambda e: e["m"] == kind), asc=not latest)
-        second = lambda e: F.floor(e["us"] / _SECOND)
-
-        def cut(every: Column) -> Column:
-            return F.when(F.size(every) <= limit, every).otherwise(F.filter(every, lambda e: (second(e) >= second(every[limit - 1]) - 1) if latest else (second(e) <= second(every[limit - 1]) + 1)))
-
-        return _once(ordered, cut)
-
-    return F.concat(of(True), of(False))
-
-
-@dataclass(frozen=True)
-class _Gathered:
-    """lights: with their profile p, l_us, hour and n (candidates that fit); few: p and its candidates; many: the candidates of larger
-    profiles; least, most: the smallest and the largest n, so that a plan leaves out what it has no profiles for."""
+    k is the profile's key, or that of a profile's night; a light asks for its nearest candidates (role near, for a session rule also night), and for
+    the counts below both ends of the age limit (low, high: x is the moment)."""
+    fields = list(dict.fromkeys(rule.spec))
+    left = lights.select(F.col("frame_id").alias("l_id"), _micros(F.col("date_obs_utc")).alias("l_us"), F.unix_date(F.col("session_night").cast("date")).alias("l_night"), *fields).withColumn("p", _profile(rule))
+    kind = (F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target))
+    right = frames.where(kind).select(F.col("frame_id").alias("id"), _micros(F.col("date_obs_utc")).alias("us"), (F.col("image_type") == "master").alias("m"), F.unix_date(F.col("session_night").cast("date")).alias("night"), *fields).withColumn("q", _profile(rule))
+    own = Window.partitionBy("p")
+    nb = F.greatest(F.lit(1), F.ceil(F.sum("nq").over(own) / BUCKET))
+    fit = _fitting(left, right, rule).select("p", "q", F.min("t0").over(own).alias("t0"), F.max("t1").over(own).alias("t1"), nb.alias("nb"))
+    fit = fit.select("p", "q", "t0", "nb", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.col("nb"))).alias("width"))
+    sizes = fit.groupBy("p").agg(*(F.max(c).alias(c) for c in ("t0", "nb", "width")))  # within the window's partitions
+    k = F.xxhash64(F.lit(r), "p")
+    of_night = lambda night: F.xxhash64(F.lit(r), F.col("p"), F.lit("night"), night)
+    entries = right.select("id", "us", "m", "night", "q").join(fit, "q").withColumn("b", _bucket(F.col("us")))
+    keys = F.array(k, of_night(F.col("night"))) if rule.prefer_same_session else F.array(k)
+    entries = entries.select(F.explode(F.when(F.col("night").isNull(), F.array(k)).otherwise(keys)).alias("k"), "b", "us", "id", "m", "night")
+    role = lambda name, key, x, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("role"), key.alias("k"), x.cast("long").alias("x"), _bucket(x).alias("b")))
+    at = F.col("l_us")
+    roles = [role("near", k, at)]
+    if rule.prefer_same_session:
+        roles.append(role("night", of_night(F.col("l_night")), at, F.col("l_night").isNotNull()))
+    if rule.max_age_days is not None:
+        reach = (rule.max_age_days + 1) * _DAY  # whole days count, so the limit ends a day later
+        roles += [role("low", k, at - reach + 1, at.isNotNull()), role("high", k, at + reach, at.isNotNull())]
+    asks = left.withColumn("bits", _bits(rule)).join(sizes, "p", "left").select("l_id", "l_us", "l_night", "bits", F.explode(F.array_compact(F.array(*roles))).alias("_a"))
+    return asks.select(F.col("_a.k").alias("k"), F.col("_a.b").alias("b"), F.col("_a.role").alias("role"), F.col("_a.x").alias("x"), F.lit(r).alias("r"), "l_id", "l_us", "l_night", "bits"), entries
 
-    lights: DataFrame
-    few: DataFrame
-    many: DataFrame
-    least: int
-    most: int
 
+# -- arrays of a partition: rows of many profiles and buckets at once
 
-def _gathered(frames: DataFrame, rule: Rule, lights: DataFrame, limit: int, few: int) -> _Gathered:
-    left = lights.withColumns({"p": _profile(rule), "l_us": _micros(F.col("date_obs_utc"))}).withColumn("hour", F.floor(F.col("l_us") / _HOUR))
-    kind = (F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target))
-    right = frames.where(kind).withColumns({"q": _profile(rule), "us": _micros(F.col("date_obs_utc"))})
-    fit = _fitting(left, right, rule)
-    sizes = fit.groupBy("p").agg(F.sum("nq").alias("n"))
-    fit = fit.join(sizes, "p").select("p", "q", "n")
-    entries = right.select("q", F.floor(F.col("us") / _HOUR).alias("hour"), "us", "frame_id", "image_type", "session_night", (F.col("image_type") == "master").alias("m"))
-    small = entries.join(fit.where(F.col("n") <= few), "q").select("p", *(c for c in _COLUMNS if c != "w"))
-    alike = Window.partitionBy("p", "hour", "us", "m", "session_night")
-    large = entries.join(fit.where(F.col("n") > few), "q").withColumns({"_r": F.row_number().over(alike.orderBy("frame_id")), "w": F.count("*").over(alike)})
-    large = large.where(F.col("_r") <= limit).withColumn("w", F.when(F.col("_r") == 1, F.col("w")).otherwise(0))
-    least, most = sizes.agg(F.min("n"), F.max("n")).first()
-    return _Gathered(left.join(sizes, "p", "left"), small, large.select("p", "hour", *_COLUMNS), least or 0, most or 0)
-
-
-def _totals(lights: DataFrame, hours: DataFrame, rule: Rule) -> DataFrame:
-    """p, hour, before: how many dated candidates of a profile are in earlier hours, for the hours that hold some or are asked for."""
-    asked = lights.select("p", "hour")
-    running = Window.partitionBy("p").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    both = hours.select("p", "hour", "n").unionByName(asked.distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("p", "hour").agg(F.sum("n").alias("n"))
-    return both.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-
-
-def _in_time(rule: Rule) -> Column:
-    """Whether a candidate is within the rule's age limit of the light, in whole days; without one of the dates it is."""
-    return F.lit(True) if rule.max_age_days is None else F.coalesce(F.abs(F.col("us") - F.col("l_us")) < (rule.max_age_days + 1) * _DAY, F.lit(True))
-
-
-def _counted(left: DataFrame, entries: DataFrame, rule: Rule) -> DataFrame:
-    """frame_id, total of the lights of large profiles."""
-    if rule.max_age_days is None:
-        return left.select("frame_id", F.col("n").alias("total"))
-    reach = (rule.max_age_days + 1) * _DAY  # whole days count, so the limit ends a day later
-    dated = entries.where("us is not null")
-    moments = dated.groupBy("p", "hour").agg(F.sum("w").alias("n"), F.collect_list(F.struct("us", "w")).alias("_at"))
-    ends = left.where("l_us is not null").select("p", "frame_id", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("l_us") - reach + 1).alias("us")), F.struct(F.lit(1).alias("sign"), (F.col("l_us") + reach).alias("us")))).alias("e")).select("p", "frame_id", "e.sign", "e.us", F.floor(F.col("e.us") / _HOUR).alias("hour"))
-    sums = _totals(ends, moments, rule)
-    at = sums.join(moments.select("p", "hour", "_at"), ["p", "hour"], "left")
-    inside = F.aggregate(F.filter(F.coalesce("_at", F.expr("cast(array() as array<struct<us: bigint, w: bigint>>)")), lambda e: e["us"] < F.col("us")), F.lit(0).cast("long"), lambda n, e: n + e["w"])
-    near = ends.join(at, ["p", "hour"]).withColumn("_n", F.col("sign") * (F.col("before") + inside)).groupBy("frame_id").agg(F.sum("_n").alias("_dated"))
-    undated = entries.where("us is null").groupBy("p").agg(F.sum("w").alias("_undated"))
-    joined = left.join(near, "frame_id", "left").join(undated, "p", "left")
-    return joined.select("frame_id", F.when(F.col("l_us").isNull(), F.col("n")).otherwise(F.coalesce("_dated", F.lit(0)) + F.coalesce("_undated", F.lit(0))).alias("total"))
-
-
-def _listed(left: DataFrame, entries: DataFrame, rule: Rule, limit: int) -> DataFrame:
-    """The lights of large profiles with `near`: entries among which are their best `limit` candidates, each once."""
-    entry = F.struct(*_COLUMNS)
-    none = F.array().cast(entries.select(F.array(entry).alias("a")).schema["a"].dataType)
-    hours = entries.where("us is not null").groupBy("p", "hour").agg(F.collect_list(entry).alias("own"))
-    asked = left.where("l_us is not null").select("p", "hour").distinct()
-    # the few nearest of each kind of each hour, carried over the hours of a profile
-    parts = hours.select("p", F.explode(F.array(F.lit(True), F.lit(False))).alias("m"), "hour", F.col("own")).select("p", "m", "hour", *(_nearest(F.filter("own", lambda e: e["m"] == F.col("m")), limit, late).alias(name) for name, late in (("late", True), ("early", False)))).where(F.size("late") > 0)
-    steps = parts
-    for name, late in (("late", True), ("early", False)):
-        some = Window.partitionBy("p", "m").orderBy(F.col("hour") if late else F.desc("hour")).rowsBetween(1 - limit, 0)
-        steps = steps.withColumn(f"_{name}", F.collect_list(name).over(some))
-    steps = steps.select("p", "m", "hour", *(_nearest(F.flatten(f"_{name}"), limit, late).alias(name) for name, late in (("late", True), ("early", False))))
-    wanted = asked.select("p", F.explode(F.array(F.lit(True), F.lit(False))).alias("m"), "hour", F.lit(True).alias("_asked"))
-    both = steps.unionByName(wanted, allowMissingColumns=True)
-    for name, back in (("late", False), ("early", True)):
-        order = Window.partitionBy("p", "m").orderBy(F.desc("hour") if back else F.col("hour"), F.col("_asked").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        both = both.withColumn(f"_{name}", F.last(name, ignorenulls=True).over(order))
-    around = both.where("_asked").groupBy("p", "hour").agg(F.flatten(F.collect_list(F.concat(F.coalesce("_late", none), F.coalesce("_early", none)))).alias("around"))
-    lists = around.join(hours, ["p", "hour"], "left").select("p", "hour", F.concat("around", F.coalesce("own", none)).alias("near"))
-    dated = left.where("l_us is not null").join(lists, ["p", "hour"], "left")
-    # undated lights take the smallest ids, all lights the undated candidates
-    first = Window.partitionBy("p", "m").orderBy("frame_id")
-    small = lambda df, name: df.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).groupBy("p").agg(F.collect_list(entry).alias(name))
-    free = left.where("l_us is null").join(small(entries, "near"), "p", "left")
-    out = dated.join(small(entries.where("us is null"), "undated"), "p", "left").withColumn("near", F.concat(F.coalesce("near", none), F.coalesce("undated", none))).drop("undated").unionByName(free)
-    if rule.prefer_same_session:
-        nights = entries.where("session_night is not null").groupBy("p", F.col("session_night")).agg(F.collect_list(entry).alias("night"))
-        others = F.filter(F.coalesce("near", none), lambda e: ~e["session_night"].eqNullSafe(F.col("session_night")) | F.col("session_night").isNull())
-        out = out.join(nights, ["p", "session_night"], "left").withColumn("near", F.concat(others, F.coalesce("night", none))).drop("night")
-    return out
+_CARRIED = "k long, b long, what string, us long, id long, m boolean, night int, n long, every long, undated long"
 
 
-def _order(rule: Rule, undated_first: bool) -> list[Column]:
-    """Masters, then the same session, then the nearest in time by whole seconds, then the id; undated candidates are last unless asked for."""
-    seconds = F.floor(F.abs(F.col("us") - F.col("l_us")) / _SECOND)
-    keys = []
-    if rule.prefer_masters:
-        keys.append(F.desc("m"))
-    if rule.prefer_same_session:
-        keys.append(F.coalesce(F.col("session_night") == F.col("l_session_night"), F.lit(False)).desc())
-    return [*keys, seconds.asc_nulls_first() if undated_first else seconds.asc_nulls_last(), F.col("frame_id").asc()]
+def _place(k: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for a key and a bucket."""
+    h = k.astype(np.uint64) ^ (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _bound(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, after: bool) -> np.ndarray:
+    """For each span lo..hi of sorted values, where x belongs: before its equals, or after them."""
+    lo, hi = lo.copy(), hi.copy()
+    while (live := lo < hi).any():
+        mid = np.minimum((lo + hi) // 2, len(values) - 1)
+        up = live & ((values[mid] <= x) if after else (values[mid] < x))
+        lo, hi = np.where(up, mid + 1, lo), np.where(live & ~up, mid, hi)
+    return lo
 
 
-def reason(rule: Rule) -> Column:
-    """Why a candidate (frame_id, image_type, date_obs_utc, session_night) matched the light, whose columns have the prefix l_; fields in the order of their names."""
+def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all spans, one after the other, and for each the number of its span."""
+    size = np.maximum(stops - starts, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size), of
+
+
+def _nth(*keys: np.ndarray) -> np.ndarray:
+    """For sorted rows, how many rows before have the same keys."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+
+
+class _Pool:
+    """Dated entries sorted by place, kind and moment; of equal moments the `limit` smallest ids."""
+
+    def __init__(self, place, m, us, id_, night, limit):
+        group = place ^ (m.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        order = np.lexsort((id_, us, group))
+        order = order[_nth(group[order], us[order]) < limit]
+        self.group, self.us, self.id, self.m, self.night, self.limit = group[order], us[order], id_[order], m[order], night[order], limit
+
+    def near(self, place: np.ndarray, m: bool, x: np.ndarray, sides: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray]:
+        """For each place and moment the nearest entries of a kind before and after it, with ties in whole seconds: entry numbers, and whose they are."""
+        q = place ^ (np.uint64(m) * np.uint64(0xD6E8FEB86659FD93))
+        start, stop = np.searchsorted(self.group, q), np.searchsorted(self.group, q, "right")
+        at = _bound(self.us, start, stop, x, False)
+        last = max(len(self.us) - 1, 0)
+        a, e = at, at
+        if sides[0]:
+            a = np.maximum(start, at - self.limit)
+            a = np.where(a > start, _bound(self.us, start, a, self.us[np.minimum(a, last)] - _SECOND, False), a) if len(self.us) else a
+        if sides[1]:
+            e = np.minimum(stop, at + self.limit)
+            e = np.where(e < stop, _bound(self.us, e, stop, self.us[np.clip(e - 1, 0, last)] + _SECOND, True), e) if len(self.us) else e
+        return _spans(a, e)
+
+
+def _numpy(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns as arrays; nulls of numbers are 0."""
+    return [pc.fill_null(table.column(n), False if pa.types.is_boolean(table.schema.field(n).type) else 0).to_numpy() for n in names]
+
+
+_NO_NIGHT = 1 - (1 << 31)
+
+
+def _entry_columns(t: pa.Table) -> tuple:
+    k, b, us, id_, m = _numpy(t, "k", "b", "us", "id", "m")
+    return k, b, us, id_, m, pc.fill_null(t.column("night"), _NO_NIGHT).to_numpy()
+
+
+def _rows(schema: list[str], **columns) -> pa.Table:
+    kinds = {"what": pa.string(), "m": pa.bool_(), "night": pa.int32()}
+    n = len(next(iter(columns.values())))
+    return pa.table({c: pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in schema})
+
+
+_CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
+
+
+def _summary(limit: int):
+    """Of each place: its number of entries, the first and last few by time, the few with the smallest ids."""
+
+    def work(t: pa.Table) -> pa.Table:
+        k, b, us, id_, m, night = _entry_columns(t)
+        place = _place(k, b)
+        order = np.lexsort((us, id_, m, place))
+        ids = order[_nth(place[order], m[order]) < limit]
+        first = np.flatnonzero(_nth(np.sort(place)) == 0)
+        one = np.argsort(place, kind="stable")[first]
+        n = np.diff(np.append(first, len(place)))
+        dated = np.flatnonzero(b != _UNDATED)
+        pool = _Pool(place[dated], m[dated], us[dated], id_[dated], night[dated], limit)
+        # the ends of each place: nearest after the beginning of time and before its end
+        places, at = np.unique(place[dated], return_index=True)
+        edge = []
+        for kind in (False, True):
+            for x, sides in ((-(1 << 60), (False, True)), (1 << 60, (True, False))):
+                i, of = pool.near(places, kind, np.full(len(places), x), sides)
+                edge.append((dated[at][of], i))
+        i, once = np.unique(np.concatenate([j for _, j in edge]), return_index=True)  # a small place has the same entries at both ends
+        whose = np.concatenate([w for w, _ in edge])[once]
+        return pa.concat_tables([
+            _rows(_CARRIED_NAMES, k=k[one], b=b[one], what=["count"] * len(one), n=n),
+            _rows(_CARRIED_NAMES, k=k[whose], b=b[whose], what=["edge"] * len(i), us=pool.us[i], id=pool.id[i], m=pool.m[i], night=pool.night[i]),
+            _rows(_CARRIED_NAMES, k=k[ids], b=b[ids], what=["id"] * len(ids), us=us[ids], id=id_[ids], m=m[ids], night=night[ids]),
+        ])
+
+    return work
+
+
+def _carry(limit: int):
+    """For each place that is asked for: how many dated entries of its key are in earlier buckets, how many there are, how many without a date; and for
+    lights the nearest few outside the place and the undated ones with the smallest ids, or for undated lights the smallest ids of all."""
+
+    def work(t: pa.Table) -> pa.Table:
+        what = np.asarray(t.column("what").to_pylist(), object)
+        k, b, us, id_, m, night = _entry_columns(t)
+        n = _numpy(t, "n")[0]
+        asked = np.flatnonzero((what == "near") | (what == "end"))
+        c = np.flatnonzero(what == "count")
+        c = c[np.lexsort((b[c], k[c]))]
+        total, undated = np.concatenate([[0], np.cumsum(n[c])]), np.concatenate([[0], np.cumsum(np.where(b[c] == _UNDATED, n[c], 0))])
+        lo, hi = np.searchsorted(k[c], k[asked]), np.searchsorted(k[c], k[asked], "right")
+        at = _bound(b[c], lo, hi, b[asked], False)
+        without = undated[hi] - undated[lo]
+        before = np.where(b[asked] == _UNDATED, 0, total[at] - total[lo] - without)
+        out = [_rows(_CARRIED_NAMES, k=k[asked], b=b[asked], what=["count"] * len(asked), n=before, every=total[hi] - total[lo], undated=without)]
+
+        def take(of: np.ndarray, i: np.ndarray, name: str) -> None:
+            out.append(_rows(_CARRIED_NAMES, k=k[of], b=b[of], what=[name] * len(i), us=us[i], id=id_[i], m=m[i], night=night[i]))
+
+        near = asked[what[asked] == "near"]
+        e = np.flatnonzero(what == "edge")
+        for kind in (False, True):
+            dated = near[b[near] != _UNDATED]
+            own = e[m[e] == kind]
+            own = own[np.lexsort((id_[own], us[own], b[own], k[own]))]  # buckets are in the order of time
+            lo, hi = np.searchsorted(k[own], k[dated]), np.searchsorted(k[own], k[dated], "right")
+            a, z = _bound(b[own], lo, hi, b[dated], False), _bound(b[own], lo, hi, b[dated], True)
+            last = max(len(own) - 1, 0)
+            if len(own):
+                left, right = np.maximum(lo, a - limit), np.minimum(hi, z + limit)
+                left = np.where(left > lo, _bound(us[own], lo, left, us[own][np.minimum(left, last)] - _SECOND, False), left)
+                right = np.where(right < hi, _bound(us[own], right, hi, us[own][np.clip(right - 1, 0, last)] + _SECOND, True), right)
+                for s, f in ((left, a), (z, right)):
+                    i, of = _spans(s, f)
+                    take(dated[of], own[i], "dated")
+            ids = np.flatnonzero((what == "id") & (m == kind))
+            for some, mine in ((dated, ids[b[ids] == _UNDATED]), (near[b[near] == _UNDATED], ids)):
+                mine = mine[np.lexsort((id_[mine], k[mine]))]
+                mine = mine[_nth(k[mine]) < limit]
+                i, of = _spans(np.searchsorted(k[mine], k[some]), np.searchsorted(k[mine], k[some], "right"))
+                take(some[of], mine[i], "free")
+                if some is not dated:  # of all entries: those with a date keep it
+                    out[-1] = out[-1].set_column(2, "what", pa.array(np.where(b[mine[i]] == _UNDATED, "free", "with date"), pa.string()))
+        return pa.concat_tables(out)
+
+    return work
+
+
+_BEST = "r int, l_id long, l_us long, l_night int, bits string, id long, m boolean, us long, night int, cnt long"
+
+
+def _merge(rules: tuple[Rule, ...], limit: int):
+    """The best few candidates of each ask for the nearest, and the counts of each ask."""
+    reach = np.array([-1 if x.max_age_days is None else (x.max_age_days + 1) * _DAY for x in rules], np.int64)
+    masters, session = (np.array([getattr(x, f) for x in rules], bool) for f in ("prefer_masters", "prefer_same_session"))
+
+    def work(asks: pa.Table, entries: pa.Table) -> pa.Table:
+        role = np.asarray(asks.column("role").to_pylist(), object)
+        what = np.asarray(asks.column("what").to_pylist(), object)
+        k, b, us, id_, m, night = _entry_columns(asks)
+        x, r, before, every, undated = _numpy(asks, "x", "r", "n", "every", "undated")
+        l_us, l_night, no_date = _numpy(asks, "l_us")[0], pc.fill_null(asks.column("l_night"), _NO_NIGHT - 1).to_numpy(), pc.is_null(asks.column("l_us")).to_numpy()
+        place = _place(k, b)
+        ek, eb, eus, eid, em, enight = _entry_columns(entries)
+        eplace, dated = _place(ek, eb), eb != _UNDATED
+        # counts
+        ask, counts = np.flatnonzero(what == "ask"), np.flatnonzero(what == "count")
+        counts = counts[np.argsort(place[counts], kind="stable")]
+        mine = counts[np.searchsorted(place[counts], place[ask])] if len(counts) else np.zeros(0, np.int64)
+        order = np.lexsort((eus, eplace))
+        order = order[dated[order]]
+        inside = _bound(eus[order], np.searchsorted(eplace[order], place[ask]), np.searchsorted(eplace[order], place[ask], "right"), x[ask], False) - np.searchsorted(eplace[order], place[ask])
+        below = before[mine] + inside
+        free = np.where((reach[r[ask]] < 0) | no_date[ask], every[mine], undated[mine])
+        cnt = np.select([role[ask] == "low", role[ask] == "high", role[ask] == "near"], [-below, below, free], 0)
+        # the nearest
+        c = np.flatnonzero(what == "dated")
+        pool = _Pool(np.concatenate([eplace[dated], place[c]]), np.concatenate([em[dated], m[c]]), np.concatenate([eus[dated], us[c]]), np.concatenate([eid[dated], id_[c]]), np.concatenate([enight[dated], night[c]]), limit)
+        near = ask[(role[ask] == "near") | (role[ask] == "night")]
+        lights = near[~no_date[near]]
+        found = []
+        for kind in (False, True):
+            i, of = pool.near(place[lights], kind, l_us[lights])
+            found.append((lights[of], pool.us[i], pool.id[i], pool.m[i], pool.night[i], np.ones(len(i), bool)))
+        u = np.flatnonzero((what == "free") | (what == "with date"))
+        u = u[np.argsort(place[u], kind="stable")]
+        i, of = _spans(np.searchsorted(place[u], place[near]), np.searchsorted(place[u], place[near], "right"))
+        found.append((near[of], us[u[i]], id_[u[i]], m[u[i]], night[u[i]], what[u[i]] == "with date"))
+        light, f_us, f_id, f_m, f_night, f_dated = (np.concatenate(v) for v in zip(*found))
+        both = f_dated & ~no_date[light]
+        gap = np.where(both, np.abs(f_us - l_us[light]), 0)
+        age = reach[r[light]]
+        # of a session rule the light's own night is the other ask's
+        twice = session[r[light]] & (role[light] == "near") & (f_night == l_night[light])
+        keep = np.flatnonzero(((age < 0) | ~both | (gap < age)) & ~twice)
+        first = np.where(masters[r[light[keep]]], ~f_m[keep], False)
+        # undated candidates go last and first: which of the two the caller wants is told by the final order
+        seconds = np.where(both[keep], gap[keep] // _SECOND, -1)
+        order = np.lexsort((f_id[keep], seconds, seconds < 0, first, light[keep]))
+        keep = keep[order]
+        rank = _nth(light[keep], first[order], seconds[order] < 0)
+        keep = keep[rank < limit]
+        kept = light[keep]
+        both_rows = np.concatenate([ask, kept])
+        plain = asks.select(["r", "l_id", "l_us", "l_night", "bits"]).take(pa.array(both_rows))
+        pad = lambda values, kind, gone=None: pa.concat_arrays([pa.nulls(len(ask), kind), pa.array(values, kind, mask=gone)])
+        columns = {
+            "id": pad(f_id[keep], pa.int64()), "m": pad(f_m[keep], pa.bool_()), "us": pad(f_us[keep], pa.int64(), ~f_dated[keep]), "night": pad(f_night[keep], pa.int32(), f_night[keep] == _NO_NIGHT),
+            "cnt": pa.array(np.concatenate([cnt, np.zeros(len(keep), np.int64)]), pa.int64()),
+        }
+        for name, values in columns.items():
+            plain = plain.append_column(name, values)
+        return plain
+
+    return work
+
+
+def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int) -> DataFrame:
+    """r (the rule's place in jobs), light, candidate and cnt of all rules' lights, through one merge; rows without a candidate carry counts only."""
+    rules = tuple(rule for rule, _ in jobs)
+    sides = [_sides(frames, rule, r, lights) for r, (rule, lights) in enumerate(jobs)]
+    asks, entries = (reduce(DataFrame.unionByName, side) for side in zip(*sides))
+    parts = 4 * int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
+    entries = entries.select(part("k", "b"), "k", "b", "us", "id", "m", "night")
+    summary = entries.groupBy("part").applyInArrow(_summary(limit), _CARRIED)
+    asked = asks.groupBy("k", "b").agg(F.max(F.col("role").isin("near", "night")).alias("_near")).select("k", "b", F.when(F.col("_near"), "near").otherwise("end").alias("what"))
+    carried = summary.unionByName(asked, allowMissingColumns=True).withColumn("part", part("k")).groupBy("part").applyInArrow(_carry(limit), _CARRIED)
+    left = asks.withColumn("what", F.lit("ask")).unionByName(carried, allowMissingColumns=True).withColumn("part", part("k", "b"))
+    return left.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_merge(rules, limit), _BEST)
+
+
+def _bits(rule: Rule) -> Column:
+    """What a light's fields say of the match, in the order of their names."""
     bits = []
     for name, how in sorted(rule.spec.items()):
-        light = F.col(f"l_{name}")
-        text = light if name == "readout_mode" else _number(light)
+        value = F.col(name)
+        text = value if name == "readout_mode" else _number(value)
         shown = F.concat(F.lit(f"{name} "), text) if isinstance(how, str) else F.concat(F.lit(f"{name} "), text, F.lit(f"±{how:g}"))
-        bits.append(F.when(light.isNotNull(), shown))
-    head = F.when(F.col("image_type") == "master", F.lit(f"master {rule.target}")).otherwise(F.lit(rule.target))
+        bits.append(F.when(value.isNotNull(), shown))
+    return F.nullif(F.concat_ws(", ", *bits), F.lit("")) if bits else F.lit(None).cast("string")
+
+
+def reason(rule: Rule) -> Column:
+    """Why a candidate (m, us, night) matched the light (bits, l_us, l_night)."""
+    head = F.when(F.col("m"), F.lit(f"master {rule.target}")).otherwise(F.lit(rule.target))
     days = F.floor(F.abs(F.col("us") - F.col("l_us")) / _DAY)
     when = F.when(days.isNotNull(), F.concat(days.cast("string"), F.lit(" day(s) from light")))
     if rule.prefer_same_session:
-        when = F.when(F.col("session_night") == F.col("l_session_night"), F.concat(F.lit("same night ("), F.col("session_night").cast("string"), F.lit(")"))).otherwise(when)
-    return F.concat_ws(" · ", head, F.nullif(F.concat_ws(", ", *bits), F.lit("")), when)
+        when = F.when(F.col("night") == F.col("l_night"), F.concat(F.lit("same night ("), F.date_from_unix_date("night").cast("string"), F.lit(")"))).otherwise(when)
+    return F.concat_ws(" · ", head, "bits", when)
 
 
 MATCHED = ("light_id", "rule", "rank", "frame_id", "image_type", "score", "reason", "total")
 
 
-def _needed(rule: Rule) -> list[str]:
-    return list(dict.fromkeys(["frame_id", "date_obs_utc", "session_night", *rule.spec]))
+def _ranked(merged: DataFrame, rules: list[Rule], limit: int, undated_first: bool) -> DataFrame:
+    """The columns of `MATCHED` and r, of all rules; ranks and totals take one exchange by light.
+
+    Masters come first, then the same session, then the nearest in time by whole seconds, then the id; undated candidates are last unless asked for."""
+    per_light = Window.partitionBy("r", "l_id")
+    of = lambda f: reduce(lambda c, x: c.when(F.col("r") == x[0], x[1]), enumerate(f), F.when(F.lit(False), None))
+    # the rules' orders differ in their first two keys only
+    first = of([~F.col("m") if r.prefer_masters else F.lit(False) for r in rules])
+    second = of([~F.coalesce(F.col("night") == F.col("l_night"), F.lit(False)) if r.prefer_same_session else F.lit(False) for r in rules])
+    seconds = F.floor(F.abs(F.col("us") - F.col("l_us")) / _SECOND)
+    order = [F.col("id").isNull(), first, second, seconds.asc_nulls_first() if undated_first else seconds.asc_nulls_last(), F.col("id").asc()]
+    rows = merged.withColumns({"total": F.sum("cnt").over(per_light), "rank": F.row_number().over(per_light.orderBy(*order)) - 1}).where(F.col("id").isNotNull() & (F.col("rank") < limit))
+    image_type = F.when(F.col("m"), F.lit("master")).otherwise(of([F.lit(r.target) for r in rules]))
+    return rows.select("r", F.col("l_id").alias("light_id"), of([F.lit(r.name) for r in rules]).alias("rule"), "rank", F.col("id").alias("frame_id"), image_type.alias("image_type"), (1 - F.col("rank") / (limit + 1)).alias("score"), of([reason(r) for r in rules]).alias("reason"), "total")
 
 
-def match(frames: DataFrame, rule: Rule, limit: int = 10, lights: DataFrame | None = None, undated_first: bool = False, few: int = MANY) -> DataFrame:
+def match(frames: DataFrame, rule: Rule, limit: int = 10, lights: DataFrame | None = None, undated_first: bool = False) -> DataFrame:
     """light_id, rule, rank (from 0), frame_id, image_type, score, reason, total: the best `limit` candidates of each light."""
     limit = min(100, max(1, limit))
     lights = frames.where("image_type = 'light'") if lights is None else lights
-    g = _gathered(frames, rule, lights.select(_needed(rule)), limit, few)
-    per_light = Window.partitionBy("l_frame_id")
-    rank = (F.row_number().over(per_light.orderBy(*_order(rule, undated_first))) - 1).alias("rank")
-    light = [*(F.col(c).alias(f"l_{c}") for c in _needed(rule)), "l_us"]
-    small = g.lights.where(F.col("n") <= few).select("p", *light).join(g.few, "p").where(_in_time(rule))
-    best = small.select("*", rank, F.count("*").over(per_light).alias("total")).drop("p").where(F.col("rank") < limit)
-    if g.most > few:
-        large = g.lights.where(F.col("n") > few)
-        near = _listed(large, g.many, rule, limit).select(*light, F.inline("near")).select(*(c for c in best.columns if c not in ("rank", "total"))).where(_in_time(rule))
-        first = near.select("*", rank).where(F.col("rank") < limit)
-        first = first.join(_counted(large, g.many, rule).withColumnRenamed("frame_id", "l_frame_id"), "l_frame_id").select(best.columns)
-        best = first if g.least > few else best.unionByName(first)
-    return best.select(F.col("l_frame_id").alias("light_id"), F.lit(rule.name).alias("rule"), "rank", "frame_id", "image_type", (1 - F.col("rank") / (limit + 1)).alias("score"), reason(rule).alias("reason"), "total")
+    return _ranked(_merged(frames, [(rule, lights)], limit), [rule], limit, undated_first).drop("r")
 
 
 def _of_sets(frames: DataFrame, picks: DataFrame) -> DataFrame:
@@ -319,18 +499,18 @@ def match_all(frames: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, limit:
     """The enabled rules in their order (priority, then their place), with a column rule_order. sets: what `flat_sets` gives; the set of a light
     overrides the rules for flats."""
     ordered = sorted((r for r in rules if r.enabled), key=lambda r: r.priority)
-    lights = frames.where("image_type = 'light'")
-    out = None
-    for k, rule in enumerate(ordered):
-        if rule.invalid:
-            continue
+    limit, lights = min(100, max(1, limit)), frames.where("image_type = 'light'")
+    free = lights if sets is None else lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
+    jobs = [(k, rule) for k, rule in enumerate(ordered) if not rule.invalid]
+    if not jobs:
+        return _ranked(_merged(frames, [(Rule("", ""), lights.where("false"))], limit), [Rule("", "")], limit, False).withColumnRenamed("r", "rule_order")
+    merged = _merged(frames, [(rule, free if rule.target == "flat" else lights) for _, rule in jobs], limit)
+    out = _ranked(merged, [rule for _, rule in jobs], limit, False)
+    place = F.element_at(F.array(*(F.lit(k) for k, _ in jobs)), F.col("r") + 1)
+    out = out.withColumn("rule_order", place).drop("r")
+    for k, rule in jobs:
         if rule.target == "flat" and sets is not None:
-            free = lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
-            rows = match(frames, rule, limit, free).unionByName(match_set(frames, rule, sets, limit))
-        else:
-            rows = match(frames, rule, limit, lights)
-        rows = rows.withColumn("rule_order", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
+            out = out.unionByName(match_set(frames, rule, sets, limit).withColumn("rule_order", F.lit(k)))
     return out
 
 
@@ -339,7 +519,7 @@ def with_paths(matches: DataFrame, v_frames: DataFrame) -> DataFrame:
     return matches.join(v_frames.select("frame_id", "filename", "abs_path", "session_night", "date_obs_utc"), "frame_id")
 
 
-def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None, few: int = MANY) -> DataFrame:
+def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None) -> DataFrame:
     """light_id, total, warning of every light: null where there are candidates enough. sets: as for `match_all`, for a rule of flats."""
     lights = frames.where("image_type = 'light'")
     if rule.invalid:
@@ -347,13 +527,8 @@ def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None, few:
     free = lights if sets is None else lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
     total = F.col("total")
     text = F.when(total == 0, F.lit(f"no matching {rule.target} frames found")).when(total < rule.min_frames, F.concat(F.lit("only "), total.cast("string"), F.lit(f" {rule.target} frames (rule suggests at least {rule.min_frames})")))
-    g = _gathered(frames, rule, free.select(_needed(rule)), 1, few)
-    left = g.lights.where(F.coalesce("n", F.lit(0)) <= few)
-    met = left.select("p", "l_us", F.col("frame_id").alias("light_id")).join(g.few, "p").where(_in_time(rule)).groupBy("light_id").agg(F.count("*").alias("total"))
-    small = left.join(met, F.col("frame_id") == F.col("light_id"), "left").select(left["frame_id"], F.coalesce("total", F.lit(0)).alias("total"))
-    if g.most > few:
-        small = small.unionByName(_counted(g.lights.where(F.col("n") > few), g.many, rule))
-    out = small.select(F.col("frame_id").alias("light_id"), "total", text.alias("warning"))
+    counted = _merged(frames, [(rule, free)], 1).groupBy("l_id").agg(F.sum("cnt").alias("total"))
+    out = counted.select(F.col("l_id").alias("light_id"), "total", text.alias("warning"))
     if sets is None:
         return out
     own = _of_sets(frames, sets).groupBy("_set", "_filter").agg(F.count("*").alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquarry.operators import actions, archive, cluster, rescan, views
+from skyquarry.operators import actions, archive, cluster, equipment, rescan, views
 from skyquarry.operators.progress import Scans
 from skyquarry.queries import ID, query
 from skyquarry.session import new_folder
@@ -191,3 +191,20 @@ def frame_places(a):
     card = lambda word, value, where, k: f.where(where).select(ID, F.lit(k).alias("ord"), F.lit(word).alias("keyword"), value.cast("string").alias("value"))
     cards = card("SITELAT", F.col("dec_deg"), "frame_id % 4 <> 3", 5).unionByName(card("LAT-OBS", F.lit(12.5), "frame_id % 2 = 0", 1)).unionByName(card("SITELONG", F.col("lon"), "true", 6)).unionByName(card("SITELAT", F.lit(95), "frame_id % 4 = 3", 7))
     return cluster.frame_places(cards, ["SITELAT", "LAT-OBS"], ["SITELONG"]).where("lat between -90 and 90")
+
+
+_SEEN = "CASE event_id % 6 WHEN 0 THEN 'ZWO ASI6200MC Pro' WHEN 1 THEN 'QHY268M' WHEN 2 THEN 'zwo asi 294' WHEN 3 THEN 'Canon EOS R' WHEN 4 THEN 'my asi2600 cooled' END"
+_GLASS = "CASE event_id % 5 WHEN 0 THEN 'ha' WHEN 1 THEN 'H-Alpha' WHEN 2 THEN 'Sii' WHEN 3 THEN 'Oiii ' END"
+#: Cameras of the model are ASI1000, 1100, ... with ids 0 to 4; filters have ids 0 to 5.
+_CAMERAS = "CASE event_id % 6 WHEN 0 THEN CAST(2 AS INT) WHEN 1 THEN CAST(3 AS INT) WHEN 2 THEN CAST(6 AS INT) WHEN 4 THEN CAST(5 AS INT) END"
+
+
+@query(f"""SELECT d.frame_id, d.camera_id, d.filter_id, r.rig_id, COALESCE(r.site_id, 4) AS site_id FROM (SELECT event_id AS frame_id, {_CAMERAS} AS camera_id, CASE event_id % 5 WHEN 0 THEN CAST(4 AS INT) WHEN 1 THEN CAST(4 AS INT) WHEN 2 THEN CAST(7 AS INT) WHEN 3 THEN CAST(6 AS INT) END AS filter_id, CAST(400 + 10 * (user_id % 25) + event_id % 2 AS INT) AS focal FROM events) d
+    LEFT JOIN rigs r ON r.rig_id = (SELECT MIN(x.rig_id) FROM rigs x WHERE x.active AND x.camera_id = d.camera_id AND d.focal BETWEEN x.focal_min AND x.focal_max)""")
+def equipment_resolve(a):
+    """From names on cards to camera, filter, rig and site; two cameras and two filters are new."""
+    aliases = a.spark.createDataFrame([("qhy268", "asi1300", 5), ("Asi6200", "ASI1200", 2), ("asi", "ASI1000", 9), ("X", "ASI1100", 1)], "alias string, camera string, priority int")
+    named = a.spark.createDataFrame([("h-alpha", 4)], "alias string, filter_id int")
+    cards = a.frames.select(ID, "focal_len_mm", F.expr(_SEEN.replace("event_id", ID)).alias("instrument"), F.expr(_GLASS.replace("event_id", ID)).alias("filter_raw"))
+    registry = equipment.Registry(a.cameras, aliases.where("alias <> 'asi'"), a.filters, named, a.rigs, 4)
+    return equipment.resolve(cards, registry).frames.select(ID, "camera_id", "filter_id", "rig_id", "site_id")

@@ -133,9 +133,10 @@ def brute_match(rows, names, rule, limit):
     return sorted(out), totals
 
 
-@pytest.mark.parametrize("age,masters,session,limit,few", [(2, True, True, 3, 0), (None, False, False, 2, 30), (0, True, False, 1, 0), (1, False, True, 4, 256)])
-def test_matching_by_brute_force(spark, age, masters, session, limit, few):
+@pytest.mark.parametrize("age,masters,session,limit,bucket", [(2, True, True, 3, 1), (None, False, False, 2, 7), (0, True, False, 1, 2), (1, False, True, 4, 4000), (3, True, True, 2, 20)])
+def test_matching_by_brute_force(spark, monkeypatch, age, masters, session, limit, bucket):
     """Ties within a second and at one moment, hours and age limits met exactly, undated frames, missing values."""
+    monkeypatch.setattr(match, "BUCKET", bucket)
     rnd = random.Random(age or 7)
     start = dt.datetime(2025, 3, 1, 12)
     rows = []
@@ -149,8 +150,16 @@ def test_matching_by_brute_force(spark, age, masters, session, limit, few):
     rule = match.Rule("r", "dark", {"camera_id": "exact", "gain": "null_ok", "exposure_s": 2.0}, age, masters, session)
     df = spark.createDataFrame(rows, schema)
     want, totals = brute_match(rows, [c.split()[0] for c in schema.split(", ")], rule, limit)
-    assert sorted((r.light_id, r["rank"], r.frame_id, r.total) for r in match.match(df, rule, limit, few=few).collect()) == want
-    assert {r.light_id: r.total for r in match.warnings(df, rule, few=few).collect()} == totals
+    assert sorted((r.light_id, r["rank"], r.frame_id, r.total) for r in match.match(df, rule, limit).collect()) == want
+    assert {r.light_id: r.total for r in match.warnings(df, rule).collect()} == totals
+    # several rules go through one merge; one that isn't enabled and one that can't be read give nothing
+    other = match.Rule("b", "bias", {"camera_id": "exact"}, age, not masters, not session, priority=5)
+    rules = (match.Rule("off", "dark", enabled=False), rule, other, match.Rule.from_json("broken", "dark", "{", priority=1))
+    every = match.match_all(df, rules, limit).collect()
+    names = [c.split()[0] for c in schema.split(", ")]
+    for place, name, one in ((2, "r", rule), (1, "b", other)):
+        assert sorted((x.light_id, x["rank"], x.frame_id, x.total) for x in every if (x.rule_order, x.rule) == (place, name)) == brute_match(rows, names, one, limit)[0]
+    assert {x.rule_order for x in every} == {1, 2}
     assert match.match(df.where("image_type = 'light'"), rule, limit).count() == 0 and match.match(df.where("false"), rule, limit).count() == 0
 
 
