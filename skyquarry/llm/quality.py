@@ -71,6 +71,8 @@ def passages(texts: pa.Array) -> Passages:
     of = np.repeat(np.arange(n), stops - starts)
     length = np.maximum(stops - starts, 1).astype(float)
     x = np.zeros((n, FEATURES))
+    lines = np.bincount(of, weights=buf == 10, minlength=n) + 1
+    x[:, CLASSES + 64 + 9] = np.log1p(length / lines) / 8  # also of a slice without any bytes
     if total:
         x[:, :CLASSES] = np.bincount(of * CLASSES + _CLASS[buf], minlength=n * CLASSES).reshape(n, CLASSES) / length[:, None]
         pair = _COARSE[buf[:-1]] * 8 + _COARSE[buf[1:]]
@@ -95,8 +97,6 @@ def passages(texts: pa.Array) -> Passages:
         e[:, 6] = np.bincount(p, weights=upper[we - 1] & (we - ws > 1), minlength=n) / words
         e[:, 7] = np.bincount(p, weights=h_equal_next(h, p), minlength=n) / words
         e[:, 8] = np.bincount(p, weights=~B.LETTER[buf[we - 1]], minlength=n) / words
-        lines = np.bincount(of, weights=buf == 10, minlength=n) + 1
-        e[:, 9] = np.log1p(length / lines) / 8
         e[:, 10] = np.bincount(p, weights=size <= 2, minlength=n) / words
         e[:, 11] = np.bincount(p, weights=size > 20, minlength=n) / words
     return Passages(doc, np.sqrt(x))

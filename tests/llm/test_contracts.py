@@ -11,6 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import MODEL, brute_components, brute_language_model, brute_repeats, brute_simhash, luhn, prose, rows, sets
+from test_divergence import brute as brute_audit
+from test_rules import brute as brute_counts
 
 from skyquarry.llm import blocks, decontam, pii, quality, queries, toxicity
 from skyquarry.llm.shared import fit_on_sample
@@ -167,7 +169,32 @@ def test_empty_tables(spark, tmp_path):
     folder = write(spark, tmp_path / "empty", [], [], [])
     for name, query in queries.queries().items():
         df = query(spark, folder)
-        assert "doc_id" in df.columns and df.count() == 0, name
+        assert ("lang" if name == "op12_divergence" else "doc_id") in df.columns and df.count() == 0, name
+
+
+@pytest.mark.parametrize("operator,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_are_of_the_text_alone(spark, documents, operator, label):
+    """One model, four ways of dealing out the rows: the same bits, for equal texts too."""
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    labels = spark.createDataFrame(labels_of(documents), "doc_id long, quality int, toxic int")
+    model = fit_on_sample(df, labels, label, F.lit(True), operator.fit, max_docs=500)
+    dealt = [df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")).coalesce(2), df.repartition(80)]
+    scores = [sorted(((r.doc_id is None, r.doc_id or 0), r.score) for r in operator.score(d, model).collect()) for d in dealt]
+    assert all(s == scores[0] for s in scores[1:])
+    by_text = {}
+    for r in operator.score(df.withColumn("doc_id", F.coalesce("text", F.lit(""))), model).collect():
+        by_text.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_rules_and_audit_queries(spark, documents, folder):
+    got = by_id(queries.op11_quality_rules(spark, folder))
+    want = {}
+    for i, t in documents:
+        want.setdefault(i, []).append(brute_counts(t))
+    assert {i: sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+    audit = sorted(tuple(r) for r in queries.op12_divergence(spark, folder).select("lang", "source", "part", "item", "value", "rank").collect())
+    assert audit == brute_audit([(t, "en", "s") for _, t in documents], 30)
 
 
 def test_noisy_or_of_sentences(spark, documents):
