@@ -511,15 +511,19 @@ def reconcile_missing(a):
     return archive.missing(known, listing).select("file_id", "rel_path")
 
 
-_VANISHED = "SELECT file_id, CASE WHEN file_id % 15 = 0 THEN '' ELSE CONCAT('k', CAST(file_id // 30 AS VARCHAR), '-', CAST(file_id % 30 % 7 AS VARCHAR)) END AS content_key FROM files WHERE file_id % 3 = 0"
-_APPEARED = "SELECT file_id, CONCAT('k', CAST(file_id // 30 AS VARCHAR), '-', CAST(file_id % 30 % 7 AS VARCHAR)) AS content_key FROM files WHERE file_id % 5 = 1"
+_MOVE_KEY = "CASE WHEN file_id % 60 = 43 THEN '' ELSE CONCAT('k', CAST(file_id // 30 AS VARCHAR), '-', CAST(file_id % 30 % 7 AS VARCHAR)) END"
+_VANISHED = f"SELECT file_id, {_MOVE_KEY} AS content_key FROM ({_KNOWN}) k WHERE file_status = 'ok' AND NOT EXISTS (SELECT 1 FROM ({_LISTING}) l WHERE l.root_id = k.root_id AND l.rel_path = k.rel_path)"
+_APPEARED = f"SELECT -file_id AS file_id, {_MOVE_KEY} AS content_key FROM ({_LISTING}) l WHERE mtime_utc < TIMESTAMP '2024-03-01 11:59:30' AND NOT EXISTS (SELECT 1 FROM ({_KNOWN}) k WHERE k.root_id = l.root_id AND k.rel_path = l.rel_path)"
 
 
 @query(f"SELECT a.id AS old_id, b.id AS new_id FROM (SELECT content_key, MIN(file_id) AS id FROM ({_VANISHED}) WHERE content_key <> '' GROUP BY 1 HAVING COUNT(*) = 1) a JOIN (SELECT content_key, MIN(file_id) AS id FROM ({_APPEARED}) GROUP BY 1 HAVING COUNT(*) = 1) b USING (content_key)")
 def reconcile_moves(a):
-    key = F.concat(F.lit("k"), F.floor(F.col("file_id") / 30).cast("string"), F.lit("-"), (F.col("file_id") % 30 % 7).cast("string"))
-    gone = a.files.where("file_id % 3 = 0").select("file_id", F.when(F.col("file_id") % 15 == 0, "").otherwise(key).alias("content_key"))
-    return archive.moves(gone, a.files.where("file_id % 5 = 1").select("file_id", key.alias("content_key")))
+    """The files that a sweep misses and those that it adds, matched by content; several have the same content, and some none."""
+    key = F.when(F.col("file_id") % 60 == 43, "").otherwise(F.concat(F.lit("k"), F.floor(F.col("file_id") / 30).cast("string"), F.lit("-"), (F.col("file_id") % 30 % 7).cast("string")))
+    listing, known = _listing(a)
+    added = archive.classify(listing, known, F.lit(_NOW).cast("timestamp_ntz")).where("action = 'add'")
+    pair = lambda df, i: df.select(i.alias("file_id"), key.alias("content_key"))
+    return archive.moves(pair(archive.missing(known, listing), F.col("file_id")), pair(added, -F.col("file_id")))
 
 
 # a root of which too little was seen, and what was read of new and changed files; two of the moved have one key
@@ -606,10 +610,10 @@ def ignore_names(a):
     return a.files.where(~archive.ignored(F.col("rel_path"), archive.ignore_list("f1*, OTHER\n*7.fits"))).select("file_id", "rel_path")
 
 
-@query("SELECT s.root_id, s.rel_path, MIN(f.file_id) AS frame_id FROM (SELECT root_id, CONCAT(LEFT(rel_path, LENGTH(rel_path) - 5), CASE file_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.stars.csv' ELSE 'x.log' END) AS rel_path FROM files WHERE file_id % 7 = 0) s LEFT JOIN files f ON f.root_id = s.root_id AND STARTS_WITH(s.rel_path, CONCAT(LEFT(f.rel_path, LENGTH(f.rel_path) - 5), '.')) GROUP BY 1, 2")
+@query("SELECT s.root_id, s.rel_path, MIN(f.file_id) AS frame_id FROM (SELECT root_id, CONCAT(LEFT(rel_path, LENGTH(rel_path) - 5), CASE file_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.stars.csv' ELSE 'x.log' END) AS rel_path FROM files) s LEFT JOIN files f ON f.root_id = s.root_id AND STARTS_WITH(s.rel_path, CONCAT(LEFT(f.rel_path, LENGTH(f.rel_path) - 5), '.')) GROUP BY 1, 2")
 def sidecar_link(a):
     end = F.element_at(F.array(*(F.lit(x) for x in (".json", ".stars.csv", "x.log"))), (F.col("file_id") % 3 + 1).cast("int"))
-    sidecars = a.files.where("file_id % 7 = 0").select("root_id", F.concat(F.regexp_replace("rel_path", r"\.fits$", ""), end).alias("rel_path"))
+    sidecars = a.files.select("root_id", F.concat(F.regexp_replace("rel_path", r"\.fits$", ""), end).alias("rel_path"))
     return archive.link_sidecars(sidecars, a.files, a.frames.select("frame_id", "file_id"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquarry.functions import headers
-from skyquarry.operators import actions, archive, cluster, match, rescan
+from skyquarry.operators import actions, archive, cluster, equipment, match, rescan
 from skyquarry.operators.progress import ScanCancelled, ScanRunning, Scans
 from skyquarry.sources.walk import walk
 from skyquarry.streaming.discovery import Discovery, discover
@@ -211,6 +211,51 @@ def test_invalid_rules():
     assert match.Rule.from_json("r", "flat", '{"gain": {"tol": 2}}').spec == {"gain": 2.0}
 
 
+# -- equipment
+
+def brute_equipment(instrument, glass, focal, cameras, aliases, filters, named, rigs):
+    fold = lambda t: t.rstrip().lower().replace("é", "e")
+    hit = sorted((p, a.lower(), c) for a, c, p in aliases if a and instrument is not None and a.lower() in instrument.lower())
+    model = re.search(r"ASI\s?\d{3,4}", instrument or "", re.I)
+    camera = hit[0][2] if hit else re.sub(r"\s", "", model[0].upper()) if model else None
+    ids = {fold(n): i for i, n in reversed(cameras)}
+    by_alias, by_name = {fold(a): i for a, i in named}, {fold(n): i for i, n in reversed(filters)}
+    cid = None if camera is None else ids.get(fold(camera), camera)
+    fid = None if glass is None else by_alias.get(fold(glass), by_name.get(fold(glass), fold(glass)))
+    found = sorted(r for r in rigs if r[1] == cid and r[5] and focal is not None and r[2] <= focal <= r[3])
+    return cid, fid, found[0][0] if found else None, (found[0][4] if found else None) or 7
+
+
+def test_equipment_by_brute_force(spark):
+    """Aliases that overlap, tie and are short; names of any spelling; unseen devices; limits of ranges met exactly."""
+    cameras, filters, named = [(4, "ASI1600"), (9, "Qhy é")], [(1, "Ha"), (2, "OIII")], [("H-alpha", 1), ("Été", 2)]
+    aliases = [("qhy268", "QHY E", 5), ("268", "other", 5), ("x", "ASI1600", 3), ("", "never", 0), ("canon eos", "New One", 1), ("CANON", "new one ", 1)]
+    rigs = [(1, 4, 100, 149, None, True), (2, 4, 149, 1000, 3, True), (3, 4, 100, 900, 5, False), (5, 9, 0, 10_000, 6, True)]
+    instruments = ["ZWO ASI1600MM", "asi 1600", "QHY268M", "M268", "xyz", "Canon EOS R", "canon", "my asi 2600", "plain", None, ""]
+    glasses = ["ha ", "HA", "h-ALPHA", "ete", "Sii", "sii", None]
+    rows = [(i, x, g, f) for i, (x, g, f) in enumerate((x, g, f) for x in instruments for g in glasses for f in (99, 100, 149, 150, 1000, 1001, None))]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    registry = equipment.Registry(
+        table(cameras, "camera_id int, camera string"), table(aliases, "alias string, camera string, priority int"), table(filters, "filter_id int, name string"), table(named, "alias string, filter_id int"),
+        table(rigs, "rig_id int, camera_id int, focal_min int, focal_max int, site_id int, active boolean"), 7,
+    )
+    got = equipment.resolve(table(rows, "frame_id long, instrument string, filter_raw string, focal_len_mm int"), registry)
+    assert [(r.camera_id, r.camera) for r in got.cameras.orderBy("camera_id").collect()] == [*cameras, (10, "ASI2600"), (11, "new one "), (12, "other")]
+    assert [(r.filter_id, r.name) for r in got.filters.orderBy("filter_id").collect()] == [*filters, (3, "Sii")]
+    new = {"ASI2600": 10, "New One": 11, "new one ": 11, "other": 12, "sii": 3}
+    want = {i: tuple(new.get(v, v) for v in brute_equipment(x, g, f, cameras, aliases, filters, named, rigs)) for i, x, g, f in rows}
+    assert {r.frame_id: (r.camera_id, r.filter_id, r.rig_id, r.site_id) for r in got.frames.collect()} == want
+    empty = equipment.resolve(table([], "frame_id long, instrument string, filter_raw string, focal_len_mm int"), registry)
+    assert empty.frames.count() == 0 and empty.cameras.count() == 2
+
+
+def test_many_aliases_without_a_nested_loop(spark):
+    names = spark.range(2000).selectExpr("concat('cam-', id * 37 % 5000, '-x') as instrument").distinct()
+    aliases = spark.range(100_000).selectExpr("concat('-', id, '-') as alias", "concat('c', id) as camera", "cast(id % 3 as int) as priority")
+    got = {r.instrument: r.camera for r in equipment.camera_names(names, aliases).collect()}
+    assert got == {n: "c" + n.split("-")[1] for n in got} and len(got) == 2000
+
+
 # -- exports
 
 def lines(folder):
