@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquarry.functions.headers import same_text
+from skyquarry.operators.equipment import with_new
 
 FORMATS = {"fits": "fits", "fit": "fits", "fts": "fits", "fz": "fits", "xisf": "xisf"}
 SIDECARS = {"txt": "sidecar", "json": "sidecar", "log": "log", "csv": "csv"}
@@ -98,6 +99,17 @@ def content_key(frames: DataFrame, block: int = 4096) -> DataFrame:
     return joined(parts, ["file_id"], "_block", "_part", "content_key").drop("_n")
 
 
+def content_digest(frames: DataFrame) -> DataFrame:
+    """file_id and a key of fixed size that is the same for files with the same fingerprints in the same HDUs: their number and two sums of 60-bit parts of the
+    MD5 of HDU and fingerprint. Sums are added up before anything is shuffled, so a file with very many HDUs is no heavier than others and no task gathers its
+    rows; null fingerprints don't count, a file that has no others gets the empty key. For `moves` and sweeps it does what `content_key` does; only HDUs that are numbered
+    otherwise make another key here."""
+    half = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("hdu").cast("string"), F.lit("")), "fingerprint")), at, 15), 16, 10).cast("decimal(20,0)")
+    known = F.col("fingerprint").isNotNull()
+    sums = frames.groupBy("file_id").agg(F.count("fingerprint").alias("_n"), *(F.sum(F.when(known, half(at))).alias(name) for at, name in ((1, "_a"), (17, "_b"))))
+    return sums.select("file_id", F.when(F.col("_n") == 0, "").otherwise(F.concat_ws("-", F.col("_n").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))).alias("content_key"))
+
+
 def moves(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
     """old_id, new_id of files (file_id, content_key) that moved: the key is not empty and occurs once on each side."""
 
@@ -174,6 +186,11 @@ def prunable(files: DataFrame, now: Column, days: int = 0) -> DataFrame:
     return gone.where(F.col("last_seen_utc") < now - F.make_interval(days=F.lit(days))) if days > 0 else gone
 
 
+def epoch_text(seconds: Column) -> Column:
+    """Seconds since 1970 as UTC text (2024-03-01 12:00:00); null for null."""
+    return F.date_format(F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=seconds), "yyyy-MM-dd HH:mm:ss")
+
+
 def due_roots(roots: DataFrame, now: Column) -> DataFrame:
     """Enabled roots with an interval that were never scanned or are overdue, the most overdue first."""
     late = F.col("last_scan_utc").isNull() | (F.col("last_scan_utc") + F.make_interval(mins=F.col("interval_minutes")) <= now)
@@ -287,22 +304,30 @@ def preview_names(frames: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def register(names: DataFrame, known: DataFrame, column: str, key: str) -> DataFrame:
-    """known (key, column) and the names it lacks (case does not matter), with new keys after the largest, in the order of the names."""
-    new = names.where(F.col(column).isNotNull()).select(F.lower(column).alias("_low"), column).groupBy("_low").agg(F.min(column).alias(column)).join(known.select(F.lower(column).alias("_low")), "_low", "left_anti")
-    top = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_k", F.row_number().over(Window.orderBy("_low")))  # unseen devices: a handful
-    return known.select(key, column).unionByName(numbered.join(F.broadcast(top)).select((F.col("_top") + F.col("_k")).cast(dict(known.dtypes)[key]).alias(key), column))
+    """known (key, column) and the names it lacks (as `same_text` tells), with new keys after the largest, in the order of the names."""
+    return with_new(known, names, key, column)
 
 
 # -- updates as snapshots
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """new over old; columns in `keep` stay as they were where the row was there."""
+def _by_key(df: DataFrame, keys: list[str], folded: tuple[str, ...]) -> DataFrame:
+    """df with _k0, _k1, ...: its keys, folded ones as `same_text`."""
+    return df.withColumns({f"_k{i}": same_text(F.col(k)) if k in folded else F.col(k) for i, k in enumerate(keys)})
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), folded: tuple[str, ...] = ()) -> DataFrame:
+    """new over old; columns in `keep` stay as they were where the row was there.
+
+    folded: keys that are names, equal whatever their case, accents and blanks at the end; the row that was there keeps its spelling of them. New rows
+    must be unique by their keys."""
+    keep, on = (*keep, *(f for f in folded if f not in keep)), [f"_k{i}" for i in range(len(keys))]
+    before, after = _by_key(old, keys, folded), _by_key(new, keys, folded)
+    stay = before.join(after.select(on), on, "left_anti").select(old.columns)
     if not keep:
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-    before = old.select(*keys, *(F.col(c).alias(f"_{c}") for c in keep))
-    merged = new.join(before, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in keep}).select(*new.columns)
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(merged)
+        return stay.unionByName(new)
+    was = before.select(*on, *(F.col(c).alias(f"_{c}") for c in keep))
+    merged = after.join(was, on, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in keep}).select(*new.columns)
+    return stay.unionByName(merged)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,11 @@ def v_frames(a) -> DataFrame:
     return out.join(rigs, "rig_id", "left").join(a.cameras, "camera_id", "left").join(a.filters.withColumnRenamed("name", "filter"), "filter_id", "left")
 
 
+def named(a) -> DataFrame:
+    """Frames with the names of their rig and filter, all that the summary needs."""
+    return a.frames.join(a.rigs.select("rig_id", "rig"), "rig_id", "left").join(a.filters.withColumnRenamed("name", "filter"), "filter_id", "left")
+
+
 def frame_summary(frames: DataFrame) -> DataFrame:
     """Counts, exposure and first and last moment by night, type, object, rig and filter."""
     return frames.groupBy("session_night", "image_type", "object_canonical", "rig", "filter").agg(F.count("*").alias("n"), F.sum("exposure_s").alias("exposure"), F.min("date_obs_utc").alias("first_utc"), F.max("date_obs_utc").alias("last_utc"))

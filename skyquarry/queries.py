@@ -146,7 +146,7 @@ def target_rollup(a):
 
 @query("SELECT session_night, image_type, object_canonical, rig, filter, COUNT(*) AS n, CAST(SUM(exposure_s) AS BIGINT) AS exposure, MIN(date_obs_utc) AS first_utc, MAX(date_obs_utc) AS last_utc FROM v_frames GROUP BY ALL")
 def frame_summary_view(a):
-    return views.frame_summary(a.v_frames)
+    return views.frame_summary(views.named(a))
 
 
 @query("SELECT rig_id, rig, camera, focal_min, focal_max FROM rigs JOIN cameras USING (camera_id) WHERE active")

@@ -208,3 +208,41 @@ def equipment_resolve(a):
     cards = a.frames.select(ID, "focal_len_mm", F.expr(_SEEN.replace("event_id", ID)).alias("instrument"), F.expr(_GLASS.replace("event_id", ID)).alias("filter_raw"))
     registry = equipment.Registry(a.cameras, aliases.where("alias <> 'asi'"), a.filters, named, a.rigs, 4)
     return equipment.resolve(cards, registry).frames.select(ID, "camera_id", "filter_id", "rig_id", "site_id")
+
+
+_PART = "CAST(CONCAT('0x', SUBSTR(md5(CONCAT(CAST(event_id AS VARCHAR), '|', event_type)), {at}, 15)) AS BIGINT)"
+
+
+@query(f"SELECT user_id AS file_id, CASE WHEN COUNT(event_type) = 0 THEN '' ELSE CONCAT(COUNT(event_type), '-', SUM({_PART.format(at=1)}), '-', SUM({_PART.format(at=17)})) END AS content_key FROM events GROUP BY 1")
+def content_digests(a):
+    rows = a.spark.read.parquet(f"{a.sf_dir}/events.parquet").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("hdu"), F.col("event_type").alias("fingerprint"))
+    return archive.content_digest(rows)
+
+
+_SCANNED = "SELECT root_id, CAST(root_id <> 7 AS BOOLEAN) AS enabled, CAST(root_id % 4 * 30 AS INT) AS interval_minutes, CASE WHEN root_id % 5 <> 0 THEN TIMESTAMP '2024-03-01 11:00:00' - INTERVAL '1' MINUTE * (root_id * 37 % 100) END AS last_scan_utc FROM (SELECT DISTINCT CAST(user_id % 40 AS INT) AS root_id FROM {events}) r"
+
+
+@query(f"SELECT root_id, row_number() OVER (ORDER BY last_scan_utc ASC NULLS FIRST, root_id) AS place FROM ({_SCANNED.format(events='events')}) s WHERE enabled AND interval_minutes > 0 AND (last_scan_utc IS NULL OR last_scan_utc + INTERVAL '1' MINUTE * interval_minutes <= TIMESTAMP '2024-03-01 12:00:00')")
+def due_roots_in_order(a):
+    """The order in which roots are swept, as places."""
+    roots = a.spark.sql(_SCANNED, events=a.spark.read.parquet(f"{a.sf_dir}/events.parquet"))
+    # the sorted rows as they come, from one partition: roots are few
+    due = archive.due_roots(roots, F.lit(_TIMES[0]).cast("timestamp_ntz")).select("root_id").coalesce(1)
+    return due.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("SELECT frame_id, strftime(date_trunc('second', date_obs_utc), '%Y-%m-%d %H:%M:%S') AS seen FROM frames")
+def epoch_as_text(a):
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("second", F.col("date_obs_utc")).cast("timestamp_ntz"))
+    return a.frames.select(ID, archive.epoch_text(seconds).alias("seen"))
+
+
+_OLD_TAGS = "SELECT root_id, CASE WHEN event_type = 'view' THEN 'Séen ' ELSE event_type END AS name, 'old' AS note FROM (SELECT DISTINCT CAST(user_id % 3 AS INT) AS root_id, event_type FROM {events}) t"
+_NEW_TAGS = "SELECT root_id, CASE WHEN event_type = 'view' THEN 'SEEN' WHEN event_type = 'click' THEN 'Clíck' ELSE CONCAT(UPPER(event_type), '?') END AS name, 'new' AS note FROM (SELECT DISTINCT CAST(1 + user_id % 3 AS INT) AS root_id, event_type FROM {events}) t"
+
+
+@query(f"""SELECT n.root_id, COALESCE(o.name, n.name) AS name, n.note FROM ({_NEW_TAGS.format(events='events')}) n LEFT JOIN ({_OLD_TAGS.format(events='events')}) o ON o.root_id = n.root_id AND strip_accents(LOWER(RTRIM(o.name))) = strip_accents(LOWER(n.name))
+    UNION ALL SELECT o.root_id, o.name, o.note FROM ({_OLD_TAGS.format(events='events')}) o WHERE NOT EXISTS (SELECT 1 FROM ({_NEW_TAGS.format(events='events')}) n WHERE n.root_id = o.root_id AND strip_accents(LOWER(RTRIM(o.name))) = strip_accents(LOWER(n.name)))""")
+def upsert_any_spelling(a):
+    events = a.spark.read.parquet(f"{a.sf_dir}/events.parquet")
+    return archive.upsert(a.spark.sql(_OLD_TAGS, events=events), a.spark.sql(_NEW_TAGS, events=events), ["root_id", "name"], folded=("name",))

@@ -43,3 +43,14 @@ def test_max_version_with_and_without_sets(spark):
     sets = Archive(spark, SF).flat_sets
     assert QUERIES["max_version"](spark, SF).first().version == max(r.flat_set_id for r in sets.collect()) > 0
     assert max_version(SimpleNamespace(flat_sets=sets.where("false"))).first().version == 0
+
+
+def test_content_digest(spark):
+    """Equal exactly where the fingerprints of the HDUs are, whatever the order of rows; a hot file needs no more than sums."""
+    schema = "file_id long, hdu long, fingerprint string"
+    rows = [(1, 0, "a"), (1, 1, "b"), (2, 1, "b"), (2, 0, "a"), (3, 0, "b"), (3, 1, "a"), (4, 0, "a"), (4, 1, "b"), (4, 2, None), (5, 0, None), (6, 0, "a"), (6, 0, "a"), (7, 0, "a"), (8, None, "a"), (9, 0, "")]
+    got = {r.file_id: r.content_key for r in archive.content_digest(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == got[2] == got[4] and got[5] == "" and len({got[i] for i in (1, 3, 5, 6, 7, 8, 9)}) == 7
+    hot = spark.range(2_000_000).selectExpr("if(id % 3 = 0, 0, id % 1000) as file_id", "id as hdu", "concat('f', id) as fingerprint")
+    keys = archive.content_digest(hot)
+    assert keys.count() == 1000 and max(len(r.content_key) for r in keys.collect()) < 70
