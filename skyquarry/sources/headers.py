@@ -14,9 +14,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 SCHEMA = "path string, format string, hdu int, is_image boolean, bitpix int, naxis int, naxis1 long, naxis2 long, cards array<struct<keyword:string,value:string,comment:string>>, error string"
 BLOCK = 2880
@@ -182,26 +183,69 @@ def read_headers(paths: DataFrame) -> DataFrame:
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Paths to read, or a piece of the table of paths: a file and one of its row groups."""
+
+    def __init__(self, paths: list[str], file: str = "", group: int = 0):
+        self.paths, self.file, self.group = paths, file, group
+
+
+#: Filters on the path that the reader applies by itself, before a file is opened.
+_ON_PATH = {
+    EqualTo: lambda p, v: p == v, GreaterThan: lambda p, v: p > v, GreaterThanOrEqual: lambda p, v: p >= v, LessThan: lambda p, v: p < v, LessThanOrEqual: lambda p, v: p <= v,
+    In: lambda p, v: p in v, StringStartsWith: lambda p, v: p.startswith(v),
+}
 
 
 class _Reader(DataSourceReader):
+    """Lists files below `path`, or takes them from `listing`, a Parquet table with a column `path` (such as what `walk` gives), which the tasks read."""
+
     def __init__(self, options: dict):
-        self.pattern, self.per = options["path"], int(options.get("filesPerPartition", 500))
+        self.folder, self.listing, self.per = options.get("path"), options.get("listing"), int(options.get("filesPerPartition", 500))
+        self.images, self.tests = False, []
+
+    def wanted(self, path: str) -> bool:
+        return all(_ON_PATH[kind](path, value) for kind, value in self.tests)
 
     def partitions(self):
-        found = sorted(p for p in glob.glob(os.path.join(self.pattern, "**"), recursive=True) if re.search(r"(?i)\.(fits?|fts|fz|xisf)(\.gz)?$", p))
+        if self.listing:
+            pieces = dataset.dataset(self.listing, format="parquet").get_fragments()
+            return [_Part([], f.path, g.id) for f in pieces for g in f.row_groups] or [_Part([])]
+        found = sorted(p for p in glob.glob(os.path.join(self.folder, "**"), recursive=True) if re.search(r"(?i)\.(fits?|fts|fz|xisf)(\.gz)?$", p) and self.wanted(p))
         return [_Part(found[i : i + self.per]) for i in range(0, len(found), self.per)] or [_Part([])]
 
+    def paths(self, partition: _Part) -> list[str]:
+        if not partition.file:
+            return partition.paths
+        piece = next(f for f in dataset.dataset(self.listing, format="parquet").get_fragments() if f.path == partition.file)
+        found = piece.subset(row_group_ids=[partition.group]).to_table(columns=["path"]).column("path").to_pylist()
+        return [p for p in found if p is not None and self.wanted(p)]
+
     def read(self, partition):
-        rows = [r for p in partition.paths for r in read_file(p)]
-        if rows:
-            yield _batch(rows)
+        paths = self.paths(partition)
+        for i in range(0, len(paths), 64):
+            rows = [r for p in paths[i : i + 64] for r in read_file(p) if r["is_image"] or not self.images]
+            if rows:
+                yield _batch(rows)
+
+
+class _FilteringReader(_Reader):
+    """The reader that takes filters; Spark refuses one where spark.sql.python.filterPushdown.enabled is off."""
+
+    def pushFilters(self, filters):
+        """Image units only, and ranges, sets and prefixes of paths (compared by code points, as UTF-8 is); all others are left to Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("is_image",) and f.value is True:
+                self.images = True
+            elif type(f) in _ON_PATH and f.attribute == ("path",):
+                self.tests.append((type(f), f.value))
+            elif not (isinstance(f, IsNotNull) and f.attribute in (("path",), ("is_image",))):  # neither is ever null
+                yield f
 
 
 class HeaderSource(DataSource):
-    """spark.dataSource.register(HeaderSource); spark.read.format("frame_headers").load(folder)"""
+    """spark.dataSource.register(HeaderSource); spark.read.format("frame_headers").load(folder), or .option("listing", table).load()
+
+    With .option("pushFilters", True), and spark.sql.python.filterPushdown.enabled on, filters on is_image and path reach the reader."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,7 +255,7 @@ class HeaderSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _FilteringReader(self.options) if self.options.get("pushFilters", "false").lower() == "true" else _Reader(self.options)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyquarry.functions import headers
 from skyquarry.operators import actions, archive, cluster, equipment, match, rescan
 from skyquarry.operators.progress import ScanCancelled, ScanRunning, Scans
+from skyquarry.sources import headers as source
 from skyquarry.sources.walk import walk
 from skyquarry.streaming.discovery import Discovery, discover
 from skyquarry.streaming.snapshot import stored
@@ -65,6 +66,43 @@ def test_walk_of_missing_and_no_roots(spark, tmp_path):
     assert walk(spark, roots.where("false")).count() == 0
 
 
+# -- filters that reach the reader of headers
+
+def fits_file(units):
+    out = b""
+    for i in range(units):
+        first = "SIMPLE  = T" if not i else "XTENSION= 'IMAGE   '"
+        axes = ["BITPIX  = 8", "NAXIS   = 0"] if i == 0 and units > 1 else ["BITPIX  = 8", "NAXIS   = 2", "NAXIS1  = 4", "NAXIS2  = 3"]
+        text = "".join(x.ljust(80) for x in [first, *axes, "END"]).encode()
+        out += text + b" " * (-len(text) % 2880) + (b"\0" * 2880 if "NAXIS   = 2" in axes else b"")
+    return out
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_filters_reach_the_reader(spark, tmp_path, listed):
+    for i in range(6):
+        (tmp_path / f"é{i}.fits").write_bytes(fits_file(1 + i % 3) if i != 4 else b"broken")
+    spark.dataSource.register(source.HeaderSource)
+    reader = spark.read.format("frame_headers")
+    if listed:
+        roots = spark.createDataFrame([(1, str(tmp_path), None)], "root_id int, path string, ignore_names string")
+        walk(spark, roots).select(F.concat(F.lit(f"{tmp_path}/"), "rel_path").alias("path")).repartition(3).write.parquet(f"{tmp_path}/paths.parquet")
+        load = lambda: reader.option("listing", f"{tmp_path}/paths.parquet").load()
+    else:
+        load = lambda: reader.load(str(tmp_path))
+    conditions = ["is_image", "not is_image", f"path >= '{tmp_path}/é2' and is_image", f"path like '{tmp_path}/é1%'", f"path in ('{tmp_path}/é0.fits', '{tmp_path}/é4.fits', 'x')", f"path = '{tmp_path}/é5.fits' and naxis1 = 4", "error is not null and path is not null", "hdu > 0 or is_image"]
+    shown = lambda df: sorted((r.path, r.hdu if r.hdu is not None else -1) for r in df.collect())
+    want = [shown(load().where(c)) for c in conditions]
+    try:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        reader = reader.option("pushFilters", True)
+        assert [shown(load().where(c)) for c in conditions] == want and all(want)
+        plan = load().where(conditions[2])._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"\bFilter \(", plan)
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 # -- scans under watch
 
 ROOTS = [(1, True, 10), (2, True, 10)]
