@@ -30,6 +30,7 @@ def command_line(doc: str, arguments: list[tuple[str, str]], work: Callable[[Spa
     parser.add_argument("--config", help="a JSON file of settings")
     given = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = get_session(app=parser.prog)
     try:
         work(spark, given)

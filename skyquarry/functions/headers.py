@@ -158,6 +158,14 @@ def resolve(cards: Column, offset_hours: float | Column = 0.0, mapping: Mapping
     } | {"ra_deg": F.when(F.element_at(cards, "RA").isNotNull(), coordinate(raw["ra"], False)).otherwise(coordinate(raw["ra"], True))}
 
 
+def resolve_frames(units: DataFrame, offset_hours: float | Column = 0.0, mapping: Mapping = DEFAULT_MAPPING) -> DataFrame:
+    """One whole row for each image unit (what `sources.headers.card_map` gives: first, bitpix, naxis, naxis1, naxis2, and columns that are kept, such as path and
+    hdu): width, height, bitpix and naxis of the image itself, whatever its cards say of them, and all fields of the cards."""
+    kept = [c for c in units.columns if c not in ("first", "cards", "is_image", "bitpix", "naxis", "naxis1", "naxis2", "error", "format")]
+    fields = resolve(F.col("first"), offset_hours, mapping)
+    return units.select(*kept, F.col("naxis1").alias("width"), F.col("naxis2").alias("height"), "bitpix", "naxis", *(c.alias(name) for name, c in fields.items()))
+
+
 def haversine_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle distance in degrees."""
     half = F.pow(F.sin(F.radians(dec1 - dec2) / 2), 2) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.pow(F.sin(F.radians(ra1 - ra2) / 2), 2)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquarry.functions import headers
 from skyquarry.operators import actions, archive, cluster, equipment, rescan, views
 from skyquarry.operators.progress import Scans
-from skyquarry.queries import ID, query
+from skyquarry.queries import ID, ORACLES, QUERIES, query
+from skyquarry.queries import _cards as cards_of
 from skyquarry.session import new_folder
 from skyquarry.sources.walk import walk
 from skyquarry.streaming.discovery import Discovery, discover
@@ -246,3 +248,17 @@ _NEW_TAGS = "SELECT root_id, CASE WHEN event_type = 'view' THEN 'SEEN' WHEN even
 def upsert_any_spelling(a):
     events = a.spark.read.parquet(f"{a.sf_dir}/events.parquet")
     return archive.upsert(a.spark.sql(_OLD_TAGS, events=events), a.spark.sql(_NEW_TAGS, events=events), ["root_id", "name"], folded=("name",))
+
+
+_WHOLE = ("value_normalize", "observing_night", "strict_number", "filter_default", "quarantine", "coord_parse", "fingerprint")
+
+
+def _resolved_rows(spark, sf_dir):
+    """Whole rows from units of images, whose cards name another size than the image has."""
+    units = cards_of(spark, sf_dir).select(ID, F.map_concat(F.map_filter("cards", lambda k, v: ~k.isin("NAXIS1", "BITPIX")), F.create_map(F.lit("BITPIX"), F.lit("8"))).alias("first"), F.lit(16).alias("bitpix"), F.lit(2).alias("naxis"), (F.col(ID) % 100 + 1).alias("naxis1"), F.lit(24).cast("long").alias("naxis2"))
+    rows = headers.resolve_frames(units, -7.0)
+    return rows.select(ID, "width", "height", "bitpix", "naxis", "image_type", "date_obs_utc", "session_night", "exposure_s", "gain", "filter_raw", "filter_defaulted", "review_reason", F.round("ra_deg", 6).alias("ra_deg"), F.round("dec_deg", 6).alias("dec_deg"), "instrument", "fingerprint")
+
+
+QUERIES["resolved_rows"] = _resolved_rows
+ORACLES["resolved_rows"] = "SELECT *, CAST(frame_id % 100 + 1 AS BIGINT) AS width, CAST(24 AS BIGINT) AS height, 16 AS bitpix, 2 AS naxis FROM " + " JOIN ".join(f"({ORACLES[n]}) {n} USING (frame_id)" if k else f"({ORACLES[n]}) {n}" for k, n in enumerate(_WHOLE)) + " JOIN (SELECT frame_id, instrument FROM (" + ORACLES["camera_alias_resolve"] + ") c) i USING (frame_id)"
