@@ -284,7 +284,7 @@ def canonical_name(a):
     return a.frames.where("object is not null").select(ID, F.when(~c["placeholder"], c["canonical"]).alias("canonical"), c["catalog"].alias("catalog"), c["placeholder"].alias("placeholder"))
 
 
-# The cross-list of the reference's src/names/canon.cpp, apart from the one in functions/catalogs.py.
+# The cross-list, apart from the one in functions/catalogs.py.
 _CROSS_LIST = """(VALUES
     ('M 1', 'NGC 1952'), ('M 2', 'NGC 7089'), ('M 3', 'NGC 5272'), ('M 4', 'NGC 6121'), ('M 5', 'NGC 5904'), ('M 6', 'NGC 6405'), ('M 7', 'NGC 6475'), ('M 8', 'NGC 6523'),
     ('M 9', 'NGC 6333'), ('M 10', 'NGC 6254'), ('M 11', 'NGC 6705'), ('M 12', 'NGC 6218'), ('M 13', 'NGC 6205'), ('M 14', 'NGC 6402'), ('M 15', 'NGC 7078'), ('M 16', 'NGC 6611'),
