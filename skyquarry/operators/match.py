@@ -235,6 +235,11 @@ def _numpy(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [pc.fill_null(table.column(n), False if pa.types.is_boolean(table.schema.field(n).type) else 0).to_numpy() for n in names]
 
 
+def _flags(column: pa.ChunkedArray, *names: str) -> list[np.ndarray]:
+    """For each name, which rows have it."""
+    return [pc.fill_null(pc.equal(column, n), False).to_numpy() for n in names]
+
+
 _NO_NIGHT = 1 - (1 << 31)
 
 
@@ -288,11 +293,11 @@ def _carry(limit: int):
     lights the nearest few outside the place and the undated ones with the smallest ids, or for undated lights the smallest ids of all."""
 
     def work(t: pa.Table) -> pa.Table:
-        what = np.asarray(t.column("what").to_pylist(), object)
+        is_near, is_end, is_count, is_edge, is_id = _flags(t.column("what"), "near", "end", "count", "edge", "id")
         k, b, us, id_, m, night = _entry_columns(t)
         n = _numpy(t, "n")[0]
-        asked = np.flatnonzero((what == "near") | (what == "end"))
-        c = np.flatnonzero(what == "count")
+        asked = np.flatnonzero(is_near | is_end)
+        c = np.flatnonzero(is_count)
         c = c[np.lexsort((b[c], k[c]))]
         total, undated = np.concatenate([[0], np.cumsum(n[c])]), np.concatenate([[0], np.cumsum(np.where(b[c] == _UNDATED, n[c], 0))])
         lo, hi = np.searchsorted(k[c], k[asked]), np.searchsorted(k[c], k[asked], "right")
@@ -304,8 +309,7 @@ def _carry(limit: int):
         def take(of: np.ndarray, i: np.ndarray, name: str) -> None:
             out.append(_rows(_CARRIED_NAMES, k=k[of], b=b[of], what=[name] * len(i), us=us[i], id=id_[i], m=m[i], night=night[i]))
 
-        near = asked[what[asked] == "near"]
-        e = np.flatnonzero(what == "edge")
+        near, e = np.flatnonzero(is_near), np.flatnonzero(is_edge)
         for kind in (False, True):
             dated = near[b[near] != _UNDATED]
             own = e[m[e] == kind]
@@ -320,7 +324,7 @@ def _carry(limit: int):
                 for s, f in ((left, a), (z, right)):
                     i, of = _spans(s, f)
                     take(dated[of], own[i], "dated")
-            ids = np.flatnonzero((what == "id") & (m == kind))
+            ids = np.flatnonzero(is_id & (m == kind))
             for some, mine in ((dated, ids[b[ids] == _UNDATED]), (near[b[near] == _UNDATED], ids)):
                 mine = mine[np.lexsort((id_[mine], k[mine]))]
                 mine = mine[_nth(k[mine]) < limit]
@@ -342,8 +346,8 @@ def _merge(rules: tuple[Rule, ...], limit: int):
     masters, session = (np.array([getattr(x, f) for x in rules], bool) for f in ("prefer_masters", "prefer_same_session"))
 
     def work(asks: pa.Table, entries: pa.Table) -> pa.Table:
-        role = np.asarray(asks.column("role").to_pylist(), object)
-        what = np.asarray(asks.column("what").to_pylist(), object)
+        low, high, for_near, for_night = _flags(asks.column("role"), "low", "high", "near", "night")
+        is_ask, is_count, is_dated, is_free, with_date = _flags(asks.column("what"), "ask", "count", "dated", "free", "with date")
         k, b, us, id_, m, night = _entry_columns(asks)
         x, r, before, every, undated = _numpy(asks, "x", "r", "n", "every", "undated")
         l_us, l_night, no_date = _numpy(asks, "l_us")[0], pc.fill_null(asks.column("l_night"), _NO_NIGHT - 1).to_numpy(), pc.is_null(asks.column("l_us")).to_numpy()
@@ -351,7 +355,7 @@ def _merge(rules: tuple[Rule, ...], limit: int):
         ek, eb, eus, eid, em, enight = _entry_columns(entries)
         eplace, dated = _place(ek, eb), eb != _UNDATED
         # counts
-        ask, counts = np.flatnonzero(what == "ask"), np.flatnonzero(what == "count")
+        ask, counts = np.flatnonzero(is_ask), np.flatnonzero(is_count)
         counts = counts[np.argsort(place[counts], kind="stable")]
         mine = counts[np.searchsorted(place[counts], place[ask])] if len(counts) else np.zeros(0, np.int64)
         order = np.lexsort((eus, eplace))
@@ -359,26 +363,26 @@ def _merge(rules: tuple[Rule, ...], limit: int):
         inside = _bound(eus[order], np.searchsorted(eplace[order], place[ask]), np.searchsorted(eplace[order], place[ask], "right"), x[ask], False) - np.searchsorted(eplace[order], place[ask])
         below = before[mine] + inside
         free = np.where((reach[r[ask]] < 0) | no_date[ask], every[mine], undated[mine])
-        cnt = np.select([role[ask] == "low", role[ask] == "high", role[ask] == "near"], [-below, below, free], 0)
+        cnt = np.select([low[ask], high[ask], for_near[ask]], [-below, below, free], 0)
         # the nearest
-        c = np.flatnonzero(what == "dated")
+        c = np.flatnonzero(is_dated)
         pool = _Pool(np.concatenate([eplace[dated], place[c]]), np.concatenate([em[dated], m[c]]), np.concatenate([eus[dated], us[c]]), np.concatenate([eid[dated], id_[c]]), np.concatenate([enight[dated], night[c]]), limit)
-        near = ask[(role[ask] == "near") | (role[ask] == "night")]
+        near = ask[for_near[ask] | for_night[ask]]
         lights = near[~no_date[near]]
         found = []
         for kind in (False, True):
             i, of = pool.near(place[lights], kind, l_us[lights])
             found.append((lights[of], pool.us[i], pool.id[i], pool.m[i], pool.night[i], np.ones(len(i), bool)))
-        u = np.flatnonzero((what == "free") | (what == "with date"))
+        u = np.flatnonzero(is_free | with_date)
         u = u[np.argsort(place[u], kind="stable")]
         i, of = _spans(np.searchsorted(place[u], place[near]), np.searchsorted(place[u], place[near], "right"))
-        found.append((near[of], us[u[i]], id_[u[i]], m[u[i]], night[u[i]], what[u[i]] == "with date"))
+        found.append((near[of], us[u[i]], id_[u[i]], m[u[i]], night[u[i]], with_date[u[i]]))
         light, f_us, f_id, f_m, f_night, f_dated = (np.concatenate(v) for v in zip(*found))
         both = f_dated & ~no_date[light]
         gap = np.where(both, np.abs(f_us - l_us[light]), 0)
         age = reach[r[light]]
         # of a session rule the light's own night is the other ask's
-        twice = session[r[light]] & (role[light] == "near") & (f_night == l_night[light])
+        twice = session[r[light]] & for_near[light] & (f_night == l_night[light])
         keep = np.flatnonzero(((age < 0) | ~both | (gap < age)) & ~twice)
         first = np.where(masters[r[light[keep]]], ~f_m[keep], False)
         # undated candidates go last and first: which of the two the caller wants is told by the final order
