@@ -345,11 +345,14 @@ def cascade_delete(parents: DataFrame, gone: DataFrame, key: str, children: dict
 
 
 def re_anchor(files: DataFrame, moved: DataFrame, outcome: str | None = None) -> DataFrame:
-    """Moved files under their old ids: the new row's place, the old row's file_id; the old row goes. outcome: the new value of that column."""
-    new = files.join(moved, F.col("file_id") == F.col("new_id")).withColumn("file_id", F.col("old_id"))
-    new = (new.withColumn("outcome", F.lit(outcome)) if outcome else new).select(*files.columns)
-    ids = moved.select(F.explode(F.array("old_id", "new_id")).alias("file_id"))
-    return files.join(ids, "file_id", "left_anti").unionByName(new)
+    """Moved files under their old ids: the new row's place, the old row's file_id; the old row goes. outcome: the new value of that column.
+
+    Both sides of a move meet the files in one join, so neither files nor moves are worked out twice."""
+    ends = F.array(F.struct(F.col("new_id").alias("_id"), F.col("old_id").alias("_to")), F.struct(F.col("old_id").alias("_id"), F.lit(None).cast(dict(moved.dtypes)["old_id"]).alias("_to")))
+    known = moved.select(F.inline(ends)).groupBy("_id").agg(F.max("_to").alias("_to"), F.lit(True).alias("_hit"))
+    rows = files.join(known, F.col("file_id") == F.col("_id"), "left").where(F.col("_hit").isNull() | F.col("_to").isNotNull())
+    values = {"file_id": F.coalesce("_to", "file_id")} | ({"outcome": F.when(F.col("_to").isNotNull(), outcome).otherwise(F.col("outcome"))} if outcome else {})
+    return rows.withColumns(values).select(*files.columns)
 
 
 def set_where(df: DataFrame, changes: DataFrame, keys: list[str], column: str) -> DataFrame:
