@@ -262,3 +262,8 @@ def _resolved_rows(spark, sf_dir):
 
 QUERIES["resolved_rows"] = _resolved_rows
 ORACLES["resolved_rows"] = "SELECT *, CAST(frame_id % 100 + 1 AS BIGINT) AS width, CAST(24 AS BIGINT) AS height, 16 AS bitpix, 2 AS naxis FROM " + " JOIN ".join(f"({ORACLES[n]}) {n} USING (frame_id)" if k else f"({ORACLES[n]}) {n}" for k, n in enumerate(_WHOLE)) + " JOIN (SELECT frame_id, instrument FROM (" + ORACLES["camera_alias_resolve"] + ") c) i USING (frame_id)"
+
+
+@query("SELECT c.id, c.name, COUNT(f.frame_id) AS n FROM collections c LEFT JOIN collection_frames f ON f.collection_id = c.id GROUP BY 1, 2")
+def collection_counts_with_zero(a):
+    return views.counts_with_zero(a.collections, a.collection_frames, "id", "collection_id")
