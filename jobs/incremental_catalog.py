@@ -50,8 +50,9 @@ class Output:
 
 
 def frames_of(events: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Events as frames with their files and equipment, objects under their canonical names."""
-    spark = events.sparkSession
+    """Events as frames with their files and equipment, objects under their canonical names. Of several events with one id the latest counts."""
+    spark, rest = events.sparkSession, ["ts", "user_id", "event_type", "value", "props"]
+    events = events.groupBy("event_id").agg(F.max(F.struct(*rest)).alias("_row")).select("event_id", "_row.*")
     tables = {"frames": {"events": events}, "files": {"events": events}, "roots": {}, "rigs": {"nation": nation}, "sites": {"region": region}, "cameras": {"nation": nation}, "filters": {}}
     frames = views.v_frames(SimpleNamespace(**{name: relation(spark, name, **given) for name, given in tables.items()}))
     return frames.withColumn("object_canonical", catalogs.object_canonical(F.col("object"))).select(StructType.fromDDL(FRAMES).names)

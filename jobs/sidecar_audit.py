@@ -12,6 +12,7 @@ content. Both tables are written by partition; a run that is repeated at the sam
 from __future__ import annotations
 
 import logging
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from skyquarry.operators import archive, rescan
 from skyquarry.streaming.snapshot import observed, stored
 
 LOG = logging.getLogger("skyquarry.jobs.sidecar_audit")
-#: now: the time of the sweep, the clock's where it is empty.
+#: now: the time of the sweep in UTC, the clock's where it is empty.
 DEFAULTS = {"interval_minutes": 60, "settle_seconds": 30, "now": ""}
 
 
@@ -43,12 +44,12 @@ def listing_of(documents: DataFrame) -> DataFrame:
 def run(spark: SparkSession, documents: str, out: str, config: dict | None = None) -> dict[str, int]:
     """One run; the number of swept files by outcome."""
     config = DEFAULTS | (config or {})
-    now = F.lit(config["now"]).cast("timestamp_ntz") if config["now"] else F.localtimestamp()
+    now = F.lit(config["now"] or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     texts = spark.read.parquet(documents)
     listing = listing_of(texts)
     roots = listing.select("root_id").distinct().withColumns({"enabled": F.lit(True), "interval_minutes": F.lit(config["interval_minutes"]).cast("int")})
     read = listing.select("root_id", "rel_path", "content_key", F.lit(None).cast("string").alias("error"))
-    swept = rescan.sweep_due(spark, f"{out}/files", roots, listing.select("root_id", "rel_path", "size_bytes", "mtime_utc"), read, now, config["settle_seconds"])
+    swept = rescan.sweep_due(spark, f"{out}/files", roots, listing.select("root_id", "rel_path", "size_bytes", "mtime_utc", F.col("content_key").alias("etag")), read, now, config["settle_seconds"])
     LOG.info("read %s; wrote %d files of due roots to %s/files: %s", documents, swept.get("files", 0), out, ", ".join(f"{k} {v}" for k, v in swept.items() if k != "files") or "nothing was due")
     found = rescan.copies(stored(spark, f"{out}/files", rescan.files_schema("string")))
     measured = found.join(listing.select("root_id", "rel_path", "n_lines", "n_words"), ["root_id", "rel_path"], "left")

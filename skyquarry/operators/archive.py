@@ -75,12 +75,15 @@ def root_of(paths: DataFrame, roots: DataFrame, column: str = "abs_path") -> Dat
 # -- sweeps
 
 def classify(listing: DataFrame, known: DataFrame, now: Column, settle_seconds: int = 30) -> DataFrame:
-    """The listing (root_id, rel_path, size_bytes, mtime_utc) with its action: settling, skip, update or add."""
-    old = known.select("root_id", "rel_path", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime_utc").alias("_mtime"), F.col("file_status").alias("_status"))
+    """The listing (root_id, rel_path, size_bytes, mtime_utc) with its action: settling, skip, update or add. A file is the same if its size and time
+    are; where the listing tells a file's content too (etag), that must be the known content_key."""
+    told = [F.col("content_key").alias("_etag")] if "etag" in listing.columns else []
+    old = known.select("root_id", "rel_path", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime_utc").alias("_mtime"), F.col("file_status").alias("_status"), *told)
     age = F.timestamp_diff("SECOND", "mtime_utc", now)
     same = (F.col("_status") == "ok") & (F.col("_size") == F.col("size_bytes")) & (F.col("_mtime") == F.date_trunc("second", "mtime_utc"))
+    same = same & F.col("_etag").eqNullSafe(F.col("etag")) if told else same
     action = F.when(age < settle_seconds, "settling").when(F.col("_status").isNull(), "add").when(same, "skip").otherwise("update")
-    return listing.join(old, ["root_id", "rel_path"], "left").withColumn("action", action).drop("_size", "_mtime", "_status")
+    return listing.join(old, ["root_id", "rel_path"], "left").withColumn("action", action).drop("_size", "_mtime", "_status", "_etag", "etag")
 
 
 def scan_stats(classified: DataFrame) -> DataFrame:

@@ -120,8 +120,12 @@ def test_audit_sweeps_again(spark, tmp_path):
     swept, got = audit(spark, tmp_path, "t3", rows, "2024-02-01 02:00:00")
     assert swept == {"files": 10, "update": 1, "skip": 7, "moved": 1, "missing": 1}
     assert got["/a", "fr/doc2.txt"].outcome == "moved" and ("/a", "en/doc3.txt") not in got and got["/a", "en/doc0.txt"].n_words == 2
+    # another text of the same length, at the same place and time
+    rows[1] = (1, "TEXT 1\nof a night", "en", "a")
+    swept, got = audit(spark, tmp_path, "t3b", rows, "2024-02-01 03:00:30")
+    assert swept == {"files": 10, "update": 1, "skip": 8, "kept": 1} and got["/a", "en/doc1.txt"].outcome == "update"
     # a root that lost more than half of its files is taken for a failed mount
-    swept, got = audit(spark, tmp_path, "t4", [r for r in rows if r[3] != "a"] + [(1, "text 1\nof a night", "en", "a")], "2024-02-01 04:00:00")
+    swept, got = audit(spark, tmp_path, "t4", [r for r in rows if r[3] != "a"] + [rows[1]], "2024-02-01 04:30:00")
     assert swept["kept"] == 4 and "missing" not in swept
 
 
