@@ -269,3 +269,26 @@ def test_due_roots(spark):
     rows = [(1, True, 60, None), (2, True, 60, now - dt.timedelta(minutes=59)), (3, True, 60, now - dt.timedelta(minutes=61)), (4, False, 60, None), (5, True, 0, None)]
     df = spark.createDataFrame(rows, "root_id int, enabled boolean, interval_minutes int, last_scan_utc timestamp_ntz")
     assert [r.root_id for r in archive.due_roots(df, F.lit(now).cast("timestamp_ntz")).collect()] == [1, 3]
+
+
+def test_site_clusters_by_regions(spark):
+    """Places close to the edge of moving clusters, in several regions of which some touch, a pole and 180 degrees: equal to single steps, in more than one task."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    spots = [(10, 20), (10.004, 20.003), (10, 20.02), (10, 60), (-35, 60), (50, 179.9958), (50, -179.9995), (50, -179.99), (89.99, 0), (89.99, 120), (0, 0)]
+    places = [(i, *(c + rnd.uniform(0, 0.004) for c in rnd.choice(spots))) for i in range(12_000)]
+    lat, lon, n = [], [], []
+    for _, y, x in places:
+        near = np.flatnonzero(cluster._metres(np.array(lat), np.array(lon), np.array(y), np.array(x)) <= 250)
+        if len(near):
+            k = near[0]
+            lat[k], lon[k], n[k] = (lat[k] * n[k] + y) / (n[k] + 1), (lon[k] * n[k] + x) / (n[k] + 1), n[k] + 1
+        else:
+            lat, lon, n = [*lat, y], [*lon, x], [*n, 1]
+    df = spark.createDataFrame(places, "frame_id long, lat double, lon double")
+    assert [tuple(r) for r in cluster.site_clusters(df, 250.0).orderBy("cluster").collect()] == list(zip(range(len(n)), n, lat, lon))
+    regions = cluster._regions(df, 250.0).groupBy("_band", "_part").count().collect()
+    assert len(regions) == 7 and max(r["count"] for r in regions) < 5000  # three at 10 degrees, where two spots touch; one at 50; the pole
+    assert cluster.site_clusters(df.where("false")).count() == 0
+    assert [tuple(r) for r in cluster.site_clusters(df.where("lat > 89"), 900_000.0).collect()][0][:2] == (0, df.where("lat > 89").count())
