@@ -219,7 +219,9 @@ def sites_within(places: DataFrame, sites: DataFrame, metres: float, key: str =
 
 def site_coverage(places: DataFrame, sites: DataFrame, metres: float = 500.0) -> DataFrame:
     """The clusters of `site_clusters`, with the nearest site within `metres` of the centroid (site_id), if any."""
-    return sites_within(site_clusters(places, metres), sites, metres, key="cluster")
+    met = _met(site_clusters(places, metres), sites, metres, "left")
+    # clusters are grouped with their columns, not joined again, as that would fold the places twice
+    return met.groupBy("cluster", "n", "lat", "lon").agg(F.min_by("site_id", F.when(F.col("_d") <= metres, F.struct("_d", "site_id"))).alias("site_id"))
 
 
 def frame_places(cards: DataFrame, latitude: list[str], longitude: list[str]) -> DataFrame:

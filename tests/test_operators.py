@@ -292,3 +292,15 @@ def test_site_clusters_by_regions(spark):
     assert len(regions) == 7 and max(r["count"] for r in regions) < 5000  # three at 10 degrees, where two spots touch; one at 50; the pole
     assert cluster.site_clusters(df.where("false")).count() == 0
     assert [tuple(r) for r in cluster.site_clusters(df.where("lat > 89"), 900_000.0).collect()][0][:2] == (0, df.where("lat > 89").count())
+
+
+def test_site_coverage_folds_once(spark):
+    """Regions also where the distance is large, places folded once, and clusters without a site kept."""
+    df = spark.range(2000).selectExpr("id as frame_id", "(id % 5) * 10 - 20 + id / 1000000 as lat", "(id % 3) * 60 - 60 + id / 1000000 as lon")
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.1), (3, -20.0, -60.0)], "site_id int, lat double, lon double")
+    assert cluster._regions(df, 600_000.0).select("_band", "_part").distinct().count() == 3
+    out = cluster.site_coverage(df, sites, 600_000.0)
+    got = {r.cluster: r.site_id for r in out.collect()}
+    want = {r.cluster: r.site_id for r in cluster.sites_within(cluster.site_clusters(df, 600_000.0), sites, 600_000.0, key="cluster").collect()}
+    assert got == want and len(got) == 15 and sorted(v for v in got.values() if v) == [1, 3]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
