@@ -4,8 +4,8 @@ Frames with equal values in a rule's fields have one profile. Which profiles of
 is divided into buckets that hold a few thousand of its candidates on average (one where it has few), and a light meets the candidates of its own
 bucket, the nearest few before and after it, which are carried over the buckets of a profile, and those without a date. The same is done within
 nights for rules that prefer the light's session. A light's number of candidates is the difference of two running counts, at both ends of the age limit.
-Lights and candidates meet by buckets dealt out to partitions, where sorted arrays are merged at once for all lights; no plan depends on how many
-there are, nothing is counted while a plan is built, and all rules go through one such merge. Keys of profiles are 64-bit hashes.
+Lights and candidates meet by buckets dealt out to groups, where sorted arrays are merged at once for all lights; there are as many groups as the
+plan itself counts frames for, nothing is counted while a plan is built, and all rules go through one such merge. Keys of profiles are 64-bit hashes.
 
 What a light is given for each bucket are at most `limit` candidates on either side and those whose whole seconds tie with the last of them; of
 candidates with one moment and kind the `limit` smallest ids.
@@ -92,6 +92,8 @@ def _condition(rule: Rule) -> tuple[list[Column], list[Column]]:
 _SECOND, _DAY = 1_000_000, 86_400_000_000
 #: Candidates of a profile for each of its buckets, on average.
 BUCKET = 4000
+#: Frames for each group of places that one call merges, on average.
+GROUP = 50_000
 #: The bucket of frames without a date.
 _UNDATED = -9
 
@@ -406,18 +408,32 @@ def _merge(rules: tuple[Rule, ...], limit: int):
     return work
 
 
+def _tasks(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _groups(frames: DataFrame) -> DataFrame:
+    """One row: the number of groups."""
+    return frames.agg(F.greatest(F.lit(_tasks(frames)), F.ceil(F.count(F.lit(1)) / GROUP)).alias("groups"))
+
+
 def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int) -> DataFrame:
     """r (the rule's place in jobs), light, candidate and cnt of all rules' lights, through one merge; rows without a candidate carry counts only."""
     rules = tuple(rule for rule, _ in jobs)
     sides = [_sides(frames, rule, r, lights) for r, (rule, lights) in enumerate(jobs)]
     asks, entries = (reduce(DataFrame.unionByName, side) for side in zip(*sides))
-    parts = 4 * int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
-    entries = entries.select(part("k", "b"), "k", "b", "us", "id", "m", "night")
-    summary = entries.groupBy("part").applyInArrow(_summary(limit), _CARRIED)
-    asked = asks.groupBy("k", "b").agg(F.max(F.col("role").isin("near", "night")).alias("_near")).select("k", "b", F.when(F.col("_near"), "near").otherwise("end").alias("what"))
-    carried = summary.unionByName(asked, allowMissingColumns=True).withColumn("part", part("k")).groupBy("part").applyInArrow(_carry(limit), _CARRIED)
-    left = asks.withColumn("what", F.lit("ask")).unionByName(carried, allowMissingColumns=True).withColumn("part", part("k", "b"))
+    # tasks as many as explicit exchanges give, which adaptive execution doesn't make fewer; groups as many as frames ask for, so that one stays small
+    tasks = _tasks(frames)
+    groups = F.broadcast(_groups(frames))
+    asks, entries = asks.crossJoin(groups), entries.crossJoin(groups)
+    part = lambda *keys: F.pmod(F.xxhash64(*keys), F.col("groups")).alias("part")
+    dealt = lambda df, *keys: df.select(part(*keys), *(c for c in df.columns if c != "groups")).repartition(tasks, "part")
+    carried_columns = [*_CARRIED_NAMES, "groups"]
+    entries = dealt(entries.select("groups", "k", "b", "us", "id", "m", "night"), "k", "b")
+    summary = entries.groupBy("part").applyInArrow(_summary(limit), _CARRIED).crossJoin(groups)
+    asked = asks.groupBy("k", "b", "groups").agg(F.max(F.col("role").isin("near", "night")).alias("_near")).select("groups", "k", "b", F.when(F.col("_near"), "near").otherwise("end").alias("what"))
+    carried = dealt(summary.unionByName(asked, allowMissingColumns=True).select(carried_columns), "k").groupBy("part").applyInArrow(_carry(limit), _CARRIED).crossJoin(groups)
+    left = dealt(asks.withColumn("what", F.lit("ask")).unionByName(carried, allowMissingColumns=True), "k", "b")
     return left.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_merge(rules, limit), _BEST)
 
 
@@ -456,7 +472,8 @@ def _ranked(merged: DataFrame, rules: list[Rule], limit: int, undated_first: boo
     second = of([~F.coalesce(F.col("night") == F.col("l_night"), F.lit(False)) if r.prefer_same_session else F.lit(False) for r in rules])
     seconds = F.floor(F.abs(F.col("us") - F.col("l_us")) / _SECOND)
     order = [F.col("id").isNull(), first, second, seconds.asc_nulls_first() if undated_first else seconds.asc_nulls_last(), F.col("id").asc()]
-    rows = merged.withColumns({"total": F.sum("cnt").over(per_light), "rank": F.row_number().over(per_light.orderBy(*order)) - 1}).where(F.col("id").isNotNull() & (F.col("rank") < limit))
+    own = per_light.orderBy(*order)  # one sort for both
+    rows = merged.repartition(_tasks(merged), "r", "l_id").withColumns({"total": F.sum("cnt").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "rank": F.row_number().over(own) - 1}).where(F.col("id").isNotNull() & (F.col("rank") < limit))
     image_type = F.when(F.col("m"), F.lit("master")).otherwise(of([F.lit(r.target) for r in rules]))
     return rows.select("r", F.col("l_id").alias("light_id"), of([F.lit(r.name) for r in rules]).alias("rule"), "rank", F.col("id").alias("frame_id"), image_type.alias("image_type"), (1 - F.col("rank") / (limit + 1)).alias("score"), of([reason(r) for r in rules]).alias("reason"), "total")
 

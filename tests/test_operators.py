@@ -304,3 +304,22 @@ def test_site_coverage_folds_once(spark):
     want = {r.cluster: r.site_id for r in cluster.sites_within(cluster.site_clusters(df, 600_000.0), sites, 600_000.0, key="cluster").collect()}
     assert got == want and len(got) == 15 and sorted(v for v in got.values() if v) == [1, 3]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_matching_groups_grow_with_frames(spark, monkeypatch):
+    """More frames make more groups, not larger ones, with the same matches; ranks and totals share a sort, in as many tasks as are asked for."""
+    rnd = random.Random(11)
+    at = lambda: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=rnd.randrange(30 * 86_400))
+    rows = [(i, rnd.choice(("light", "flat", "master")), "flat", t := at(), t.date(), rnd.randrange(3), rnd.choice((None, 0, 1)), 1, 1, rnd.choice((None, 10, 14, 90))) for i in range(3000)]
+    frames = spark.createDataFrame(rows, "frame_id long, image_type string, master_of string, date_obs_utc timestamp_ntz, session_night date, rig_id int, filter_id int, binx int, biny int, rotator_deg int")
+    rule = next(r for r in match.DEFAULT_RULES if r.target == "flat")
+    found = []
+    for group, n in ((50_000, 16), (20, 150)):
+        monkeypatch.setattr(match, "GROUP", group)
+        assert match._groups(frames).first().groups == n
+        out = match.match(frames, rule, 5)
+        found.append(sorted(tuple(r) for r in out.select("light_id", "rank", "frame_id", "total").collect()))
+    assert found[0] == found[1] and len(found[0]) > 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("row_number()" in x and "sum(cnt" in x for x in plan)
+    assert sum("RepartitionByExpression" in x and x.rstrip().endswith(", 16") for x in plan) >= 4
