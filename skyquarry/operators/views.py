@@ -100,7 +100,11 @@ def objects(frames: DataFrame) -> DataFrame:
 
 def detail(frames: DataFrame, cards: DataFrame, frame_tags: DataFrame, tags: DataFrame, ids: DataFrame, collection_frames: DataFrame | None = None, collections: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
     """The asked frames with their header in order and their tags by name, nested; also the names of their collections, and the artifacts (frame_id,
-    kind, filename, rel_path, size_bytes, mtime_utc) beside them by file name, where these tables are given."""
+    kind, filename, rel_path, size_bytes, mtime_utc) beside them by file name, where these tables are given.
+
+    All tables meet in one stage that sorts each of them. The ids set its number of tasks, which adaptive execution doesn't make fewer; where they are
+    so few that they are broadcast, the other tables aren't shuffled for them."""
+    ids = ids.repartition(4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")
     rows = frames.join(ids, "frame_id", "left_semi")
     header = cards.join(ids, "frame_id", "left_semi").groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword", "value"))), lambda c: F.struct(c["keyword"].alias("keyword"), c["value"].alias("value"))).alias("header"))
     named = frame_tags.join(ids, "frame_id", "left_semi").join(tags.withColumnRenamed("id", "tag_id"), "tag_id").groupBy("frame_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))

@@ -323,3 +323,23 @@ def test_matching_groups_grow_with_frames(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("row_number()" in x and "sum(cnt" in x for x in plan)
     assert sum("RepartitionByExpression" in x and x.rstrip().endswith(", 16") for x in plan) >= 4
+
+
+def test_detail_in_as_many_tasks_as_asked_for(spark):
+    """The tables of many frames meet in four times the tasks of a shuffle; those of a few broadcast ones as they are read."""
+    from skyquarry.operators import views
+
+    frames = spark.range(2000).selectExpr("id as frame_id", "concat('f', id) as name")
+    cards = spark.range(6000).selectExpr("id div 3 as frame_id", "cast(id % 3 as int) as ord", "'K' as keyword", "cast(id as string) as value")
+    tags = spark.createDataFrame([(1, "a")], "id int, name string")
+    held = frames.where("frame_id % 2 = 0").selectExpr("frame_id", "1 as tag_id")
+    ids = frames.where("frame_id % 5 = 0").select("frame_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, tasks in (("-1", 16), (before, None)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            out = views.detail(frames, cards, held, tags, ids).select("frame_id", "header", "tags", F.spark_partition_id().alias("task")).collect()
+            assert {r.frame_id: ([c.value for c in r.header], r.tags) for r in out} == {i: ([str(3 * i + j) for j in range(3)], None if i % 2 else ["a"]) for i in range(0, 2000, 5)}
+            assert tasks is None or len({r.task for r in out}) == tasks
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
