@@ -74,11 +74,11 @@ def root_of(paths: DataFrame, roots: DataFrame, column: str = "abs_path") -> Dat
 
 # -- sweeps
 
-def classify(listing: DataFrame, known: DataFrame, now: Column, settle_seconds: int = 30) -> DataFrame:
+def classify(listing: DataFrame, known: DataFrame, now: Column, settle_seconds: int = 30, carry: dict[str, str] | None = None) -> DataFrame:
     """The listing (root_id, rel_path, size_bytes, mtime_utc) with its action: settling, skip, update or add. A file is the same if its size and time
-    are; where the listing tells a file's content too (etag), that must be the known content_key."""
+    are; where the listing tells a file's content too (etag), that must be the known content_key. carry: names under which columns of known are kept."""
     told = [F.col("content_key").alias("_etag")] if "etag" in listing.columns else []
-    old = known.select("root_id", "rel_path", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime_utc").alias("_mtime"), F.col("file_status").alias("_status"), *told)
+    old = known.select("root_id", "rel_path", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime_utc").alias("_mtime"), F.col("file_status").alias("_status"), *told, *(F.col(c).alias(name) for name, c in (carry or {}).items()))
     age = F.timestamp_diff("SECOND", "mtime_utc", now)
     same = (F.col("_status") == "ok") & (F.col("_size") == F.col("size_bytes")) & (F.col("_mtime") == F.date_trunc("second", "mtime_utc"))
     same = same & F.col("_etag").eqNullSafe(F.col("etag")) if told else same
@@ -145,8 +145,8 @@ def sweep(listing: DataFrame, known: DataFrame, read: DataFrame, now: Column, se
     keep their row, if they have one, and are not added."""
     place = ["root_id", "rel_path"]
     columns = ["file_id", "root_id", "rel_path", "size_bytes", "mtime_utc", "file_status", "last_seen_utc", "content_key", "outcome"]
-    before = known.select("file_id", *place, F.col("content_key").alias("_key"), F.col("last_seen_utc").alias("_seen"), F.col("file_status").alias("_was"), F.col("size_bytes").alias("_size0"), F.col("mtime_utc").alias("_mtime0"))
-    listed = classify(listing, known, now, settle_seconds).join(before, place, "left").join(read.select(*place, "content_key", "error"), place, "left")
+    before = {"file_id": "file_id", "_key": "content_key", "_seen": "last_seen_utc", "_was": "file_status", "_size0": "size_bytes", "_mtime0": "mtime_utc"}
+    listed = classify(listing, known, now, settle_seconds, before).join(read.select(*place, "content_key", "error"), place, "left")
     action, fresh = F.col("action"), F.col("action").isin("add", "update")
     still = F.col("action") == "settling"
     touched = listed.where(~still | F.col("file_id").isNotNull()).select(

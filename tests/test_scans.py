@@ -1,5 +1,6 @@
 """Walks, scans under watch, discovery that settles, back-fills and exports, on small fixtures."""
 
+import datetime as dt
 import json
 import os
 import re
@@ -326,3 +327,15 @@ def test_failed_export_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="gone"):
         actions.export(frames, f"{tmp_path}/out", "csv", ("frame_id",))
     assert not os.path.exists(f"{tmp_path}/out") or not [n for n in os.listdir(f"{tmp_path}/out") if n.startswith("part-")]
+
+
+def test_sweep_meets_the_known_files_once(spark):
+    """The plan of the rows listed joins the known files in one step, not first for the action and then for what is kept."""
+    schema = "file_id long, root_id int, rel_path string, size_bytes long, mtime_utc timestamp_ntz, file_status string, last_seen_utc timestamp_ntz, content_key string"
+    known = spark.createDataFrame([(i, 0, f"f{i}", i, dt.datetime(2025, 1, 1), "ok", dt.datetime(2025, 1, 1), f"k{i}") for i in range(8)], schema)
+    listing = known.where("file_id <> 3").select("root_id", "rel_path", (F.col("size_bytes") + F.when(F.col("file_id") == 5, 1).otherwise(0)).alias("size_bytes"), "mtime_utc")
+    read = known.selectExpr("root_id", "rel_path", "concat('n', file_id) as content_key", "cast(null as string) as error")
+    out = archive.sweep(listing, known, read, F.lit(dt.datetime(2025, 1, 2)).cast("timestamp_ntz"))
+    got = {r.file_id: (r.outcome, r.content_key, r.file_status) for r in out.collect()}
+    assert got == {i: ("missing", "k3", "missing") if i == 3 else ("update", "n5", "ok") if i == 5 else ("skip", f"k{i}", "ok") for i in range(8)}
+    assert out._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 5  # known and read, for files and for moves, and re_anchor
