@@ -1,9 +1,11 @@
 """Calibration matching without pairs of frames.
 
-Frames with equal values in a rule's fields have one profile. Which profiles of lights and of candidates fit is a join of distinct profiles. A profile's time
-is divided into buckets that hold a few thousand of its candidates on average (one where it has few), and a light meets the candidates of its own
-bucket, the nearest few before and after it, which are carried over the buckets of a profile, and those without a date. The same is done within
-nights for rules that prefer the light's session. A light's number of candidates is the difference of two running counts, at both ends of the age limit.
+Frames with equal values in a rule's fields have one profile. Which profiles of lights and of candidates fit is a join of distinct profiles, one for all
+rules. Profiles of lights that are near one another are a block: a candidate goes to a block once, with the numbers of those of its profiles that it
+fits, and is repeated for them in the block's task only. A block's time is divided into buckets of about as many such repeats (one where it has few),
+and a light meets the candidates of its own bucket, the nearest few before and after it, which are carried over the buckets of a profile, and those
+without a date. The same is done within nights for rules that prefer the light's session. A light's number of candidates is the difference of two
+running counts, at both ends of the age limit; an end outside the times of a block's candidates is told from the profile alone.
 Lights and candidates meet by buckets dealt out to groups, where sorted arrays are merged at once for all lights; there are as many groups as the
 plan itself counts frames for, nothing is counted while a plan is built, and all rules go through one such merge. Keys of profiles are 64-bit hashes.
 
@@ -75,23 +77,28 @@ def _number(c: Column) -> Column:
     return F.when(d == F.floor(d), d.cast("long").cast("string")).otherwise(F.format_string("%.6g", d))
 
 
-def _condition(rule: Rule) -> tuple[list[Column], list[Column]]:
-    """Equalities for the join, and what remains to be checked. Columns of lights carry the prefix l_."""
-    equal, rest = [], []
+def _by_rule(values: list[Column | None]) -> Column:
+    """The value of the row's rule (r)."""
+    return reduce(lambda c, x: c if x[1] is None else c.when(F.col("r") == x[0], x[1]), enumerate(values), F.when(F.lit(False), None))
+
+
+def _rest(rule: Rule) -> Column:
+    """What equal keys leave to be checked. Columns of lights carry the prefix l_."""
+    rest = F.lit(True)
     for name, how in rule.spec.items():
         light, other = F.col(f"l_{name}"), F.col(name)
-        if how == "exact":
-            equal.append(light.eqNullSafe(other))
-        elif how == "null_ok":
-            rest.append(light.isNull() | other.isNull() | (light == other))
-        else:
-            rest.append(light.isNull() | (F.abs(other.cast("double") - light.cast("double")) <= how))
-    return equal, rest
+        if how == "null_ok":
+            rest &= light.isNull() | other.isNull() | (light == other)
+        elif how != "exact":
+            rest &= light.isNull() | (F.abs(other.cast("double") - light.cast("double")) <= how)
+    return F.coalesce(rest, F.lit(False))
 
 
 _SECOND, _DAY = 1_000_000, 86_400_000_000
-#: Candidates of a profile for each of its buckets, on average.
-BUCKET = 4000
+#: Lights, and candidates once for each profile that they fit, of a block for each of its buckets, on average.
+BUCKET = 100_000
+#: Tolerances that a block of profiles is wide.
+WIDE = 4
 #: Frames for each group of places that one call merges, on average.
 GROUP = 50_000
 #: The bucket of frames without a date.
@@ -107,70 +114,111 @@ def _profile(rule: Rule) -> Column:
     return F.to_json(F.struct(*rule.spec)) if rule.spec else F.lit("")
 
 
-def _keyed(df: DataFrame, rule: Rule, asks: bool) -> DataFrame:
-    """df with an equality column _k<field> for each field with a tolerance, a cell of its width: a light asks for three cells, or, without a
-    value, for the key that all candidates offer."""
-    for name, how in _tolerant(rule):
-        value = F.col(f"l_{name}") if asks else F.col(name)
-        cell, every = F.floor(value.cast("double") / (how or 1.0)), F.lit(None).cast("long")
-        keys = F.when(value.isNull(), F.array(every)).otherwise(F.sequence(cell - 1, cell + 1)) if asks else F.array_distinct(F.array(cell, every))
-        df = df.withColumn(f"_k{name}", F.explode(keys))
-    return df
-
-
 def _tolerant(rule: Rule) -> list[tuple[str, float]]:
     return [(n, how) for n, how in rule.spec.items() if not isinstance(how, str)]
 
 
-def _fitting(lights: DataFrame, others: DataFrame, rule: Rule) -> DataFrame:
-    """p, q: the profiles of lights and of candidates that fit; nq, t0, t1: the number of q's candidates, and their first and last moment."""
-    left = _keyed(lights.select("p", *(F.col(c).alias(f"l_{c}") for c in rule.spec)).distinct(), rule, True)
-    right = _keyed(others.groupBy("q", *rule.spec).agg(F.count("*").alias("nq"), F.min("us").alias("t0"), F.max("us").alias("t1")), rule, False)
-    equal, rest = _condition(rule)
-    keys = [left[f"_k{n}"].eqNullSafe(right[f"_k{n}"]) for n, _ in _tolerant(rule)]
-    return left.join(right, [*equal, *keys, *rest] or [F.lit(True)]).select("p", "q", "nq", "t0", "t1")
+def _cell(value: Column, width: float) -> Column:
+    return F.floor(value.cast("double") / (width or 1.0))
+
+
+def _block(rule: Rule, r: int) -> Column:
+    """The block of a light's profile: its exact values, and wide cells of those with a tolerance."""
+    parts = [F.col(n) if how == "exact" else _cell(F.col(n), WIDE * how).alias(n) for n, how in rule.spec.items() if how != "null_ok"]
+    return F.xxhash64(F.lit(r), F.to_json(F.struct(*parts)) if parts else F.lit(""))
+
+
+def _masked(df: DataFrame, rule: Rule, fields: list[str]) -> list[Column]:
+    """The rule's own fields; others are null."""
+    return [(F.col(n) if n in rule.spec else F.lit(None).cast(df.schema[n].dataType)).alias(n) for n in fields if n in df.columns]
+
+
+def _asking(jobs: list[tuple[Rule, DataFrame]], fields: list[str]) -> DataFrame:
+    """l_id, l_us, l_night, r, p (profile), k (its block) and the fields of each light under each rule; equal lights are read once for all their rules."""
+    shared = {}
+    for r, (rule, lights) in enumerate(jobs):
+        shared.setdefault(id(lights), (lights, []))[1].append((r, rule))
+    parts = []
+    for lights, mine in shared.values():
+        asks = F.array(*(F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), _profile(rule)).alias("p"), _block(rule, r).alias("k"), *_masked(lights, rule, fields)) for r, rule in mine))
+        parts.append(lights.select(F.col("frame_id").alias("l_id"), _micros(F.col("date_obs_utc")).alias("l_us"), F.unix_date(F.col("session_night").cast("date")).alias("l_night"), F.explode(asks).alias("_a")).select("l_id", "l_us", "l_night", "_a.*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _offering(frames: DataFrame, rules: tuple[Rule, ...], fields: list[str]) -> DataFrame:
+    """id, us, m, night, r, q (profile) and the fields of each candidate under each rule."""
+    kinds = [(F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target)) for rule in rules]
+    offers = F.array_compact(F.array(*(F.when(kind, F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), _profile(rule)).alias("q"), *_masked(frames, rule, fields))) for r, (rule, kind) in enumerate(zip(rules, kinds)))))
+    own = frames.where(reduce(Column.__or__, kinds)).select(F.col("frame_id").alias("id"), _micros(F.col("date_obs_utc")).alias("us"), (F.col("image_type") == "master").alias("m"), F.unix_date(F.col("session_night").cast("date")).alias("night"), F.explode(offers).alias("_o"))
+    return own.select("id", "us", "m", "night", "_o.*")
+
+
+def _fitting(asking: DataFrame, offering: DataFrame, rules: tuple[Rule, ...], fields: list[str]) -> DataFrame:
+    """p, q: the profiles of lights and of candidates that fit; c: p's number in its block k; bits: what p says of a match; dated: q's candidates with
+    a date; t0, t1, nb, width: the first and last moment of the block's candidates, the number and width of its buckets.
+
+    Exact values are keys. A field with a tolerance is a key by cells of its width: a light asks for three cells, or, without a value, for the key that
+    all candidates offer."""
+    own, every = Window.partitionBy("k"), F.array(F.lit(None).cast("long"))
+    ls = asking.groupBy("r", "p", "k", *fields).agg(F.count(F.lit(1)).alias("n"))
+    ls = ls.select("*", _by_rule([_bits(x) for x in rules]).alias("bits"), (F.row_number().over(own.orderBy("p")) - 1).alias("c"), F.sum("n").over(own).alias("lights"))
+    cs = offering.groupBy("r", "q", *fields).agg(F.count("us").alias("dated"), F.count_if(F.col("us").isNull()).alias("undated"), F.min("us").alias("t0"), F.max("us").alias("t1"))
+    for i in range(max(len(_tolerant(x)) for x in rules)):
+        mine = [(_tolerant(x)[i : i + 1] or [None])[0] for x in rules]
+        asked = [x and F.when(F.col(x[0]).isNotNull(), F.sequence(_cell(F.col(x[0]), x[1]) - 1, _cell(F.col(x[0]), x[1]) + 1)) for x in mine]
+        offered = [x and F.array_distinct(F.array(_cell(F.col(x[0]), x[1]), F.lit(None).cast("long"))) for x in mine]
+        ls, cs = ls.withColumn(f"_k{i}", F.explode(F.coalesce(_by_rule(asked), every))), cs.withColumn(f"_k{i}", F.explode(F.coalesce(_by_rule(offered), every)))
+    cells = [x for x in ls.columns if x.startswith("_k")]
+    exact = lambda n: _by_rule([F.col(n) if x.spec.get(n) == "exact" else None for x in rules]).alias(f"_e{n}")
+    equal = [n for n in fields if any(x.spec.get(n) == "exact" for x in rules)]
+    ls = ls.select("r", "p", "k", "c", "bits", "lights", *(F.col(n).alias(f"l_{n}") for n in fields), *cells, *(exact(n) for n in equal))
+    cs = cs.select(F.col("r").alias("_r"), "q", "dated", "undated", "t0", "t1", *fields, *cells, *(exact(n) for n in equal))
+    keys = [ls["r"] == cs["_r"], *(ls[x].eqNullSafe(cs[x]) for x in [*cells, *(f"_e{n}" for n in equal)])]
+    fit = ls.join(cs, [*keys, _by_rule([_rest(x) for x in rules])])
+    nb = F.greatest(F.lit(1), F.ceil((F.sum(F.col("dated") + F.col("undated")).over(own) + F.col("lights")) / BUCKET))
+    fit = fit.select("p", "q", "k", "c", "bits", "dated", F.min("t0").over(own).alias("t0"), F.max("t1").over(own).alias("t1"), nb.alias("nb"))
+    return fit.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.col("nb"))))
 
 
 def _bucket(us: Column) -> Column:
-    """The bucket of a moment by its profile's t0, width and nb; moments before and after all candidates have one bucket each."""
+    """The bucket of a moment by its block's t0, width and nb; moments before and after all candidates have one bucket each."""
     inside = F.least(F.greatest(F.floor((us - F.col("t0")) / F.col("width")), F.lit(-1)), F.col("nb"))
     return F.when(us.isNull(), F.lit(_UNDATED)).otherwise(F.coalesce(inside, F.lit(0))).cast("long")
 
 
-def _sides(frames: DataFrame, rule: Rule, r: int, lights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rule's asks (k, b, role, x, r, l_id, l_us, l_night, bits) and entries (k, b, us, id, m, night).
-
-    k is the profile's key, or that of a profile's night; a light asks for its nearest candidates (role near, for a session rule also night), and for
-    the counts below both ends of the age limit (low, high: x is the moment)."""
-    fields = list(dict.fromkeys(rule.spec))
-    left = lights.select(F.col("frame_id").alias("l_id"), _micros(F.col("date_obs_utc")).alias("l_us"), F.unix_date(F.col("session_night").cast("date")).alias("l_night"), *fields).withColumn("p", _profile(rule))
-    kind = (F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target))
-    right = frames.where(kind).select(F.col("frame_id").alias("id"), _micros(F.col("date_obs_utc")).alias("us"), (F.col("image_type") == "master").alias("m"), F.unix_date(F.col("session_night").cast("date")).alias("night"), *fields).withColumn("q", _profile(rule))
-    own = Window.partitionBy("p")
-    nb = F.greatest(F.lit(1), F.ceil(F.sum("nq").over(own) / BUCKET))
-    fit = _fitting(left, right, rule).select("p", "q", F.min("t0").over(own).alias("t0"), F.max("t1").over(own).alias("t1"), nb.alias("nb"))
-    fit = fit.select("p", "q", "t0", "nb", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.col("nb"))).alias("width"))
-    sizes = fit.groupBy("p").agg(*(F.max(c).alias(c) for c in ("t0", "nb", "width")))  # within the window's partitions
-    k = F.xxhash64(F.lit(r), "p")
-    of_night = lambda night: F.xxhash64(F.lit(r), F.col("p"), F.lit("night"), night)
-    entries = right.select("id", "us", "m", "night", "q").join(fit, "q").withColumn("b", _bucket(F.col("us")))
-    keys = F.array(k, of_night(F.col("night"))) if rule.prefer_same_session else F.array(k)
-    entries = entries.select(F.explode(F.when(F.col("night").isNull(), F.array(k)).otherwise(keys)).alias("k"), "b", "us", "id", "m", "night")
-    role = lambda name, key, x, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("role"), key.alias("k"), x.cast("long").alias("x"), _bucket(x).alias("b")))
+def _sides(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """All rules' asks (k, c, b, role, x, base, r, l_id, l_us, l_night, bits) and entries (k, b, us, id, m, night, ps).
+
+    k is the block's key, or that of a block's night, c a light's profile and ps those that a candidate fits. A light asks for its nearest candidates
+    (role near, for a session rule also night), and for the counts below both ends of the age limit (low, high: x is the moment) where candidates of its
+    block lie on both sides of them; base is what the other ends add to the light's count."""
+    rules = tuple(rule for rule, _ in jobs)
+    fields = list(dict.fromkeys(n for x in rules for n in x.spec))
+    asking, offering = _asking(jobs, fields), _offering(frames, rules, fields)
+    fit = _fitting(asking, offering, rules, fields)
+    of_night = lambda night: F.xxhash64(F.col("k"), F.lit("night"), night)
+    session = F.col("r").isin([r for r, x in enumerate(rules) if x.prefer_same_session])
+    of_q = fit.groupBy("q", "k", "t0", "nb", "width").agg(F.collect_list("c").alias("ps"))
+    entries = offering.select("id", "us", "m", "night", "r", "q").join(of_q, "q").withColumn("b", _bucket(F.col("us")))
+    keys = F.when(session & F.col("night").isNotNull(), F.array("k", of_night(F.col("night")))).otherwise(F.array("k"))
+    entries = entries.select(F.explode(keys).alias("k"), "b", "us", "id", "m", "night", "ps")
+    of_p = fit.groupBy("p", "c", "bits", "t0", "t1", "nb", "width").agg(F.sum("dated").alias("dated"))
     at = F.col("l_us")
-    roles = [role("near", k, at)]
-    if rule.prefer_same_session:
-        roles.append(role("night", of_night(F.col("l_night")), at, F.col("l_night").isNotNull()))
-    if rule.max_age_days is not None:
-        reach = (rule.max_age_days + 1) * _DAY  # whole days count, so the limit ends a day later
-        roles += [role("low", k, at - reach + 1, at.isNotNull()), role("high", k, at + reach, at.isNotNull())]
-    asks = left.withColumn("bits", _bits(rule)).join(sizes, "p", "left").select("l_id", "l_us", "l_night", "bits", F.explode(F.array_compact(F.array(*roles))).alias("_a"))
-    return asks.select(F.col("_a.k").alias("k"), F.col("_a.b").alias("b"), F.col("_a.role").alias("role"), F.col("_a.x").alias("x"), F.lit(r).alias("r"), "l_id", "l_us", "l_night", "bits"), entries
+    reach = _by_rule([None if x.max_age_days is None else F.lit((x.max_age_days + 1) * _DAY) for x in rules])  # whole days count, so the limit ends a day later
+    low, high = at - reach + 1, at + reach
+    within = lambda x: (x > F.col("t0")) & (x <= F.col("t1"))
+    beyond = lambda x: F.when(x > F.col("t1"), F.col("dated")).otherwise(F.lit(0))
+    role = lambda name, key, x, when: F.when(when, F.struct(F.lit(name).alias("role"), key.alias("k"), x.cast("long").alias("x"), _bucket(x).alias("b")))
+    k, fits = F.col("k"), F.col("c").isNotNull()
+    roles = [role("near", k, at, F.lit(True)), role("night", of_night(F.col("l_night")), at, fits & session & F.col("l_night").isNotNull()), role("low", k, low, within(low)), role("high", k, high, within(high))]
+    asks = asking.select("r", "p", "k", "l_id", "l_us", "l_night").join(of_p, "p", "left")
+    asks = asks.select("r", F.coalesce("c", F.lit(-1)).alias("c"), "l_id", "l_us", "l_night", "bits", (beyond(high) - beyond(low)).alias("base"), F.explode(F.array_compact(F.array(*roles))).alias("_a"))
+    return asks.select(F.col("_a.k").alias("k"), "c", F.col("_a.b").alias("b"), F.col("_a.role").alias("role"), F.col("_a.x").alias("x"), "base", "r", "l_id", "l_us", "l_night", "bits"), entries
 
 
 # -- arrays of a partition: rows of many profiles and buckets at once
 
-_CARRIED = "k long, b long, what string, us long, id long, m boolean, night int, n long, every long, undated long"
+_CARRIED = "k long, c int, b long, what string, us long, id long, m boolean, night int, n long, every long, undated long"
 
 
 def _place(k: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,6 +228,11 @@ def _place(k: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _key(k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The key of a profile in a block, or in a block's night."""
+    return _place(k, c.astype(np.int64)).view(np.int64)
+
+
 def _bound(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, after: bool) -> np.ndarray:
     """For each span lo..hi of sorted values, where x belongs: before its equals, or after them."""
     lo, hi = lo.copy(), hi.copy()
@@ -208,11 +261,11 @@ def _nth(*keys: np.ndarray) -> np.ndarray:
 
 
 class _Pool:
-    """Dated entries sorted by place, kind and moment; of equal moments the `limit` smallest ids."""
+    """Dated entries sorted by place, kind and moment; of equal moments the `limit` smallest ids. They come sorted by moment and id."""
 
     def __init__(self, place, m, us, id_, night, limit):
         group = place ^ (m.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        order = np.lexsort((id_, us, group))
+        order = np.argsort(group, kind="stable")
         order = order[_nth(group[order], us[order]) < limit]
         self.group, self.us, self.id, self.m, self.night, self.limit = group[order], us[order], id_[order], m[order], night[order], limit
 
@@ -250,8 +303,20 @@ def _entry_columns(t: pa.Table) -> tuple:
     return k, b, us, id_, m, pc.fill_null(t.column("night"), _NO_NIGHT).to_numpy()
 
 
+def _offers(t: pa.Table) -> tuple:
+    """The columns of entries, the numbers of the profiles that they fit, and where each entry's begin and how many it has."""
+    size = pc.list_value_length(t.column("ps")).to_numpy().astype(np.int64)
+    return *_entry_columns(t), pc.list_flatten(t.column("ps")).to_numpy(), np.cumsum(size) - size, size
+
+
+def _repeated(order: np.ndarray, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in an order, each as often as it fits a profile, and the profile's number."""
+    i, of = _spans(starts[order], starts[order] + size[order])
+    return order[of], codes[i]
+
+
 def _rows(schema: list[str], **columns) -> pa.Table:
-    kinds = {"what": pa.string(), "m": pa.bool_(), "night": pa.int32()}
+    kinds = {"what": pa.string(), "m": pa.bool_(), "night": pa.int32(), "c": pa.int32()}
     n = len(next(iter(columns.values())))
     return pa.table({c: pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in schema})
 
@@ -260,31 +325,34 @@ _CARRIED_NAMES = [c.split()[0] for c in _CARRIED.split(", ")]
 
 
 def _summary(limit: int):
-    """Of each place: its number of entries, the first and last few by time, the few with the smallest ids."""
+    """Of each place and profile: its number of entries, the first and last few by time, the few with the smallest ids."""
 
     def work(t: pa.Table) -> pa.Table:
-        k, b, us, id_, m, night = _entry_columns(t)
-        place = _place(k, b)
-        order = np.lexsort((us, id_, m, place))
-        ids = order[_nth(place[order], m[order]) < limit]
-        first = np.flatnonzero(_nth(np.sort(place)) == 0)
-        one = np.argsort(place, kind="stable")[first]
+        k, b, us, id_, m, night, *fits = _offers(t)
+        row, c = _repeated(np.lexsort((us, id_, m)), *fits)
+        place = _place(_key(k[row], c), b[row])
+        order = np.argsort(place, kind="stable")
+        row, c, place = row[order], c[order], place[order]
+        few = np.flatnonzero(_nth(place, m[row]) < limit)
+        first = np.flatnonzero(_nth(place) == 0)
         n = np.diff(np.append(first, len(place)))
-        dated = np.flatnonzero(b != _UNDATED)
-        pool = _Pool(place[dated], m[dated], us[dated], id_[dated], night[dated], limit)
+        one, ids = row[first], row[few]
+        some = np.lexsort((id_, us))
+        e, ec = _repeated(some[b[some] != _UNDATED], *fits)
+        pool = _Pool(_place(_key(k[e], ec), b[e]), m[e], us[e], id_[e], night[e], limit)
         # the ends of each place: nearest after the beginning of time and before its end
-        places, at = np.unique(place[dated], return_index=True)
+        dated = first[b[one] != _UNDATED]
         edge = []
         for kind in (False, True):
             for x, sides in ((-(1 << 60), (False, True)), (1 << 60, (True, False))):
-                i, of = pool.near(places, kind, np.full(len(places), x), sides)
-                edge.append((dated[at][of], i))
+                i, of = pool.near(place[dated], kind, np.full(len(dated), x), sides)
+                edge.append((dated[of], i))
         i, once = np.unique(np.concatenate([j for _, j in edge]), return_index=True)  # a small place has the same entries at both ends
         whose = np.concatenate([w for w, _ in edge])[once]
         return pa.concat_tables([
-            _rows(_CARRIED_NAMES, k=k[one], b=b[one], what=["count"] * len(one), n=n),
-            _rows(_CARRIED_NAMES, k=k[whose], b=b[whose], what=["edge"] * len(i), us=pool.us[i], id=pool.id[i], m=pool.m[i], night=pool.night[i]),
-            _rows(_CARRIED_NAMES, k=k[ids], b=b[ids], what=["id"] * len(ids), us=us[ids], id=id_[ids], m=m[ids], night=night[ids]),
+            _rows(_CARRIED_NAMES, k=k[one], c=c[first], b=b[one], what=["count"] * len(one), n=n),
+            _rows(_CARRIED_NAMES, k=k[row[whose]], c=c[whose], b=b[row[whose]], what=["edge"] * len(i), us=pool.us[i], id=pool.id[i], m=pool.m[i], night=pool.night[i]),
+            _rows(_CARRIED_NAMES, k=k[ids], c=c[few], b=b[ids], what=["id"] * len(ids), us=us[ids], id=id_[ids], m=m[ids], night=night[ids]),
         ])
 
     return work
@@ -296,8 +364,9 @@ def _carry(limit: int):
 
     def work(t: pa.Table) -> pa.Table:
         is_near, is_end, is_count, is_edge, is_id = _flags(t.column("what"), "near", "end", "count", "edge", "id")
-        k, b, us, id_, m, night = _entry_columns(t)
-        n = _numpy(t, "n")[0]
+        block, b, us, id_, m, night = _entry_columns(t)
+        number, n = _numpy(t, "c", "n")
+        k = _key(block, number)
         asked = np.flatnonzero(is_near | is_end)
         c = np.flatnonzero(is_count)
         c = c[np.lexsort((b[c], k[c]))]
@@ -306,10 +375,10 @@ def _carry(limit: int):
         at = _bound(b[c], lo, hi, b[asked], False)
         without = undated[hi] - undated[lo]
         before = np.where(b[asked] == _UNDATED, 0, total[at] - total[lo] - without)
-        out = [_rows(_CARRIED_NAMES, k=k[asked], b=b[asked], what=["count"] * len(asked), n=before, every=total[hi] - total[lo], undated=without)]
+        out = [_rows(_CARRIED_NAMES, k=block[asked], c=number[asked], b=b[asked], what=["count"] * len(asked), n=before, every=total[hi] - total[lo], undated=without)]
 
         def take(of: np.ndarray, i: np.ndarray, name: str) -> None:
-            out.append(_rows(_CARRIED_NAMES, k=k[of], b=b[of], what=[name] * len(i), us=us[i], id=id_[i], m=m[i], night=night[i]))
+            out.append(_rows(_CARRIED_NAMES, k=block[of], c=number[of], b=b[of], what=[name] * len(i), us=us[i], id=id_[i], m=m[i], night=night[i]))
 
         near, e = np.flatnonzero(is_near), np.flatnonzero(is_edge)
         for kind in (False, True):
@@ -333,7 +402,7 @@ def _carry(limit: int):
                 i, of = _spans(np.searchsorted(k[mine], k[some]), np.searchsorted(k[mine], k[some], "right"))
                 take(some[of], mine[i], "free")
                 if some is not dated:  # of all entries: those with a date keep it
-                    out[-1] = out[-1].set_column(2, "what", pa.array(np.where(b[mine[i]] == _UNDATED, "free", "with date"), pa.string()))
+                    out[-1] = out[-1].set_column(_CARRIED_NAMES.index("what"), "what", pa.array(np.where(b[mine[i]] == _UNDATED, "free", "with date"), pa.string()))
         return pa.concat_tables(out)
 
     return work
@@ -351,24 +420,34 @@ def _merge(rules: tuple[Rule, ...], limit: int):
         low, high, for_near, for_night = _flags(asks.column("role"), "low", "high", "near", "night")
         is_ask, is_count, is_dated, is_free, with_date = _flags(asks.column("what"), "ask", "count", "dated", "free", "with date")
         k, b, us, id_, m, night = _entry_columns(asks)
-        x, r, before, every, undated = _numpy(asks, "x", "r", "n", "every", "undated")
+        number, x, base, r, before, every, undated = _numpy(asks, "c", "x", "base", "r", "n", "every", "undated")
         l_us, l_night, no_date = _numpy(asks, "l_us")[0], pc.fill_null(asks.column("l_night"), _NO_NIGHT - 1).to_numpy(), pc.is_null(asks.column("l_us")).to_numpy()
-        place = _place(k, b)
-        ek, eb, eus, eid, em, enight = _entry_columns(entries)
-        eplace, dated = _place(ek, eb), eb != _UNDATED
+        place = _place(_key(k, number), b)
+        ek, eb, eus, eid, em, enight, *fits = _offers(entries)
         # counts
         ask, counts = np.flatnonzero(is_ask), np.flatnonzero(is_count)
         counts = counts[np.argsort(place[counts], kind="stable")]
         mine = counts[np.searchsorted(place[counts], place[ask])] if len(counts) else np.zeros(0, np.int64)
-        order = np.lexsort((eus, eplace))
-        order = order[dated[order]]
-        inside = _bound(eus[order], np.searchsorted(eplace[order], place[ask]), np.searchsorted(eplace[order], place[ask], "right"), x[ask], False) - np.searchsorted(eplace[order], place[ask])
+        inside, ends = np.zeros(len(ask), np.int64), np.flatnonzero(low[ask] | high[ask])
+        if len(ends):
+            e = np.argsort(eus, kind="stable")
+            e, c = _repeated(e[eb[e] != _UNDATED], *fits)
+            eplace = _place(_key(ek[e], c), eb[e])
+            order = np.argsort(eplace, kind="stable")
+            moments, eplace, q = eus[e[order]], eplace[order], place[ask[ends]]
+            start = np.searchsorted(eplace, q)
+            inside[ends] = _bound(moments, start, np.searchsorted(eplace, q, "right"), x[ask[ends]], False) - start
         below = before[mine] + inside
         free = np.where((reach[r[ask]] < 0) | no_date[ask], every[mine], undated[mine])
-        cnt = np.select([low[ask], high[ask], for_near[ask]], [-below, below, free], 0)
+        cnt = np.select([low[ask], high[ask], for_near[ask]], [-below, below, free + base[ask]], 0)
         # the nearest
-        c = np.flatnonzero(is_dated)
-        pool = _Pool(np.concatenate([eplace[dated], place[c]]), np.concatenate([em[dated], m[c]]), np.concatenate([eus[dated], us[c]]), np.concatenate([eid[dated], id_[c]]), np.concatenate([enight[dated], night[c]]), limit)
+        c, codes, starts, size = np.flatnonzero(is_dated), *fits
+        every_us, every_id = np.concatenate([eus, us[c]]), np.concatenate([eid, id_[c]])
+        o = np.lexsort((every_id, every_us))
+        o = o[np.concatenate([eb != _UNDATED, np.ones(len(c), bool)])[o]]
+        e, of = _repeated(o, np.concatenate([codes, number[c]]), np.concatenate([starts, len(codes) + np.arange(len(c))]), np.concatenate([size, np.ones(len(c), np.int64)]))
+        at = _place(_key(np.concatenate([ek, k[c]])[e], of), np.concatenate([eb, b[c]])[e])
+        pool = _Pool(at, np.concatenate([em, m[c]])[e], every_us[e], every_id[e], np.concatenate([enight, night[c]])[e], limit)
         near = ask[for_near[ask] | for_night[ask]]
         lights = near[~no_date[near]]
         found = []
@@ -420,8 +499,7 @@ def _groups(frames: DataFrame) -> DataFrame:
 def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int) -> DataFrame:
     """r (the rule's place in jobs), light, candidate and cnt of all rules' lights, through one merge; rows without a candidate carry counts only."""
     rules = tuple(rule for rule, _ in jobs)
-    sides = [_sides(frames, rule, r, lights) for r, (rule, lights) in enumerate(jobs)]
-    asks, entries = (reduce(DataFrame.unionByName, side) for side in zip(*sides))
+    asks, entries = _sides(frames, jobs)
     # tasks as many as explicit exchanges give, which adaptive execution doesn't make fewer; groups as many as frames ask for, so that one stays small
     tasks = _tasks(frames)
     groups = F.broadcast(_groups(frames))
@@ -429,9 +507,9 @@ def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int) -
     part = lambda *keys: F.pmod(F.xxhash64(*keys), F.col("groups")).alias("part")
     dealt = lambda df, *keys: df.select(part(*keys), *(c for c in df.columns if c != "groups")).repartition(tasks, "part")
     carried_columns = [*_CARRIED_NAMES, "groups"]
-    entries = dealt(entries.select("groups", "k", "b", "us", "id", "m", "night"), "k", "b")
+    entries = dealt(entries.select("groups", "k", "b", "us", "id", "m", "night", "ps"), "k", "b")
     summary = entries.groupBy("part").applyInArrow(_summary(limit), _CARRIED).crossJoin(groups)
-    asked = asks.groupBy("k", "b", "groups").agg(F.max(F.col("role").isin("near", "night")).alias("_near")).select("groups", "k", "b", F.when(F.col("_near"), "near").otherwise("end").alias("what"))
+    asked = asks.groupBy("k", "c", "b", "groups").agg(F.max(F.col("role").isin("near", "night")).alias("_near")).select("groups", "k", "c", "b", F.when(F.col("_near"), "near").otherwise("end").alias("what"))
     carried = dealt(summary.unionByName(asked, allowMissingColumns=True).select(carried_columns), "k").groupBy("part").applyInArrow(_carry(limit), _CARRIED).crossJoin(groups)
     left = dealt(asks.withColumn("what", F.lit("ask")).unionByName(carried, allowMissingColumns=True), "k", "b")
     return left.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_merge(rules, limit), _BEST)

@@ -325,6 +325,23 @@ def test_matching_groups_grow_with_frames(spark, monkeypatch):
     assert sum("RepartitionByExpression" in x and x.rstrip().endswith(", 16") for x in plan) >= 4
 
 
+def test_candidates_are_repeated_in_tasks_only(spark):
+    """A candidate goes to a block of profiles once, with those that it fits; all rules read the frames together, and moments outside a block's times ask nothing."""
+    kind = "element_at(array('light', 'dark', 'master', 'flat', 'bias'), cast(id % 5 + 1 as int)) as image_type"
+    frames = spark.range(5000).selectExpr(
+        "id as frame_id", kind, "'dark' as master_of", "timestamp_ntz '2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as date_obs_utc", "date '2025-01-01' as session_night",
+        "1 as camera_id", "1 as rig_id", "cast(null as int) as filter_id", "if(id % 5 = 2, null, 100) as gain", "50 as offset_adu", "1 as binx", "1 as biny", "cast(null as string) as readout_mode", "-10 as set_temp_c", "id % 97 as exposure_s", "id % 31 as rotator_deg",
+    )
+    lights = frames.where("image_type = 'light'")
+    asks, entries = match._sides(frames, [(match.DEFAULT_RULES[0], lights)])
+    got = entries.selectExpr("count(*) as n", "sum(size(ps)) as fits", "count(distinct id) as ids").first()
+    want = frames.where("image_type in ('dark', 'master')").select(F.col("exposure_s").alias("x")).join(lights.select("exposure_s").distinct(), F.abs(F.col("exposure_s") - F.col("x")) <= 5).count()
+    assert (got.ids, got.fits) == (2000, want) and got.n < 2 * got.ids < got.fits / 5
+    assert asks.count() == asks.where("role = 'near'").count() == lights.count()
+    plan = match.match_all(frames, limit=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") <= 8
+
+
 def test_detail_in_as_many_tasks_as_asked_for(spark):
     """The tables of many frames meet in four times the tasks of a shuffle; those of a few broadcast ones as they are read."""
     from skyquarry.operators import views
