@@ -109,9 +109,9 @@ def _micros(c: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
-def _profile(rule: Rule) -> Column:
-    """One text for equal values of the rule's fields."""
-    return F.to_json(F.struct(*rule.spec)) if rule.spec else F.lit("")
+def _profile(rule: Rule, r: int) -> Column:
+    """One number for equal values of the rule's fields."""
+    return F.xxhash64(F.lit(r), *(c for n in rule.spec for c in (F.col(n), F.col(n).isNull())))
 
 
 def _tolerant(rule: Rule) -> list[tuple[str, float]]:
@@ -134,13 +134,13 @@ def _masked(df: DataFrame, rule: Rule, fields: list[str]) -> list[Column]:
 
 
 def _asking(jobs: list[tuple[Rule, DataFrame]], fields: list[str]) -> DataFrame:
-    """l_id, l_us, l_night, r, p (profile), k (its block) and the fields of each light under each rule; equal lights are read once for all their rules."""
+    """l_id, l_us, l_night, r, p (profile) and the fields of each light under each rule; equal lights are read once for all their rules."""
     shared = {}
     for r, (rule, lights) in enumerate(jobs):
         shared.setdefault(id(lights), (lights, []))[1].append((r, rule))
     parts = []
     for lights, mine in shared.values():
-        asks = F.array(*(F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), _profile(rule)).alias("p"), _block(rule, r).alias("k"), *_masked(lights, rule, fields)) for r, rule in mine))
+        asks = F.array(*(F.struct(F.lit(r).alias("r"), _profile(rule, r).alias("p"), *_masked(lights, rule, fields)) for r, rule in mine))
         parts.append(lights.select(F.col("frame_id").alias("l_id"), _micros(F.col("date_obs_utc")).alias("l_us"), F.unix_date(F.col("session_night").cast("date")).alias("l_night"), F.explode(asks).alias("_a")).select("l_id", "l_us", "l_night", "_a.*"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -148,7 +148,7 @@ def _asking(jobs: list[tuple[Rule, DataFrame]], fields: list[str]) -> DataFrame:
 def _offering(frames: DataFrame, rules: tuple[Rule, ...], fields: list[str]) -> DataFrame:
     """id, us, m, night, r, q (profile) and the fields of each candidate under each rule."""
     kinds = [(F.col("image_type") == rule.target) | ((F.col("image_type") == "master") & (F.col("master_of") == rule.target)) for rule in rules]
-    offers = F.array_compact(F.array(*(F.when(kind, F.struct(F.lit(r).alias("r"), F.xxhash64(F.lit(r), _profile(rule)).alias("q"), *_masked(frames, rule, fields))) for r, (rule, kind) in enumerate(zip(rules, kinds)))))
+    offers = F.array_compact(F.array(*(F.when(kind, F.struct(F.lit(r).alias("r"), _profile(rule, r).alias("q"), *_masked(frames, rule, fields))) for r, (rule, kind) in enumerate(zip(rules, kinds)))))
     own = frames.where(reduce(Column.__or__, kinds)).select(F.col("frame_id").alias("id"), _micros(F.col("date_obs_utc")).alias("us"), (F.col("image_type") == "master").alias("m"), F.unix_date(F.col("session_night").cast("date")).alias("night"), F.explode(offers).alias("_o"))
     return own.select("id", "us", "m", "night", "_o.*")
 
@@ -160,7 +160,7 @@ def _fitting(asking: DataFrame, offering: DataFrame, rules: tuple[Rule, ...], fi
     Exact values are keys. A field with a tolerance is a key by cells of its width: a light asks for three cells, or, without a value, for the key that
     all candidates offer."""
     own, every = Window.partitionBy("k"), F.array(F.lit(None).cast("long"))
-    ls = asking.groupBy("r", "p", "k", *fields).agg(F.count(F.lit(1)).alias("n"))
+    ls = asking.groupBy("r", "p", *fields).agg(F.count(F.lit(1)).alias("n")).withColumn("k", _by_rule([_block(x, r) for r, x in enumerate(rules)]))
     ls = ls.select("*", _by_rule([_bits(x) for x in rules]).alias("bits"), (F.row_number().over(own.orderBy("p")) - 1).alias("c"), F.sum("n").over(own).alias("lights"))
     cs = offering.groupBy("r", "q", *fields).agg(F.count("us").alias("dated"), F.count_if(F.col("us").isNull()).alias("undated"), F.min("us").alias("t0"), F.max("us").alias("t1"))
     for i in range(max(len(_tolerant(x)) for x in rules)):
@@ -186,12 +186,13 @@ def _bucket(us: Column) -> Column:
     return F.when(us.isNull(), F.lit(_UNDATED)).otherwise(F.coalesce(inside, F.lit(0))).cast("long")
 
 
-def _sides(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def _sides(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], every: bool = False) -> tuple[DataFrame, DataFrame]:
     """All rules' asks (k, c, b, role, x, base, r, l_id, l_us, l_night, bits) and entries (k, b, us, id, m, night, ps).
 
     k is the block's key, or that of a block's night, c a light's profile and ps those that a candidate fits. A light asks for its nearest candidates
     (role near, for a session rule also night), and for the counts below both ends of the age limit (low, high: x is the moment) where candidates of its
-    block lie on both sides of them; base is what the other ends add to the light's count."""
+    block lie on both sides of them; base is what the other ends add to the light's count. every: with lights whose profile no
+    candidate fits, which else ask nothing."""
     rules = tuple(rule for rule, _ in jobs)
     fields = list(dict.fromkeys(n for x in rules for n in x.spec))
     asking, offering = _asking(jobs, fields), _offering(frames, rules, fields)
@@ -202,16 +203,16 @@ def _sides(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]]) -> tuple[DataF
     entries = offering.select("id", "us", "m", "night", "r", "q").join(of_q, "q").withColumn("b", _bucket(F.col("us")))
     keys = F.when(session & F.col("night").isNotNull(), F.array("k", of_night(F.col("night")))).otherwise(F.array("k"))
     entries = entries.select(F.explode(keys).alias("k"), "b", "us", "id", "m", "night", "ps")
-    of_p = fit.groupBy("p", "c", "bits", "t0", "t1", "nb", "width").agg(F.sum("dated").alias("dated"))
+    of_p = fit.groupBy("p", "k", "c", "bits", "t0", "t1", "nb", "width").agg(F.sum("dated").alias("dated"))
     at = F.col("l_us")
     reach = _by_rule([None if x.max_age_days is None else F.lit((x.max_age_days + 1) * _DAY) for x in rules])  # whole days count, so the limit ends a day later
     low, high = at - reach + 1, at + reach
     within = lambda x: (x > F.col("t0")) & (x <= F.col("t1"))
     beyond = lambda x: F.when(x > F.col("t1"), F.col("dated")).otherwise(F.lit(0))
     role = lambda name, key, x, when: F.when(when, F.struct(F.lit(name).alias("role"), key.alias("k"), x.cast("long").alias("x"), _bucket(x).alias("b")))
-    k, fits = F.col("k"), F.col("c").isNotNull()
+    k, fits = F.coalesce("k", "p"), F.col("k").isNotNull()
     roles = [role("near", k, at, F.lit(True)), role("night", of_night(F.col("l_night")), at, fits & session & F.col("l_night").isNotNull()), role("low", k, low, within(low)), role("high", k, high, within(high))]
-    asks = asking.select("r", "p", "k", "l_id", "l_us", "l_night").join(of_p, "p", "left")
+    asks = asking.select("r", "p", "l_id", "l_us", "l_night").join(of_p, "p", "left" if every else "inner")
     asks = asks.select("r", F.coalesce("c", F.lit(-1)).alias("c"), "l_id", "l_us", "l_night", "bits", (beyond(high) - beyond(low)).alias("base"), F.explode(F.array_compact(F.array(*roles))).alias("_a"))
     return asks.select(F.col("_a.k").alias("k"), "c", F.col("_a.b").alias("b"), F.col("_a.role").alias("role"), F.col("_a.x").alias("x"), "base", "r", "l_id", "l_us", "l_night", "bits"), entries
 
@@ -473,12 +474,15 @@ def _merge(rules: tuple[Rule, ...], limit: int):
         rank = _nth(light[keep], first[order], seconds[order] < 0)
         keep = keep[rank < limit]
         kept = light[keep]
-        both_rows = np.concatenate([ask, kept])
-        plain = asks.select(["r", "l_id", "l_us", "l_night", "bits"]).take(pa.array(both_rows))
-        pad = lambda values, kind, gone=None: pa.concat_arrays([pa.nulls(len(ask), kind), pa.array(values, kind, mask=gone)])
+        # a count goes with the ask's first candidate; alone where there is none
+        counted, found = np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+        counted[ask], found[kept] = cnt, True
+        alone = ask[~found[ask] & (for_near[ask] | (cnt != 0))]
+        plain = asks.select(["r", "l_id", "l_us", "l_night", "bits"]).take(pa.array(np.concatenate([alone, kept])))
+        pad = lambda values, kind, gone=None: pa.concat_arrays([pa.nulls(len(alone), kind), pa.array(values, kind, mask=gone)])
         columns = {
             "id": pad(f_id[keep], pa.int64()), "m": pad(f_m[keep], pa.bool_()), "us": pad(f_us[keep], pa.int64(), ~f_dated[keep]), "night": pad(f_night[keep], pa.int32(), f_night[keep] == _NO_NIGHT),
-            "cnt": pa.array(np.concatenate([cnt, np.zeros(len(keep), np.int64)]), pa.int64()),
+            "cnt": pa.array(np.concatenate([counted[alone], np.where(_nth(kept) == 0, counted[kept], 0)]), pa.int64()),
         }
         for name, values in columns.items():
             plain = plain.append_column(name, values)
@@ -496,10 +500,11 @@ def _groups(frames: DataFrame) -> DataFrame:
     return frames.agg(F.greatest(F.lit(_tasks(frames)), F.ceil(F.count(F.lit(1)) / GROUP)).alias("groups"))
 
 
-def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int) -> DataFrame:
-    """r (the rule's place in jobs), light, candidate and cnt of all rules' lights, through one merge; rows without a candidate carry counts only."""
+def _merged(frames: DataFrame, jobs: list[tuple[Rule, DataFrame]], limit: int, every: bool = False) -> DataFrame:
+    """r (the rule's place in jobs), light, candidate and cnt of all rules' lights, through one merge; rows without a candidate carry counts only. every: with lights
+    that no candidate fits."""
     rules = tuple(rule for rule, _ in jobs)
-    asks, entries = _sides(frames, jobs)
+    asks, entries = _sides(frames, jobs, every)
     # tasks as many as explicit exchanges give, which adaptive execution doesn't make fewer; groups as many as frames ask for, so that one stays small
     tasks = _tasks(frames)
     groups = F.broadcast(_groups(frames))
@@ -626,7 +631,7 @@ def warnings(frames: DataFrame, rule: Rule, sets: DataFrame | None = None) -> Da
     free = lights if sets is None else lights.join(sets.select(F.col("light_id").alias("frame_id")), "frame_id", "left_anti")
     total = F.col("total")
     text = F.when(total == 0, F.lit(f"no matching {rule.target} frames found")).when(total < rule.min_frames, F.concat(F.lit("only "), total.cast("string"), F.lit(f" {rule.target} frames (rule suggests at least {rule.min_frames})")))
-    counted = _merged(frames, [(rule, free)], 1).groupBy("l_id").agg(F.sum("cnt").alias("total"))
+    counted = _merged(frames, [(rule, free)], 1, True).groupBy("l_id").agg(F.sum("cnt").alias("total"))
     out = counted.select(F.col("l_id").alias("light_id"), "total", text.alias("warning"))
     if sets is None:
         return out
