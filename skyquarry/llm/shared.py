@@ -110,13 +110,13 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return to_the_end
 
 
-def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], column: str = "text", finish: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow over slices; `work` yields dicts of columns for one slice, `finish` runs at the end of a task (workers outlive their tasks)."""
+def map_slices(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict]], column: str = "text", finish: Callable[[], None] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of `limit` bytes; `work` yields dicts of columns for one slice, `finish` runs at the end of a task (workers outlive their tasks)."""
     names = [f.name for f in _parsed(df.sparkSession, schema)]
 
     def run(batches):
         try:
-            for part in slices(batches, column):
+            for part in slices(batches, column, limit):
                 for out in work(part):
                     yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names)
         finally:

@@ -507,3 +507,29 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, "/root/testdata/sf0.001")
         assert kept.columns == docs.columns and stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_pieces_of_many_words(spark):
+    """Words, ids and decoded texts stay in arrays: odd texts beside slices without words, and nothing in Python for each distinct word."""
+    import sys
+
+    import sentencepiece
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Merger.of(pieces.Vocabulary.read(MODEL))
+    rnd = random.Random(2)
+    odd = [None, "", " ", "▁", " ▁ x", "\n", "x" * 64 + " " + "x" * 65, "ab  ▁c ", "é①\n" * 30, "\0", "", "😀 " * 40, "end\n", " <0x0A></s>", None]
+    rows_ = [(i, t) for i, t in enumerate(odd)] + [(100 + i, None) for i in range(3)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    got, ids = rows(pieces.digest(docs, MODEL)), rows(pieces.encode(docs, MODEL))
+    for i, t in rows_:
+        want = [*sp.encode(t or ""), 2]
+        assert ids[i].ids == want and got[i].n_tokens == len(want)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(sp.decode(want).encode()).hexdigest()
+    none = m.encode_texts(["", ""])
+    assert none == [[], []]
+    words = sorted({"▁" + "".join(rnd.choice("eaoin") + rnd.choice(["th", "n", "r", "st", "ch"]) for _ in range(rnd.randint(2, 6))) for _ in range(30_000)})
+    assert m.encode_words(words[:3000]) == [m._agenda(w) for w in words[:3000]]
+    text = " ".join(w[1:] for w in words)
+    before = sys.getallocatedblocks()
+    assert len(m.encode_texts([text])[0]) == len(words)
+    assert sys.getallocatedblocks() - before < len(words) / 4  # what is kept for the next slice has no object for each word
