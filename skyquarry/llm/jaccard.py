@@ -141,36 +141,57 @@ def common_of(texts: list[str], k: int, least: int = COMMON_LEAST, most: int = C
 
 def keys(s: np.ndarray, num: int, den: int, common: np.ndarray = _NO_COMMON) -> np.ndarray:
     """The keys of a set, in all bands where it can meet a partner."""
-    n, out, whole_set = len(s), [], s
-    rare = s
-    if len(common) and n:
-        rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
-    least = -(-n * num // den)
+    return key_lists([s], num, den, common).values.to_numpy()
+
+
+def key_lists(sets: list[np.ndarray], num: int, den: int, common: np.ndarray = _NO_COMMON) -> pa.ListArray:
+    """The distinct keys of each set; the sets of a slice are cut into segments together."""
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate([*sets, _NO_COMMON]), np.repeat(np.arange(len(sets)), n)
+    rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat if len(common) else np.ones(len(flat), bool)
+    parts = B.mix(flat * B.FNV_PRIME + np.uint64(0x1D8E4E27C47D124F))
+    least, most = -(-n * num // den), int(n.max(initial=0))
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for number, band in enumerate(bands(num, den)):
-        if band.low > n:
+        if band.low > most:
             break
-        if band.high < least or not band.errors:
+        asked = (band.low <= n) & (band.high >= least)
+        if not band.errors or not asked.any():
             continue  # without errors linked sets are equal, that is one class
         # the common shingles are one of the exact segments, and the first of those left out
-        s, segments, spare = (whole_set, band.segments, 0) if band.deletions else (rare, band.segments - 1, band.spare - 1)
-        part = B.mix(s * B.FNV_PRIME + np.uint64(0x1D8E4E27C47D124F))
+        segments, spare = (band.segments, 0) if band.deletions else (band.segments - 1, band.spare - 1)
+        inside = np.flatnonzero(asked[owner] if band.deletions else asked[owner] & rare)
+        mine, s, part = owner[inside], flat[inside], parts[inside]
         segment = ((s >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
-        begins = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(s) else np.zeros(0, np.int64)
+        docs, rank = np.flatnonzero(asked), np.cumsum(asked) - 1
+        cell = rank[mine] * segments + segment
+        begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(s) else np.zeros(0, np.int64)
         total = np.add.reduceat(part, begins) if len(s) else part
         salt = np.uint64((number * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
         place = segment.astype(np.uint64) + salt
         whole = B.mix(total ^ B.mix(place[begins]))
-        missing = B.mix(B.mix(np.setdiff1d(np.arange(segments), segment[begins]).astype(np.uint64) + salt))
+        absent = np.ones(len(docs) * segments, bool)
+        absent[cell[begins]] = False
+        gaps = np.flatnonzero(absent)
+        missing, lacks = B.mix(B.mix((gaps % segments).astype(np.uint64) + salt)), docs[gaps // segments]
         sizes = np.diff(np.append(begins, len(s)))
         if band.deletions:
             rest = np.repeat(total, sizes) - part
             # an empty segment meets the deletion of a single element
             out += [whole, B.mix(rest ^ B.mix(place)), missing]
+            of += [mine[begins], mine, lacks]
         else:
-            every = np.concatenate([missing, whole])
-            weakest = np.lexsort((every, np.concatenate([np.zeros(len(missing), np.int64), sizes])))
-            out.append(every[weakest[spare:]])
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+            every, whose = np.concatenate([missing, whole]), np.concatenate([lacks, mine[begins]])
+            weakest = np.lexsort((every, whose << 32 | np.concatenate([np.zeros(len(missing), np.int64), sizes])))
+            every, whose = every[weakest], whose[weakest]
+            strong = np.arange(len(whose)) - np.searchsorted(whose, whose) >= spare
+            out.append(every[strong])
+            of.append(whose[strong])
+    key, doc = np.concatenate(out), np.concatenate(of)
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[once], np.arange(len(sets) + 1)).astype(np.int32)), pa.array(key[once].view(np.int64)))
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -281,7 +302,7 @@ def _blocks(n: str, size: str):
     return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("int")
 
 
-def _groups(docs: DataFrame, members: DataFrame, k: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _groups(docs: DataFrame, members: DataFrame, k: int, keys_of: Callable[[list[np.ndarray]], pa.ListArray]) -> DataFrame:
     """root, c, first, _blocks, block: the groups whose pairs are verified, named by a hash in `root`, and the block of each class in them.
 
     A component of one block is one group. A larger one is either a group of several blocks or, where that moves fewer bytes, a group for
@@ -293,7 +314,7 @@ def _groups(docs: DataFrame, members: DataFrame, k: int, keys_of: Callable[[np.n
 
     def describe(part):
         sets = [s if class_of(s) == c else s[:0] for s, c in zip(word_sets(part.column("text"), k), part.column("c").to_pylist())]
-        yield {n: part.column(n) for n in ("root", "c", "first", "bytes")} | {"keys": pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))}
+        yield {n: part.column(n) for n in ("root", "c", "first", "bytes")} | {"keys": keys_of(sets)}
 
     # made again from the texts, as all documents' keys would weigh more in a shuffle than their texts
     texts = docs.withColumnRenamed("doc_id", "first").join(large.hint("merge"), "first").select("root", "c", "first", "bytes", "text")  # grows with the corpus: never broadcast
@@ -324,7 +345,7 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
         sets = word_sets(part.column("text"), k)
         yield {
             "doc_id": part.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64), "c": np.array([class_of(s) for s in sets], np.int64),
-            "bytes": np.diff(B.flat(part.column("text"))[1]), "keys": pa.array([keys(s, num, den, common.value) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            "bytes": np.diff(B.flat(part.column("text"))[1]), "keys": key_lists(sets, num, den, common.value),
         }
 
     base = materialise(map_slices(docs, f"doc_id {kind}, n long, c long, bytes long, keys array<long>", describe), "sets")
@@ -335,7 +356,7 @@ def join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Dat
     stars = _stars(full, number_of_blocks(docs))
     near = components(stars, "near")
     members = materialise(near.withColumnRenamed("node", "c").join(classes, "c"), "members")
-    asked = _groups(docs, members, k, lambda s: keys(s, num, den, common.value))  # both joins with the texts are merge joins, at every size
+    asked = _groups(docs, members, k, lambda sets: key_lists(sets, num, den, common.value))  # both joins with the texts are merge joins, at every size
     texts = docs.withColumnRenamed("doc_id", "first").join(asked.hint("merge"), "first").select("root", "c", "block", "_blocks", "text")
     pairs = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "c", "block", "text")
     links = materialise(_verify(pairs, k, num, den), "links")

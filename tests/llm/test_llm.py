@@ -533,3 +533,22 @@ def test_pieces_of_many_words(spark):
     before = sys.getallocatedblocks()
     assert len(m.encode_texts([text])[0]) == len(words)
     assert sys.getallocatedblocks() - before < len(words) / 4  # what is kept for the next slice has no object for each word
+
+
+def test_keys_of_a_slice(monkeypatch):
+    """The sets of a slice are cut into segments together: the same keys as set by set, in as many steps for many sets as for one."""
+    rng = np.random.default_rng(3)
+    make = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = [make(n) for n in [0, 1, 2, 3, 0, 5, 9, 17, 40, 41, 90, 200, 700, 0] + [60] * 40]
+    sets.append(sets[8][:-1])
+    for num, den in ((80, 100), (85, 100), (34, 100)):
+        for common in (np.zeros(0, np.uint64), np.sort(np.concatenate([s[::4] for s in sets]))):
+            listed = jaccard.key_lists(sets, num, den, common)
+            assert [x.as_py() for x in listed] == [jaccard.keys(s, num, den, common).tolist() for s in sets] and not len(listed[0])
+            assert not common.size or set(listed[8].as_py()) & set(listed[len(sets) - 1].as_py())
+    steps, mix = [], jaccard.B.mix
+    monkeypatch.setattr(jaccard.B, "mix", lambda h: steps.append(len(h)) or mix(h))
+    jaccard.key_lists([make(60)], 80, 100)
+    alone = len(steps)
+    jaccard.key_lists([make(60) for _ in range(200)], 80, 100)
+    assert len(steps) <= 3 * alone
